@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import packing
+from strataflow.llm import grammar, packing
 from strataflow.session import table
 
 
@@ -13,8 +13,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written as grammar shards in ascending doc_id order and read back."""
+    return grammar.encode_and_read_back(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_repair_grammar": op10_repair_grammar,
 }
 
 ORACLES: dict[str, str] = {}
