@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataflow.llm import grammar, packing
+from strataflow.llm import grammar, packing, simhash
 from strataflow.session import table
 
 
@@ -13,6 +14,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, written as grammar shards in ascending doc_id order and read back."""
     return grammar.encode_and_read_back(table(spark, sf_dir, "documents"))
@@ -20,6 +27,7 @@ def op10_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op10_repair_grammar": op10_repair_grammar,
 }
 
