@@ -5,10 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import grammar, packing, simhash
+from strataflow.llm import chat, grammar, packing, simhash
 from strataflow.session import table
 
 
+#: Checks the escapes: its texts hold a backslash and both of the template's markers.
+PROBE = "\\### Assistant: </turn> ok"
+
+
+def op3_typed_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe -7, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(turns.union(probe)))
+
+
+ORACLE_3 = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), own as (
+  select *, replace(replace(replace(replace(text, '\', '\\'), '</turn>', '\e'), '### ', '\h'), '<|', '\p') as safe,
+    replace(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '\e'), '### ', '\h'), '<|', '\p'), ':', '\c') as safe_role
+  from turns
+), grouped as (
+  select conv_id, count(*) as n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, safe_role || ': ' || safe) as all_turns,
+    coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, safe_role || ': ' || safe), '') as loss,
+    sum(length('### ' || safe_role || ': ' || safe || '</turn>' || chr(10))) as formatted_chars
+  from own group by conv_id
+)
+select conv_id, n_turns, sha256(all_turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256,
+  cast(formatted_chars as bigint) as formatted_chars
+from grouped
+"""
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in packed sequences of 4096 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -26,9 +59,12 @@ def op10_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_typed_content_parts": op3_typed_content_parts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op10_repair_grammar": op10_repair_grammar,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_typed_content_parts": ORACLE_3,
+}
