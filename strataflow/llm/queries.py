@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import chat, grammar, packing, simhash
+from strataflow.llm import chat, grammar, packing, rules, secrets, simhash
 from strataflow.session import table
 
 
@@ -42,11 +42,84 @@ from grouped
 """
 
 
+def op5_cascade_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the cascade's verdict on every document."""
+    return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+ORACLE_5 = r"""
+with own as (
+  select doc_id, coalesce(text, '') as text from documents
+), split as (
+  select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+    length(regexp_replace(text, '[^\p{L}]+', '', 'g')) as letters,
+    length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) as uppers
+  from own
+), grams as (
+  select *, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) as g from split
+), places as (
+  select doc_id, rowid_, unnest(g) as gram, unnest(range(1, len(g) + 1)) as i
+  from (select *, row_number() over () as rowid_ from grams)
+), twice as (
+  select rowid_, i from (select *, count(*) over (partition by rowid_, gram) as n from places) where n > 1
+), covered as (
+  select rowid_, count(distinct p) as n from (select rowid_, unnest([i, i + 1, i + 2]) as p from twice) group by rowid_
+), counted as (
+  select g.doc_id, g.text, len(w) as n_words, length(regexp_replace(g.text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+    length(g.text) - length(regexp_replace(g.text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+    letters, uppers, length(g.text) - length(replace(g.text, '!', '')) as bangs, len(string_split(g.text, chr(10))) as n_lines
+  from (select *, row_number() over () as rowid_ from grams) g left join covered c on c.rowid_ = g.rowid_
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words
+    or n_symbols * 10 > n_words or word_chars > 12 * n_words or n_dup_lines * 2 > n_lines
+    or uppers * 2 > letters or letters * 2 < word_chars or bangs * 2 > n_words) as kept
+from counted
+"""
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in packed sequences of 4096 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by way of a ledger that starts empty."""
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+def _spans_sql(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""
+  select doc_id, {order} as ord, '{kind}' as kind, unnest(pos) as pos, unnest(len) as len from (
+    select doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda i:
+        case when length(g[i]) >= {least} then list_sum(list_transform(range(1, i + 1), lambda j: length(gaps[j])))
+          + coalesce(list_sum(list_transform(range(1, i), lambda j: length(m[j]))), 0) end), lambda x: x is not null) as pos,
+      list_filter(list_transform(range(1, len(m) + 1), lambda i: case when length(g[i]) >= {least} then length(m[i]) end), lambda x: x is not null) as len
+    from (select doc_id, regexp_split_to_array(text, '{pattern}') as gaps, regexp_extract_all(text, '{pattern}', 0) as m,
+        regexp_extract_all(text, '{pattern}', {group}) as g from own where regexp_matches(text, '{pattern}')))"""
+
+
+ORACLE_7 = (
+    "with own as (select doc_id, coalesce(text, '') as text from documents), spans as ("
+    + " union all ".join(_spans_sql(r.kind, k, r.pattern, r.group, r.least) for k, r in enumerate(secrets.RULES))
+    + """
+), joined as (
+  select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    coalesce(string_agg(kind || ':' || cast(pos as bigint) || ':' || cast(pos + len as bigint), ',' order by pos, ord) filter (ord < 3), '') as base,
+    string_agg(kind || ':' || cast(pos as bigint) || ':' || cast(pos + len as bigint), ',' order by pos, ord) as spans
+  from spans group by doc_id
+)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from own d left join joined j using (doc_id)
+"""
+)
+
+
 def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -59,6 +132,8 @@ def op10_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_cascade_rules": op5_cascade_rules,
+    "op7_blob_ledger": op7_blob_ledger,
     "op3_typed_content_parts": op3_typed_content_parts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
@@ -66,5 +141,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_cascade_rules": ORACLE_5,
+    "op7_blob_ledger": ORACLE_7,
     "op3_typed_content_parts": ORACLE_3,
 }
