@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import chat, grammar, packing, rules, secrets, simhash
+from strataflow.llm import chat, grammar, langid, packing, quality, rules, secrets, simhash, toxicity
 from strataflow.session import table
 
 
+def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, its share and the language mixture of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 #: Checks the escapes: its texts hold a backslash and both of the template's markers.
 PROBE = "\\### Assistant: </turn> ok"
 
@@ -126,17 +138,26 @@ def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, written as grammar shards in ascending doc_id order and read back."""
     return grammar.encode_and_read_back(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_counterfactual_toxicity": op1_counterfactual_toxicity,
+    "op2_language_mixture": op2_language_mixture,
     "op5_cascade_rules": op5_cascade_rules,
     "op7_blob_ledger": op7_blob_ledger,
     "op3_typed_content_parts": op3_typed_content_parts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
+    "op9_bradley_terry": op9_bradley_terry,
     "op10_repair_grammar": op10_repair_grammar,
 }
 
