@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import chat, grammar, langid, packing, quality, rules, secrets, simhash, toxicity
+from strataflow.llm import chat, decontam, grammar, langid, packing, quality, rules, secrets, simhash, toxicity
 from strataflow.session import table
 
 
@@ -54,6 +54,11 @@ from grouped
 """
 
 
+def op4_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, word for word or with other numbers, names or units."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_cascade_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the cascade's verdict on every document."""
     return rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -150,6 +155,7 @@ def op10_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_template_windows": op4_template_windows,
     "op1_counterfactual_toxicity": op1_counterfactual_toxicity,
     "op2_language_mixture": op2_language_mixture,
     "op5_cascade_rules": op5_cascade_rules,
