@@ -17,7 +17,7 @@ from strataflow.session import cut
 #: Labelled rows that the classifier is fitted on, at most; the first by a hash of doc_id.
 TRAIN_ROWS = 20_000
 #: Words of the model at most, and the evidence that a word needs: documents, and standard errors of its log odds.
-VOCABULARY = 4096
+VOCABULARY = 512
 MIN_DOCS, MIN_Z = 5, 4.0
 #: Weight of the penalty on score changes under swapped identity terms, and of the ridge.
 COUNTERFACTUAL, RIDGE = 10.0, 0.02
@@ -88,39 +88,36 @@ def fit_rows(rows: list[list[int]], y: np.ndarray, words: list[str], terms: dict
                     change[i, j] -= 1
                     change[j, i] -= 1
     penalty += counterfactual * change / max(n_swaps, 1)
-    flat = np.fromiter((i for r in rows for i in r), np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    x = np.zeros((len(rows), d + 1), np.float32)
+    x[:, d] = 1
     for k, r in enumerate(rows):
-        own = np.array(r, dtype=np.int64)
-        pairs.append((np.full(len(own) ** 2, k), np.repeat(own, len(own)), np.tile(own, len(own))))
-    pk, pi, pj = (np.concatenate([p[c] for p in pairs]) for c in range(3))
+        x[k, r] = 1
     for _ in range(30):
-        odds = np.bincount(owner, weights=w[flat], minlength=len(rows)) + w[d]
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        err, bend = p - y, p * (1 - p) + 1e-6
-        slope = np.r_[np.bincount(flat, weights=err[owner], minlength=d), err.sum()] + penalty @ w
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30).astype(float)))
+        bend = (p * (1 - p) + 1e-6).astype(np.float32)
+        slope = x.T @ (p - y).astype(np.float32) + penalty @ w
         h = np.zeros((d + 1, d + 1))
-        np.add.at(h, (pi, pj), bend[pk])
-        h[:d, d] = h[d, :d] = np.bincount(flat, weights=bend[owner], minlength=d)
-        h[d, d] = bend.sum()
+        for a in range(0, len(rows), 4096):
+            part = x[a : a + 4096]
+            h += part.T @ (part * bend[a : a + 4096, None])
         step = np.linalg.solve(h + penalty + 1e-9 * np.eye(d + 1), slope)
         w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return Model(float(w[d]), {t: float(w[i]) for i, t in enumerate(words)})
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms: dict[str, list[str]] | None = None) -> Model:
-    """Fit on at most ``train_rows`` labelled documents whose id isn't held out.
+    """Fit on the distinct texts of at most ``train_rows`` labelled documents whose id isn't held out.
 
     The chosen labels (a bounded number) are broadcast; word counts by label are taken on the
     cluster. The driver gets the significant words and, of each chosen row, which of these it has.
     """
-    spark = docs.sparkSession
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", bare_words(F.col("text")).alias("words")))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", bare_words(F.col("text")).alias("words"))
+    # copies have one voice
+    rows = cut(labelled.groupBy(F.xxhash64("words").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("words").alias("words")))
     total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     identity = sorted(swaps(terms))
     a, b = F.col("docs_1"), F.col("docs_0")
@@ -130,11 +127,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, term
     counted = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("docs_1"), F.sum(1 - F.col("toxic")).alias("docs_0"))
     counted = counted.withColumn("z", F.abs(log_odds / error)).where(F.col("word").isin(identity) | ((a + b >= MIN_DOCS) & (F.col("z") >= MIN_Z)))
     words = [r[0] for r in counted.orderBy(F.desc("z"), "word").limit(VOCABULARY).select("word").collect()]
-    index = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, i int")
-    # each row once, with the model's words that it has
-    present = rows.select("doc_id", F.xxhash64("words").alias("h"), "toxic", F.explode_outer("words").alias("word")).join(F.broadcast(index), "word", "left")
-    got = present.groupBy("doc_id", "h").agg(F.max("toxic").alias("toxic"), F.array_sort(F.collect_set("i")).alias("i")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(2 * train_rows).collect()
-    return fit_rows([list(r["i"]) for r in got], np.array([r["toxic"] for r in got], dtype=float), words, terms)
+    index = {w: i for i, w in enumerate(words)}
+    # each text once, with the model's words that it has
+    vocabulary = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    got = rows.select("h", "toxic", F.array_intersect("words", vocabulary).alias("words")).orderBy("h").limit(train_rows).collect()
+    return fit_rows([[index[w] for w in r["words"]] for r in got], np.array([r["toxic"] for r in got], dtype=float), words, terms)
 
 
 def _score(batches: Iterator[pa.RecordBatch], words: list[str], weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
