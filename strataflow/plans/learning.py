@@ -1 +1,130 @@
-"""Queries."""
+"""Models: folds, nested validation, transfer, importance, kriging. Random fits have no SQL oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strataflow.adapters import relation
+from strataflow.functions.fuzzy import impute_median
+from strataflow.operators import kriging, metrics, models
+from strataflow.plans.registry import query
+from strataflow.session import cut
+
+C = F.col
+FEATURES = ["depth_m", "flow", "static_sheet", "hours", "qs_cadastre"]
+
+
+def matrix(spark, sf_dir):
+    """Wells with imputed features, coordinates and the target; checkpointed, as models pass over it many times."""
+    w = impute_median(relation(spark, sf_dir, "wells").select("code", "x", "y", "z", *FEATURES), FEATURES)
+    q = metrics.quantiles(w, "z", [0.75], ["q"])
+    w = w.crossJoin(F.broadcast(q)).withColumn("t", (C("z") >= C("q")).cast("int"))
+    return cut(w.select("code", "x", C("y").alias("north"), "z", C("t").alias("y"), *FEATURES))
+
+
+def folded(m, size, folds, seed):
+    return models.spatial_folds(m.withColumnRenamed("y", "t").withColumnRenamed("north", "y"), size, folds, seed).withColumnRenamed("y", "north").withColumnRenamed("t", "y")
+
+
+@query("spatial_folds")
+def spatial_folds(spark, sf_dir):
+    """Wells and blocks by fold of a seeded deal of 10 km blocks."""
+    f = folded(matrix(spark, sf_dir), 10000.0, 5, 42)
+    return f.groupBy("fold").agg(F.count("*").alias("wells"), F.sum("y").alias("positives"))
+
+
+@query("nested_cv")
+def nested_cv(spark, sf_dir):
+    """Out-of-fold AUC of forest, boosted trees and their mean over spatial folds, the depth chosen inside each training side."""
+    m, rows = matrix(spark, sf_dir), None
+    for seed in (1, 2):
+        f = cut(folded(m, 10000.0, 3, seed))
+        depth = models.choose_depth(f, FEATURES, "rf", [3, 5], seed, inner=2)
+        rf = models.cross_validate(f, FEATURES, "rf", "fold", 3, seed, 20, depth).withColumnRenamed("p", "p_rf")
+        gbt = models.cross_validate(f, FEATURES, "gbt", "fold", 3, seed).select("code", C("p").alias("p_gbt"))
+        both = rf.join(gbt, "code").withColumn("p_mean", (C("p_rf") + C("p_gbt")) / 2)
+        long = both.select("y", F.expr("stack(3, 'forest', p_rf, 'boosted', p_gbt, 'mean', p_mean) as (model, p)"))
+        got = metrics.auc(long, "y", "p", keys=("model",)).select(F.lit(seed).alias("seed"), "model", "n", F.round("auc", 6).alias("auc"))
+        rows = got if rows is None else rows.unionByName(got)
+    return rows
+
+
+@query("external_validation")
+def external_validation(spark, sf_dir):
+    """A forest fitted inside a sub-area, with its threshold from there alone, tested outside."""
+    m = matrix(spark, sf_dir)
+    inside = C("x").between(0, 30000) & C("north").between(0, 30000)
+    q = metrics.quantiles(m.where(inside), "z", [0.75], ["q"])
+    m = m.drop("y").crossJoin(F.broadcast(q)).withColumn("y", (C("z") >= C("q")).cast("int"))
+    model = models.classifier("rf", FEATURES, 42).fit(m.where(inside))
+    return metrics.auc(models.predict(model, m.where(~inside)), "y", "p").select("n", "positives", F.round("auc", 6).alias("auc"))
+
+
+@query("cross_area")
+def cross_area(spark, sf_dir):
+    """Transfer between two areas in both directions, with each area's own threshold; coordinates are no predictors."""
+    m, rows = matrix(spark, sf_dir).withColumn("area", (C("x") < 30000).cast("int")), None
+    q = m.groupBy("area").agg(F.expr("percentile(z, 0.75D)").alias("q"))
+    m = cut(m.drop("y").join(F.broadcast(q), "area").withColumn("y", (C("z") >= C("q")).cast("int")))
+    for a in (0, 1):
+        for name, features in (("all", FEATURES), ("without_depth", FEATURES[1:])):
+            model = models.classifier("rf", features, 42).fit(m.where(C("area") == a))
+            got = metrics.auc(models.predict(model, m.where(C("area") != a)), "y", "p").select(F.lit(a).alias("from_area"), F.lit(name).alias("features"), "n", F.round("auc", 6).alias("auc"))
+            rows = got if rows is None else rows.unionByName(got)
+    return rows
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf_dir):
+    """Loss of accuracy and of AUC when one feature is dealt anew."""
+    m, rows = matrix(spark, sf_dir), None
+    model = models.classifier("rf", FEATURES, 42).fit(m)
+    whole = cut(models.predict(model, m))
+    base_auc = metrics.auc(whole, "y", "p").select(C("auc").alias("auc0")).crossJoin(whole.agg(models.accuracy(whole, C("p")).alias("acc0")))
+    for f in FEATURES:
+        p = models.predict(model, models.permuted(m, f, 7))
+        got = metrics.auc(p, "y", "p").select("auc").crossJoin(p.agg(models.accuracy(p, C("p")).alias("acc"))).crossJoin(base_auc)
+        got = got.select(F.lit(f).alias("feature"), F.round(C("acc0") - C("acc"), 6).alias("accuracy_loss"), F.round(C("auc0") - C("auc"), 6).alias("auc_loss"))
+        rows = got if rows is None else rows.unionByName(got)
+    return rows
+
+
+@query("train_predict")
+def train_predict(spark, sf_dir):
+    """Probabilities of a forest and of boosted trees on every well, and their difference."""
+    m = matrix(spark, sf_dir)
+    rf = models.predict(models.classifier("rf", FEATURES, 42).fit(m), m, "p_rf")
+    gbt = models.predict(models.classifier("gbt", FEATURES, 42).fit(m), m, "p_gbt").select("code", "p_gbt")
+    return rf.join(gbt, "code").select("code", "y", F.round("p_rf", 6).alias("p_rf"), F.round("p_gbt", 6).alias("p_gbt"), F.round(F.abs(C("p_rf") - C("p_gbt")), 6).alias("gap"))
+
+
+@query("random_vs_spatial")
+def random_vs_spatial(spark, sf_dir):
+    """AUC with random folds beside AUC with spatial ones."""
+    f = folded(matrix(spark, sf_dir), 10000.0, 3, 42).withColumn("deal", F.pmod(F.xxhash64("code"), F.lit(3)).cast("int"))
+    f, rows = cut(f), None
+    for name, fold in (("spatial", "fold"), ("random", "deal")):
+        got = metrics.auc(models.cross_validate(f, FEATURES, "rf", fold, 3, 42), "y", "p").select(F.lit(name).alias("folds"), "n", F.round("auc", 6).alias("auc"))
+        rows = got if rows is None else rows.unionByName(got)
+    return rows
+
+
+LAGS = (0, 500, 1000, 2000, 3000, 4000)
+
+
+def cells(spark, sf_dir):
+    return relation(spark, sf_dir, "grid").select((C("r") * 100000 + C("c")).alias("code"), ((C("c") + 0.5) * 1500).alias("x"), ((C("r") + 0.5) * 1500).alias("y"))
+
+
+@query("ok_kriging")
+def ok_kriging(spark, sf_dir):
+    """Ordinary kriging of z on the grid."""
+    w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
+    return kriging.ordinary_kriging(w, "z", cells(spark, sf_dir), LAGS, radius=6000.0).select(C("code").alias("cell"), F.round("estimate", 6).alias("estimate"))
+
+
+@query("regression_kriging")
+def regression_kriging(spark, sf_dir):
+    """A plane plus kriged residuals on the grid."""
+    w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
+    return kriging.regression_kriging(w, "z", cells(spark, sf_dir), LAGS, radius=6000.0).select(C("code").alias("cell"), F.round("estimate", 6).alias("estimate"))

@@ -1 +1,220 @@
-"""Queries."""
+"""Terrain and raster queries."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from strataflow.adapters import relation
+from strataflow.operators import raster, spatial, tiles
+from strataflow.plans.registry import query
+
+C = F.col
+RES = 60.0
+
+
+def grid(spark, sf_dir):
+    return relation(spark, sf_dir, "grid")
+
+
+def r6(c, name=None):
+    return F.round(c, 6).alias(name or c)
+
+
+def _side(along: str, across: str) -> str:
+    o = f"over (partition by {across} order by {along})"
+    return f"(case when lag(v) {o} is null and lead(v) {o} is null then 0 when lag(v) {o} is null then lead(v) {o} - v when lead(v) {o} is null then v - lag(v) {o} else (lead(v) {o} - lag(v) {o}) / 2 end) / 60"
+
+
+GRAD = f", g as (select *, {_side('r', 'c')} as gr, {_side('c', 'r')} as gc from grid)"
+
+
+@query("slope_northness", "grid", GRAD + " select r, c, round(degrees(atan(sqrt(gr * gr + gc * gc))), 6) as slope, round(cos(atan2(-gc, gr)), 6) as northness from g")
+def slope_northness(spark, sf_dir):
+    """Slope in degrees and northness."""
+    g = raster.gradient(grid(spark, sf_dir), RES)
+    return g.select("r", "c", r6(F.degrees(F.atan(F.hypot("gr", "gc"))), "slope"), r6(F.cos(F.atan2(-C("gc"), C("gr"))), "northness"))
+
+
+@query("laplacian", "grid", """ select r, c, round((coalesce(lag(v) over (partition by c order by r), v) + coalesce(lead(v) over (partition by c order by r), v) + coalesce(lag(v) over (partition by r order by c), v) + coalesce(lead(v) over (partition by r order by c), v) - 4 * v) / 3600, 6) as curvature from grid""")
+def laplacian(spark, sf_dir):
+    """Curvature."""
+    return raster.laplacian(grid(spark, sf_dir), RES).select("r", "c", r6("lap", "curvature"))
+
+
+def _box(a: int, b: int, what: str) -> str:
+    return f" select g.r, g.c, {what} from grid g join grid n on n.r between g.r - {a} and g.r + {b} and n.c between g.c - {a} and g.c + {b} group by g.r, g.c"
+
+
+@query("tri", "grid", _box(1, 1, "round(stddev_pop(n.v), 5) as tri"))
+def tri(spark, sf_dir):
+    """Ruggedness: population standard deviation in 3 x 3 windows cut at the edges."""
+    b = raster.box_stats(grid(spark, sf_dir), 3)
+    var = F.greatest(F.lit(0.0), C("s2") / C("n") - (C("s1") / C("n")) * (C("s1") / C("n")))
+    return b.select("r", "c", F.round(F.sqrt(var), 5).alias("tri"))
+
+
+@query("focal_mean", "grid", ", a as (" + _box(2, 2, "avg(n.v) as m5") + "), b as (" + _box(3, 2, "avg(n.v) as m6") + ") select r, c, round(m5, 6) as m5, round(m6, 6) as m6 from a join b using (r, c)")
+def focal_mean(spark, sf_dir):
+    """Means in windows of five and of six cells; an even window reaches further back."""
+    g = grid(spark, sf_dir)
+    five = raster.box_stats(g, 5).select("r", "c", r6(C("s1") / C("n"), "m5"))
+    return five.join(raster.box_stats(g, 6).select("r", "c", r6(C("s1") / C("n"), "m6")), ["r", "c"])
+
+
+D8 = """, o(k, i, j) as (values (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1)),
+drops as (select g.r, g.c, n.r as tr, n.c as tc, k, (g.v - n.v) / (sqrt(i * i + j * j) * 60) as slope from grid g, o join grid n on n.r = g.r + i and n.c = g.c + j where g.v > n.v),
+d as (select * from (select *, row_number() over (partition by r, c order by slope desc, k) as rank from drops) where rank = 1)"""
+
+
+@query("d8_direction", "grid", D8 + " select g.r, g.c, tr, tc from grid g left join d using (r, c)")
+def d8_direction(spark, sf_dir):
+    """Where each cell drains to."""
+    return raster.d8(grid(spark, sf_dir), RES).select("r", "c", "tr", "tc")
+
+
+@query("flow_accumulation", "grid", D8 + """, paths as (with recursive p(r, c, tr, tc) as (select r, c, r, c from grid union all select p.r, p.c, d.tr, d.tc from p join d on d.r = p.tr and d.c = p.tc) select tr as r, tc as c, count(*) as acc from p group by tr, tc) select r, c, acc from paths""")
+def flow_accumulation(spark, sf_dir):
+    """Cells that drain through each cell."""
+    return raster.flow_accumulation(raster.d8(grid(spark, sf_dir), RES))
+
+
+ACC = D8 + """, acc as (with recursive p(r, c, tr, tc) as (select r, c, r, c from grid union all select p.r, p.c, d.tr, d.tc from p join d on d.r = p.tr and d.c = p.tc) select tr as r, tc as c, count(*) as acc from p group by tr, tc)"""
+
+
+@query("stream_mask", "grid", ACC + " select r, c from acc where acc * 3600 / 1e6 >= 0.02")
+def stream_mask(spark, sf_dir):
+    """Cells that drain 0.02 square kilometres or more."""
+    return raster.flow_accumulation(raster.d8(grid(spark, sf_dir), RES)).where(C("acc") * RES * RES / 1e6 >= 0.02).select("r", "c")
+
+
+@query("twi", "grid", ACC + GRAD + " select r, c, round(ln(acc * 60 / tan(radians(greatest(degrees(atan(sqrt(gr * gr + gc * gc))), 0.1)))), 6) as twi from acc join g using (r, c)")
+def twi(spark, sf_dir):
+    """Topographic wetness index."""
+    acc = raster.flow_accumulation(raster.d8(grid(spark, sf_dir), RES))
+    slope = F.greatest(F.degrees(F.atan(F.hypot("gr", "gc"))), F.lit(0.1))
+    return acc.join(raster.gradient(grid(spark, sf_dir), RES), ["r", "c"]).select("r", "c", r6(F.log(C("acc") * RES / F.tan(F.radians(slope))), "twi"))
+
+
+@query("hand", "grid", ACC + """, wet as (select r, c from acc where acc * 3600 / 1e6 >= 0.02),
+down as (with recursive p(r, c, tr, tc) as (select r, c, r, c from grid union all select p.r, p.c, d.tr, d.tc from p join d on d.r = p.tr and d.c = p.tc where not exists (select 1 from wet where wet.r = p.tr and wet.c = p.tc))
+  select p.r, p.c, p.tr, p.tc from p join wet on wet.r = p.tr and wet.c = p.tc)
+select g.r, g.c, round(greatest(0, g.v - b.v), 6) as hand from grid g left join down on down.r = g.r and down.c = g.c left join grid b on b.r = down.tr and b.c = down.tc""".replace("greatest(0, g.v - b.v)", "case when b.v is not null then greatest(0, g.v - b.v) end"))
+def hand(spark, sf_dir):
+    """Height above the nearest stream cell downstream."""
+    d = raster.d8(grid(spark, sf_dir), RES)
+    streams = raster.flow_accumulation(d).where(C("acc") * RES * RES / 1e6 >= 0.02)
+    return raster.height_above_drainage(d, streams).select("r", "c", r6("hand"))
+
+
+@query("priority_flood")
+def priority_flood(spark, sf_dir):
+    """The terrain with its depressions filled so that every cell drains."""
+    return tiles.fill_depressions(grid(spark, sf_dir)).select("r", "c", "v", r6("filled"))
+
+
+@query("distance_transform", "grid", """, f as (select r, c from grid where v > 1000 and (r * 7 + c) % 11 = 0), d as (select g.r, g.c, min(sqrt((g.r - f.r) * (g.r - f.r) + (g.c - f.c) * (g.c - f.c))) as d from grid g, f group by g.r, g.c) select r, c, round(d * 60, 6) as dist from d""")
+def distance_transform(spark, sf_dir):
+    """Distance to the nearest feature cell."""
+    g = grid(spark, sf_dir)
+    return raster.distance_transform(g, g.where("v > 1000 and (r * 7 + c) % 11 = 0"), RES).select("r", "c", r6("dist"))
+
+
+@query("hillshade", "grid", GRAD + ", s as (select *, pi() / 2 - atan(sqrt(gr * gr + gc * gc)) as steep, atan2(-gr, gc) as aspect from g) select r, c, round(sin(radians(45)) * sin(steep) + cos(radians(45)) * cos(steep) * cos(radians(315) - pi() / 2 - aspect), 6) as shade from s")
+def hillshade(spark, sf_dir):
+    """Shading under a sun at 315 degrees, 45 degrees high."""
+    g = raster.gradient(grid(spark, sf_dir), RES)
+    steep, aspect, h = math.pi / 2 - F.atan(F.hypot("gr", "gc")), F.atan2(-C("gr"), C("gc")), math.radians(45)
+    return g.select("r", "c", r6(math.sin(h) * F.sin(steep) + math.cos(h) * F.cos(steep) * F.cos(math.radians(315) - math.pi / 2 - aspect), "shade"))
+
+
+@query("ght_tilt", "grid", GRAD + ", t as (select *, sqrt(gr * gr + gc * gc) as ght from g) select r, c, round(ght, 6) as ght, round(atan2(v / 1000, greatest(ght, 1e-9)), 6) as tilt from t")
+def ght_tilt(spark, sf_dir):
+    """Total horizontal gradient, and the tilt angle with a given vertical component."""
+    g = raster.gradient(grid(spark, sf_dir), RES).withColumn("ght", F.hypot("gr", "gc"))
+    return g.select("r", "c", r6("ght"), r6(F.atan2(C("v") / 1000, F.greatest(C("ght"), F.lit(1e-9))), "tilt"))
+
+
+GAPS = ", holes as (select r, c, case when (r * 13 + c * 7) % 9 < 4 then null else v end as v from grid)"
+
+
+def holes(spark, sf_dir):
+    return grid(spark, sf_dir).withColumn("v", F.when((C("r") * 13 + C("c") * 7) % 9 >= 4, C("v")))
+
+
+@query("gap_fill", "grid", GAPS + """, near as (select a.r, a.c, b.v, row_number() over (partition by a.r, a.c order by sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)), b.r, b.c) as k from holes a join holes b on a.v is null and b.v is not null and abs(a.r - b.r) <= 4 and abs(a.c - b.c) <= 4 and (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 16)
+select h.r, h.c, coalesce(h.v, n.v) as v from holes h left join (select * from near where k = 1) n using (r, c)""")
+def gap_fill(spark, sf_dir):
+    """Gaps filled from the nearest cell within four cells."""
+    return raster.fill_gaps(holes(spark, sf_dir), 4.0)
+
+
+@query("bilinear_resample", "grid", """, p as (select r * 100 + c as id, r * 0.7 + 0.3 as pr, c * 0.9 + 0.2 as pc from grid), b as (select *, floor(pr) as r0, floor(pc) as c0 from p),
+j as (select id, sum((case when g.r = r0 then 1 - (pr - r0) else pr - r0 end) * (case when g.c = c0 then 1 - (pc - c0) else pc - c0 end) * v) as value, count(*) as n from b join grid g on g.r between r0 and r0 + 1 and g.c between c0 and c0 + 1 group by id)
+select p.id, round(case when n = 4 then value end, 6) as value from p left join j using (id)""")
+def bilinear_resample(spark, sf_dir):
+    """The grid read at fractional places."""
+    g = grid(spark, sf_dir)
+    p = g.select((C("r") * 100 + C("c")).alias("id"), (C("r") * 0.7 + 0.3).alias("pr"), (C("c") * 0.9 + 0.2).alias("pc"))
+    return raster.bilinear(p, g).select("id", r6("value"))
+
+
+@query("raster_lookup", "wells grid", " select code, v from wells w left join grid g on g.r = cast(floor(w.y / 1500) as int) and g.c = cast(floor(w.x / 1500) as int)")
+def raster_lookup(spark, sf_dir):
+    """The grid cell under each well."""
+    w = relation(spark, sf_dir, "wells").select("code", F.floor(C("y") / 1500).cast("int").alias("r"), F.floor(C("x") / 1500).cast("int").alias("c"))
+    return w.join(grid(spark, sf_dir), ["r", "c"], "left").select("code", "v")
+
+
+@query("downsample", "grid", " select r, c, v from grid where r % 4 = 0 and c % 4 = 0")
+def downsample(spark, sf_dir):
+    """Every fourth cell."""
+    return grid(spark, sf_dir).where("r % 4 = 0 and c % 4 = 0")
+
+
+@query("depth_to_elevation", "wells grid", " select code, round(v - depth_m, 6) as elevation from wells w join grid g on g.r = cast(floor(w.y / 1500) as int) and g.c = cast(floor(w.x / 1500) as int)")
+def depth_to_elevation(spark, sf_dir):
+    """Ground level less depth."""
+    w = relation(spark, sf_dir, "wells").select("code", "depth_m", F.floor(C("y") / 1500).cast("int").alias("r"), F.floor(C("x") / 1500).cast("int").alias("c"))
+    return w.join(grid(spark, sf_dir), ["r", "c"]).select("code", r6(C("v") - C("depth_m"), "elevation"))
+
+
+@query("delta_depth", "wells grid", """, blocks as (select floor(x / 20000) as bx, floor(y / 20000) as bb, quantile_cont(depth_m - 10 * z, 0.5) as delta, count(*) as n from wells where depth_m - 10 * z > 0 and depth_m - 10 * z < 300 group by all having n >= 8),
+ctr as (select cast(bx * 100 + bb as bigint) as code, (bx + 0.5) * 20000 as x, (bb + 0.5) * 20000 as y, delta from blocks), cells as (select r, c, (c + 0.5) * 1500 as x, (r + 0.5) * 1500 as y, v from grid),
+p as (select cells.r, cells.c, cells.v, delta, sqrt((cells.x - ctr.x) * (cells.x - ctr.x) + (cells.y - ctr.y) * (cells.y - ctr.y)) as d, code from cells, ctr), k as (select *, row_number() over (partition by r, c order by d, code) as rank from p)
+select r, c, round(greatest(20, least(160, max(v) / 50 + sum(delta / pow(greatest(d, 1), 2)) / sum(1 / pow(greatest(d, 1), 2)))), 6) as depth from k where rank <= 4 group by r, c""")
+def delta_depth(spark, sf_dir):
+    """Recommended depth: a surface plus the block medians of productive depth, interpolated from the four nearest blocks and clipped."""
+    delta = C("depth_m") - 10 * C("z")
+    w = relation(spark, sf_dir, "wells").where((delta > 0) & (delta < 300))
+    b = w.groupBy(F.floor(C("x") / 20000).alias("bx"), F.floor(C("y") / 20000).alias("bb")).agg(F.percentile(delta, F.lit(0.5)).alias("delta"), F.count("*").alias("n")).where("n >= 8")
+    ctr = b.select((C("bx") * 100 + C("bb")).alias("code"), ((C("bx") + 0.5) * 20000).alias("x"), ((C("bb") + 0.5) * 20000).alias("y"), "delta")
+    cells = grid(spark, sf_dir).select(F.struct("r", "c").alias("code"), ((C("c") + 0.5) * 1500).alias("x"), ((C("r") + 0.5) * 1500).alias("y"), "v", F.lit(0.0).alias("delta"))
+    near = spatial.nearest(cells, ctr.withColumn("v", F.lit(0.0)), 4, 60000.0, carry=("delta", "v"))
+    got = spatial.inverse_distance(near, "b_delta", 2.0, keys=("a", "a_v"))
+    return got.select("a.r", "a.c", r6(F.greatest(F.lit(20.0), F.least(F.lit(160.0), C("a_v") / 50 + C("value"))), "depth"))
+
+
+@query("water_table", "wells grid", """, w as (select code, x, y, static_sheet as s from wells where static_sheet between 0 and 120), cells as (select r, c, (c + 0.5) * 1500 as x, (r + 0.5) * 1500 as y, v from grid),
+p as (select cells.r, cells.c, cells.v, s, sqrt((cells.x - w.x) * (cells.x - w.x) + (cells.y - w.y) * (cells.y - w.y)) as d, code from cells, w), k as (select *, row_number() over (partition by r, c order by d, code) as rank from p)
+select r, c, round(max(v) - greatest(0, sum(s / pow(greatest(d, 1), 2)) / sum(1 / pow(greatest(d, 1), 2))), 6) as head from k where rank <= 12 group by r, c""")
+def water_table(spark, sf_dir):
+    """Ground level less the interpolated depth to water, which is held at 0 or more."""
+    w = relation(spark, sf_dir, "wells").where("static_sheet between 0 and 120").select("code", "x", "y", C("static_sheet").alias("s"), F.lit(0.0).alias("v"))
+    cells = grid(spark, sf_dir).select(F.struct("r", "c").alias("code"), ((C("c") + 0.5) * 1500).alias("x"), ((C("r") + 0.5) * 1500).alias("y"), F.lit(0.0).alias("s"), "v")
+    near = spatial.nearest(cells, w, 12, 8000.0, carry=("s", "v"))
+    got = spatial.inverse_distance(near, "b_s", 2.0, keys=("a", "a_v"))
+    return got.select("a.r", "a.c", r6(C("a_v") - F.greatest(F.lit(0.0), C("value")), "head"))
+
+
+@query("vertical_derivative")
+def vertical_derivative(spark, sf_dir):
+    """First vertical derivative, by tiles."""
+    return tiles.map_tiles(grid(spark, sf_dir), lambda a: tiles.vertical_derivative(a, RES)).select("r", "c", r6("value"))
+
+
+@query("lineament_extract")
+def lineament_extract(spark, sf_dir):
+    """Straight segments along the terrain's edges, by tiles."""
+    return tiles.lineaments(grid(spark, sf_dir))
