@@ -29,7 +29,7 @@ def marked_words(text: Column) -> Column:
     of UNITS behind a number.
     """
     t = F.translate(F.coalesce(text.cast("string"), F.lit("")), NAME_MARK + UNIT_MARK, "  ")
-    t = F.regexp_replace(t, r"(?<=\p{N})(\s?)(" + UNITS + r")(?![\p{L}\p{N}])", "$1 " + UNIT_MARK + "$2")
+    t = F.regexp_replace(t, r"(?<=\p{N})(\s?)((?i:" + UNITS + r"))(?![\p{L}\p{N}])", "$1 " + UNIT_MARK + "$2")
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", NAME_MARK)
     return F.filter(F.split(t, r"(?:[^\p{L}\p{M}\p{N}\x01\x02.,]|(?<!\p{N})[.,]|[.,](?!\p{N}))+"), lambda w: w != "")
 
