@@ -27,7 +27,7 @@ RECORD = T.StructType(
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, html) of the cached Latin-1 pages below ``path``, error pages left out."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") >= LEAST_BYTES)
-    return files.select("path", F.decode("content", F.lit("ISO-8859-1")).alias("html"))
+    return files.select("path", F.decode("content", "ISO-8859-1").alias("html"))
 
 
 def number(text: str) -> float | None:
