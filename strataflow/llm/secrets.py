@@ -35,6 +35,9 @@ RULES = [
 ]
 BASE = ("assign", "access", "hex")
 
+#: Parts into which a blob's paths are dealt where findings meet them.
+SALTS = 32
+
 SPAN = "struct<start:int,ord:int,kind:string,end:int>"
 LEDGER = f"blob string, rules string, spans array<{SPAN}>"
 
@@ -106,16 +109,16 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule]
     """doc_id, blob and spans of every row of ``docs``: the ledger's findings, old and new, on all paths.
 
     A null text is the empty blob; a null doc_id and repeated rows are reported as they are;
-    an empty table gives no rows. Only blobs with findings meet the paths, by a join that
-    adaptive execution splits where one blob holds many paths.
+    an empty table gives no rows. Only blobs with findings meet the paths; each is sent to
+    ``SALTS`` parts among which its paths are dealt, so that no task holds all paths of a blob.
     """
     rules = rules or RULES
     versions = address(docs)
     new = scan_unseen(versions, ledger, rules)
     known = new if ledger is None else new.unionByName(ledger.where(F.col("rules") == rules_version(rules)).select("blob", "rules", "spans").dropDuplicates(["blob"]))
-    hits = known.where(F.size("spans") > 0).select("blob", "spans")
-    paths = versions.select("doc_id", "blob")
-    joined = paths.join(hits, "blob", "left")
+    hits = known.where(F.size("spans") > 0).select("blob", "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    paths = versions.select("doc_id", "blob", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"))
+    joined = paths.join(hits, ["blob", "salt"], "left")
     return joined.select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
@@ -154,17 +157,21 @@ def redact_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFr
     """``docs`` with secrets replaced in ``text``, and ``n_chars`` counted anew where both are there; no row is dropped.
 
     Findings meet the rows by the text's address, so that null or repeated ids don't matter.
+    Rows without any rule's hint stay where they are read.
     """
-    versions = address(docs.select("doc_id", "text"))
+    hints = "|".join(f"(?:{r.hint})" for r in RULES)
+    hinted = F.coalesce(F.col("text").cast("string").rlike(hints), F.lit(False))
+    some, rest = docs.where(hinted), docs.where(~hinted)
+    versions = address(some.select(F.lit(0).alias("doc_id"), "text"))
     new = scan_unseen(versions, ledger)
     if ledger is not None:
         new = new.unionByName(ledger.where(F.col("rules") == rules_version(RULES)).select("blob", "rules", "spans").dropDuplicates(["blob"]))
-    hits = new.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("__key", F.sha2(text, 256))
-    joined = keyed.join(hits, keyed["__key"] == hits["__blob"], "left")
+    hits = new.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__part"))
+    salt = F.pmod(F.hash("doc_id"), F.lit(SALTS)) if "doc_id" in docs.columns else F.lit(0)
+    keyed = some.withColumn("__key", F.sha2(F.col("text").cast("string"), 256)).withColumn("__salt", salt)
+    joined = keyed.join(hits, (keyed["__key"] == hits["__blob"]) & (keyed["__salt"] == hits["__part"]), "left")
     has = F.col("__spans").isNotNull()
     out = joined.withColumn("text", F.when(has, redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(has, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).unionByName(rest)
