@@ -14,6 +14,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from strataflow import config
 from strataflow.functions import geometry
 from strataflow.operators import kriging, metrics, models, quality_control, raster, resample, spatial, tiles
 from strataflow.operators.components import connected_components
@@ -230,3 +231,14 @@ def test_paged_layer(spark):
         assert sorted(r.lat for r in df.collect()) == [float(i) for i in range(25)]
     finally:
         server.shutdown()
+
+
+def test_settings(spark, tmp_path):
+    c = config.Config(box=(0.0, 0.0, 1.0, 1.0), ceiling_auc=0.67, domains=(("a", ("x", "y")),), relations={"a": (0.8, 1.1)})
+    (tmp_path / "c.json").write_text(c.dump())
+    assert config.Config.load(spark, str(tmp_path / "c.json")) == c
+    assert config.resolve(None, "set", default="d") == "set" and config.resolve(None, None, default="d") == "d"
+    assert config.predictors(["a_1", "b", "a_2"], ("a_",), ("a_2",)) == ["a_1"]
+    with pytest.raises(ValueError):
+        config.predictors(["a_1"], ("a_",), ("a_9",))
+    assert config.provenance(spark, [("dem", "tiles", 30.0, "2024-01-01")]).count() == 1
