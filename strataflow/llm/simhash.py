@@ -23,6 +23,9 @@ SEGMENTS = 8
 #: Fingerprints of one key that a task compares at once; larger keys go to block pairs.
 BLOCK = 4096
 
+#: Parts into which a component's fingerprints are dealt where its smallest doc_id meets them.
+SALTS = 32
+
 
 def fingerprint(text: str, width: int = SHINGLE) -> int:
     """The 64-bit fingerprint of one text, as an unsigned integer."""
@@ -236,9 +239,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MAX_BITS)
     prints = spark.read.schema("doc_id long, fp long").parquet(path)
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     groups = connected_components(fingerprint_links(nodes.select("fp"), most))
-    named = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = named.select("fp", "component").join(lowest, "component").select("fp", "component_id")
+    # a component may hold many fingerprints: its smallest doc_id is sent to SALTS parts
+    named = nodes.join(groups, nodes.fp == groups.node).select("fp", "first", "component", F.pmod(F.hash("fp"), F.lit(SALTS)).alias("salt"))
+    lowest = named.groupBy("component").agg(F.min("first").alias("component_id")).select("component", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # repeated parts look small once compressed, so that join isn't left to a broadcast
+    linked = named.join(lowest.hint("merge"), ["component", "salt"]).select("fp", "component_id")
+    single = nodes.join(groups, nodes.fp == groups.node, "left_anti").select("fp", F.col("first").alias("component_id"))
+    by_print = linked.unionByName(single)
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
