@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.sql import BLANK, INK, let, windows, words
+from strataflow.llm.sql import INK, let, windows, words
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
@@ -65,7 +65,7 @@ def base(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """A named condition that rejects a text; ``needs`` is the work it does, for reports."""
+    """A named condition that rejects a text."""
 
     name: str
     rejects: Column
@@ -142,7 +142,3 @@ def quality_rules(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
         .withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict.isNull()))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     )
-
-
-#: BLANK is what separates words here; kept for callers that tokenise alike.
-WORD_BREAK = BLANK + "+"
