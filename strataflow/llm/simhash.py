@@ -249,14 +249,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MAX_BITS)
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of its smallest doc_id.
 
+    ``found`` has doc_id and component_id of every row, by default those of ``near_duplicates``.
     A row with a null doc_id stays only if its whole group has none, and then the group's
     rows all stay, as none of them can be told from the others. Of rows that repeat one
     doc_id, one stays.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs) if found is None else found
     ids = found.where("doc_id = component_id or component_id is null").groupBy("doc_id").agg(F.count("*").alias("__rows"))
     kept = docs.join(ids.select(F.col("doc_id").alias("__id"), "__rows"), F.col("doc_id").eqNullSafe(F.col("__id")), "inner").drop("__id")
     again = kept.where("doc_id is not null and __rows > 1").drop("__rows")
