@@ -160,3 +160,14 @@ def lineament_density(spark, sf_dir):
     """Share of crossed cells in 11 x 11 windows, as length a kilometre, every twentieth cell."""
     mask = raster.rasterise(segments(spark, sf_dir), "family").select("r", "c").distinct().withColumn("v", F.lit(1.0))
     return raster.box_sum_sparse(mask, 5, 5).where("r between 0 and 399 and c between 0 and 399 and r % 20 = 0 and c % 20 = 0").select("r", "c", F.round(C("value") / 121.0 * 1000 / 30, 6).alias("density"))
+
+
+@query("lineament_density_raster", "segments", LINE + """, g as (select r, c, 1 as m from (select distinct r, c from cells)), w as (select g.r + i as r, g.c + j as c, count(*) as n from g, (select unnest(range(-5, 6)) as i), (select unnest(range(-5, 6)) as j) group by all),
+raster as (select r, c from (select unnest(range(0, 400)) as r), (select unnest(range(0, 400)) as c))
+select r, c, round(coalesce(n, 0) / 121.0 * 1000 / 30, 6) as density from raster left join w using (r, c)""")
+def lineament_density_raster(spark, sf_dir):
+    """The density of ``lineament_density`` at every cell of the raster, 0 where no window holds a crossed cell."""
+    mask = raster.rasterise(segments(spark, sf_dir), "family").select("r", "c").distinct().withColumn("v", F.lit(1.0))
+    cells = spark.range(400 * 400).select(F.floor(C("id") / 400).alias("r"), (C("id") % 400).alias("c"))
+    got = cells.join(raster.box_sum_sparse(mask, 5, 5), ["r", "c"], "left")
+    return got.select("r", "c", F.round(F.coalesce("value", F.lit(0.0)) / 121.0 * 1000 / 30, 6).alias("density"))
