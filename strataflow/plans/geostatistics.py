@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strataflow.adapters import relation
 from strataflow.functions.geometry import block
 from strataflow.operators import metrics, spatial, variogram
-from strataflow.plans.registry import query
+from strataflow.plans.registry import ORACLES, query
 
 RADII = (250, 500, 1000, 2000)
 
@@ -73,10 +73,10 @@ LAGS4 = variogram.LAGS[:5]
 
 
 @query("variogram", "wells", PAIRS.format(src="wells") + " select lag, count(*) as pairs, round(avg(g), 6) as gamma from bins group by lag")
-def variogram_query(spark, sf_dir):
+def variogram_query(spark, sf_dir, lags=LAGS4):
     """Empirical semivariogram of z up to 2 km."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
-    return variogram.variogram(variogram.pair_bins(w, "z", LAGS4)).withColumn("gamma", F.round("gamma", 6))
+    return variogram.variogram(variogram.pair_bins(w, "z", lags)).withColumn("gamma", F.round("gamma", 6))
 
 
 TREND = """, m as (select avg(x) as mx, avg(y) as my, avg(z) as mz from wells),
@@ -86,11 +86,11 @@ res as (select code, x, y, z - (mz + bx * (x - mx) + by_ * (y - my)) as z from w
 
 
 @query("variogram_detrended", "wells", TREND + PAIRS.format(src="res") + ", v as (select var_pop(z) as sill from res) select lag, count(*) as pairs, round(avg(g), 6) as gamma, round(avg(g) / max(sill), 6) as of_sill from bins, v group by lag")
-def variogram_detrended(spark, sf_dir):
+def variogram_detrended(spark, sf_dir, lags=LAGS4):
     """Semivariogram of the residuals from a plane, and its share of their variance."""
     w = variogram.detrend(relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), "z")
     sill = F.broadcast(w.agg(F.var_pop("z").alias("sill")))
-    v = variogram.variogram(variogram.pair_bins(w, "z", LAGS4)).crossJoin(sill)
+    v = variogram.variogram(variogram.pair_bins(w, "z", lags)).crossJoin(sill)
     return v.select("lag", "pairs", F.round("gamma", 6).alias("gamma"), F.round(F.col("gamma") / F.col("sill"), 6).alias("of_sill"))
 
 
@@ -106,28 +106,28 @@ AZ = "(degrees(atan2(bx - ax, by_ - ay)) + 360) % 180"
 
 
 @query("variogram_directional", "wells", PAIRS.format(src="wells") + f", dirs as (select *, {DIRECTION} as direction from (select *, {AZ} as azim from bins)), v as (select var_pop(z) as sill from wells) select direction, lag, count(*) as pairs, round(avg(g), 6) as gamma, round(100 * avg(g) / max(sill), 4) as pct_sill from dirs, v group by direction, lag")
-def variogram_directional(spark, sf_dir):
+def variogram_directional(spark, sf_dir, lags=LAGS4):
     """Semivariogram by four directions, as a percentage of the global variance."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
     sill = F.broadcast(w.agg(F.var_pop("z").alias("sill")))
-    v = variogram.variogram(variogram.pair_bins(w, "z", LAGS4, directional=True), ("direction",)).crossJoin(sill)
+    v = variogram.variogram(variogram.pair_bins(w, "z", lags, directional=True), ("direction",)).crossJoin(sill)
     return v.select("direction", "lag", "pairs", F.round("gamma", 6).alias("gamma"), F.round(100 * F.col("gamma") / F.col("sill"), 4).alias("pct_sill"))
 
 
 @query("nugget_fraction", "wells", PAIRS.format(src="wells") + ", v as (select lag, count(*) as pairs, avg(g) as gamma from bins group by lag having count(*) >= 30), f as (select * from v order by lag limit 1) select lag, pairs, round(least(1, gamma / sill), 6) as nugget, round(1 - least(1, gamma / sill), 6) as r2_max from f, (select var_pop(z) as sill from wells)")
-def nugget_fraction(spark, sf_dir):
+def nugget_fraction(spark, sf_dir, lags=LAGS4):
     """Nugget as a share of the variance at the first lag with 30 pairs, and the R2 it leaves."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
-    n = variogram.nugget(variogram.pair_bins(w, "z", LAGS4), w, "z")
+    n = variogram.nugget(variogram.pair_bins(w, "z", lags), w, "z")
     return n.withColumn("nugget", F.round("nugget", 6)).withColumn("r2_max", F.round("r2_max", 6))
 
 
 @query("first_valid_lag", "wells", PAIRS.format(src="wells") + ", v as (select lag, count(*) as pairs from bins group by lag), ok as (select min(lag) as first_lag from v where pairs >= 100) select first_lag, (select count(*) from v where lag < first_lag) as n_discarded from ok")
-def first_valid_lag(spark, sf_dir):
+def first_valid_lag(spark, sf_dir, lags=LAGS4):
     """The shortest lag with 100 pairs, and how many shorter ones were passed over."""
-    v = variogram.variogram(variogram.pair_bins(relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), "z", LAGS4)).select("lag", "pairs")
-    lags = v.agg(F.min(F.when(F.col("pairs") >= 100, F.col("lag"))).alias("first_lag"), F.collect_set("lag").alias("lags"))
-    return lags.select("first_lag", F.size(F.filter("lags", lambda x: x < F.col("first_lag"))).cast("long").alias("n_discarded"))
+    v = variogram.variogram(variogram.pair_bins(relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), "z", lags)).select("lag", "pairs")
+    found = v.agg(F.min(F.when(F.col("pairs") >= 100, F.col("lag"))).alias("first_lag"), F.collect_set("lag").alias("lags"))
+    return found.select("first_lag", F.size(F.filter("lags", lambda x: x < F.col("first_lag"))).cast("long").alias("n_discarded"))
 
 
 @query("radius_pairs", "wells", """, pairs as (select a.code as a, b.code as b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d from wells a join wells b on a.code < b.code and abs(a.x - b.x) <= 500 and abs(a.y - b.y) <= 500)
@@ -186,3 +186,19 @@ def idw_grid(spark, sf_dir):
     cells = relation(spark, sf_dir, "grid").select((F.col("r") * 100000 + F.col("c")).alias("code"), ((F.col("c") + 0.5) * 1500).alias("x"), ((F.col("r") + 0.5) * 1500).alias("y"), F.lit(0.0).alias("z"))
     near = spatial.nearest(cells, relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), 12, 6000.0, carry=("z",))
     return spatial.inverse_distance(near, "b_z", 2.0).select(F.col("a").alias("cell"), F.round("value", 6).alias("value"))
+
+
+FAR_CASE = "case " + " ".join(f"when d > {a} and d <= {b} then {b}" for a, b in zip(variogram.LAGS, variogram.LAGS[1:], strict=False)) + " end"
+
+
+def _far(sql):
+    """An oracle of ``PAIRS`` with all lags."""
+    sql = sql.replace(LAG_CASE, FAR_CASE)
+    for bound in ("abs(a.x - b.x) <= ", "abs(a.y - b.y) <= ", "d > 0 and d <= "):
+        sql = sql.replace(f"{bound}{LAGS4[-1]}", f"{bound}{variogram.LAGS[-1]}")
+    return sql
+
+
+# the same five over all lags, up to 16 km
+for _name, _query in (("variogram", variogram_query), ("variogram_detrended", variogram_detrended), ("variogram_directional", variogram_directional), ("nugget_fraction", nugget_fraction), ("first_valid_lag", first_valid_lag)):
+    query(f"{_name}_16km", "", _far(ORACLES[_name]))(lambda spark, sf_dir, f=_query: f(spark, sf_dir, variogram.LAGS))

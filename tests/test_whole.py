@@ -1,5 +1,9 @@
 """Queries that cover what a cheaper one of the same name leaves out."""
 
+from pyspark.sql import functions as F
+
+from strataflow.adapters import relation
+from strataflow.operators.variogram import LAGS
 from strataflow.plans.registry import QUERIES
 
 
@@ -7,3 +11,20 @@ def test_density_covers_the_raster(spark, sf_dir):
     got = QUERIES["lineament_density_raster"](spark, sf_dir)
     assert got.select("r", "c").distinct().count() == got.count() == 400 * 400
     assert got.where("density > 0 and (r % 20 <> 0 or c % 20 <> 0)").count() > 0
+
+
+def test_variograms_reach_16_km(spark, sf_dir):
+    points = [(r.x, r.y) for r in relation(spark, sf_dir, "wells").select("x", "y").collect()]
+    want = dict.fromkeys(LAGS[1:], 0)
+    for i, (x, y) in enumerate(points):
+        for u, v in points[:i]:
+            d = ((x - u) ** 2 + (y - v) ** 2) ** 0.5
+            lag = next((b for a, b in zip(LAGS, LAGS[1:], strict=False) if a < d <= b), None)
+            if lag:
+                want[lag] += 1
+    want = {k: n for k, n in want.items() if n}
+    assert max(want) == 16000
+    for name in ("variogram_16km", "variogram_detrended_16km"):
+        assert {r.lag: r.pairs for r in QUERIES[name](spark, sf_dir).collect()} == want
+    got = QUERIES["variogram_directional_16km"](spark, sf_dir).groupBy("lag").agg(F.sum("pairs").alias("n"))
+    assert {r.lag: r.n for r in got.collect()} == want
