@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from strataflow.adapters import relation
 from strataflow.operators.variogram import LAGS
 from strataflow.plans.registry import QUERIES
+from strataflow.sources import lines
 
 
 def test_density_covers_the_raster(spark, sf_dir):
@@ -28,3 +29,14 @@ def test_variograms_reach_16_km(spark, sf_dir):
         assert {r.lag: r.pairs for r in QUERIES[name](spark, sf_dir).collect()} == want
     got = QUERIES["variogram_directional_16km"](spark, sf_dir).groupBy("lag").agg(F.sum("pairs").alias("n"))
     assert {r.lag: r.n for r in got.collect()} == want
+
+
+def test_lines_take_all_vertices(spark, sf_dir):
+    w = relation(spark, sf_dir, "wells").withColumn("line", F.concat_ws("/", "domain", (F.col("code") % 7).cast("string")))
+    by = {}
+    for r in w.select("line", "code").collect():
+        by.setdefault(r.line, []).append(r.code)
+    everywhere = lines.segments_between(w, -1e6, 1e6, 100.0, 10**6, 10**6, span=16)
+    assert sorted((r.line, r.i) for r in everywhere.collect()) == sorted((k, i) for k, c in by.items() for i in range(len(c) - 1))
+    args = (10000.0, 60000.0, 100.0, 400, 400)
+    assert sorted(map(tuple, lines.segments_between(w, *args, span=16).collect())) == sorted(map(tuple, QUERIES["line_segments_whole"](spark, sf_dir).collect()))
