@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,8 +19,7 @@ from strataflow.session import scratch_path
 END_ID = 2
 #: Ids of a shard at least; a shard ends with the first document that reaches it.
 SHARD_IDS = 1 << 20
-#: Rounds of replacement; in each, all pairs found at least MIN_COUNT times get a nonterminal.
-ROUNDS = 4
+#: In each round all pairs found at least so often get a nonterminal, until there are none.
 MIN_COUNT = 8
 #: Nonterminals of a grammar at most, so that symbols and rule tables stay small.
 MAX_RULES = 1 << 16
@@ -30,12 +30,13 @@ HEAD = struct.Struct("<4sIIIIQ")
 SHARD_SCHEMA = "part int, shard int, first_id long, n_docs long, n_ids long, doc_ids array<long>, n_symbols long, body binary"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, their ends for each document, rules as pairs, and the first nonterminal.
 
     Each round counts all neighbouring pairs within documents, gives the frequent ones (the
     most frequent first) a nonterminal each, and replaces them from left to right without
-    overlap; pairs of nonterminals pair up in later rounds. A rule that ends up unused is
+    overlap; pairs of nonterminals pair up in later rounds, which go on until no pair is
+    frequent or no rule is left (or for ``rounds``). A rule that ends up unused is
     harmless. ``ends`` are the n running totals of ids.
     """
     first = int(ids.max()) + 1 if len(ids) else 0
@@ -44,7 +45,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, min_count:
     last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
     owner_ends = ends.copy()
     rules = np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2 or len(rules) >= max_rules:
             break
         span = first + len(rules)
