@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import brute_components, brute_fingerprint, brute_secrets
+from test_llm_operators import brute_components, brute_fingerprint, brute_secrets
 
 import corpus_pipeline
 from strataflow.llm import packing, quality
