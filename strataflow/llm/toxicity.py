@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +16,16 @@ from strataflow.session import cut
 
 #: Labelled rows that the classifier is fitted on, at most; the first by a hash of doc_id.
 TRAIN_ROWS = 20_000
-#: Words of the model at most, and the evidence that a word needs: documents, and standard errors of its log odds.
-VOCABULARY = 512
-MIN_DOCS, MIN_Z = 5, 4.0
-#: Weight of the penalty on score changes under swapped identity terms, and of the ridge.
-COUNTERFACTUAL, RIDGE = 10.0, 0.02
+#: Evidence that a word or word beginning needs to be a feature: documents, and standard errors of its log odds.
+MIN_DOCS, MIN_Z = 5, 3.0
+#: A word is taken for an identity term if it occurs in so many documents of either label and leans to the toxic ones.
+TERM_DOCS, TERM_Z = 5, 1.0
+#: Weights of the mean squared score change under swaps, and of the ridge, beside the mean loss of a row.
+COUNTERFACTUAL, RIDGE = 1.0, 0.0003
+#: Letters of word beginnings; a beginning is written with TAIL behind it.
+BEGINNINGS, TAIL = (3, 4, 5, 6, 7), "~"
+#: Folds whose scores by models of the other folds place the cut.
+FOLDS = 3
 CUT = 0.7
 #: Signs that may stand around a word.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -39,120 +44,323 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def swaps(terms: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
-    """For each identity term, the other terms of its kind."""
-    groups = IDENTITY_TERMS if terms is None else terms
-    return {t: [o for o in group if o != t] for group in groups.values() for t in group}
+def features_of(word: str) -> list[str]:
+    """The features of a bare word: itself and its beginnings."""
+    return [word, *[word[:k] + TAIL for k in BEGINNINGS if len(word) > k]]
 
 
-def bare_words(text: Column) -> Column:
-    """The distinct words of a text in lower case, without signs around them."""
-    pieces = F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+")
-    return F.array_distinct(F.filter(F.transform(pieces, lambda w: F.btrim(w, F.lit(SIGNS))), lambda w: w != ""))
+def bare_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and code of each word, and the distinct words in lower case without signs around them; codes may share a word."""
+    rows, codes, distinct = words_of(texts)
+    return rows, codes, pc.utf8_trim(pc.utf8_lower(distinct), SIGNS)
+
+
+def feature_counts(texts: pa.Array, known: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Row, feature and count of each text's features in order, the features' names, and each text's number of words.
+
+    With ``known`` only its features count, and a feature is its place there.
+    """
+    rows, codes, bare = bare_words(texts)
+    size = pc.utf8_length(bare)
+    forms = [pc.if_else(pc.greater(size, 0), bare, None)]
+    forms += [pc.if_else(pc.greater(size, k), pc.binary_join_element_wise(pc.utf8_slice_codeunits(bare, 0, k), TAIL, ""), None) for k in BEGINNINGS]
+    coded = pa.concat_arrays([f.cast(pa.string()) for f in forms]).dictionary_encode()
+    names = coded.dictionary
+    place = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    n_words = np.bincount(rows[place[: len(bare)][codes] >= 0] if len(codes) else [], minlength=len(texts))
+    if known is not None:
+        where = pc.fill_null(pc.index_in(names, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = np.where(place >= 0, where[place], -1) if len(where) else place
+        names = known
+    found = []
+    for own in place.reshape(len(forms), -1):
+        f = own[codes] if len(codes) else np.zeros(0, np.int64)
+        found.append((rows.astype(np.int64) * max(len(names), 1) + f)[f >= 0])
+    key, count = np.unique(np.concatenate(found), return_counts=True)
+    return key // max(len(names), 1), key % max(len(names), 1), count, names, n_words
 
 
 @dataclass(frozen=True)
 class Model:
-    """Bias and word weights of the log odds; a document's words count once each."""
+    """Log odds from features' log counts, the logarithm of the words and a bias; ``kinds`` and ``n_swaps`` tell what was swapped."""
 
     bias: float
-    weights: dict[str, float]
+    length: float = 0.0
+    weights: dict[str, float] = field(default_factory=dict)
+    kinds: tuple[tuple[str, ...], ...] = ()
+    n_swaps: int = 0
+
+
+@dataclass(frozen=True)
+class Rows:
+    """Sparse training rows: entries (row, feature, count), the words of each row, and labels from 0 to 1."""
+
+    row: np.ndarray
+    feature: np.ndarray
+    count: np.ndarray
+    n_words: np.ndarray
+    y: np.ndarray
+
+    def take(self, which: np.ndarray) -> Rows:
+        keep = which[self.row]
+        return Rows((np.cumsum(which) - 1)[self.row[keep]], self.feature[keep], self.count[keep], self.n_words[which], self.y[which])
+
+
+def swaps(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sparse changes (swap, feature, change of the log count) and the number of swaps.
+
+    In a row that has a term, all of the term's occurrences become the next term of its kind,
+    and after the last one the first. Beginnings move with their words.
+    """
+    index = {f: i for i, f in enumerate(features)}
+    partner = {t: kind[(k + 1) % len(kind)] for kind in kinds for k, t in enumerate(kind) if len(kind) > 1}
+    order = np.lexsort((rows.feature, rows.row))
+    row, feature, count = rows.row[order], rows.feature[order], rows.count[order]
+    span = max(len(features), 1)
+    key = row * span + feature
 
+    def own(r: np.ndarray, f: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(key, r * span + f), max(len(key) - 1, 0))
+        return np.where(key[at] == r * span + f, count[at], 0)
 
-def fit_rows(rows: list[list[int]], y: np.ndarray, words: list[str], terms: dict[str, list[str]] | None = None, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE) -> Model:
-    """Newton steps on the logistic loss of word presence, plus the counterfactual penalty.
+    by_feature = np.argsort(feature, kind="stable")
+    starts = np.searchsorted(feature[by_feature], np.arange(len(features) + 1))
+    out, n = [], 0
+    for term, other in partner.items():
+        if term not in index or term == other:
+            continue
+        hit = by_feature[starts[index[term]] : starts[index[term] + 1]]
+        r, times = row[hit], count[hit]
+        here = {index[f] for f in features_of(term) if f in index}
+        there = {index[f] for f in features_of(other) if f in index}
+        for f in sorted(here ^ there):
+            before = own(r, f)
+            out.append((np.arange(n, n + len(r)), np.full(len(r), f), np.log1p(before + (times if f in there else -times)) - np.log1p(before)))
+        n += len(r)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), n
+    return *(np.concatenate(x) for x in zip(*out, strict=True)), n
 
-    For a row with identity terms each is swapped for another of its kind, and the squared
-    change of the log odds is penalised: terms that come with toxic rows only by habit end
-    up with nearly equal weights, which the ridge draws to zero. Rows hold word indices.
+
+def objective(w: np.ndarray, rows: Rows, d: int, changes: tuple, counterfactual: float, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The penalised mean loss of weights (features, length, bias), its gradient, and each row's curvature."""
+    n = max(len(rows.y), 1)
+    value, length = np.log1p(rows.count), np.log1p(rows.n_words)
+    odds = np.bincount(rows.row, value * w[rows.feature], minlength=len(rows.y))[: len(rows.y)] + w[d] * length + w[d + 1]
+    p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    loss = (np.logaddexp(0, odds) - rows.y * odds).sum() / n
+    slope = _back((p - rows.y) / n, rows, value, length, d)
+    pull = np.r_[np.full(d + 1, ridge), 0.0]
+    s, f, x, k = changes
+    moved = np.bincount(s, x * w[f], minlength=k) if k else np.zeros(0)
+    loss += 0.5 * (pull * w * w).sum() + 0.5 * counterfactual * (moved**2).sum() / max(k, 1)
+    slope = slope + pull * w
+    if k:
+        slope[:d] += counterfactual / k * np.bincount(f, x * moved[s], minlength=d)[:d]
+    return float(loss), slope, p * (1 - p)
+
+
+def _back(u: np.ndarray, rows: Rows, value: np.ndarray, length: np.ndarray, d: int) -> np.ndarray:
+    return np.r_[np.bincount(rows.feature, value * u[rows.row], minlength=d)[:d], (u * length).sum(), u.sum()]
+
+
+def fit_rows(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...] = (), counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE) -> Model:
+    """Newton steps by conjugate gradients on the mean logistic loss with the counterfactual penalty.
+
+    Each swap's squared change of the log odds is penalised by its mean over swaps, so that
+    terms that come with toxic rows only by habit end up with nearly equal weights, whatever
+    the number of rows. Rows are sparse; no matrix of features by features is built.
     """
-    d = len(words)
-    index = {w: i for i, w in enumerate(words)}
-    other = {index[t]: [index[o] for o in group if o in index] for t, group in swaps(terms).items() if t in index}
-    bias_rate = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
-    w = np.zeros(d + 1)
-    w[d] = np.log(bias_rate / (1 - bias_rate))
-    if not len(y) or not d:
-        return Model(float(w[d]), {})
-    penalty = np.diag(np.r_[np.full(d, ridge), 0.0])
-    n_swaps = 0
-    change = np.zeros((d + 1, d + 1))
-    for r in rows:
-        for i in r:
-            # a swap against a term that the model hasn't is the term's own removal
-            for j in (other.get(i) or [None]) if i in other else ():
-                n_swaps += 1
-                change[i, i] += 1
-                if j is not None:
-                    change[j, j] += 1
-                    change[i, j] -= 1
-                    change[j, i] -= 1
-    penalty += counterfactual * change / max(n_swaps, 1)
-    x = np.zeros((len(rows), d + 1), np.float32)
-    x[:, d] = 1
-    for k, r in enumerate(rows):
-        x[k, r] = 1
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30).astype(float)))
-        bend = (p * (1 - p) + 1e-6).astype(np.float32)
-        slope = x.T @ (p - y).astype(np.float32) + penalty @ w
-        h = np.zeros((d + 1, d + 1))
-        for a in range(0, len(rows), 4096):
-            part = x[a : a + 4096]
-            h += part.T @ (part * bend[a : a + 4096, None])
-        step = np.linalg.solve(h + penalty + 1e-9 * np.eye(d + 1), slope)
-        w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-5:
+    d, n = len(features), len(rows.y)
+    rate = float(np.clip(rows.y.mean() if n else 0.0, 1e-3, 1 - 1e-3))
+    w = np.zeros(d + 2)
+    w[d + 1] = np.log(rate / (1 - rate))
+    if not n or not d or rows.y.min() == rows.y.max():
+        return Model(float(w[d + 1]), kinds=kinds)
+    changes = swaps(rows, features, kinds)
+    s, f, x, k = changes
+    value, length = np.log1p(rows.count), np.log1p(rows.n_words)
+    pull = np.r_[np.full(d + 1, ridge), 1e-9]
+    loss, slope, bend = objective(w, rows, d, changes, counterfactual, ridge)
+    for _ in range(60):
+        u = (bend + 1e-9) / n
+
+        def times(v: np.ndarray, u: np.ndarray = u) -> np.ndarray:
+            odds = np.bincount(rows.row, value * v[rows.feature], minlength=n)[:n] + v[d] * length + v[d + 1]
+            out = _back(u * odds, rows, value, length, d) + pull * v
+            if k:
+                out[:d] += counterfactual / k * np.bincount(f, x * np.bincount(s, x * v[f], minlength=k)[s], minlength=d)[:d]
+            return out
+
+        scale = np.r_[np.bincount(rows.feature, value**2 * u[rows.row], minlength=d)[:d], (u * length**2).sum(), u.sum()] + pull
+        if k:
+            scale[:d] += counterfactual / k * np.bincount(f, x * x, minlength=d)[:d]
+        step = _conjugate(times, slope, scale)
+        size = 1.0
+        while True:  # halve until the loss falls
+            new = objective(w - size * step, rows, d, changes, counterfactual, ridge)
+            if new[0] <= loss - 1e-4 * size * slope @ step or size < 1e-6:
+                break
+            size /= 2
+        w = w - size * step
+        done = loss - new[0] < 1e-10
+        loss, slope, bend = new
+        if done:
+            break
+    return Model(float(w[d + 1]), float(w[d]), dict(zip(features, w[:d].tolist(), strict=True)), kinds, k)
+
+
+def _conjugate(times, b: np.ndarray, scale: np.ndarray, rounds: int = 200, near: float = 1e-6) -> np.ndarray:
+    """The solution of ``times``(x) = b, preconditioned by the diagonal ``scale``."""
+    x, r = np.zeros_like(b), b.copy()
+    z = r / scale
+    p, rz = z.copy(), r @ z
+    first = np.sqrt(b @ b)
+    for _ in range(rounds):
+        if np.sqrt(r @ r) <= near * first or rz == 0:
             break
-    return Model(float(w[d]), {t: float(w[i]) for i, t in enumerate(words)})
+        q = times(p)
+        a = rz / (p @ q)
+        x += a * p
+        r -= a * q
+        z = r / scale
+        rz, before = r @ z, rz
+        p = z + rz / before * p
+    return x
+
+
+def odds_of(rows: Rows, features: list[str], model: Model) -> np.ndarray:
+    w = np.array([model.weights.get(f, 0.0) for f in features])
+    return np.bincount(rows.row, np.log1p(rows.count) * w[rows.feature], minlength=len(rows.y))[: len(rows.y)] + model.length * np.log1p(rows.n_words) + model.bias
+
+
+def place_cut(odds: np.ndarray, y: np.ndarray) -> float:
+    """The log odds that part labels with the fewest errors, in the middle of their gap."""
+    order = np.argsort(odds, kind="stable")
+    s, label = odds[order], y[order] >= 0.5
+    errors = np.r_[(~label).sum(), (~label).sum() + np.cumsum(np.where(label, 1, -1))]
+    k = int(np.argmin(errors))
+    if not 0 < k < len(s):
+        return 0.0
+    return float((s[k - 1] + s[k]) / 2)
+
+
+def fit(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...] = ()) -> Model:
+    """The model of all rows, shifted so that CUT lies where scores from models of the other folds part the labels best."""
+    model = fit_rows(rows, features, kinds)
+    if not model.weights:
+        return model
+    fold, odds = np.arange(len(rows.y)) % FOLDS, np.zeros(len(rows.y))
+    for k in range(FOLDS):
+        own = fold == k
+        odds[own] = odds_of(rows.take(own), features, fit_rows(rows.take(~own), features, kinds))
+    shift = np.log(CUT / (1 - CUT)) - place_cut(odds, rows.y)
+    return Model(model.bias + float(shift), model.length, model.weights, model.kinds, model.n_swaps)
+
+
+def _feature_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            row, feature, _, names, _ = feature_counts(part.column("text"))
+            y = part.column("toxic").to_numpy(zero_copy_only=False)
+            one = np.bincount(feature, y[row], minlength=len(names)) if len(row) else np.zeros(len(names))
+            all_ = np.bincount(feature, minlength=len(names)) if len(row) else np.zeros(len(names))
+            yield pa.RecordBatch.from_arrays([names, pa.array(one), pa.array(all_ - one)], names=["feature", "docs_1", "docs_0"])
+
+
+def _frames(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
+    known = pa.array(terms, pa.string())
+    for batch in batches:
+        for part in slices(batch):
+            rows, codes, bare = bare_words(part.column("text"))
+            place = pc.fill_null(pc.index_in(bare, known), -1).to_numpy(zero_copy_only=False)
+            own = place[codes] if len(codes) else codes
+            mid = np.flatnonzero(own[1:-1] >= 0) + 1 if len(codes) > 2 else np.zeros(0, np.int64)
+            blank = pc.equal(bare, "").to_numpy(zero_copy_only=False)[codes] if len(codes) else np.zeros(0, bool)
+            mid = mid[(rows[mid - 1] == rows[mid]) & (rows[mid + 1] == rows[mid]) & ~blank[mid - 1] & ~blank[mid + 1]]
+            sides = [bare.take(pa.array(codes[mid + k])) for k in (-1, 1)]
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*sides, " "), pa.array(own[mid].astype(np.int32)), pa.array(rows[mid].astype(np.int64))], names=["frame", "term", "row"])
+
+
+def _sparse_rows(batches: Iterator[pa.RecordBatch], features: list[str]) -> Iterator[pa.RecordBatch]:
+    known = pa.array(features, pa.string())
+    for batch in batches:
+        for part in slices(batch):
+            row, feature, count, _, n_words = feature_counts(part.column("text"), known)
+            ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (feature, count)]
+            yield pa.RecordBatch.from_arrays([part.column("h"), part.column("toxic"), pa.array(n_words.astype(np.int64)), *lists], names=["h", "toxic", "n_words", "features", "counts"])
+
+
+def find_kinds(rows: DataFrame, counted: DataFrame, least: int = 2) -> tuple[tuple[str, ...], ...]:
+    """Identity terms found in labelled rows, by kind.
+
+    Candidates are words that documents of both labels use and that lean to the toxic ones,
+    as names of groups do that people are insulted for. Candidates that stand in one frame
+    (between the same two words) are of a kind; a term takes the frame in which it occurs
+    most often, ties go to the first by name. A kind has two terms or more.
+    """
+    lean = F.col("log_odds") / F.col("error")
+    found = counted.where(~F.col("feature").endswith(TAIL) & (F.col("docs_1") >= TERM_DOCS) & (F.col("docs_0") >= TERM_DOCS) & (lean >= TERM_Z))
+    terms = sorted(r[0] for r in found.select("feature").collect())
+    if not terms:
+        return ()
+    frames = rows.select("text").mapInArrow(lambda it: _frames(it, terms), "frame string, term int, row long").groupBy("frame", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    shared = frames.withColumn("terms", F.expr("count(*) over (partition by frame)")).where("terms > 1")
+    best = shared.withColumn("k", F.expr("row_number() over (partition by term order by n desc, frame)")).where("k = 1")
+    groups: dict[str, list[str]] = {}
+    for r in best.select("frame", "term").collect():
+        groups.setdefault(r["frame"], []).append(terms[r["term"]])
+    return tuple(tuple(sorted(g)) for _, g in sorted(groups.items()) if len(g) > 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms: dict[str, list[str]] | None = None) -> Model:
     """Fit on the distinct texts of at most ``train_rows`` labelled documents whose id isn't held out.
 
-    The chosen labels (a bounded number) are broadcast; word counts by label are taken on the
-    cluster. The driver gets the significant words and, of each chosen row, which of these it has.
+    Copies have one voice: their label is the mean of their labels. The chosen labels (a
+    bounded number) are broadcast; features are counted and identity terms found on the
+    cluster. The driver gets the names of the features that tell the labels apart and, of
+    each chosen row, which of these it has how often. ``terms`` are lists of identity terms
+    by kind, besides those found. Without labels of both kinds all scores are equal.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", bare_words(F.col("text")).alias("words"))
-    # copies have one voice
-    rows = cut(labelled.groupBy(F.xxhash64("words").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("words").alias("words")))
-    total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    identity = sorted(swaps(terms))
+    chosen = usable.groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    labelled = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    rows = cut(labelled.groupBy(F.xxhash64("text").alias("h")).agg(F.avg("toxic").alias("toxic"), F.first("text").alias("text")).orderBy("h").limit(train_rows))
+    total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
     a, b = F.col("docs_1"), F.col("docs_0")
     n1, n0 = float(positive), float(total - positive)
-    log_odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
-    error = F.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-    counted = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("docs_1"), F.sum(1 - F.col("toxic")).alias("docs_0"))
-    counted = counted.withColumn("z", F.abs(log_odds / error)).where(F.col("word").isin(identity) | ((a + b >= MIN_DOCS) & (F.col("z") >= MIN_Z)))
-    words = [r[0] for r in counted.orderBy(F.desc("z"), "word").limit(VOCABULARY).select("word").collect()]
-    index = {w: i for i, w in enumerate(words)}
-    # each text once, with the model's words that it has
-    vocabulary = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    got = rows.select("h", "toxic", F.array_intersect("words", vocabulary).alias("words")).orderBy("h").limit(train_rows).collect()
-    return fit_rows([[index[w] for w in r["words"]] for r in got], np.array([r["toxic"] for r in got], dtype=float), words, terms)
-
-
-def _score(batches: Iterator[pa.RecordBatch], words: list[str], weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
-    known = pa.array(words, pa.string())
+    counted = rows.select("toxic", "text").mapInArrow(_feature_docs, "feature string, docs_1 double, docs_0 double").groupBy("feature").agg(F.sum("docs_1").alias("docs_1"), F.sum("docs_0").alias("docs_0"))
+    counted = counted.withColumn("log_odds", F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5)))
+    counted = cut(counted.withColumn("error", F.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))).where(a + b >= MIN_DOCS))
+    named = IDENTITY_TERMS if terms is None else terms
+    kinds = (*(tuple(g) for _, g in sorted(named.items())), *find_kinds(rows, counted))
+    wanted = sorted({t for kind in kinds for t in kind})
+    telling = counted.where((F.abs(F.col("log_odds") / F.col("error")) >= MIN_Z) | F.col("feature").isin(wanted))
+    features = sorted(r[0] for r in telling.select("feature").collect())
+    got = rows.mapInArrow(lambda it: _sparse_rows(it, features), "h long, toxic double, n_words long, features array<int>, counts array<int>").orderBy("h").collect()
+    sizes = np.array([len(r["features"]) for r in got], dtype=np.int64)
+    join = lambda name: np.array([v for r in got for v in r[name]], dtype=np.int64)
+    sparse = Rows(np.repeat(np.arange(len(got)), sizes), join("features"), join("counts"), np.array([r["n_words"] for r in got], dtype=float), np.array([r["toxic"] for r in got], dtype=float))
+    return fit(sparse, features, kinds)
+
+
+def _score(batches: Iterator[pa.RecordBatch], features: list[str], weights: np.ndarray, length: float, bias: float) -> Iterator[pa.RecordBatch]:
+    known = pa.array(features, pa.string())
     for batch in batches:
         for part in slices(batch):
-            n = part.num_rows
-            rows, codes, distinct = words_of(part.column("text"))
-            bare = pc.utf8_trim(pc.utf8_lower(distinct), SIGNS)
-            place = pc.fill_null(pc.index_in(bare, known), -1).to_numpy(zero_copy_only=False)
-            own = place[codes] if len(codes) else codes
-            hit = own >= 0
-            once = np.unique(rows[hit].astype(np.int64) * max(len(words), 1) + own[hit])
-            odds = bias + np.bincount(once // max(len(words), 1), weights=weights[once % max(len(words), 1)] if len(once) else None, minlength=n)[:n]
+            row, feature, count, _, n_words = feature_counts(part.column("text"), known)
+            own = np.bincount(row, np.log1p(count) * weights[feature], minlength=part.num_rows) if len(row) else np.zeros(part.num_rows)
+            odds = own + length * np.log1p(n_words) + bias
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))))], names=["doc_id", "score"])
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; a null or blank text gets the bias alone, repeated rows stay."""
-    words = sorted(model.weights)
-    weights, bias = np.array([model.weights[w] for w in words], dtype=float), model.bias
+    features = sorted(model.weights)
+    weights = np.array([model.weights[w] for w in features], dtype=float)
+    length, bias = model.length, model.bias
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = src.mapInArrow(lambda it: _score(it, words, weights, bias), "doc_id long, score double")
+    scored = src.mapInArrow(lambda it: _score(it, features, weights, length, bias), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

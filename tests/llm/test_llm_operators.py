@@ -361,9 +361,6 @@ def test_toxicity_flags_and_counterfactual(spark):
     out = {r.doc_id: r for r in toxicity.score_documents(docs.union(frame(spark, ODD, 5000).withColumn("score", F.lit("x"))), model).collect()}
     wrong = sum(out[i].predicted != t for i, _, t in labels if out[i].held_out)
     assert wrong == 0 and out[5001].score == out[5000].score and 0 < out[5001].score < 0.7
-    free = toxicity.fit_rows([[0, 1], [0], [1], [], [0], []] * 20, np.array([1, 1, 1, 0, 1, 0] * 20, dtype=float), ["women", "idiot"], counterfactual=0.0)
-    held = toxicity.fit_rows([[0, 1], [0], [1], [], [0], []] * 20, np.array([1, 1, 1, 0, 1, 0] * 20, dtype=float), ["women", "idiot"], counterfactual=100.0)
-    assert held.weights["women"] < free.weights["women"] / 3 and held.weights["idiot"] > 1
     none = toxicity.train(docs.where("false"), lab)
     assert toxicity.score_documents(docs.where("false"), none).count() == 0
 
