@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.text import slices
@@ -18,10 +17,10 @@ from strataflow.session import scratch_path
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
-#: Segments of the ring, eight bits each. With at most four differing bits, four of them are equal.
-SEGMENTS = 8
 #: Fingerprints of one key that a task compares at once; larger keys go to block pairs.
 BLOCK = 4096
+#: Keys up to this size are compared together, pair by pair.
+SMALL = 64
 
 #: Parts into which a component's fingerprints are dealt where its smallest doc_id meets them.
 SALTS = 32
@@ -65,101 +64,157 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 # --- pairs ------------------------------------------------------------------------------
 
 
-def ring_chain(x: np.ndarray, y: np.ndarray, most: int = MAX_BITS, segments: int = SEGMENTS) -> np.ndarray:
-    """Whether some chain around the ring keeps within its proportional budgets.
+def bounds(most: int) -> list[int]:
+    """Ends of the ring's segments: one segment more than differing bits, so that a chain's budget of l segments is l - 1 bits."""
+    return [round(64 * k / (most + 1)) for k in range(most + 2)]
 
-    With differences d(0..m-1) around the ring and a total of at most ``most``, some start s
-    has d(s) + ... + d(s+l-1) <= l * most / m for every length l. All true pairs have such a
-    chain, so that a pair without one is dropped before its Hamming distance is taken.
+
+def segments_of(diff: np.ndarray, ends: list[int]) -> list[np.ndarray]:
+    """Differing bits in each segment."""
+    return [np.bitwise_count((diff >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int16) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def chain_from(x: np.ndarray, y: np.ndarray, start: int | np.ndarray, most: int = MAX_BITS) -> np.ndarray:
+    """Whether the chain that begins at segment ``start`` of the ring keeps within its proportional budgets.
+
+    With m segments that differ in d(0..m-1) bits and a total of at most ``most``, some start
+    s has d(s) + ... + d(s+l-1) <= l * most / m for every length l. With most + 1 segments
+    these budgets are 0, 1, 2, ... bits.
     """
-    bits = 64 // segments
-    diff = x ^ y
-    d = [np.bitwise_count((diff >> np.uint64(bits * i)) & np.uint64((1 << bits) - 1)).astype(np.int16) for i in range(segments)]
-    found = np.zeros(diff.shape, bool)
-    for s in range(segments):
-        total = d[s].copy()
-        good = total * segments <= most
-        for k in range(1, segments - 1):
-            total += d[(s + k) % segments]
-            good &= total * segments <= (k + 1) * most
+    ends = bounds(most)
+    d, m = np.stack(segments_of(x ^ y, ends)), most + 1
+    total, good = np.zeros(x.shape, np.int16), np.ones(x.shape, bool)
+    for k in range(m - 1):
+        at = (start + k) % m
+        total += d[at] if np.isscalar(at) else np.take_along_axis(d, np.broadcast_to(at, x.shape)[None], 0)[0]
+        good &= total <= k
+    return good
+
+
+def ring_chain(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Whether any start of a ring of eight segments has a chain within its budgets; all pairs at most ``most`` bits apart have."""
+    d = segments_of(x ^ y, list(range(0, 65, 8)))
+    found = np.zeros(x.shape, bool)
+    for s in range(8):
+        total, good = np.zeros(x.shape, np.int16), np.ones(x.shape, bool)
+        for k in range(7):
+            total = total + d[(s + k) % 8]
+            good &= total * 8 <= (k + 1) * most
         found |= good
     return found
 
 
-def links(prints: np.ndarray, most: int = MAX_BITS, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among ``prints`` (and ``others``), as positions in their row.
+def chain_masks(most: int = MAX_BITS) -> list[int]:
+    """The masks of a fingerprint's index keys, two for each start of the ring.
 
-    Of the pairs at most ``most`` bits apart it returns those that join two trees, so that
-    the connected groups are those of all links and no group is spelt out in pairs. With
-    ``others`` only the pairs between the two sides are looked at.
+    A viable chain has no differing bit in its first segment and at most one in the second,
+    so that one half of the second is equal too: the key is the first segment and that half.
     """
-    both = prints if others is None else np.concatenate([prints, others])
-    parent = np.arange(len(both))
-    out_a, out_b = [], []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+    ends = bounds(most)
+    bits = lambda a, b: ((1 << b) - 1) ^ ((1 << a) - 1)
+    if most == 0:
+        return [(1 << 64) - 1]
+    out = []
+    for s in range(most + 1):
+        n = (s + 1) % (most + 1)
+        half = (ends[n] + ends[n + 1]) // 2
+        out += [bits(ends[s], ends[s + 1]) | bits(ends[n], half), bits(ends[s], ends[s + 1]) | bits(half, ends[n + 1])]
+    return out
+
+
+def near(x: np.ndarray, y: np.ndarray, start: int | np.ndarray, most: int) -> np.ndarray:
+    """Whether pairs are at most ``most`` bits apart, of those with a viable chain from ``start``."""
+    good = chain_from(x, y, start, most)
+    good[good] = np.bitwise_count(x[good] ^ y[good]) <= most
+    return good
+
+
+class Forest:
+    """Trees over positions; ``join`` tells whether a link joins two trees."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
+    def join(self, i: int, j: int) -> bool:
+        u, v = self.root(i), self.root(j)
+        self.parent[max(u, v)] = min(u, v)
+        return u != v
+
+
+def links(prints: np.ndarray, start: int, most: int = MAX_BITS, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among ``prints`` (and ``others``) with a chain from ``start``, as positions in their row.
+
+    Of the pairs it returns those that join two trees, so that the connected groups are those
+    of all links and no group is spelt out in pairs. With ``others`` only the pairs between
+    the two sides are looked at.
+    """
+    both = prints if others is None else np.concatenate([prints, others])
+    forest, out = Forest(len(both)), []
     step = max(1, (1 << 20) // max(1, len(both)))
     for a in range(0, len(prints), step):
         rows = np.arange(a, min(len(prints), a + step))
         cols = np.arange(a + 1, len(prints)) if others is None else np.arange(len(prints), len(both))
         if not len(cols):
             continue
-        x, y = both[rows][:, None], both[cols][None, :]
-        i, j = np.nonzero(ring_chain(x, y, most))
+        x, y = np.broadcast_arrays(both[rows][:, None], both[cols][None, :])
+        i, j = np.nonzero(near(x, y, start, most))
         i, j = rows[i], cols[j]
-        near = (np.bitwise_count(both[i] ^ both[j]) <= most) & (i < j)
-        for p, q in zip(i[near].tolist(), j[near].tolist(), strict=True):
-            u, v = root(p), root(q)
-            if u != v:
-                parent[max(u, v)] = min(u, v)
-                out_a.append(p)
-                out_b.append(q)
-    return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
+        out += [(p, q) for p, q in zip(i[i < j].tolist(), j[i < j].tolist(), strict=True) if forest.join(p, q)]
+    return np.array([p for p, _ in out], dtype=np.int64), np.array([q for _, q in out], dtype=np.int64)
 
 
-EDGE = "a long, b long, bucket long"
+EDGE = "a long, b long, bucket long, start int"
 
 
-def _edge_batch(a: np.ndarray, b: np.ndarray, bucket: np.ndarray | None = None) -> pa.RecordBatch:
-    third = pa.nulls(len(a), pa.int64()) if bucket is None else pa.array(bucket)
-    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), third], names=["a", "b", "bucket"])
+def _edge_batch(a: np.ndarray, b: np.ndarray, bucket: np.ndarray | None = None, start: np.ndarray | None = None) -> pa.RecordBatch:
+    rest = [pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())] if bucket is None else [pa.array(bucket), pa.array(start)]
+    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), *rest], names=["a", "b", "bucket", "start"])
 
 
 def _small_buckets(batches: Iterator[pa.RecordBatch], most: int, block: int) -> Iterator[pa.RecordBatch]:
     """Links in each bucket of a stream sorted by bucket; a bucket of over ``block`` passes through with its key."""
-    key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, fp, start = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     large = None  # the key of a bucket that is passing through
 
-    def done(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def done(key: np.ndarray, fp: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        pairs = starts[sizes == 2]
-        x, y = fp[pairs].view(np.uint64), fp[pairs + 1].view(np.uint64)
-        near = ring_chain(x, y, most)
-        near[near] = np.bitwise_count(x[near] ^ y[near]) <= most
-        left, right = [fp[pairs[near]]], [fp[pairs[near] + 1]]
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            own = fp[s : s + n]
-            i, j = links(own.view(np.uint64), most)
-            left.append(own[i])
-            right.append(own[j])
-        yield _edge_batch(np.concatenate(left), np.concatenate(right))
+        # pairs of small buckets by their distance in the stream, all buckets at once
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(key))  # rows of the bucket from here on
+        left[np.repeat(sizes > SMALL, sizes)] = 0
+        u = fp.view(np.uint64)
+        pairs = []
+        for shift in range(1, SMALL):
+            i = np.flatnonzero(left > shift)
+            if not len(i):
+                break
+            good = near(u[i], u[i + shift], start[i], most)
+            pairs.append(np.stack([i[good], i[good] + shift]))
+        found = np.concatenate(pairs, axis=1).T.tolist() if pairs else []
+        forest = Forest(len(key)) if found else None
+        found = [(i, j) for i, j in found if forest.join(i, j)]
+        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            i, j = links(u[s : s + n], int(start[s]), most)
+            found += list(zip((i + s).tolist(), (j + s).tolist(), strict=True))
+        both = np.array(found, dtype=np.int64).reshape(-1, 2)
+        yield _edge_batch(fp[both[:, 0]], fp[both[:, 1]])
 
     for batch in batches:
-        k, f = batch.column("bucket").to_numpy(), batch.column("fp").to_numpy()
+        k, f, s = (batch.column(c).to_numpy() for c in ("bucket", "fp", "start"))
         if large is not None:
             own = k == large
-            yield _edge_batch(f[own], f[own], k[own])
-            k, f = k[~own], f[~own]
+            yield _edge_batch(f[own], f[own], k[own], s[own])
+            k, f, s = k[~own], f[~own], s[~own]
             if not len(k):
                 continue
             large = None
-        key, fp = np.concatenate([key, k]), np.concatenate([fp, f])
+        key, fp, start = np.concatenate([key, k]), np.concatenate([fp, f]), np.concatenate([start, s])
         if not len(key):
             continue
         cut = int(np.searchsorted(key, key[-1]))
@@ -169,16 +224,16 @@ def _small_buckets(batches: Iterator[pa.RecordBatch], most: int, block: int) ->
         big = np.repeat(sizes > block, sizes)
         head = np.arange(len(key)) < cut
         if (big & head).any():
-            yield _edge_batch(fp[big & head], fp[big & head], key[big & head])
+            yield _edge_batch(fp[big & head], fp[big & head], key[big & head], start[big & head])
         if (head & ~big).any():
-            yield from done(key[head & ~big], fp[head & ~big])
-        key, fp = key[cut:], fp[cut:]
+            yield from done(key[head & ~big], fp[head & ~big], start[head & ~big])
+        key, fp, start = key[cut:], fp[cut:], start[cut:]
         if len(key) > block:
             large = int(key[-1])
-            yield _edge_batch(fp, fp, key)
-            key, fp = key[:0], fp[:0]
+            yield _edge_batch(fp, fp, key, start)
+            key, fp, start = key[:0], fp[:0], start[:0]
     if len(key):
-        yield from done(key, fp)
+        yield from done(key, fp, start)
 
 
 def _block_pair(table: pa.Table, most: int) -> pa.Table:
@@ -187,45 +242,61 @@ def _block_pair(table: pa.Table, most: int) -> pa.Table:
     side, fp = side[order], table.column("fp").to_numpy()[order]
     x, y = fp[side == 0], fp[side == 1]
     both = np.concatenate([x, y])
-    i, j = links(x.view(np.uint64), most, y.view(np.uint64) if len(y) else None)
+    i, j = links(x.view(np.uint64), table.column("start")[0].as_py(), most, y.view(np.uint64) if len(y) else None)
     return pa.Table.from_batches([_edge_batch(both[i], both[j])])
 
 
-def fingerprint_links(distinct: DataFrame, most: int = MAX_BITS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+def chain_keys(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
+    """(bucket, fp, start) of the distinct fingerprints ``fp``: two rows for each start of the ring, ten at four bits."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in chain_masks(most)]
+    choice = F.posexplode(F.array(*[F.lit(m) for m in signed]))
+    keyed = distinct.select("fp", choice.alias("k", "mask"))
+    # a 64-bit hash may put two keys together, which adds comparisons but no link
+    return keyed.select(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "k").alias("bucket"), "fp", F.floor(F.col("k") / 2).cast("int").alias("start"))
+
+
+def fingerprint_links(distinct: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fp`` that give the groups of all links.
 
-    Two fingerprints at most four bits apart agree in at least four of the eight segments of
-    the ring. Each goes under every choice of four segments (70 keys of 32 bits), so that a
-    key's rows stay few at any size of the input; rows of a key are compared in sorted
-    streams, by ring chain first and by Hamming distance after. Keys with more than ``block``
-    rows are dealt to pairs of blocks instead, with every pair of blocks compared.
+    The ring's chains are the index: each fingerprint is filed under the first segment of
+    every start, with one half of the next, and only fingerprints of one key are led along the
+    chain from that start; those that keep its budgets get the Hamming check. Keys are
+    compared in sorted streams; those with more than ``block`` rows are dealt to pairs of
+    blocks instead, with every pair of blocks compared.
     """
     spark = distinct.sparkSession
-    bits = 64 // segments
-    equal = segments - most
-    masks = []
-    for chosen in itertools.combinations(range(segments), equal):
-        mask = sum(((1 << bits) - 1) << (bits * i) for i in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    choice = F.posexplode(F.array(*[F.lit(m) for m in masks]))
-    keyed = distinct.select("fp", choice.alias("k", "mask")).select(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "k").alias("bucket"), "fp")
-    # a 64-bit hash may put two keys together, which adds comparisons but no link
-    stream = keyed.repartition("bucket").sortWithinPartitions("bucket")
+    stream = chain_keys(distinct, most).repartition("bucket").sortWithinPartitions("bucket")
     path = scratch_path(spark, "simhash-links")
     stream.mapInArrow(lambda it: _small_buckets(it, most, block), EDGE).write.parquet(path)
     got = spark.read.schema(EDGE).parquet(path)
     edges = got.where("bucket is null").select("a", "b").distinct()
-    large = got.where("bucket is not null").select("bucket", F.col("a").alias("fp"))
+    large = got.where("bucket is not null").select("bucket", F.col("a").alias("fp"), "start")
     if large.isEmpty():
         return edges
     blocks = large.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / block).cast("int").alias("n"))
     dealt = large.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("n")).cast("int"))
-    pairs = dealt.select("bucket", "fp", "own", F.explode(F.expr("sequence(0, n - 1)")).alias("other"))
-    pairs = pairs.select("bucket", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    pairs = dealt.select("bucket", "fp", "start", "own", F.explode(F.expr("sequence(0, n - 1)")).alias("other"))
+    pairs = pairs.select("bucket", "fp", "start", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
     more = pairs.groupBy("bucket", "i", "j").applyInArrow(lambda t: _block_pair(t, most), EDGE).select("a", "b")
     return edges.union(more).distinct()
 
 
+def name_groups(rows: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """``rows`` with ``group`` (the smallest node of its component) and ``component_id`` (the component's smallest doc_id).
+
+    ``rows`` has doc_id and ``node``; ``edges`` are links (a, b) between nodes. A component may
+    hold many nodes: its smallest doc_id is sent to SALTS parts among which they are dealt.
+    """
+    nodes = rows.groupBy(node).agg(F.min("doc_id").alias("first"))
+    linked = connected_components(edges).withColumnRenamed("node", "__node")
+    named = nodes.join(linked, nodes[node] == linked["__node"]).select(node, "first", "component", F.pmod(F.hash(node), F.lit(SALTS)).alias("salt"))
+    lowest = named.groupBy("component").agg(F.min("first").alias("component_id")).select("component", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # repeated parts look small once compressed, so that join isn't left to a broadcast
+    many = named.join(lowest.hint("merge"), ["component", "salt"]).select(node, F.col("component").alias("group"), "component_id")
+    single = nodes.join(linked, nodes[node] == linked["__node"], "left_anti").select(node, F.col(node).alias("group"), F.col("first").alias("component_id"))
+    return rows.join(many.unionByName(single), node)
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row.
 
@@ -237,31 +308,29 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MAX_BITS)
     path = scratch_path(spark, "simhash-prints")
     fingerprints(docs, width).write.parquet(path)
     prints = spark.read.schema("doc_id long, fp long").parquet(path)
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = connected_components(fingerprint_links(nodes.select("fp"), most))
-    # a component may hold many fingerprints: its smallest doc_id is sent to SALTS parts
-    named = nodes.join(groups, nodes.fp == groups.node).select("fp", "first", "component", F.pmod(F.hash("fp"), F.lit(SALTS)).alias("salt"))
-    lowest = named.groupBy("component").agg(F.min("first").alias("component_id")).select("component", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    # repeated parts look small once compressed, so that join isn't left to a broadcast
-    linked = named.join(lowest.hint("merge"), ["component", "salt"]).select("fp", "component_id")
-    single = nodes.join(groups, nodes.fp == groups.node, "left_anti").select("fp", F.col("first").alias("component_id"))
-    by_print = linked.unionByName(single)
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return name_groups(prints, fingerprint_links(prints.select("fp").distinct(), most), "fp").select("doc_id", "fp", "component_id")
+
+
+def text_key(text: Column) -> Column:
+    """The address of a row's text; a null text has its own."""
+    return F.xxhash64(text.cast("string"), text.isNull())
 
 
-def representatives(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of its smallest doc_id.
+def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group: that of its smallest doc_id, a null doc_id after all others.
 
-    ``found`` has doc_id and component_id of every row, by default those of ``near_duplicates``.
-    A row with a null doc_id stays only if its whole group has none, and then the group's
-    rows all stay, as none of them can be told from the others. Of rows that repeat one
-    doc_id, one stays.
+    ``found`` has doc_id, ``key`` (the ``text_key``) and ``group`` of every row. Rows are told
+    apart by doc_id and text together: rows that repeat an id with texts of different groups
+    all stay, and of a group's rows with one id and different texts that of the smallest key
+    stays. Of rows with the same id and text, one stays.
     """
-    found = near_duplicates(docs) if found is None else found
-    ids = found.where("doc_id = component_id or component_id is null").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = docs.join(ids.select(F.col("doc_id").alias("__id"), "__rows"), F.col("doc_id").eqNullSafe(F.col("__id")), "inner").drop("__id")
-    again = kept.where("doc_id is not null and __rows > 1").drop("__rows")
-    single = kept.where("doc_id is null or __rows = 1").drop("__rows")
-    if ids.where("doc_id is not null and __rows > 1").isEmpty():
+    counted = found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("n"))
+    best = counted.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("f"))
+    best = best.select(F.col("f.doc_id").alias("__id"), F.col("f.key").alias("__key"), F.col("f.n").alias("__rows"))
+    keyed = docs.withColumn("__own", text_key(docs["text"]))
+    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["__id"]) & (keyed["__own"] == best["__key"]))
+    single = kept.where("__rows = 1").select(*docs.columns)
+    if best.where("__rows > 1").isEmpty():
         return single
-    return single.unionByName(again.dropDuplicates(["doc_id"]))
+    again = kept.where("__rows > 1").dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    return single.unionByName(again)

@@ -183,9 +183,6 @@ def test_simhash_components(spark):
     want = sorted(zip([r.doc_id for r in rows], prints, brute_components([r.doc_id for r in rows], prints), strict=True), key=str)
     got = simhash.near_duplicates(docs).collect()
     assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got), key=str) == want
-    kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, _, c in want if c is not None})
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
@@ -202,15 +199,48 @@ def test_simhash_large_keys_go_to_blocks(spark):
     assert all((same[i] == same[j]) == (want[i] == want[j]) for i in range(len(prints)) for j in range(i))
 
 
-def test_ring_chain_keeps_every_true_pair():
-    rng = np.random.default_rng(1)
-    x = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+def apart(rng, n, most):
+    """Pairs up to ``most`` bits apart."""
+    x = rng.integers(0, 1 << 63, n).astype(np.uint64)
     y = x.copy()
-    for k in range(len(y)):
-        for b in rng.choice(64, rng.integers(0, 5), replace=False):
+    for k in range(n):
+        for b in rng.choice(64, rng.integers(0, most + 1), replace=False):
             y[k] ^= np.uint64(1 << int(b))
-    assert simhash.ring_chain(x, y).all()
-    assert not simhash.ring_chain(x, ~x).any()
+    return x, y
+
+
+@pytest.mark.parametrize("most", [1, 3, 4, 7])
+def test_every_true_pair_has_a_chain_and_its_key(most):
+    rng = np.random.default_rng(1)
+    x, y = apart(rng, 4000, most)
+    masks = [np.uint64(m) for m in simhash.chain_masks(most)]
+    found = np.zeros(len(x), bool)
+    for k, m in enumerate(masks):
+        found |= ((x & m) == (y & m)) & simhash.chain_from(x, y, k // 2, most)
+    assert found.all() and simhash.ring_chain(x, y, most).all()
+    starts = rng.integers(0, most + 1, len(x))
+    assert (simhash.chain_from(x, y, starts, most) == np.array([simhash.chain_from(x[k : k + 1], y[k : k + 1], int(s), most)[0] for k, s in enumerate(starts)])).all()
+    assert not simhash.ring_chain(x, ~x, most).any()
+
+
+def test_chains_prune_before_the_hamming_check():
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 1 << 63, (2, 200000)).astype(np.uint64)
+    y = (x & np.uint64(simhash.chain_masks()[0])) | (y & ~np.uint64(simhash.chain_masks()[0]))  # one key
+    assert simhash.chain_from(x, y, 0).mean() < 1e-3
+
+
+KEYED = "doc_id long, text string, group long"
+
+
+def test_representatives(spark):
+    rows = [(1, "A", 1), (None, "A", 1), (None, "B", 1), (5, "A2", 2), (5, "B2", 2), (2, "B2", 2), (7, "x", 3), (7, "y", 4), (None, "n", 5), (None, "n", 5), (None, None, 6), (9, "", 7), (9, "", 7), (8, "m", 8), (8, "k", 8)]
+    src = spark.createDataFrame(rows, KEYED).withColumn("key", simhash.text_key(F.col("text")))
+    docs = src.select("doc_id", "text", F.lit("clash").alias("key"), F.lit(1).alias("n"))
+    got = sorted(((r.doc_id, r.text) for r in simhash.representatives(docs, src.select("doc_id", "key", "group")).collect()), key=str)
+    keys = {r.text: r.key for r in src.collect()}
+    want = [(1, "A"), (2, "B2"), (7, "x"), (7, "y"), (None, "n"), (None, None), (9, ""), (8, min("mk", key=keys.get))]
+    assert got == sorted(want, key=str)
 
 
 # --- native operators ---
