@@ -107,10 +107,11 @@ class Rows:
 
 
 def swaps(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Sparse changes (swap, feature, change of the log count) and the number of swaps.
+    """The mean of the products of score changes under swaps, as entries (feature, feature, value), and the number of swaps.
 
     In a row that has a term, all of the term's occurrences become the next term of its kind,
-    and after the last one the first. Beginnings move with their words.
+    and after the last one the first; beginnings move with their words. A swap changes the
+    log counts of both terms' features only, so that each term adds a small square matrix.
     """
     index = {f: i for i, f in enumerate(features)}
     partner = {t: kind[(k + 1) % len(kind)] for kind in kinds for k, t in enumerate(kind) if len(kind) > 1}
@@ -125,7 +126,7 @@ def swaps(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...]) -
 
     by_feature = np.argsort(feature, kind="stable")
     starts = np.searchsorted(feature[by_feature], np.arange(len(features) + 1))
-    out, n = [], 0
+    out, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
     for term, other in partner.items():
         if term not in index or term == other:
             continue
@@ -133,13 +134,12 @@ def swaps(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...]) -
         r, times = row[hit], count[hit]
         here = {index[f] for f in features_of(term) if f in index}
         there = {index[f] for f in features_of(other) if f in index}
-        for f in sorted(here ^ there):
-            before = own(r, f)
-            out.append((np.arange(n, n + len(r)), np.full(len(r), f), np.log1p(before + (times if f in there else -times)) - np.log1p(before)))
+        moved = np.array(sorted(here ^ there), dtype=np.int64)
+        change = np.stack([np.log1p(own(r, f) + (times if f in there else -times)) - np.log1p(own(r, f)) for f in moved.tolist()])
+        out.append((np.repeat(moved, len(moved)), np.tile(moved, len(moved)), (change @ change.T).ravel()))
         n += len(r)
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), n
-    return *(np.concatenate(x) for x in zip(*out, strict=True)), n
+    i, j, v = (np.concatenate(x) for x in zip(*out, strict=True))
+    return i, j, v / max(n, 1), n
 
 
 def objective(w: np.ndarray, rows: Rows, d: int, changes: tuple, counterfactual: float, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -151,25 +151,23 @@ def objective(w: np.ndarray, rows: Rows, d: int, changes: tuple, counterfactual:
     loss = (np.logaddexp(0, odds) - rows.y * odds).sum() / n
     slope = _back((p - rows.y) / n, rows, value, length, d)
     pull = np.r_[np.full(d + 1, ridge), 0.0]
-    s, f, x, k = changes
-    moved = np.bincount(s, x * w[f], minlength=k) if k else np.zeros(0)
-    loss += 0.5 * (pull * w * w).sum() + 0.5 * counterfactual * (moved**2).sum() / max(k, 1)
-    slope = slope + pull * w
-    if k:
-        slope[:d] += counterfactual / k * np.bincount(f, x * moved[s], minlength=d)[:d]
-    return float(loss), slope, p * (1 - p)
+    i, j, v, _ = changes
+    moved = counterfactual * np.bincount(i, v * w[j], minlength=d + 2)
+    loss += 0.5 * (pull * w * w).sum() + 0.5 * moved @ w
+    return float(loss), slope + pull * w + moved, p * (1 - p)
 
 
 def _back(u: np.ndarray, rows: Rows, value: np.ndarray, length: np.ndarray, d: int) -> np.ndarray:
     return np.r_[np.bincount(rows.feature, value * u[rows.row], minlength=d)[:d], (u * length).sum(), u.sum()]
 
 
-def fit_rows(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...] = (), counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE) -> Model:
+def fit_rows(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...] = (), counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, start: Model | None = None) -> Model:
     """Newton steps by conjugate gradients on the mean logistic loss with the counterfactual penalty.
 
     Each swap's squared change of the log odds is penalised by its mean over swaps, so that
     terms that come with toxic rows only by habit end up with nearly equal weights, whatever
-    the number of rows. Rows are sparse; no matrix of features by features is built.
+    the number of rows. Rows are sparse; no matrix of features by features is built. The
+    loss is convex: ``start`` only saves steps.
     """
     d, n = len(features), len(rows.y)
     rate = float(np.clip(rows.y.mean() if n else 0.0, 1e-3, 1 - 1e-3))
@@ -177,25 +175,23 @@ def fit_rows(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...]
     w[d + 1] = np.log(rate / (1 - rate))
     if not n or not d or rows.y.min() == rows.y.max():
         return Model(float(w[d + 1]), kinds=kinds)
+    if start is not None and start.weights:
+        w = np.array([*(start.weights[f] for f in features), start.length, start.bias])
     changes = swaps(rows, features, kinds)
-    s, f, x, k = changes
+    i, j, v, k = changes
     value, length = np.log1p(rows.count), np.log1p(rows.n_words)
     pull = np.r_[np.full(d + 1, ridge), 1e-9]
+    diagonal = counterfactual * np.bincount(i[i == j], v[i == j], minlength=d + 2)
     loss, slope, bend = objective(w, rows, d, changes, counterfactual, ridge)
     for _ in range(60):
         u = (bend + 1e-9) / n
 
-        def times(v: np.ndarray, u: np.ndarray = u) -> np.ndarray:
-            odds = np.bincount(rows.row, value * v[rows.feature], minlength=n)[:n] + v[d] * length + v[d + 1]
-            out = _back(u * odds, rows, value, length, d) + pull * v
-            if k:
-                out[:d] += counterfactual / k * np.bincount(f, x * np.bincount(s, x * v[f], minlength=k)[s], minlength=d)[:d]
-            return out
-
-        scale = np.r_[np.bincount(rows.feature, value**2 * u[rows.row], minlength=d)[:d], (u * length**2).sum(), u.sum()] + pull
-        if k:
-            scale[:d] += counterfactual / k * np.bincount(f, x * x, minlength=d)[:d]
-        step = _conjugate(times, slope, scale)
+        def times(x: np.ndarray, u: np.ndarray = u) -> np.ndarray:
+            odds = np.bincount(rows.row, value * x[rows.feature], minlength=n)[:n] + x[d] * length + x[d + 1]
+            return _back(u * odds, rows, value, length, d) + pull * x + counterfactual * np.bincount(i, v * x[j], minlength=d + 2)
+
+        scale = np.r_[np.bincount(rows.feature, value**2 * u[rows.row], minlength=d)[:d], (u * length**2).sum(), u.sum()] + pull + diagonal
+        step = _conjugate(times, slope, scale, near=min(0.1, np.sqrt(np.sqrt(slope @ slope))))
         size = 1.0
         while True:  # halve until the loss falls
             new = objective(w - size * step, rows, d, changes, counterfactual, ridge)
@@ -203,14 +199,14 @@ def fit_rows(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...]
                 break
             size /= 2
         w = w - size * step
-        done = loss - new[0] < 1e-10
+        done = loss - new[0] < 1e-9
         loss, slope, bend = new
         if done:
             break
     return Model(float(w[d + 1]), float(w[d]), dict(zip(features, w[:d].tolist(), strict=True)), kinds, k)
 
 
-def _conjugate(times, b: np.ndarray, scale: np.ndarray, rounds: int = 200, near: float = 1e-6) -> np.ndarray:
+def _conjugate(times, b: np.ndarray, scale: np.ndarray, near: float, rounds: int = 100) -> np.ndarray:
     """The solution of ``times``(x) = b, preconditioned by the diagonal ``scale``."""
     x, r = np.zeros_like(b), b.copy()
     z = r / scale
@@ -253,7 +249,7 @@ def fit(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...] = ()
     fold, odds = np.arange(len(rows.y)) % FOLDS, np.zeros(len(rows.y))
     for k in range(FOLDS):
         own = fold == k
-        odds[own] = odds_of(rows.take(own), features, fit_rows(rows.take(~own), features, kinds))
+        odds[own] = odds_of(rows.take(own), features, fit_rows(rows.take(~own), features, kinds, start=model))
     shift = np.log(CUT / (1 - CUT)) - place_cut(odds, rows.y)
     return Model(model.bias + float(shift), model.length, model.weights, model.kinds, model.n_swaps)
 
