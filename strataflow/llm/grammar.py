@@ -19,66 +19,73 @@ from strataflow.session import scratch_path
 END_ID = 2
 #: Ids of a shard at least; a shard ends with the first document that reaches it.
 SHARD_IDS = 1 << 20
-#: In each round all pairs found at least so often get a nonterminal, until there are none.
-MIN_COUNT = 8
-#: Nonterminals of a grammar at most, so that symbols and rule tables stay small.
-MAX_RULES = 1 << 16
+#: In each round all pairs found at least so often get a nonterminal, until there are none. A rule is two symbols, so that a pair found twice would save nothing.
+MIN_COUNT = 3
 
-MAGIC = b"RPG1"
-HEAD = struct.Struct("<4sIIIIQ")
+MAGIC = b"RPG2"
+HEAD = struct.Struct("<4sIIIQ")
+#: Slots of the filter that a round's pairs are looked up in first, as a power of two.
+FILTER_BITS = 20
 
 SHARD_SCHEMA = "part int, shard int, first_id long, n_docs long, n_ids long, doc_ids array<long>, n_symbols long, body binary"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Symbols, their ends for each document, rules as pairs, and the first nonterminal.
+def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, their ends for each document, rules as pairs, and the terminals.
 
-    Each round counts all neighbouring pairs within documents, gives the frequent ones (the
-    most frequent first) a nonterminal each, and replaces them from left to right without
-    overlap; pairs of nonterminals pair up in later rounds, which go on until no pair is
-    frequent or no rule is left (or for ``rounds``). A rule that ends up unused is
-    harmless. ``ends`` are the n running totals of ids.
+    A symbol below the number of terminals is the terminal at that place, the others are
+    rules. Each round counts all neighbouring pairs within documents, gives each frequent one
+    a nonterminal, and replaces them from left to right without overlap; pairs of
+    nonterminals pair up in later rounds, which go on until no pair is frequent (or for
+    ``rounds``). ``ends`` are the n running totals of ids.
     """
-    first = int(ids.max()) + 1 if len(ids) else 0
-    seq = ids.astype(np.int64)
+    terminals, seq = np.unique(ids, return_inverse=True)
+    first = len(terminals)
     last = np.zeros(len(seq), bool)
     last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
     owner_ends = ends.copy()
     rules = np.zeros((0, 2), np.int64)
     for _ in itertools.count() if rounds is None else range(rounds):
-        if len(seq) < 2 or len(rules) >= max_rules:
-            break
         span = first + len(rules)
-        key = seq[:-1] * span + seq[1:]
+        seq = seq.astype(np.uint32 if span < 1 << 16 else np.uint64)
+        key = seq[:-1] * seq.dtype.type(span) + seq[1:]
         open_ = ~last[:-1]
         ordered = np.sort(key[open_])
         if not len(ordered):
             break
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        counts = np.diff(np.r_[starts, len(ordered)])
-        often = counts >= min_count
-        pairs, counts = ordered[starts[often]], counts[often]
+        pairs = ordered[starts[np.diff(np.r_[starts, len(ordered)]) >= min_count]]
         if not len(pairs):
             break
-        room = max_rules - len(rules)
-        if len(pairs) > room:
-            pairs = np.sort(pairs[np.argsort(-counts, kind="stable")[:room]])
-        at = np.searchsorted(pairs, key)
+        # most places hold no frequent pair: a small table settles these before the search
+        slot = lambda k: (k.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - FILTER_BITS)
+        table = np.zeros(1 << FILTER_BITS, bool)
+        table[slot(pairs)] = True
+        where = np.flatnonzero(table[slot(key)] & open_)
+        at = np.searchsorted(pairs, key[where])
         at[at == len(pairs)] = 0
-        hit = (pairs[at] == key) & open_
+        hit = pairs[at] == key[where]
+        where, at = where[hit], at[hit]
         # of a run of overlapping hits every other one is replaced
-        where = np.flatnonzero(hit)
         new_run = np.r_[True, np.diff(where) > 1]
         run_start = where[np.maximum.accumulate(np.where(new_run, np.arange(len(where)), 0))]
-        where = where[(where - run_start) % 2 == 0]
-        seq[where] = span + at[where]
+        even = (where - run_start) % 2 == 0
+        where, at = where[even], at[even]
+        # a pair may lose its hits to overlaps; one that keeps a single hit gets no rule
+        used = np.bincount(at, minlength=len(pairs)) > 1
+        if not used.any():
+            break
+        where, at = where[used[at]], (np.cumsum(used) - 1)[at[used[at]]]
+        pairs = pairs[used].astype(np.int64)
+        seq = seq.astype(np.int64)
+        seq[where] = span + at
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         last[where] = last[where + 1]
         owner_ends = owner_ends - np.r_[0, np.cumsum(~keep)][owner_ends]
         seq, last = seq[keep], last[keep]
         rules = np.concatenate([rules, np.stack([pairs // span, pairs % span], axis=1)])
-    return seq, owner_ends, rules, first
+    return seq.astype(np.int64), owner_ends, rules, terminals
 
 
 def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -133,47 +140,76 @@ def expand(seq: np.ndarray, rules: np.ndarray, first: int, table: tuple[np.ndarr
     return both[np.repeat(source - begin, size) + np.arange(int(size.sum()))].astype(np.uint32)
 
 
+def pack_bits(values: np.ndarray) -> bytes:
+    """A byte with the bits that the largest value needs, then all values in so many bits each, lowest bit first."""
+    v = np.ascontiguousarray(values, dtype="<u4")
+    width = max(int(v.max()).bit_length(), 1) if len(v) else 1
+    out = [bytes([width])]
+    for a in range(0, len(v), 1 << 16):  # whole bytes at any width
+        bits = np.unpackbits(v[a : a + (1 << 16)].view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def unpack_bits(body: bytes | memoryview, at: int, count: int, begin: int = 0) -> np.ndarray:
+    """``count`` values from the ``begin``-th on of what ``pack_bits`` put at ``at``."""
+    width = body[at]
+    low = begin * width
+    raw = np.frombuffer(body, np.uint8, (low + count * width + 7) // 8 - low // 8, at + 1 + low // 8)
+    out = np.empty(count, np.int64)
+    for a in range(0, count, 1 << 16):
+        n = min(1 << 16, count - a)
+        skip = low % 8 + a * width
+        bits = np.unpackbits(raw[skip // 8 : (skip + n * width + 7) // 8], bitorder="little")[skip % 8 :][: n * width].reshape(n, width)
+        wide = np.zeros((n, 32), np.uint8)
+        wide[:, :width] = bits
+        out[a : a + n] = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+    return out
+
+
+def packed_bytes(body: bytes | memoryview, at: int, count: int) -> int:
+    return 1 + (count * body[at] + 7) // 8
+
+
 def write_shard(ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
     """The shard's bytes and its number of symbols.
 
-    Head (magic, documents, rules, first nonterminal, symbol width in bytes, symbols), then
-    the rules as pairs, the rules' expansion lengths, each document's end among the symbols,
-    each document's end among the ids, and the symbols; all little-endian unsigned.
+    Head (magic, documents, terminals, rules, symbols), then packed in as many bits as each
+    needs: the terminals (each less the one before), the rules as pairs, the rules' expansion
+    lengths, each document's number of symbols and of ids, and the symbols.
     """
-    seq, ends_in, rules, first = compress(ids, ends)
-    width = 2 if first + len(rules) <= 1 << 16 else 4
-    head = HEAD.pack(MAGIC, len(ends), len(rules), first, width, len(seq))
-    body = [rules.astype("<u4").tobytes(), rule_lengths(rules, first).astype("<u4").tobytes(), ends_in.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), seq.astype(f"<u{width}").tobytes()]
-    return head + b"".join(body), len(seq)
+    seq, ends_in, rules, terminals = compress(ids, ends)
+    head = HEAD.pack(MAGIC, len(ends), len(terminals), len(rules), len(seq))
+    parts = [np.diff(terminals.astype(np.int64), prepend=0), rules.ravel(), rule_lengths(rules, len(terminals)), np.diff(ends_in, prepend=0), np.diff(ends, prepend=0), seq]
+    return head + b"".join(map(pack_bits, parts)), len(seq)
 
 
 class Shard:
     """A shard's bytes, opened; ``doc(k)`` decodes one document without the others."""
 
     def __init__(self, body: bytes):
-        magic, docs, rules, self.first, width, symbols = HEAD.unpack_from(body)
+        magic, docs, terminals, rules, self.symbols = HEAD.unpack_from(body)
         if magic != MAGIC:
             raise ValueError("not a grammar shard")
-        at = HEAD.size
-
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(body, kind, count, at)
-            at += out.nbytes
-            return out.astype(np.int64)
-
-        self.rules = take("<u4", 2 * rules).reshape(-1, 2)
-        self.lengths = take("<u4", rules)
-        self.ends_in, self.ends = take("<u8", docs), take("<u8", docs)
-        self.seq = take(f"<u{width}", symbols)
-        self.table = _expand_table(self.rules, self.first)
+        at, got = HEAD.size, []
+        for count in (terminals, 2 * rules, rules, docs, docs):
+            got.append(unpack_bits(body, at, count))
+            at += packed_bytes(body, at, count)
+        self.terminals, self.lengths = np.cumsum(got[0]), got[2]
+        self.rules, self.ends_in, self.ends = got[1].reshape(-1, 2), np.cumsum(got[3]), np.cumsum(got[4])
+        self.body, self.at = body, at
+        self.table = _expand_table(self.rules, len(self.terminals))
+
+    def _ids(self, begin: int, count: int) -> np.ndarray:
+        seq = unpack_bits(self.body, self.at, count, begin)
+        return self.terminals[expand(seq, self.rules, len(self.terminals), self.table)].astype(np.uint32)
 
     def doc(self, k: int) -> np.ndarray:
         a = int(self.ends_in[k - 1]) if k else 0
-        return expand(self.seq[a : int(self.ends_in[k])], self.rules, self.first, self.table)
+        return self._ids(a, int(self.ends_in[k]) - a)
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first, self.table)
+        return self._ids(0, self.symbols)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
