@@ -323,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, term
     chosen = usable.groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     labelled = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = cut(labelled.groupBy(F.xxhash64("text").alias("h")).agg(F.avg("toxic").alias("toxic"), F.first("text").alias("text")).orderBy("h").limit(train_rows))
+    rows = cut(labelled.groupBy(F.xxhash64("text").alias("h")).agg(F.avg("toxic").alias("toxic"), F.first("text").alias("text")))
     total, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
     a, b = F.col("docs_1"), F.col("docs_0")
     n1, n0 = float(positive), float(total - positive)
@@ -335,10 +335,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, term
     wanted = sorted({t for kind in kinds for t in kind})
     telling = counted.where((F.abs(F.col("log_odds") / F.col("error")) >= MIN_Z) | F.col("feature").isin(wanted))
     features = sorted(r[0] for r in telling.select("feature").collect())
-    got = rows.mapInArrow(lambda it: _sparse_rows(it, features), "h long, toxic double, n_words long, features array<int>, counts array<int>").orderBy("h").collect()
-    sizes = np.array([len(r["features"]) for r in got], dtype=np.int64)
-    join = lambda name: np.array([v for r in got for v in r[name]], dtype=np.int64)
-    sparse = Rows(np.repeat(np.arange(len(got)), sizes), join("features"), join("counts"), np.array([r["n_words"] for r in got], dtype=float), np.array([r["toxic"] for r in got], dtype=float))
+    got = rows.mapInArrow(lambda it: _sparse_rows(it, features), "h long, toxic double, n_words long, features array<int>, counts array<int>").orderBy("h").toArrow().combine_chunks()
+    flat = lambda name: pc.list_flatten(got.column(name)).to_numpy().astype(np.int64)
+    sizes = pc.list_value_length(got.column("features")).to_numpy()
+    sparse = Rows(np.repeat(np.arange(got.num_rows), sizes), flat("features"), flat("counts"), got.column("n_words").to_numpy().astype(float), got.column("toxic").to_numpy())
+    del got
     return fit(sparse, features, kinds)
 
 
