@@ -6,111 +6,126 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.sql import let, windows
+from strataflow.session import cut
 
 #: Words of a window, and the share of an item's windows that a document has to hold.
 WINDOW = 5
 SHARE = 0.8
-#: Windows of the benchmark, in rows, up to which they are broadcast (some 100 bytes each); beyond, both sides are shuffled by hash.
-BROADCAST_ROWS = 500_000
-
 # Units that may follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ml|cl|l|s|sec|min|h|hr|hrs|hours|minutes|seconds|days|weeks|months|years|miles|feet|inches|metres|meters|litres|liters|grams|dollars|euros|pounds|cents|percent|usd|eur|mph|kmh|kwh|kw|w|v|hz|gb|mb|kb"
 
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
-#: Marks before a name and a unit while a text is cut into words; both are removed from texts first.
-NAME_MARK, UNIT_MARK = "\x01", "\x02"
+#: Marks before a name and a unit, and between the words of a name, while a text is cut into words; all are removed from texts first.
+NAME_MARK, UNIT_MARK, NAME_JOIN = "\x01", "\x02", "\x03"
 
 
 def marked_words(text: Column) -> Column:
     """The words of a text as written, with a mark before each name and unit.
 
     A word is a run of letters, marks and digits; points and commas between digits belong to
-    a number. A name is a capitalised word of a sentence that isn't its first; a unit is one
-    of UNITS behind a number.
+    a number. A name is a capitalised word, or several with single spaces between them, which
+    are one word here; a unit is one of UNITS behind a number.
     """
-    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), NAME_MARK + UNIT_MARK, "  ")
+    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), NAME_MARK + UNIT_MARK + NAME_JOIN, "   ")
     t = F.regexp_replace(t, r"(?<=\p{N})(\s?)((?i:" + UNITS + r"))(?![\p{L}\p{N}])", "$1 " + UNIT_MARK + "$2")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", NAME_MARK)
-    return F.filter(F.split(t, r"(?:[^\p{L}\p{M}\p{N}\x01\x02.,]|(?<!\p{N})[.,]|[.,](?!\p{N}))+"), lambda w: w != "")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{M}\p{N}\x02])(?=\p{Lu}\p{Ll})", NAME_MARK)
+    t = F.regexp_replace(t, r"(\x01[\p{L}\p{M}\p{N}]+) (?=\x01)", "$1" + NAME_JOIN)
+    return F.filter(F.split(t, r"(?:[^\p{L}\p{M}\p{N}\x01-\x03.,]|(?<!\p{N})[.,]|[.,](?!\p{N}))+"), lambda w: w != "")
 
 
 def plain(word: Column) -> Column:
-    """A marked word without its mark, in lower case."""
-    return F.lower(F.translate(word, NAME_MARK + UNIT_MARK, ""))
+    """A marked word without its marks, in lower case."""
+    return F.lower(F.translate(word, NAME_JOIN + NAME_MARK + UNIT_MARK, " "))
 
 
 def template(word: Column) -> Column:
     """A marked word's place in a template: a typed placeholder, or the word in lower case."""
     first = F.substring(word, 1, 1)
-    return F.when(first == NAME_MARK, F.lit(NAME)).when(first == UNIT_MARK, F.lit(UNIT)).when(F.substring(word, 1, 1).between("0", "9"), F.lit(NUMBER)).otherwise(F.lower(word))
+    return F.when(first == NAME_MARK, F.lit(NAME)).when(first == UNIT_MARK, F.lit(UNIT)).when(first.between("0", "9"), F.lit(NUMBER)).otherwise(F.lower(word))
 
 
-def window_hashes(tokens: Column, width: int = WINDOW) -> Column:
-    """A hash of each window of ``tokens``; a shorter text is one window of what it has."""
+def window_hashes(tokens: Column, widths: list[int]) -> Column:
+    """(pos, hash) of each window of ``tokens``, of each of the ``widths``."""
 
-    def of(t: Column) -> Column:
-        many = F.transform(windows(F.size(t), width), lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(width)]))
-        return F.when(F.size(t) >= width, many).when(F.size(t) > 0, F.array(F.xxhash64(F.array_join(t, " "), F.lit(width)))).otherwise(F.array().cast("array<bigint>"))
+    def of(t: Column, n: int) -> Column:
+        return F.transform(windows(F.size(t), n), lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(t, i + k) for k in range(n)]).alias("hash")))
 
-    return let(tokens, of)
+    return let(tokens, lambda t: F.concat(*[of(t, n) for n in widths]))
 
 
 def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(item_id, n_windows, i_pos, hash, i_words) of all items' windows.
+    """(item, form, item_id, width, n_windows, i_pos, hash, i_words) of all items' windows.
 
-    A window comes as a template and, where they differ, in lower case without names (for
-    copies that lost their capitals) and with its first word read as a name (for copies
-    whose first word follows another sentence's words). Null and blank items have none.
+    An item has up to two forms: its template, and its words in lower case with numbers and
+    units as placeholders but names as they are, for copies that lost their capitals. An item
+    of fewer words than ``width`` is one window of its own width. Null and blank items have none.
     """
-    rows = benchmark.where(F.col("item_id").isNotNull()).groupBy("item_id", "text").agg(F.lit(1)).select("item_id", marked_words(F.col("text")).alias("w"))
-    rows = rows.where(F.size("w") > 0).select("item_id", "w", F.transform("w", template).alias("t"))
-    caps = F.substring(F.get("w", F.lit(0)), 1, 1) != F.lower(F.substring(F.get("w", F.lit(0)), 1, 1))
-    as_name = F.when(caps, F.concat(F.array(F.lit(NAME)), F.slice("t", 2, F.size("t")))).otherwise(F.col("t"))
-    unnamed = F.transform("w", lambda w: F.when(F.substring(w, 1, 1) == NAME_MARK, plain(w)).otherwise(template(w)))
-    forms = rows.select("item_id", "w", F.explode(F.array_distinct(F.array(F.col("t"), as_name, unnamed))).alias("t"))
-    hashes = forms.select("item_id", "w", F.greatest(F.size("w") - width + 1, F.lit(1)).alias("n_windows"), F.posexplode(window_hashes(F.col("t"), width)).alias("i_pos", "hash"))
-    return hashes.select("item_id", "n_windows", "i_pos", "hash", F.transform(F.slice("w", F.col("i_pos") + 1, width), plain).alias("i_words")).distinct()
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_found, n_literal, share) of every document that holds a benchmark item.
-
-    A document's template windows are joined with the items' by hash. Matches on one
-    diagonal (document place less item place) belong to one copy: there, each slot value of
-    the item has to stand for one value of the document and the reverse, or only its
-    literally equal windows count. A pair is reported if at least ``share`` of the item's
-    windows are found. Rows of one doc_id are judged together, a null doc_id is an id of its
-    own; null and blank texts hold nothing; an empty benchmark or table gives no rows.
+    rows = benchmark.where(F.col("item_id").isNotNull()).select("item_id", F.xxhash64("item_id", "text").alias("item"), "text").dropDuplicates(["item", "item_id"])
+    marked = rows.select("item_id", "item", marked_words(F.col("text")).alias("w"))
+    words = F.flatten(F.transform("w", lambda w: F.when(F.substring(w, 1, 1) == NAME_MARK, F.split(plain(w), " ")).otherwise(F.array(w))))
+    forms = marked.select("item_id", "item", F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("form"), F.col("w")), F.struct(F.lit(1).alias("form"), words.alias("w"))))).alias("f"))
+    forms = forms.select("item_id", "item", "f.form", "f.w").where(F.size("w") > 0).select("*", F.transform("w", template).alias("t"), F.least(F.size("w"), F.lit(width)).alias("width"))
+    short = F.coalesce(*[F.when(F.col("width") == n, window_hashes(F.col("t"), [n])) for n in range(1, width + 1)])
+    hashes = forms.select("item_id", "item", "form", "w", "width", (F.size("w") - F.col("width") + 1).alias("n_windows"), F.inline(short).alias("i_pos", "hash"))
+    return hashes.select("item", "form", "item_id", "width", "n_windows", "i_pos", "hash", F.transform(F.slice("w", F.col("i_pos") + 1, F.col("width")), plain).alias("i_words"))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A row's own key: of its doc_id and text together, so that rows without an id or with a repeated one stay apart."""
+    return F.xxhash64(docs["doc_id"], docs["doc_id"].isNull(), docs["text"].cast("string"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_found, n_literal, share, row) of every document that holds a benchmark item.
+
+    A document's template windows are joined with the items' by hash, by place and hash only.
+    Of the pairs that could reach ``share`` the words are fetched: matches on one diagonal
+    (document place less item place) belong to one copy, where each slot value of the item
+    has to stand for one value of the document and the reverse, or only its literally equal
+    windows count. A pair is reported if at least ``share`` of the item's windows are found;
+    of an item with fewer than ``width`` words all words have to be equal. Each row is judged
+    by itself, ``row`` is its ``row_key``; repeated rows are reported once. Null and blank
+    texts hold nothing; an empty benchmark or table gives no rows.
     """
-    items = item_windows(benchmark, width)
-    if items.count() <= broadcast_rows:
-        items = F.broadcast(items)
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", marked_words(F.col("text")).alias("w"))
-    hashes = let(F.transform("w", template), lambda t: window_hashes(t, width))
-    exploded = rows.select("doc_id", "w", F.posexplode(hashes).alias("d_pos", "hash"))
-    met = exploded.join(items, "hash")
-    d_words = F.transform(F.slice("w", F.col("d_pos") + 1, width), plain)
-    met = met.select("doc_id", "item_id", "n_windows", "i_pos", (F.col("d_pos") - F.col("i_pos")).alias("diagonal"), "i_words", d_words.alias("d_words"))
-    differ = F.filter(F.arrays_zip("i_words", "d_words"), lambda z: z.i_words != z.d_words)
-    met = met.select("doc_id", "item_id", "n_windows", "i_pos", "diagonal", (F.size(differ) == 0).alias("literal"), F.arrays_zip("i_words", "d_words").alias("slots"), differ.alias("differ"))
-    window = met.groupBy("doc_id", "item_id", "n_windows", "diagonal", "i_pos").agg(F.max("literal").alias("literal"), F.max("slots").alias("slots"), F.max(F.size("differ")).alias("n_differ"))
+    items = cut(item_windows(benchmark, width))
+    widths = sorted(r[0] for r in items.select("width").distinct().collect())
+    if not widths:
+        widths = [width]
+    keyed = docs.select(F.col("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    hashed = keyed.select("doc_id", "row", window_hashes(F.transform(marked_words(F.col("text")), template), widths).alias("h"))
+    places = hashed.select("doc_id", "row", F.inline("h").alias("d_pos", "hash"))
+    met = cut(places.join(items.select("hash", "item", "form", "i_pos"), "hash").select("doc_id", "row", "item", "form", "i_pos", "d_pos").distinct())
+    pair = ["row", "item", "form"]
+    counts = items.select("item", "form", "item_id", "width", "n_windows").distinct()
+    able = met.groupBy(*pair).agg(F.count_distinct("i_pos").alias("n")).join(counts, ["item", "form"]).where(F.col("n") >= share * F.col("n_windows"))
+    met = met.join(able.select(*pair, "item_id", "width", "n_windows"), pair)
+
+    wanted = met.select("row").distinct()
+    texts = keyed.join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    spelt = texts.select("row", let(marked_words(F.col("text")), lambda w: F.transform(w, lambda _, i: F.struct(i.alias("d_pos"), F.transform(F.slice(w, i + 1, width), plain).alias("d_words")))).alias("s"))
+    met = met.join(spelt.select("row", F.inline("s")), ["row", "d_pos"])
+    met = met.join(items.select("item", "form", "i_pos", "i_words").distinct(), ["item", "form", "i_pos"])
+    slots = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct(F.get("i_words", k).alias("i"), F.get("d_words", k).alias("d")))
+    met = met.withColumn("slots", slots).withColumn("literal", F.forall("slots", lambda z: z.i == z.d))
     # at most an item's windows share a diagonal, so that its slots fit a row
-    copy = window.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(
+    copy = met.groupBy("doc_id", *pair, "item_id", "width", "n_windows", (F.col("d_pos") - F.col("i_pos")).alias("diagonal")).agg(
         F.collect_set("i_pos").alias("places"),
         F.collect_set(F.when(F.col("literal"), F.col("i_pos"))).alias("literal_places"),
         F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
     )
-    left = F.size(F.array_distinct(F.transform("slots", lambda z: z.i_words)))
-    right = F.size(F.array_distinct(F.transform("slots", lambda z: z.d_words)))
-    consistent = (left == F.size("slots")) & (right == F.size("slots"))
-    copy = copy.select("doc_id", "item_id", "n_windows", F.explode(F.when(consistent, F.col("places")).otherwise(F.col("literal_places"))).alias("i_pos"), F.col("literal_places").alias("literal_places"))
-    copy = copy.select("doc_id", "item_id", "n_windows", "i_pos", F.array_contains("literal_places", F.col("i_pos")).alias("literal"))
-    pairs = copy.groupBy("doc_id", "item_id", "n_windows", "i_pos").agg(F.max("literal").alias("literal")).groupBy("doc_id", "item_id", "n_windows")
-    found = pairs.agg(F.count("*").alias("n_found"), F.count_if("literal").alias("n_literal"))
-    return found.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "n_found", "n_literal", (F.col("n_found") / F.col("n_windows")).alias("share")).where(F.col("share") >= share)
+    left = F.size(F.array_distinct(F.transform("slots", lambda z: z.i)))
+    right = F.size(F.array_distinct(F.transform("slots", lambda z: z.d)))
+    consistent = (left == F.size("slots")) & (right == F.size("slots")) & (F.col("width") == width)
+    counted = F.when(consistent, F.col("places")).otherwise(F.col("literal_places"))
+    each = copy.select("doc_id", *pair, "item_id", "n_windows", F.explode(counted).alias("i_pos"), "literal_places").withColumn("literal", F.array_contains("literal_places", F.col("i_pos")))
+    windows_found = each.groupBy("doc_id", *pair, "item_id", "n_windows", "i_pos").agg(F.max("literal").alias("literal"))
+    found = windows_found.groupBy("doc_id", *pair, "item_id", "n_windows").agg(F.count("*").alias("n_found"), F.count_if("literal").alias("n_literal"))
+    found = found.withColumn("share", F.col("n_found") / F.col("n_windows")).where(F.col("share") >= share)
+    best = found.groupBy("doc_id", "row", "item_id").agg(F.max(F.struct("share", "n_literal", "n_found", "n_windows")).alias("f"))
+    return best.select("doc_id", "item_id", F.col("f.n_windows").cast("long").alias("n_windows"), F.col("f.n_found").alias("n_found"), F.col("f.n_literal").alias("n_literal"), F.col("f.share").alias("share"), "row")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id holds no benchmark item, with their columns as they are."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with their columns as they are."""
+    bad = contaminated(docs, benchmark).select(F.col("row").alias("__row")).distinct()
+    return docs.join(bad, row_key(docs) == bad["__row"], "left_anti")
