@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.sql import let
+from strataflow.llm.sql import let, running
+from strataflow.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,11 @@ class Rule:
     least: int
     hint: str
 
+    @property
+    def name(self) -> str:
+        """The rule in its version, as ledgers know it."""
+        return f"{self.kind}@{self.version}"
+
 
 # The three base kinds' patterns, in the order of their listing.
 RULES = [
@@ -35,15 +41,16 @@ RULES = [
 ]
 BASE = ("assign", "access", "hex")
 
-#: Parts into which a blob's paths are dealt where findings meet them.
+#: Parts into which a blob's paths are dealt where findings meet them; adaptive execution splits parts that are still large.
 SALTS = 32
 
+FOUND = "struct<start:int,rule:string,end:int>"
 SPAN = "struct<start:int,ord:int,kind:string,end:int>"
-LEDGER = f"blob string, rules string, spans array<{SPAN}>"
+LEDGER = f"blob string, rules array<string>, spans array<{FOUND}>"
 
 
-def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """The rule's spans in ``text``: code points, end exclusive.
+def spans_of(text: Column, rule: Rule) -> Column:
+    """The rule's spans in ``text`` by start: code points, end exclusive.
 
     The pieces between matches and the matches alternate, so that running lengths give the places.
     """
@@ -55,30 +62,30 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
         return m if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
 
     def walk(gaps: Column, m: Column, g: Column) -> Column:
-        empty = F.array().cast(f"array<{SPAN}>")
-        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        steps = F.transform(m, lambda x, i: F.length(F.get(gaps, i)) + F.length(x))
 
-        def step(acc: Column, i: Column) -> Column:
-            a = acc.at + F.length(F.get(gaps, i))
-            b = a + F.length(F.get(m, i))
-            span = F.struct(a.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), b.alias("end"))
-            more = F.when(F.length(F.get(g, i)) >= rule.least, F.concat(acc.out, F.array(span))).otherwise(acc.out)
-            return F.struct(b.alias("at"), more.alias("out"))
+        def places(before: Column) -> Column:
+            spans = F.transform(m, lambda x, i: F.struct((F.get(before, i) + F.length(F.get(gaps, i))).alias("start"), F.lit(rule.name).alias("rule"), (F.get(before, i) + F.length(F.get(gaps, i)) + F.length(x)).alias("end")))
+            return F.filter(spans, lambda s, i: F.length(F.get(g, i)) >= rule.least)
 
-        turns = F.when(F.size(m) > 0, F.sequence(F.lit(0), F.size(m) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(turns, start, step, lambda acc: acc.out)
+        return let(running(steps, lambda a, b: a + b, F.lit(0)), places)
 
     found = let(F.split(text, rule.pattern, -1), of)
-    return F.when(text.rlike(rule.hint), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(rule.hint), found).otherwise(F.array().cast(f"array<{FOUND}>"))
 
 
-def all_spans(text: Column, rules: list[Rule]) -> Column:
-    """The spans of all rules by start, then by the rules' order."""
-    return F.sort_array(F.concat(*[spans_of(text, r, k) for k, r in enumerate(rules)]))
+def in_order(spans: Column, rules: list[Rule]) -> Column:
+    """The spans of ``rules`` by start, then by the rules' order, with their kinds."""
+    order, kind = F.lit(None).cast("int"), F.lit(None).cast("string")
+    named = F.filter(spans, lambda s: s.rule.isin(*[r.name for r in rules]))
 
+    def of(s: Column) -> Column:
+        o, k = order, kind
+        for n, r in enumerate(rules):
+            o, k = F.when(s.rule == r.name, F.lit(n)).otherwise(o), F.when(s.rule == r.name, F.lit(r.kind)).otherwise(k)
+        return F.struct(s.start.alias("start"), o.alias("ord"), k.alias("kind"), s.end.alias("end"))
 
-def rules_version(rules: list[Rule]) -> str:
-    return ";".join(f"{r.kind}@{r.version}" for r in rules)
+    return F.sort_array(F.transform(named, of)).cast(f"array<{SPAN}>")
 
 
 def address(docs: DataFrame) -> DataFrame:
@@ -88,37 +95,74 @@ def address(docs: DataFrame) -> DataFrame:
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | None = None) -> DataFrame:
-    """New ledger rows (blob, rules, spans): one for each blob in ``versions`` that ``ledger`` hasn't under this rules' version.
+    """New ledger rows (blob, rules, spans): one for each blob in ``versions`` that has rules which ``ledger`` hasn't seen on it.
 
-    Texts without any rule's hint are settled where they are read, and only their address
-    travels; of the others one text of each blob is scanned, however many paths hold it.
+    The unit of work is the pair of a blob and a rule's version: a row names the rules that it
+    ran and their spans. Texts without any rule's hint are settled where they are read, and
+    only their address travels; of the others one text of each blob is scanned, however many
+    paths hold it.
     """
     rules = rules or RULES
-    version = rules_version(rules)
     hints = "|".join(f"(?:{r.hint})" for r in rules)
-    fresh = versions.select("blob", F.when(F.col("text").rlike(hints), F.col("text")).alias("text"))
-    if ledger is not None:
-        seen = ledger.where(F.col("rules") == version).select("blob").distinct()
-        fresh = fresh.join(seen, "blob", "left_anti")
-    blobs = fresh.groupBy("blob").agg(F.max("text").alias("text"))
-    none = F.array().cast(f"array<{SPAN}>")
-    return blobs.select("blob", F.lit(version).alias("rules"), F.when(F.col("text").isNull(), none).otherwise(all_spans(F.col("text"), rules)).alias("spans"))
+    blobs = versions.groupBy("blob").agg(F.max(F.when(F.col("text").rlike(hints), F.col("text"))).alias("text"))
+    every = F.array(*[F.lit(r.name) for r in rules])
+    if ledger is None:
+        blobs = blobs.withColumn("todo", every)
+    else:
+        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))))
+    none = F.array().cast(f"array<{FOUND}>")
+    spans = F.concat(*[F.when(F.array_contains("todo", r.name), spans_of(F.col("text"), r)).otherwise(none) for r in rules])
+    return blobs.where(F.size("todo") > 0).select("blob", F.col("todo").alias("rules"), F.when(F.col("text").isNull(), none).otherwise(spans).alias("spans"))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def update_ledger(docs: DataFrame, path: str, rules: list[Rule] | None = None, first: bool = False) -> DataFrame:
+    """The ledger at ``path`` after the unseen pairs of blobs and rules in ``docs`` have been scanned and appended to it.
+
+    ``first`` begins a ledger. Spark commits the appended files as a whole, so that a run that
+    fails leaves the ledger as it was and is simply repeated.
+    """
+    spark = docs.sparkSession
+    new = scan_unseen(address(docs), None if first else read_ledger(spark, path), rules)
+    new.write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
+def blob_findings(ledger: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(blob, spans) of the blobs on which ``rules`` found something, each ``SALTS`` times with its ``salt``."""
+    names = [r.name for r in rules]
+    own = ledger.where(F.size("spans") > 0).withColumn("spans", F.filter("spans", lambda s: s.rule.isin(*names)))
+    # a blob has a row for each scan; a pair that two concurrent runs scanned counts once
+    known = own.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")).where(F.size("spans") > 0)
+    return known.select("blob", in_order(F.col("spans"), rules).alias("spans"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
+def salt() -> Column:
+    """A row's part, by its place in its partition: null and repeated ids are dealt like others."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
 
 
 def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """doc_id, blob and spans of every row of ``docs``: the ledger's findings, old and new, on all paths.
 
-    A null text is the empty blob; a null doc_id and repeated rows are reported as they are;
-    an empty table gives no rows. Only blobs with findings meet the paths; each is sent to
-    ``SALTS`` parts among which its paths are dealt, so that no task holds all paths of a blob.
+    Without a ledger the texts are scanned as part of the plan. A null text is the empty blob;
+    a null doc_id and repeated rows are reported as they are; an empty table gives no rows.
+    Only blobs with findings meet the paths; each is sent to ``SALTS`` parts among which its
+    paths are dealt, so that no task holds all paths of a blob.
     """
     rules = rules or RULES
-    versions = address(docs)
-    new = scan_unseen(versions, ledger, rules)
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rules") == rules_version(rules)).select("blob", "rules", "spans").dropDuplicates(["blob"]))
-    hits = known.where(F.size("spans") > 0).select("blob", "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    paths = versions.select("doc_id", "blob", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"))
-    joined = paths.join(hits, ["blob", "salt"], "left")
+    new = scan_unseen(address(docs), ledger, rules)
+    return on_paths(docs, new if ledger is None else new.unionByName(ledger), rules)
+
+
+def on_paths(docs: DataFrame, ledger: DataFrame, rules: list[Rule]) -> DataFrame:
+    """What ``ledger`` holds of ``rules`` on every row of ``docs``, without any scan."""
+    paths = address(docs).select("doc_id", "blob", salt().alias("salt"))
+    joined = paths.join(blob_findings(ledger, rules), ["blob", "salt"], "left")
     return joined.select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
@@ -127,9 +171,20 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and spans of every row of ``docs``."""
-    found = findings(docs, ledger)
+def ledger_findings(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``findings`` by way of a ledger at ``path`` (by default a fresh one), scanned in two passes.
+
+    The first pass runs the base rules over all blobs. The second comes with all rules and
+    finds the base pairs in the ledger, so that it scans the added rules only; findings of
+    both passes meet all paths.
+    """
+    path = path or scratch_path(docs.sparkSession, "secrets-ledger")
+    update_ledger(docs, path, [r for r in RULES if r.kind in BASE], first=True)
+    return on_paths(docs, update_ledger(docs, path, RULES), RULES)
+
+
+def secrets(found: DataFrame) -> DataFrame:
+    """doc_id, counts of the base kinds, base_sha256 and spans of every row of ``findings``."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
     return found.select(
         "doc_id",
@@ -165,10 +220,9 @@ def redact_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFr
     versions = address(some.select(F.lit(0).alias("doc_id"), "text"))
     new = scan_unseen(versions, ledger)
     if ledger is not None:
-        new = new.unionByName(ledger.where(F.col("rules") == rules_version(RULES)).select("blob", "rules", "spans").dropDuplicates(["blob"]))
-    hits = new.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__part"))
-    salt = F.pmod(F.hash("doc_id"), F.lit(SALTS)) if "doc_id" in docs.columns else F.lit(0)
-    keyed = some.withColumn("__key", F.sha2(F.col("text").cast("string"), 256)).withColumn("__salt", salt)
+        new = new.unionByName(ledger)
+    hits = blob_findings(new, RULES).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"), F.col("salt").alias("__part"))
+    keyed = some.withColumn("__key", F.sha2(F.col("text").cast("string"), 256)).withColumn("__salt", salt())
     joined = keyed.join(hits, (keyed["__key"] == hits["__blob"]) & (keyed["__salt"] == hits["__part"]), "left")
     has = F.col("__spans").isNotNull()
     out = joined.withColumn("text", F.when(has, redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))

@@ -25,3 +25,29 @@ def words(text: Column) -> Column:
 def windows(n: Column, width: int) -> Column:
     """0-based starts of all windows of ``width`` among ``n`` items."""
     return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+
+
+#: Items that a running total takes at once.
+RUN = 512
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], start: Column) -> Column:
+    """For each item of ``values`` what ``join`` makes of ``start`` and all items before it.
+
+    Runs of RUN items are totalled first, so that building the result copies no long array
+    again and again.
+    """
+
+    def scan(xs: Column, first: Column) -> Column:
+        none = F.struct(first.alias("at"), F.slice(F.array(first), 1, 0).alias("out"))
+        return F.aggregate(xs, none, lambda acc, x: F.struct(join(acc.at, x).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")), lambda acc: acc.out)
+
+    def of(xs: Column) -> Column:
+        runs = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(runs, lambda k: F.slice(xs, k * RUN + 1, RUN)), spread)
+
+    def spread(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, start, join))
+        return let(scan(totals, start), lambda starts: F.flatten(F.transform(parts, lambda p, k: scan(p, F.get(starts, k)))))
+
+    return F.when(F.size(values) > RUN, let(values, of)).otherwise(scan(values, start))
