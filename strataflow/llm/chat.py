@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.sql import let
+from strataflow.llm.sql import let, running
 
 #: The template: OPEN role ": " content CLOSE for each turn, placeholders between PART and PART_END.
 OPEN, MID, CLOSE, PART, PART_END = "### ", ": ", "</turn>\n", "<|", "|>"
-#: What texts may not contain as is, with the letter that stands for it behind a backslash.
-ESCAPES = [("</turn>", "e"), ("### ", "h"), ("<|", "p")]
+#: Signs that every control string has, with the letter that stands for each behind a backslash: texts hold none of them as is, also
+#: where the texts of neighbouring parts meet.
+ESCAPES = [("<", "l"), ("#", "h")]
 
 PART_TYPE = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 #: Token counts of placeholders: a patch of PATCH x PATCH pixels, a second of sound, a page.
@@ -18,7 +19,7 @@ PATCH, TOKENS_PER_SECOND, TOKENS_PER_PAGE = 14, 25, 512
 
 
 def escape(text: Column) -> Column:
-    """``text`` without control strings, reversibly: a backslash is doubled, a control string becomes a backslash and a letter."""
+    """``text`` without the signs of control strings, reversibly: a backslash is doubled, a sign becomes a backslash and a letter."""
     out = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
     for plain, letter in ESCAPES:
         out = F.replace(out, F.lit(plain), F.lit("\\" + letter))
@@ -68,11 +69,11 @@ def flatten(parts: Column) -> Column:
     some = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART_TYPE}>")), lambda p: p.isNotNull())
 
     def visit(all_parts: Column) -> Column:
-        def one(p: Column, i: Column) -> Column:
-            before = F.size(F.filter(F.slice(all_parts, 1, i), is_attachment))
-            return F.when(is_attachment(p), F.concat(F.lit(PART), p.kind, F.lit(":"), before.cast("string"), F.lit(PART_END))).otherwise(escape(p.text))
+        numbers = running(F.transform(all_parts, lambda p: is_attachment(p).cast("int")), lambda a, b: a + b, F.lit(0))
+        return let(numbers, lambda before: F.array_join(F.transform(all_parts, lambda p, i: one(p, F.get(before, i))), ""))
 
-        return F.array_join(F.transform(all_parts, one), "")
+    def one(p: Column, number: Column) -> Column:
+        return F.when(is_attachment(p), F.concat(F.lit(PART), p.kind, F.lit(":"), number.cast("string"), F.lit(PART_END))).otherwise(escape(p.text))
 
     return let(some, visit)
 
@@ -123,6 +124,26 @@ def parse(formatted: Column) -> Column:
     return F.transform(lines, one)
 
 
+def parse_parts(content: Column) -> Column:
+    """(text, kind, number) of a formatted turn's pieces: each placeholder with the unescaped text before it, then the text behind the last.
+
+    Number counts the turn's attachments from 0, in the order of the column ``attachments``.
+    """
+    pattern = r"<\|(image|audio|document):([0-9]+)\|>"
+
+    def of(texts: Column) -> Column:
+        kinds, numbers = (F.regexp_extract_all(content, F.lit(pattern), F.lit(k)) for k in (1, 2))
+        return let(F.struct(kinds.alias("k"), numbers.alias("n")), lambda z: F.transform(texts, lambda x, i: F.struct(unescape(x).alias("text"), F.get(z.k, i).alias("kind"), F.get(z.n, i).cast("int").alias("number"))))
+
+    return let(F.split(content, pattern, -1), of)
+
+
+def contents(formatted: Column) -> Column:
+    """The formatted content of each turn, as it is between the template's marks."""
+    lines = F.filter(F.split(formatted, CLOSE), lambda x: x != "")
+    return F.transform(lines, lambda x: F.substring(x, F.instr(x, MID) + len(MID), F.length(x)))
+
+
 def digests(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Counts and digests of conversations, all read back from the column ``formatted``.
 

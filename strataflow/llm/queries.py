@@ -38,8 +38,8 @@ with turns as (
   union all select -7, 0, 'user', '\### Assistant: </turn> ok'
   union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), own as (
-  select *, replace(replace(replace(replace(text, '\', '\\'), '</turn>', '\e'), '### ', '\h'), '<|', '\p') as safe,
-    replace(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '\e'), '### ', '\h'), '<|', '\p'), ':', '\c') as safe_role
+  select *, replace(replace(replace(text, '\', '\\'), '<', '\l'), '#', '\h') as safe,
+    replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '#', '\h'), ':', '\c') as safe_role
   from turns
 ), grouped as (
   select conv_id, count(*) as n_turns,
@@ -54,6 +54,48 @@ from grouped
 """
 
 
+def chat_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with typed parts: each turn's text in two halves around an image, a sound of the turn's length and a document.
+
+    Sizes follow from the text, so that placeholders, references and expanded token counts of
+    every turn are checked.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    ref = lambda kind: F.concat(F.lit(kind + "-"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit("-"), F.coalesce(F.col("turn").cast("string"), F.lit("")))
+    fields = {"kind": "string", "text": "string", "ref": "string", "width": "int", "height": "int", "seconds": "double", "pages": "int"}
+    part = lambda **k: F.struct(*[k.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields.items()])
+    parts = F.array(
+        part(kind=F.lit("text"), text=F.substring(text, F.lit(1), half)),
+        part(kind=F.lit("image"), ref=ref("i"), width=F.length(text), height=F.lit(28)),
+        part(kind=F.lit("text"), text=F.substring(text, half + 1, F.length(text))),
+        part(kind=F.lit("audio"), ref=ref("a"), seconds=F.length(text) / 16),
+        part(kind=F.lit("document"), ref=ref("d"), pages=F.floor(F.length(text) / 1000)),
+    )
+    out = chat.format_conversations(turns.select("conv_id", "turn", "role", parts.alias("parts")), "parts")
+    return out.select("conv_id", F.sha2("formatted", 256).alias("formatted_sha256"), F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a.kind, a.ref, a.tokens.cast("string"))), ",").alias("attached"), "n_expanded_tokens")
+
+
+ORACLE_ATTACHMENTS = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, length(coalesce(text, '')) as n from conversations
+), own as (
+  select *, replace(replace(replace(replace(role, '\', '\'), '<', '\l'), '#', '\h'), ':', '\c') as safe_role,
+    replace(replace(replace(substr(text, 1, n // 2), '\', '\'), '<', '\l'), '#', '\h') as a, replace(replace(replace(substr(text, n // 2 + 1), '\', '\'), '<', '\l'), '#', '\h') as b,
+    '-' || coalesce(cast(conv_id as varchar), '') || '-' || coalesce(cast(turn as varchar), '') as ref,
+    greatest(1, cast(ceil(n / 14.0) as bigint) * 2) as i, greatest(1, cast(ceil(n / 16.0 * 25) as bigint)) as s, greatest(1, n // 1000 * 512) as d
+  from turns
+), lines as (
+  select *, '### ' || safe_role || ': ' || a || '<|image:0|>' || b || '<|audio:1|><|document:2|></turn>' || chr(10) as line,
+    'image:i' || ref || ':' || i || ',audio:a' || ref || ':' || s || ',document:d' || ref || ':' || d as files from own
+)
+select conv_id, sha256(string_agg(line, '' order by turn nulls first, line)) as formatted_sha256, string_agg(files, ',' order by turn nulls first, line) as attached,
+  cast(sum(i + s + d) as bigint) as n_expanded_tokens
+from lines group by conv_id
+"""
+
+
 def op4_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, word for word or with other numbers, names or units."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -165,10 +207,12 @@ QUERIES = {
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op9_bradley_terry": op9_bradley_terry,
     "op10_repair_grammar": op10_repair_grammar,
+    "chat_attachments": chat_attachments,
 }
 
 ORACLES = {
     "op5_cascade_rules": ORACLE_5,
     "op7_blob_ledger": ORACLE_7,
     "op3_typed_content_parts": ORACLE_3,
+    "chat_attachments": ORACLE_ATTACHMENTS,
 }
