@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.llm.optimise import conjugate
 from strataflow.llm.text import slices, words_of
 from strataflow.session import cut
 
@@ -191,7 +192,7 @@ def fit_rows(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...]
             return _back(u * odds, rows, value, length, d) + pull * x + counterfactual * np.bincount(i, v * x[j], minlength=d + 2)
 
         scale = np.r_[np.bincount(rows.feature, value**2 * u[rows.row], minlength=d)[:d], (u * length**2).sum(), u.sum()] + pull + diagonal
-        step = _conjugate(times, slope, scale, near=min(0.1, np.sqrt(np.sqrt(slope @ slope))))
+        step = conjugate(times, slope, scale, near=min(0.1, np.sqrt(np.sqrt(slope @ slope))))
         size = 1.0
         while True:  # halve until the loss falls
             new = objective(w - size * step, rows, d, changes, counterfactual, ridge)
@@ -206,25 +207,6 @@ def fit_rows(rows: Rows, features: list[str], kinds: tuple[tuple[str, ...], ...]
     return Model(float(w[d + 1]), float(w[d]), dict(zip(features, w[:d].tolist(), strict=True)), kinds, k)
 
 
-def _conjugate(times, b: np.ndarray, scale: np.ndarray, near: float, rounds: int = 100) -> np.ndarray:
-    """The solution of ``times``(x) = b, preconditioned by the diagonal ``scale``."""
-    x, r = np.zeros_like(b), b.copy()
-    z = r / scale
-    p, rz = z.copy(), r @ z
-    first = np.sqrt(b @ b)
-    for _ in range(rounds):
-        if np.sqrt(r @ r) <= near * first or rz == 0:
-            break
-        q = times(p)
-        a = rz / (p @ q)
-        x += a * p
-        r -= a * q
-        z = r / scale
-        rz, before = r @ z, rz
-        p = z + rz / before * p
-    return x
-
-
 def odds_of(rows: Rows, features: list[str], model: Model) -> np.ndarray:
     w = np.array([model.weights.get(f, 0.0) for f in features])
     return np.bincount(rows.row, np.log1p(rows.count) * w[rows.feature], minlength=len(rows.y))[: len(rows.y)] + model.length * np.log1p(rows.n_words) + model.bias
