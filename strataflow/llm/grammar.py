@@ -24,8 +24,8 @@ MIN_COUNT = 3
 
 MAGIC = b"RPG2"
 HEAD = struct.Struct("<4sIIIQ")
-#: Slots of the filter that a round's pairs are looked up in first, as a power of two.
-FILTER_BITS = 20
+#: Slots of the table that a round's pairs are looked up in first, as a power of two.
+TABLE_BITS = 20
 
 SHARD_SCHEMA = "part int, shard int, first_id long, n_docs long, n_ids long, doc_ids array<long>, n_symbols long, body binary"
 
@@ -39,8 +39,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, min_c
     nonterminals pair up in later rounds, which go on until no pair is frequent (or for
     ``rounds``). ``ends`` are the n running totals of ids.
     """
-    terminals, seq = np.unique(ids, return_inverse=True)
-    first = len(terminals)
+    there = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
+    there[ids] = True
+    terminals, first = np.flatnonzero(there), int(there.sum())
+    seq = (np.cumsum(there) - 1)[ids]
     last = np.zeros(len(seq), bool)
     last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
     owner_ends = ends.copy()
@@ -57,14 +59,16 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, min_c
         pairs = ordered[starts[np.diff(np.r_[starts, len(ordered)]) >= min_count]]
         if not len(pairs):
             break
-        # most places hold no frequent pair: a small table settles these before the search
-        slot = lambda k: (k.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - FILTER_BITS)
-        table = np.zeros(1 << FILTER_BITS, bool)
-        table[slot(pairs)] = True
-        where = np.flatnonzero(table[slot(key)] & open_)
-        at = np.searchsorted(pairs, key[where])
-        at[at == len(pairs)] = 0
-        hit = pairs[at] == key[where]
+        # a table by hash leads to the pair; only pairs that share a slot are searched for
+        slot = lambda k: (k.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - TABLE_BITS)
+        table = np.full(1 << TABLE_BITS, -1, np.int32)
+        table[slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
+        at = table[slot(key)]
+        where = np.flatnonzero((at >= 0) & open_)
+        at, own = at[where].astype(np.int64), key[where]
+        other = np.flatnonzero(pairs[at] != own)
+        at[other] = np.minimum(np.searchsorted(pairs, own[other]), len(pairs) - 1)
+        hit = pairs[at] == own
         where, at = where[hit], at[hit]
         # of a run of overlapping hits every other one is replaced
         new_run = np.r_[True, np.diff(where) > 1]
@@ -82,7 +86,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, min_c
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         last[where] = last[where + 1]
-        owner_ends = owner_ends - np.r_[0, np.cumsum(~keep)][owner_ends]
+        owner_ends = owner_ends - np.searchsorted(where, owner_ends - 1)
         seq, last = seq[keep], last[keep]
         rules = np.concatenate([rules, np.stack([pairs // span, pairs % span], axis=1)])
     return seq.astype(np.int64), owner_ends, rules, terminals
