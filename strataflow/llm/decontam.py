@@ -28,7 +28,7 @@ def marked_words(text: Column) -> Column:
     """
     t = F.translate(F.coalesce(text.cast("string"), F.lit("")), NAME_MARK + UNIT_MARK + NAME_JOIN, "   ")
     t = F.regexp_replace(t, r"(?<=\p{N})(\s?)((?i:" + UNITS + r"))(?![\p{L}\p{N}])", "$1 " + UNIT_MARK + "$2")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{M}\p{N}\x02])(?=\p{Lu}\p{Ll})", NAME_MARK)
+    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{M}\p{N}\x02])", NAME_MARK)
     t = F.regexp_replace(t, r"(\x01[\p{L}\p{M}\p{N}]+) (?=\x01)", "$1" + NAME_JOIN)
     return F.filter(F.split(t, r"(?:[^\p{L}\p{M}\p{N}\x01-\x03.,]|(?<!\p{N})[.,]|[.,](?!\p{N}))+"), lambda w: w != "")
 
@@ -92,8 +92,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
     if not widths:
         widths = [width]
     keyed = docs.select(F.col("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
-    hashed = keyed.select("doc_id", "row", window_hashes(F.transform(marked_words(F.col("text")), template), widths).alias("h"))
-    places = hashed.select("doc_id", "row", F.inline("h").alias("d_pos", "hash"))
+    # the generator takes the expression itself: over a column, Spark would filter empty arrays first and compute them twice
+    places = keyed.select("doc_id", "row", F.inline(window_hashes(F.transform(marked_words(F.col("text")), template), widths)).alias("d_pos", "hash"))
     met = cut(places.join(items.select("hash", "item", "form", "i_pos"), "hash").select("doc_id", "row", "item", "form", "i_pos", "d_pos").distinct())
     pair = ["row", "item", "form"]
     counts = items.select("item", "form", "item_id", "width", "n_windows").distinct()
@@ -102,8 +102,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
 
     wanted = met.select("row").distinct()
     texts = keyed.join(wanted, "row", "left_semi").dropDuplicates(["row"])
-    spelt = texts.select("row", let(marked_words(F.col("text")), lambda w: F.transform(w, lambda _, i: F.struct(i.alias("d_pos"), F.transform(F.slice(w, i + 1, width), plain).alias("d_words")))).alias("s"))
-    met = met.join(spelt.select("row", F.inline("s")), ["row", "d_pos"])
+    spelt = let(marked_words(F.col("text")), lambda w: F.transform(w, lambda _, i: F.struct(i.alias("d_pos"), F.transform(F.slice(w, i + 1, width), plain).alias("d_words"))))
+    met = met.join(texts.select("row", F.inline(spelt)), ["row", "d_pos"])
     met = met.join(items.select("item", "form", "i_pos", "i_words").distinct(), ["item", "form", "i_pos"])
     slots = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct(F.get("i_words", k).alias("i"), F.get("d_words", k).alias("d")))
     met = met.withColumn("slots", slots).withColumn("literal", F.forall("slots", lambda z: z.i == z.d))
