@@ -25,8 +25,8 @@ SLOT_BITS, MIN_DOCS, MIN_Z = 10, 5, 3.0
 RIDGE = 1e-3
 #: Scores from this on are predicted as label 1.
 CUT = 0.7
-#: Texts of a matrix at most.
-ROWS = 256
+#: Texts of a matrix, signs that are hashed at once, and bytes of text of a slice, at most (a longer text stands alone).
+ROWS, CHUNK, SLICE_BYTES = 256, 1 << 18, 1 << 21
 
 #: What a text's n-grams don't tell: its size and how much of it repeats.
 SHAPE = ("log_words", "word_length", "distinct_words", "distinct_windows", "distinct_lines")
@@ -38,46 +38,48 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h >> np.uint32(32 - SLOT_BITS)
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and slot of each n-gram of each text, in the order of the text, and each text's number of n-grams.
+def kinds_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The kinds of all signs of the texts, with a blank before each text and behind the last, and where each text begins.
 
-    N-grams are of one, two and three signs; a letter stands for its case only, a digit for
-    any digit, so that slots tell how a text is written and not what it is about.
+    A letter stands for its case only and a digit for any digit, so that n-grams tell how a
+    text is written and not what it is about.
     """
     texts = pc.fill_null(texts, "")
-    code = np.frombuffer(" ".join(["", *texts.to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    size = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    row = np.repeat(np.arange(len(texts)), size)
-    kind = code.copy()
-    kind[(code >= 97) & (code <= 122)] = 97
-    kind[(code >= 65) & (code <= 90)] = 65
-    kind[(code >= 48) & (code <= 57)] = 48
-    high = np.flatnonzero(code >= 128)
+    kind = np.frombuffer(" ".join(["", *texts.to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
+    begin = np.r_[0, np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)] + 1
+    kind[(kind >= 97) & (kind <= 122)] = 97
+    kind[(kind >= 65) & (kind <= 90)] = 65
+    kind[(kind >= 48) & (kind <= 57)] = 48
+    high = np.flatnonzero(kind >= 128)
     if len(high):
-        distinct, back = np.unique(code[high], return_inverse=True)
-        case = np.array([97 if c.islower() else 65 if c.isupper() else 97 if c.isalpha() else 48 if c.isdigit() else ord(c) for c in map(chr, distinct.tolist())], dtype=np.uint32)
-        kind[high] = case[back]
-    c = kind.astype(np.uint32)
-    # a break before and behind each text keeps neighbours apart
-    a, b, d = c[:-2] * np.uint32(0x9E3779B1), c[1:-1] * np.uint32(0x85EBCA77), c[2:] * np.uint32(0xC2B2AE3D)
-    slots = np.stack([_mix(b + np.uint32(1)), _mix((a ^ b) + np.uint32(2)), _mix((a ^ b ^ d) + np.uint32(3))], axis=1)
-    own = row[: len(slots)]
-    inside = np.flatnonzero(_inside(size))
-    return np.repeat(own[inside], 3), slots[inside].ravel().astype(np.int64), 3 * (size - 1)
+        distinct, back = np.unique(kind[high], return_inverse=True)
+        kind[high] = np.array([97 if c.islower() else 65 if c.isupper() else 97 if c.isalpha() else 48 if c.isdigit() else ord(c) for c in map(chr, distinct.tolist())], dtype=np.uint32)[back]
+    return kind, begin
 
 
-def _inside(size: np.ndarray) -> np.ndarray:
-    """Which places between the first and the last sign of the joined texts are signs of a text: all but each text's own break."""
-    out = np.ones(int(size.sum()), bool)
-    out[np.cumsum(size) - 1] = False
-    return out
+def grams(kind: np.ndarray) -> np.ndarray:
+    """Signs x 3: the slots of the one, two and three signs around each sign but the first and the last."""
+    a, b, d = kind[:-2] * np.uint32(0x9E3779B1), kind[1:-1] * np.uint32(0x85EBCA77), kind[2:] * np.uint32(0xC2B2AE3D)
+    return np.stack([_mix(b + np.uint32(1)), _mix((a ^ b) + np.uint32(2)), _mix((a ^ b ^ d) + np.uint32(3))], axis=1)
 
 
 def slot_counts(texts: pa.Array) -> np.ndarray:
-    """Texts x slots: how often each slot occurs."""
-    row, slot, _ = grams(texts)
-    width = 1 << SLOT_BITS
-    return np.bincount(row * width + slot, minlength=len(texts) * width).reshape(len(texts), width)
+    """Texts x slots: how often each slot occurs. Texts of any length are taken CHUNK signs at a time."""
+    kind, begin = kinds_of(texts)
+    width, n = 1 << SLOT_BITS, len(texts)
+    total = np.zeros((n + 1, width), np.int64)
+    for a in range(1, len(kind) - 1, CHUNK):
+        b = min(a + CHUNK, len(kind) - 1)
+        first, last = np.searchsorted(begin, [a, b - 1], side="right") - 1
+        # the texts of this chunk and its signs of each; a text's own blank in front goes to the row behind the last text
+        edges = np.clip(begin[first : last + 2], a, b)
+        row = np.repeat(np.arange(last - first + 1), np.diff(edges))
+        slot = grams(kind[a - 1 : b + 1])
+        blank = begin[first + 1 : last + 2] - 1 - a
+        row[blank[(blank >= 0) & (blank < b - a)]] = last - first + 1
+        counts = np.bincount((row[:, None] * width + slot).ravel(), minlength=(last - first + 2) * width).reshape(-1, width)
+        total[first : last + 1] += counts[: last - first + 1]
+    return total[:n]
 
 
 def shapes(texts: pa.Array) -> np.ndarray:
@@ -216,7 +218,7 @@ def held_out(doc_id: Column) -> Column:
 def _slot_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, 1 << SLOT_BITS), np.int64)
     for batch in batches:
-        for wide in slices(batch):
+        for wide in slices(batch, most=SLICE_BYTES):
             for a in range(0, wide.num_rows, ROWS):
                 part = wide.slice(a, ROWS)
                 has = slot_counts(part.column("text")) > 0
@@ -229,7 +231,7 @@ def _slot_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features(batches: Iterator[pa.RecordBatch], slots: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE_BYTES):
             x = features_of(part.column("text"), slots).astype(np.float32)
             wide = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([part.column("h"), part.column("quality"), wide], names=["h", "quality", "x"])
@@ -261,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> R
 def _score(batches: Iterator[pa.RecordBatch], ranking: Ranking, keep: bool) -> Iterator[pa.RecordBatch]:
     slots = np.array(ranking.slots, dtype=np.int64)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE_BYTES):
             score = ranking.score(features_of(part.column("text"), slots))
             if keep:
                 yield part.filter(pa.array(score >= CUT))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from strataflow.llm import quality
 
@@ -26,19 +27,19 @@ def brute_grams(text):
     return out
 
 
-def test_grams_equal_brute_force():
-    row, slot, n = quality.grams(pa.array(TEXTS))
-    name_of = {}
+@pytest.mark.parametrize("chunk", [1, 5, 1 << 18])
+def test_grams_equal_brute_force(monkeypatch, chunk):
+    monkeypatch.setattr(quality, "CHUNK", chunk)
+    counts = quality.slot_counts(pa.array(TEXTS))
     for k, t in enumerate(TEXTS):
-        want = brute_grams(t)
-        own = Counter(slot[row == k].tolist())
-        assert sum(own.values()) == sum(want.values()) == n[k]
-        # the same n-gram has the same slot in every text
-        t = " " + "".join(map(brute_kind, t or "")) + " "
-        spelt = [g for i in range(1, len(t) - 1) for g in (("1", t[i]), ("2", t[i - 1 : i + 1]), ("3", t[i - 1 : i + 2]))]
-        for g, s in zip(spelt, slot[row == k].tolist(), strict=True):
-            assert name_of.setdefault(g, s) == s
-    assert (quality.slot_counts(pa.array(TEXTS)).sum(axis=1) == n).all()
+        kind, _ = quality.kinds_of(pa.array([t], pa.string()))
+        assert "".join(map(chr, kind)) == " " + "".join(map(brute_kind, t or "")) + " "
+        own = Counter(quality.grams(kind).ravel().tolist())
+        assert sum(own.values()) == sum(brute_grams(t).values())
+        assert {s: int(c) for s, c in enumerate(counts[k]) if c} == own
+    # the same n-gram has the same slot wherever it stands
+    one, two = (quality.grams(quality.kinds_of(pa.array([t]))[0]) for t in ("x#1b y", "q#7c?"))
+    assert (one[1:3] == two[1:3]).all()
 
 
 def brute_shape(text):
