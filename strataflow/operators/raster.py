@@ -135,14 +135,14 @@ def mosaic(first: DataFrame, second: DataFrame, value: str) -> DataFrame:
 def fill_gaps(grid: DataFrame, most: float) -> DataFrame:
     """(r, c, v): cells without a value take that of the nearest cell with one, at most ``most`` cells away."""
     pts = grid.select(F.struct("r", "c").alias("code"), C("c").cast("double").alias("x"), C("r").cast("double").alias("y"), "v")
-    near = nearest(pts.where("v is null"), pts.where("v is not null"), 1, min(most, 4.0), carry=("v",), most=most)
+    near = nearest(pts.where("v is null"), pts.where("v is not null"), 1, carry=("v",), most=most)
     return grid.select(F.struct("r", "c").alias("a"), "r", "c", "v").join(near.select("a", "b_v"), "a", "left").select("r", "c", F.coalesce("v", "b_v").alias("v"))
 
 
 def distance_transform(grid: DataFrame, features: DataFrame, res: float) -> DataFrame:
     """(r, c, dist): distance of each cell to the nearest feature cell."""
     pts = lambda g: g.select(F.struct("r", "c").alias("code"), C("c").cast("double").alias("x"), C("r").cast("double").alias("y"))
-    near = nearest(pts(grid), pts(features), 1, 4.0)
+    near = nearest(pts(grid), pts(features), 1)
     return near.select("a.r", "a.c", (C("d") * res).alias("dist"))
 
 

@@ -68,39 +68,72 @@ def both_ways(pairs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return pairs.select(*there).unionByName(pairs.select(*back))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, carry: tuple[str, ...] = (), exclude_self: bool = False, most: float | None = None, where: str | None = None) -> DataFrame:
-    """The ``k`` nearest right points of each left point: (a, b, d, rank), ties by code.
+#: Cells of a level along one side of a cell of the level above.
+FAN = 4
+#: Levels of the pyramid at most: the finest cells are then FAN ** DEPTH times smaller than the extent.
+DEPTH = 12
 
-    Points whose k-th neighbour lies within ``radius`` are settled; the others look again
-    with twice the radius, until all are settled or ``most`` (else the extent of the right
-    side) is reached. Each round joins only the open points. ``where`` is a condition on the
-    pairs' columns, such as a difference of folds.
+
+def _levels(points: DataFrame, side: float, x0: float, y0: float, per_cell: float) -> int:
+    """The first level whose occupied cells hold ``per_cell`` points or fewer on average."""
+    cell = lambda d: F.struct(F.floor((F.col("x") - x0) / (side / FAN**d)), F.floor((F.col("y") - y0) / (side / FAN**d)))
+    got = points.agg(F.count("*"), *[F.approx_count_distinct(cell(d)) for d in range(1, DEPTH + 1)]).first()
+    return next((d for d in range(1, DEPTH + 1) if got[0] <= per_cell * max(got[d], 1)), DEPTH)
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, carry: tuple[str, ...] = (), exclude_self: bool = False, most: float | None = None, differ: str | None = None) -> DataFrame:
+    """The ``k`` nearest right points of each left point: (a, b, d, rank, coordinates, ``carry``), ties by code.
+
+    Right points are counted in a pyramid of occupied cells. Each left point goes down from
+    its root: of a level's cells, the nearest that hold k points by their farthest corners
+    bound the distance of its k-th neighbour, and only cells that begin within that bound are
+    opened at the next level. So a point meets the points of a few fine cells, wherever it
+    lies, and no radius is guessed. ``most`` is the largest distance, ``differ`` a carried
+    column whose values have to differ, such as a fold. Rows without coordinates have no
+    neighbours; a left point gets fewer than ``k`` where there are no more.
     """
-    box = right.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    lbox = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if box[0] is None or lbox[0] is None:
-        return cross_pairs(left, right, radius, carry).withColumn("rank", F.lit(1)).limit(0)
-    extent = float(max(box[1], lbox[1]) - min(box[0], lbox[0]) + max(box[3], lbox[3]) - min(box[2], lbox[2]) + 1)
-    limit = min(extent, most) if most else extent
-    out, todo = None, left
-    while True:
-        radius = min(radius, limit)
-        met = cross_pairs(todo, right, radius, carry)
-        if exclude_self:
-            met = met.where("a <> b")
-        if where:
-            met = met.where(where)
-        ranked = met.withColumn("rank", F.expr("row_number() over (partition by a order by d, b)")).where(F.col("rank") <= k)
-        ranked = cut(ranked)
-        last = radius >= limit
-        full = ranked if last else ranked.join(ranked.where(F.col("rank") == k).select("a"), "a", "left_semi")
-        out = full if out is None else out.unionByName(full)
-        if last:
-            return out
-        todo = cut(todo.join(full.select(F.col("a").alias("code")).distinct(), "code", "left_anti"))
-        if todo.isEmpty():
-            return out
-        radius *= 2
+    have = "x is not null and y is not null"
+    l_cols = [F.col("code").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), *[F.col(c).alias(f"a_{c}") for c in carry]]
+    r_cols = [F.col("code").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), *[F.col(c).alias(f"b_{c}") for c in carry]]
+    targets, points = left.where(have).select(*l_cols), right.where(have)
+    box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    x0, y0 = (float(box[0]), float(box[2])) if box[0] is not None else (0.0, 0.0)
+    side = max(float(box[1]) - x0, float(box[3]) - y0, 1e-6) * (1 + 1e-9) if box[0] is not None else 1.0
+    need = k + int(exclude_self)
+    depth = _levels(points, side, x0, y0, max(need / 2, 2.0))
+    group = F.col(differ) if differ else F.lit(0)
+    size = side / FAN**depth
+    placed = points.select(*r_cols, F.floor((F.col("x") - x0) / size).alias("cx"), F.floor((F.col("y") - y0) / size).alias("cy"), group.alias("g"))
+    boxes = lambda frame, keys: frame.groupBy(*keys).agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.min, "x1"), (F.max, "x2"), (F.min, "y1"), (F.max, "y2"))))
+    finest = cut(boxes(placed.select("cx", "cy", "g", F.lit(1).alias("n"), F.col("bx").alias("x1"), F.col("bx").alias("x2"), F.col("by").alias("y1"), F.col("by").alias("y2")), ["cx", "cy", "g"]))
+
+    kept = targets.withColumns({"px": F.lit(0).cast("long"), "py": F.lit(0).cast("long")})
+    names = targets.columns
+    for d in range(1, depth + 1):
+        up = FAN ** (depth - d)
+        cells = finest if up == 1 else boxes(finest.withColumns({"cx": F.floor(F.col("cx") / up), "cy": F.floor(F.col("cy") / up)}), ["cx", "cy", "g"])
+        cells = cells.withColumns({"px": F.floor(F.col("cx") / FAN), "py": F.floor(F.col("cy") / FAN)})
+        met = kept.join(cells, ["px", "py"] if d == 1 else ["px", "py", "g"])
+        if differ and d == 1:
+            met = met.where(F.col(f"a_{differ}") != F.col("g"))
+        dx = F.greatest(F.col("x1") - F.col("ax"), F.col("ax") - F.col("x2"), F.lit(0.0))
+        dy = F.greatest(F.col("y1") - F.col("ay"), F.col("ay") - F.col("y2"), F.lit(0.0))
+        fx = F.greatest(F.abs(F.col("ax") - F.col("x1")), F.abs(F.col("ax") - F.col("x2")))
+        fy = F.greatest(F.abs(F.col("ay") - F.col("y1")), F.abs(F.col("ay") - F.col("y2")))
+        met = met.withColumns({"near": F.sqrt(dx * dx + dy * dy), "far": F.sqrt(fx * fx + fy * fy)})
+        if most is not None:
+            met = met.where(F.col("near") <= most)
+        held = met.withColumn("held", F.expr("sum(n) over (partition by a order by far, cx, cy, g rows between unbounded preceding and current row)"))
+        bound = held.withColumn("bound", F.expr(f"min(case when held >= {need} then far end) over (partition by a)"))
+        kept = bound.where(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-9) + 1e-9)).select(*names, F.col("cx").alias("px"), F.col("cy").alias("py"), "g")
+
+    met = kept.withColumnsRenamed({"px": "cx", "py": "cy"}).join(placed, ["cx", "cy", "g"]).withColumn("d", distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    if exclude_self:
+        met = met.where("a <> b")
+    if most is not None:
+        met = met.where(F.col("d") <= most)
+    ranked = met.withColumn("rank", F.expr("row_number() over (partition by a order by d, b)")).where(F.col("rank") <= k)
+    return ranked.drop("cx", "cy", "g")
 
 
 def inverse_distance(neighbours: DataFrame, value: str, power: float = 2.0, keys: tuple[str, ...] = ("a",), least: float = 1.0) -> DataFrame:

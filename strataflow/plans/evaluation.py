@@ -156,7 +156,7 @@ FOLDS = """, parts as (select code, x, y, z, code % 5 as fold from wells), pairs
 def fold_distances(spark, sf_dir):
     """Distance of each well to the nearest well of another fold."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", (F.col("code") % 5).alias("fold"))
-    near = spatial.nearest(w, w, 1, 2000.0, carry=("fold",), where="a_fold <> b_fold")
+    near = spatial.nearest(w, w, 1, carry=("fold",), differ="fold")
     return near.select(F.col("a").alias("code"), F.col("a_fold").alias("fold"), "d")
 
 

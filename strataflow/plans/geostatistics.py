@@ -29,10 +29,10 @@ def targets(spark, sf_dir):
     return w.crossJoin(F.broadcast(q)).withColumn("y1", (F.col("z") >= F.col("q")).cast("int")).drop("q")
 
 
-def neighbours(spark, sf_dir, radius: float = 2000.0):
-    """(a, b, d, rank, y1 of a, z of b) of all neighbours within ``radius``."""
-    pairs = spatial.both_ways(spatial.radius_pairs(targets(spark, sf_dir), radius, carry=("z", "y1")), carry=("z", "y1"))
-    return pairs.select("a", "b", "d", F.col("a_y1").alias("y1"), F.col("b_z").alias("bz"), F.expr("row_number() over (partition by a order by d, b)").alias("rank"))
+def neighbours(spark, sf_dir, k: int, radius: float = 2000.0):
+    """(a, b, d, rank, y1 of a, z of b) of the ``k`` nearest neighbours within ``radius``."""
+    w = targets(spark, sf_dir)
+    return spatial.nearest(w, w, k, carry=("z", "y1"), exclude_self=True, most=radius).select("a", "b", "d", F.col("a_y1").alias("y1"), F.col("b_z").alias("bz"), "rank")
 
 
 def _rounded(df):
@@ -42,7 +42,7 @@ def _rounded(df):
 @query("knn_auc_by_radius", "wells", NEAR + ", " + "near as (select radius, y1, bz as score from ranked, (values (250), (500), (1000), (2000)) r(radius) where rank = 1 and d <= radius), " + AUC_SQL.format(k="radius", src="near") + " select radius, n, auc from aucs where n >= 30")
 def knn_auc_by_radius(spark, sf_dir):
     """AUC of the nearest neighbour's value for the target, by cumulative radius, where 30 wells or more have one."""
-    near = neighbours(spark, sf_dir).where("rank = 1")
+    near = neighbours(spark, sf_dir, 1)
     by = near.select(F.explode(F.array(*[F.when(F.col("d") <= r, F.lit(r)) for r in RADII])).alias("radius"), "y1", F.col("bz").alias("score")).where("radius is not null")
     return _rounded(metrics.auc(by, "y1", "score", keys=("radius",))).where("n >= 30").select("radius", "n", "auc")
 
@@ -51,7 +51,7 @@ def knn_auc_by_radius(spark, sf_dir):
   from ranked, (values (1), (3), (5), (10)) v(k) where rank <= k group by a, y1, k), """ + AUC_SQL.format(k="k", src="kk") + " select k, n, positives, auc from aucs")
 def knn_auc_k(spark, sf_dir):
     """AUC of the distance-weighted mean of the k nearest values within 2 km."""
-    near = neighbours(spark, sf_dir).where("rank <= 10").select("a", "y1", "bz", "d", F.explode(F.array(*[F.when(F.col("rank") <= k, F.lit(k)) for k in (1, 3, 5, 10)])).alias("k")).where("k is not null")
+    near = neighbours(spark, sf_dir, 10).select("a", "y1", "bz", "d", F.explode(F.array(*[F.when(F.col("rank") <= k, F.lit(k)) for k in (1, 3, 5, 10)])).alias("k")).where("k is not null")
     score = spatial.inverse_distance(near, "bz", 1.0, keys=("a", "y1", "k")).withColumn("score", F.round("value", 9))
     return _rounded(metrics.auc(score, "y1", "score", keys=("k",))).select("k", "n", "positives", "auc")
 
@@ -59,7 +59,7 @@ def knn_auc_k(spark, sf_dir):
 @query("auc_distance_bands", "wells", NEAR + """, near as (select case when d <= 250 then 250 when d <= 500 then 500 when d <= 1000 then 1000 else 2000 end as band, y1, bz as score from ranked where rank = 1), """ + AUC_SQL.format(k="band", src="near") + " select band, n, positives, auc, round(positives / n, 6) as prevalence from aucs where n >= 30")
 def auc_distance_bands(spark, sf_dir):
     """AUC and prevalence by the distance band of the nearest neighbour."""
-    near = neighbours(spark, sf_dir).where("rank = 1")
+    near = neighbours(spark, sf_dir, 1)
     band = F.when(F.col("d") <= 250, 250).when(F.col("d") <= 500, 500).when(F.col("d") <= 1000, 1000).otherwise(2000)
     got = _rounded(metrics.auc(near.select(band.alias("band"), "y1", F.col("bz").alias("score")), "y1", "score", keys=("band",)))
     return got.where("n >= 30").select("band", "n", "positives", "auc", F.round(F.col("positives") / F.col("n"), 6).alias("prevalence"))
@@ -142,7 +142,7 @@ r as (select *, row_number() over (partition by a order by d, b) as rank from pa
 def knn_pairs(spark, sf_dir):
     """The three nearest wells of each well, at any distance."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y")
-    return spatial.nearest(w, w, 3, 1500.0, exclude_self=True).select("a", "b", F.col("rank").cast("int").alias("rank"), F.round("d", 6).alias("d"))
+    return spatial.nearest(w, w, 3, exclude_self=True).select("a", "b", F.col("rank").cast("int").alias("rank"), F.round("d", 6).alias("d"))
 
 
 def zone_medians(spark, sf_dir, size: float, least: int):
@@ -184,7 +184,7 @@ select a as cell, round(sum(z / pow(greatest(d, 1), 2)) / sum(1 / pow(greatest(d
 def idw_grid(spark, sf_dir):
     """Inverse-distance mean of the twelve nearest wells on each grid cell."""
     cells = relation(spark, sf_dir, "grid").select((F.col("r") * 100000 + F.col("c")).alias("code"), ((F.col("c") + 0.5) * 1500).alias("x"), ((F.col("r") + 0.5) * 1500).alias("y"), F.lit(0.0).alias("z"))
-    near = spatial.nearest(cells, relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), 12, 6000.0, carry=("z",))
+    near = spatial.nearest(cells, relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), 12, carry=("z",))
     return spatial.inverse_distance(near, "b_z", 2.0).select(F.col("a").alias("cell"), F.round("value", 6).alias("value"))
 
 

@@ -120,11 +120,11 @@ def cells(spark, sf_dir):
 def ok_kriging(spark, sf_dir):
     """Ordinary kriging of z on the grid."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
-    return kriging.ordinary_kriging(w, "z", cells(spark, sf_dir), LAGS, radius=6000.0).select(C("code").alias("cell"), F.round("estimate", 6).alias("estimate"))
+    return kriging.ordinary_kriging(w, "z", cells(spark, sf_dir), LAGS).select(C("code").alias("cell"), F.round("estimate", 6).alias("estimate"))
 
 
 @query("regression_kriging")
 def regression_kriging(spark, sf_dir):
     """A plane plus kriged residuals on the grid."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
-    return kriging.regression_kriging(w, "z", cells(spark, sf_dir), LAGS, radius=6000.0).select(C("code").alias("cell"), F.round("estimate", 6).alias("estimate"))
+    return kriging.regression_kriging(w, "z", cells(spark, sf_dir), LAGS).select(C("code").alias("cell"), F.round("estimate", 6).alias("estimate"))

@@ -191,7 +191,7 @@ def delta_depth(spark, sf_dir):
     b = w.groupBy(F.floor(C("x") / 20000).alias("bx"), F.floor(C("y") / 20000).alias("bb")).agg(F.percentile(delta, F.lit(0.5)).alias("delta"), F.count("*").alias("n")).where("n >= 8")
     ctr = b.select((C("bx") * 100 + C("bb")).alias("code"), ((C("bx") + 0.5) * 20000).alias("x"), ((C("bb") + 0.5) * 20000).alias("y"), "delta")
     cells = grid(spark, sf_dir).select(F.struct("r", "c").alias("code"), ((C("c") + 0.5) * 1500).alias("x"), ((C("r") + 0.5) * 1500).alias("y"), "v", F.lit(0.0).alias("delta"))
-    near = spatial.nearest(cells, ctr.withColumn("v", F.lit(0.0)), 4, 60000.0, carry=("delta", "v"))
+    near = spatial.nearest(cells, ctr.withColumn("v", F.lit(0.0)), 4, carry=("delta", "v"))
     got = spatial.inverse_distance(near, "b_delta", 2.0, keys=("a", "a_v"))
     return got.select("a.r", "a.c", r6(F.greatest(F.lit(20.0), F.least(F.lit(160.0), C("a_v") / 50 + C("value"))), "depth"))
 
@@ -203,7 +203,7 @@ def water_table(spark, sf_dir):
     """Ground level less the interpolated depth to water, which is held at 0 or more."""
     w = relation(spark, sf_dir, "wells").where("static_sheet between 0 and 120").select("code", "x", "y", C("static_sheet").alias("s"), F.lit(0.0).alias("v"))
     cells = grid(spark, sf_dir).select(F.struct("r", "c").alias("code"), ((C("c") + 0.5) * 1500).alias("x"), ((C("r") + 0.5) * 1500).alias("y"), F.lit(0.0).alias("s"), "v")
-    near = spatial.nearest(cells, w, 12, 8000.0, carry=("s", "v"))
+    near = spatial.nearest(cells, w, 12, carry=("s", "v"))
     got = spatial.inverse_distance(near, "b_s", 2.0, keys=("a", "a_v"))
     return got.select("a.r", "a.c", r6(C("a_v") - F.greatest(F.lit(0.0), C("value")), "head"))
 

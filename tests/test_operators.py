@@ -33,11 +33,27 @@ def test_radius_pairs_and_nearest_equal_brute_force(spark):
     want = {(a.code, b.code) for a in rows for b in rows if a.code < b.code and d(a, b) <= 120}
     got = spatial.radius_pairs(p, 120.0).collect()
     assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
-    near = {(r.a, r["rank"]): r.b for r in spatial.nearest(p, p, 4, 60.0, exclude_self=True).collect()}
+    near = {(r.a, r["rank"]): r.b for r in spatial.nearest(p, p, 4, exclude_self=True).collect()}
     for a in rows:
         order = sorted((b for b in rows if b.code != a.code), key=lambda b: (d(a, b), b.code))
         assert [near[(a.code, k)] for k in (1, 2, 3, 4)] == [b.code for b in order[:4]]
-    assert spatial.nearest(p.where("false"), p, 2, 10.0).count() == 0
+    assert spatial.nearest(p.where("false"), p, 2).count() == 0 and spatial.nearest(p, p.where("false"), 2).count() == 0
+
+
+def test_nearest_of_far_targets_in_clusters(spark):
+    rng = random.Random(8)
+    right = [(i, rng.gauss(c, 3), rng.gauss(-c, 3), i % 3) for i, c in enumerate([0, 0, 0, 500, 500, 9000] * 60)] + [(1000 + i, 42.0, 42.0, i % 2) for i in range(40)]
+    left = [(5000 + i, rng.uniform(-20000, 20000), rng.uniform(-20000, 20000), i % 3) for i in range(60)] + [(5100, 42.0, 42.0, 0), (5101, 41.0, 42.0, 1), (5102, None, 1.0, 1)]
+    schema = "code long, x double, y double, fold int"
+    r, t = spark.createDataFrame(right, schema), spark.createDataFrame(left, schema)
+    dist = lambda a, b: math.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2)
+    for k, most, differ in ((5, None, None), (2, None, "fold"), (3, 9000.0, None), (500, None, None)):
+        got = {}
+        for x in spatial.nearest(t, r, k, carry=("fold",), most=most, differ=differ).collect():
+            got.setdefault(x.a, []).append((x["rank"], x.b))
+        for a in left[:-1]:
+            order = sorted((dist(a, b), b[0]) for b in right if not differ or a[3] != b[3])
+            assert [b for _, b in sorted(got.get(a[0], []))] == [b for d, b in order[:k] if most is None or d <= most]
 
 
 def test_components_of_chains_stars_and_rings(spark):
