@@ -40,18 +40,42 @@ def laplacian(grid: DataFrame, res: float) -> DataFrame:
     return grid.withColumn("lap", (total - 4 * C("v")) / (res * res))
 
 
+def _mirrored(at: Column, n: Column, before: int, after: int) -> Column:
+    """The places from -before to n + after - 1 that place ``at`` of ``n`` is mirrored to, its own included."""
+    turns = F.sequence(-F.ceil(F.lit(before) / (2 * n)) - 1, F.ceil(F.lit(after) / (2 * n)) + 1)
+    places = F.flatten(F.transform(turns, lambda k: F.array(at + 2 * n * k, 2 * n - 1 - at + 2 * n * k)))
+    return F.filter(places, lambda p: (p >= -before) & (p < n + after))
+
+
+def reflected(grid: DataFrame, before: int, after: int) -> DataFrame:
+    """(r, c, v, pr, pc): ``grid`` with its cells mirrored at the edges of its bounding box.
+
+    Places pr and pc reach ``before`` back and ``after`` on beyond the box; an edge cell is its
+    own first mirror image, and a box narrower than the reach is mirrored again and again.
+    """
+    box = grid.agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+    out = grid.crossJoin(F.broadcast(box))
+    for x in ("r", "c"):
+        out = out.withColumn(f"p{x}", F.explode(_mirrored(C(x) - C(f"{x}1"), C(f"{x}2") - C(f"{x}1") + 1, before, after)))
+        out = out.withColumn(f"p{x}", C(f"p{x}") + C(f"{x}1"))
+    return out.select("r", "c", "v", "pr", "pc")
+
+
 def box_stats(grid: DataFrame, size: int) -> DataFrame:
-    """Adds n, s1, s2: count, sum and sum of squares in a size x size window cut at the edges.
+    """Adds n, s1, s2: count, sum and sum of squares in a size x size window, mirrored at the edges.
 
     The window reaches size // 2 back and size - size // 2 - 1 on, by one window function
     down the columns and one along the rows.
     """
     a, b = size // 2, size - size // 2 - 1
     frame = f"rows between {a} preceding and {b} following"
-    one = grid.withColumn("__n", F.expr(f"count(v) over (partition by c order by r {frame})")).withColumn("__1", F.expr(f"sum(v) over (partition by c order by r {frame})")).withColumn("__2", F.expr(f"sum(v * v) over (partition by c order by r {frame})"))
+    one = reflected(grid.select("r", "c", "v"), a, b)
+    for out, own in (("__n", "count(v)"), ("__1", "sum(v)"), ("__2", "sum(v * v)")):
+        one = one.withColumn(out, F.expr(f"{own} over (partition by pc order by pr {frame})"))
+    one = one.where("pr = r")
     for out, own in (("n", "__n"), ("s1", "__1"), ("s2", "__2")):
-        one = one.withColumn(out, F.expr(f"sum({own}) over (partition by r order by c {frame})"))
-    return one.drop("__n", "__1", "__2")
+        one = one.withColumn(out, F.expr(f"sum({own}) over (partition by pr order by pc {frame})"))
+    return one.where("pc = c").select("r", "c", "v", "n", "s1", "s2")
 
 
 def box_sum_sparse(cells: DataFrame, before: int, after: int) -> DataFrame:
@@ -92,12 +116,12 @@ def flow_accumulation(directions: DataFrame, max_rounds: int = 64) -> DataFrame:
         state = state.join(add, "k", "left").join(down, "t", "left").select("k", C("t2").alias("t"), (C("acc") + F.coalesce("more", F.lit(0))).alias("acc"))
         state = cut(state)
         if state.where(C("t").isNotNull()).isEmpty():
-            break
-    return state.select("k.r", "k.c", "acc")
+            return state.select("k.r", "k.c", "acc")
+    raise ValueError(f"paths are longer than 2^{max_rounds} cells, or directions form a ring")
 
 
 def height_above_drainage(directions: DataFrame, streams: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(r, c, hand): height above the first stream cell downstream, at least 0; null where none is reached. Pointer jumping."""
+    """(r, c, hand): height above the first stream cell downstream, at least 0, or above the last cell of a path without one. Pointer jumping."""
     s = streams.select("r", "c", F.lit(True).alias("stream"))
     d = directions.join(s, ["r", "c"], "left")
     own = F.struct("r", "c")
@@ -110,8 +134,10 @@ def height_above_drainage(directions: DataFrame, streams: DataFrame, max_rounds:
         state = now
         if same:
             break
-    end = state.select(C("k").alias("t"), C("v").alias("base"), C("stream").alias("wet"))
-    return state.select("k", "t", "v").join(end, "t").select("k.r", "k.c", F.when(C("wet"), F.greatest(F.lit(0.0), C("v") - C("base"))).alias("hand"))
+    else:
+        raise ValueError(f"paths are longer than 2^{max_rounds} cells, or directions form a ring")
+    end = state.select(C("k").alias("t"), C("v").alias("base"))
+    return state.select("k", "t", "v").join(end, "t").select("k.r", "k.c", F.greatest(F.lit(0.0), C("v") - C("base")).alias("hand"))
 
 
 def block_median(points: DataFrame, value: str, size: float, keys: tuple[str, ...] = ()) -> DataFrame:

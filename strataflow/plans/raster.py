@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strataflow.adapters import relation
 from strataflow.operators import raster, spatial, tiles
 from strataflow.plans.registry import query
+from strataflow.session import cut
 
 C = F.col
 RES = 60.0
@@ -43,75 +44,131 @@ def laplacian(spark, sf_dir):
     return raster.laplacian(grid(spark, sf_dir), RES).select("r", "c", r6("lap", "curvature"))
 
 
-def _box(a: int, b: int, what: str) -> str:
-    return f" select g.r, g.c, {what} from grid g join grid n on n.r between g.r - {a} and g.r + {b} and n.c between g.c - {a} and g.c + {b} group by g.r, g.c"
+def _box(src: str, size: int, what: str) -> str:
+    """A size x size window over ``src``, mirrored at the edges of the grid."""
+    a = size // 2
+    return f""" select s.r, s.c, {what} from (select g.r, g.c, pmod(g.r + i, 2 * h) as mr, pmod(g.c + j, 2 * w) as mc, h, w from {src} g, ext, (select unnest(range(-{a}, {size - a})) as i), (select unnest(range(-{a}, {size - a})) as j)) s
+  join {src} n on n.r = case when mr < h then mr else 2 * h - 1 - mr end and n.c = case when mc < w then mc else 2 * w - 1 - mc end group by s.r, s.c""".replace("pmod(g.r + i, 2 * h)", "((g.r + i) % (2 * h) + 2 * h) % (2 * h)").replace("pmod(g.c + j, 2 * w)", "((g.c + j) % (2 * w) + 2 * w) % (2 * w)")
 
 
-@query("tri", "grid", _box(1, 1, "round(stddev_pop(n.v), 5) as tri"))
+EXT = ", ext as (select max(r) + 1 as h, max(c) + 1 as w from grid)"
+
+
+@query("tri", "grid", EXT + _box("grid", 3, "round(stddev_pop(n.v), 5) as tri"))
 def tri(spark, sf_dir):
-    """Ruggedness: population standard deviation in 3 x 3 windows cut at the edges."""
+    """Ruggedness: population standard deviation in 3 x 3 windows mirrored at the edges."""
     b = raster.box_stats(grid(spark, sf_dir), 3)
     var = F.greatest(F.lit(0.0), C("s2") / C("n") - (C("s1") / C("n")) * (C("s1") / C("n")))
     return b.select("r", "c", F.round(F.sqrt(var), 5).alias("tri"))
 
 
-@query("focal_mean", "grid", ", a as (" + _box(2, 2, "avg(n.v) as m5") + "), b as (" + _box(3, 2, "avg(n.v) as m6") + ") select r, c, round(m5, 6) as m5, round(m6, 6) as m6 from a join b using (r, c)")
+def focal(source, sizes: dict[str, int]):
+    """(r, c, and a mean for each window) of a raster's values."""
+    out = None
+    for name, size in sizes.items():
+        one = raster.box_stats(source, size).select("r", "c", r6(C("s1") / C("n"), name))
+        out = one if out is None else out.join(one, ["r", "c"])
+    return out
+
+
+@query("focal_mean", "grid", EXT + ", a as (" + _box("grid", 5, "avg(n.v) as m5") + "), b as (" + _box("grid", 6, "avg(n.v) as m6") + ") select r, c, round(m5, 6) as m5, round(m6, 6) as m6 from a join b using (r, c)")
 def focal_mean(spark, sf_dir):
     """Means in windows of five and of six cells; an even window reaches further back."""
-    g = grid(spark, sf_dir)
-    five = raster.box_stats(g, 5).select("r", "c", r6(C("s1") / C("n"), "m5"))
-    return five.join(raster.box_stats(g, 6).select("r", "c", r6(C("s1") / C("n"), "m6")), ["r", "c"])
+    return focal(grid(spark, sf_dir), {"m5": 5, "m6": 6})
+
+
+#: Windows of focal means, in cells: twice the radius in metres over the resolution, and one.
+FOCAL = {f"f{m}": max(3, int(2 * m / RES) + 1) for m in (250, 500, 1000)}
+
+
+@query("focal_slope", "grid", GRAD + ", sl as (select r, c, degrees(atan(sqrt(gr * gr + gc * gc))) as v from g)" + EXT + "".join(f", {n} as (" + _box("sl", k, f"avg(n.v) as {n}") + ")" for n, k in FOCAL.items()) + " select r, c, " + ", ".join(f"round({n}, 6) as {n}" for n in FOCAL) + " from f250 join f500 using (r, c) join f1000 using (r, c)")
+def focal_slope(spark, sf_dir):
+    """Mean slope within 250, 500 and 1000 m."""
+    slope = raster.gradient(grid(spark, sf_dir), RES).select("r", "c", F.degrees(F.atan(F.hypot("gr", "gc"))).alias("v"))
+    return focal(slope, FOCAL)
+
+
+AROUND = ", o(k, i, j) as (values (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1))"
+# lowest levels that drain to the frame, relaxed until none falls
+FILL = AROUND + """, frame as (select r, c, v from grid where (r, c) not in (select n.r - i, n.c - j from grid n, o group by all having count(*) = 8)),
+fill as (with recursive f(r, c, h) using key (r, c) as (select r, c, v from frame union
+  select n.r, n.c, min(greatest(n.v, f.h + 1e-4)) from f, o join grid n on n.r = f.r + i and n.c = f.c + j left join recurring.f as old on old.r = n.r and old.c = n.c
+  where old.h is null or greatest(n.v, f.h + 1e-4) < old.h group by n.r, n.c) select r, c, h as v from f)"""
+
+
+@query("priority_flood", "grid", FILL + " select grid.r, grid.c, grid.v, round(fill.v, 6) as filled from grid join fill using (r, c)")
+def priority_flood(spark, sf_dir):
+    """The terrain with its depressions filled so that every cell drains."""
+    return tiles.fill_depressions(grid(spark, sf_dir)).select("r", "c", "v", r6("filled"))
 
 
-D8 = """, o(k, i, j) as (values (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1)),
-drops as (select g.r, g.c, n.r as tr, n.c as tc, k, (g.v - n.v) / (sqrt(i * i + j * j) * 60) as slope from grid g, o join grid n on n.r = g.r + i and n.c = g.c + j where g.v > n.v),
+def filled(spark, sf_dir):
+    """The terrain that water runs over: without depressions."""
+    return tiles.fill_depressions(grid(spark, sf_dir)).select("r", "c", C("filled").alias("v"))
+
+
+D8 = FILL + """, drops as (select g.r, g.c, n.r as tr, n.c as tc, k, (g.v - n.v) / (sqrt(i * i + j * j) * 60) as slope from fill g, o join fill n on n.r = g.r + i and n.c = g.c + j where g.v > n.v),
 d as (select * from (select *, row_number() over (partition by r, c order by slope desc, k) as rank from drops) where rank = 1)"""
 
 
 @query("d8_direction", "grid", D8 + " select g.r, g.c, tr, tc from grid g left join d using (r, c)")
 def d8_direction(spark, sf_dir):
-    """Where each cell drains to."""
-    return raster.d8(grid(spark, sf_dir), RES).select("r", "c", "tr", "tc")
+    """Where each cell of the filled terrain drains to."""
+    return raster.d8(filled(spark, sf_dir), RES).select("r", "c", "tr", "tc")
+
+
+ACC = D8 + """, acc as (with recursive p(r, c, tr, tc) as (select r, c, r, c from grid union all select p.r, p.c, d.tr, d.tc from p join d on d.r = p.tr and d.c = p.tc) select tr as r, tc as c, count(*) as acc from p group by tr, tc)"""
 
 
-@query("flow_accumulation", "grid", D8 + """, paths as (with recursive p(r, c, tr, tc) as (select r, c, r, c from grid union all select p.r, p.c, d.tr, d.tc from p join d on d.r = p.tr and d.c = p.tc) select tr as r, tc as c, count(*) as acc from p group by tr, tc) select r, c, acc from paths""")
+@query("flow_accumulation", "grid", ACC + " select r, c, acc from acc")
 def flow_accumulation(spark, sf_dir):
     """Cells that drain through each cell."""
-    return raster.flow_accumulation(raster.d8(grid(spark, sf_dir), RES))
+    return raster.flow_accumulation(raster.d8(filled(spark, sf_dir), RES))
 
 
-ACC = D8 + """, acc as (with recursive p(r, c, tr, tc) as (select r, c, r, c from grid union all select p.r, p.c, d.tr, d.tc from p join d on d.r = p.tr and d.c = p.tc) select tr as r, tc as c, count(*) as acc from p group by tr, tc)"""
+WET = ACC + ", wet as (select r, c from acc where acc * 3600 / 1e6 >= 0.02)"
+
+
+def streams(directions):
+    """Cells that drain 0.02 square kilometres or more."""
+    return raster.flow_accumulation(directions).where(C("acc") * RES * RES / 1e6 >= 0.02).select("r", "c")
 
 
-@query("stream_mask", "grid", ACC + " select r, c from acc where acc * 3600 / 1e6 >= 0.02")
+@query("stream_mask", "grid", WET + " select r, c from wet")
 def stream_mask(spark, sf_dir):
     """Cells that drain 0.02 square kilometres or more."""
-    return raster.flow_accumulation(raster.d8(grid(spark, sf_dir), RES)).where(C("acc") * RES * RES / 1e6 >= 0.02).select("r", "c")
+    return streams(raster.d8(filled(spark, sf_dir), RES))
 
 
 @query("twi", "grid", ACC + GRAD + " select r, c, round(ln(acc * 60 / tan(radians(greatest(degrees(atan(sqrt(gr * gr + gc * gc))), 0.1)))), 6) as twi from acc join g using (r, c)")
 def twi(spark, sf_dir):
-    """Topographic wetness index."""
-    acc = raster.flow_accumulation(raster.d8(grid(spark, sf_dir), RES))
+    """Topographic wetness index: flow over the filled terrain, slope of the raw one."""
+    acc = raster.flow_accumulation(raster.d8(filled(spark, sf_dir), RES))
     slope = F.greatest(F.degrees(F.atan(F.hypot("gr", "gc"))), F.lit(0.1))
     return acc.join(raster.gradient(grid(spark, sf_dir), RES), ["r", "c"]).select("r", "c", r6(F.log(C("acc") * RES / F.tan(F.radians(slope))), "twi"))
 
 
-@query("hand", "grid", ACC + """, wet as (select r, c from acc where acc * 3600 / 1e6 >= 0.02),
-down as (with recursive p(r, c, tr, tc) as (select r, c, r, c from grid union all select p.r, p.c, d.tr, d.tc from p join d on d.r = p.tr and d.c = p.tc where not exists (select 1 from wet where wet.r = p.tr and wet.c = p.tc))
-  select p.r, p.c, p.tr, p.tc from p join wet on wet.r = p.tr and wet.c = p.tc)
-select g.r, g.c, round(greatest(0, g.v - b.v), 6) as hand from grid g left join down on down.r = g.r and down.c = g.c left join grid b on b.r = down.tr and b.c = down.tc""".replace("greatest(0, g.v - b.v)", "case when b.v is not null then greatest(0, g.v - b.v) end"))
+@query("hand", "grid", WET + """, down as (with recursive p(r, c, tr, tc) as (select r, c, r, c from grid union all select p.r, p.c, d.tr, d.tc from p join d on d.r = p.tr and d.c = p.tc where not exists (select 1 from wet where wet.r = p.tr and wet.c = p.tc))
+  select p.r, p.c, p.tr, p.tc from p where exists (select 1 from wet where wet.r = p.tr and wet.c = p.tc) or not exists (select 1 from d where d.r = p.tr and d.c = p.tc))
+select g.r, g.c, round(greatest(0, g.v - b.v), 6) as hand from fill g join down on down.r = g.r and down.c = g.c join fill b on b.r = down.tr and b.c = down.tc""")
 def hand(spark, sf_dir):
-    """Height above the nearest stream cell downstream."""
-    d = raster.d8(grid(spark, sf_dir), RES)
-    streams = raster.flow_accumulation(d).where(C("acc") * RES * RES / 1e6 >= 0.02)
-    return raster.height_above_drainage(d, streams).select("r", "c", r6("hand"))
+    """Height above the nearest stream cell downstream on the filled terrain, or above the end of a path that meets none."""
+    d = cut(raster.d8(filled(spark, sf_dir), RES))
+    return raster.height_above_drainage(d, streams(d)).select("r", "c", r6("hand"))
 
 
-@query("priority_flood")
-def priority_flood(spark, sf_dir):
-    """The terrain with its depressions filled so that every cell drains."""
-    return tiles.fill_depressions(grid(spark, sf_dir)).select("r", "c", "v", r6("filled"))
+@query("drainage_density", "grid", WET + ", m as (select grid.r, grid.c, case when wet.r is null then 0.0 else 1.0 end as v from grid left join wet on wet.r = grid.r and wet.c = grid.c)" + EXT + _box("m", 33, "round(avg(n.v), 6) as density"))
+def drainage_density(spark, sf_dir):
+    """Share of stream cells in windows of 2 km."""
+    wet = stream_mask(spark, sf_dir).withColumn("wet", F.lit(1.0))
+    mask = grid(spark, sf_dir).join(wet, ["r", "c"], "left").select("r", "c", F.coalesce("wet", F.lit(0.0)).alias("v"))
+    return focal(mask, {"density": int(2000 / RES)})
+
+
+@query("drainage_distance", "grid", WET + " select g.r, g.c, round(60 * min(sqrt((g.r - w.r) * (g.r - w.r) + (g.c - w.c) * (g.c - w.c))), 6) as dist from grid g, wet w group by g.r, g.c")
+def drainage_distance(spark, sf_dir):
+    """Distance to the nearest stream cell."""
+    return raster.distance_transform(grid(spark, sf_dir), stream_mask(spark, sf_dir), RES).select("r", "c", r6("dist"))
 
 
 @query("distance_transform", "grid", """, f as (select r, c from grid where v > 1000 and (r * 7 + c) % 11 = 0), d as (select g.r, g.c, min(sqrt((g.r - f.r) * (g.r - f.r) + (g.c - f.c) * (g.c - f.c))) as d from grid g, f group by g.r, g.c) select r, c, round(d * 60, 6) as dist from d""")
@@ -210,8 +267,15 @@ def water_table(spark, sf_dir):
 
 @query("vertical_derivative")
 def vertical_derivative(spark, sf_dir):
-    """First vertical derivative, by tiles."""
-    return tiles.map_tiles(grid(spark, sf_dir), lambda a: tiles.vertical_derivative(a, RES)).select("r", "c", r6("value"))
+    """First vertical derivative of the whole raster."""
+    return tiles.vertical_derivative(grid(spark, sf_dir), RES).select("r", "c", r6("value"))
+
+
+@query("tilt_angle")
+def tilt_angle(spark, sf_dir):
+    """Tilt: the angle of the vertical derivative against the total horizontal gradient."""
+    g = raster.gradient(grid(spark, sf_dir), RES).select("r", "c", F.hypot("gr", "gc").alias("ght"))
+    return g.join(tiles.vertical_derivative(grid(spark, sf_dir), RES), ["r", "c"]).select("r", "c", r6("ght"), r6(F.atan2(C("value"), F.greatest(C("ght"), F.lit(1e-9))), "tilt"))
 
 
 @query("lineament_extract")

@@ -148,13 +148,35 @@ def test_flow_and_drainage(spark):
     acc = {r.c: r.acc for r in raster.flow_accumulation(d).collect()}
     assert acc == {c: c + 1 for c in range(10)}
     hand = {r.c: r.hand for r in raster.height_above_drainage(d, grid.where("c = 6")).collect()}
-    assert [hand[c] for c in (0, 5, 6)] == [6.0, 1.0, 0.0] and hand[9] is None
-
-
-def test_vertical_derivative_and_segments():
-    x = np.arange(64)
-    wave = np.cos(2 * np.pi * 4 * x / 64)[None, :] * np.ones((64, 1))
-    assert np.allclose(tiles.vertical_derivative(wave, 1.0), 2 * np.pi * 4 / 64 * wave, atol=1e-9)
+    assert [hand[c] for c in (0, 5, 6)] == [6.0, 1.0, 0.0] and hand[9] == 0.0 and hand[7] == 2.0
+
+
+def test_vertical_derivative_of_the_whole_raster(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, (300, 37)).cumsum(axis=0) + 50
+    holes, absent = rng.random(v.shape) < 0.05, rng.random(v.shape) < 0.05
+    absent[17] = True  # a whole row
+    absent[0, 0] = absent[-1, -1] = False
+    rows = [(r - 5, c + 2, None if holes[r, c] else float(v[r, c])) for r in range(300) for c in range(37) if not absent[r, c]]
+    held = np.where(holes | absent, np.median([x for _, _, x in rows if x is not None]), v)
+    k = 2 * np.pi * np.hypot(np.fft.fftfreq(300, 2.0)[:, None], np.fft.fftfreq(37, 2.0)[None, :])
+    want = np.fft.ifft2(np.fft.fft2(held) * k).real
+    got = tiles.vertical_derivative(spark.createDataFrame(rows, "r int, c int, v double").repartition(5), 2.0).collect()
+    assert len(got) == len(rows) and all(abs(x.value - want[x.r + 5, x.c - 2]) < 1e-9 for x in got)
+    assert tiles.vertical_derivative(spark.createDataFrame([], "r int, c int, v double"), 1.0).count() == 0
+
+
+@pytest.mark.parametrize("size", [3, 6, 17])
+def test_windows_are_mirrored_at_the_edges(spark, size):
+    v = np.random.default_rng(size).normal(0, 1, (7, 4))
+    padded = np.pad(v, [(size // 2, size - size // 2 - 1)] * 2, mode="symmetric")
+    want = np.lib.stride_tricks.sliding_window_view(padded, (size, size)).mean(axis=(2, 3))
+    grid = spark.createDataFrame([(r + 3, c - 1, float(v[r, c])) for r in range(7) for c in range(4)], "r int, c int, v double")
+    got = raster.box_stats(grid, size).collect()
+    assert len(got) == 28 and all(abs(x.s1 / x.n - want[x.r - 3, x.c + 1]) < 1e-9 and x.n == size * size for x in got)
+
+
+def test_segments():
     mask = np.zeros((40, 40), bool)
     mask[10, 5:35] = True
     got = tiles.hough_segments(mask)
