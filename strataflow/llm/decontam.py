@@ -11,6 +11,9 @@ from strataflow.session import cut
 #: Words of a window, and the share of an item's windows that a document has to hold.
 WINDOW = 5
 SHARE = 0.8
+#: Places of hits, of four bytes each, up to which they are broadcast to the texts; beyond, both sides are shuffled by row.
+BROADCAST_PLACES = 4_000_000
+
 # Units that may follow a number.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ml|cl|l|s|sec|min|h|hr|hrs|hours|minutes|seconds|days|weeks|months|years|miles|feet|inches|metres|meters|litres|liters|grams|dollars|euros|pounds|cents|percent|usd|eur|mph|kmh|kwh|kw|w|v|hz|gb|mb|kb"
 
@@ -98,11 +101,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
     pair = ["row", "item", "form"]
     counts = items.select("item", "form", "item_id", "width", "n_windows").distinct()
     able = met.groupBy(*pair).agg(F.count_distinct("i_pos").alias("n")).join(counts, ["item", "form"]).where(F.col("n") >= share * F.col("n_windows"))
-    met = met.join(able.select(*pair, "item_id", "width", "n_windows"), pair)
-
-    wanted = met.select("row").distinct()
-    texts = keyed.join(wanted, "row", "left_semi").dropDuplicates(["row"])
-    spelt = let(marked_words(F.col("text")), lambda w: F.transform(w, lambda _, i: F.struct(i.alias("d_pos"), F.transform(F.slice(w, i + 1, width), plain).alias("d_words"))))
+    met = cut(met.join(able.select(*pair, "item_id", "width", "n_windows"), pair))
+
+    # of each such row only the words of its hits are fetched; the rows' places are as many as the row has words at most
+    wanted = cut(met.groupBy("row").agg(F.collect_set("d_pos").alias("places")))
+    if wanted.agg(F.coalesce(F.sum(F.size("places") + 4), F.lit(0))).first()[0] <= BROADCAST_PLACES:
+        wanted = F.broadcast(wanted)
+    texts = keyed.join(wanted, "row").dropDuplicates(["row"])
+    spelt = let(marked_words(F.col("text")), lambda w: F.transform("places", lambda i: F.struct(i.alias("d_pos"), F.transform(F.slice(w, i + 1, width), plain).alias("d_words"))))
     met = met.join(texts.select("row", F.inline(spelt)), ["row", "d_pos"])
     met = met.join(items.select("item", "form", "i_pos", "i_words").distinct(), ["item", "form", "i_pos"])
     slots = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct(F.get("i_words", k).alias("i"), F.get("d_words", k).alias("d")))

@@ -87,6 +87,11 @@ def test_equal_to_brute_force(spark, case):
     assert got == {(d, i) for d, t in docs for i, q in items if brute_holds(t, q)}
 
 
+def test_equal_where_places_are_not_broadcast(spark, case, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_PLACES", 0)
+    test_equal_to_brute_force(spark, case)
+
+
 def test_recall_of_reparameterised_items(spark, case):
     items, docs = case
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
