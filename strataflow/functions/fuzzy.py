@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.operators.metrics import quantiles
 
 
 def membership(value: Column, low: Column, high: Column, inverted: bool = False) -> Column:
@@ -25,16 +26,20 @@ def gamma(members: list[Column], g: float = 0.9) -> Column:
 def gamma_score(frame: DataFrame, columns: list[tuple[str, bool]], name: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Adds ``name``: the fuzzy gamma of ``columns`` (name, inverted) between their quantiles."""
     at = [(c, q, f"__{s}_{c}") for c, _ in columns for q, s in ((low, "a"), (high, "b"))]
-    q = frame.agg(*[F.expr(f"percentile({c}, {p}D)").alias(n) for c, p, n in at])
+    q = side_by_side([quantiles(frame, c, [low, high], [f"__a_{c}", f"__b_{c}"]) for c, _ in columns])
     joined = frame.crossJoin(F.broadcast(q))
     members = [membership(F.col(c), F.col(f"__a_{c}"), F.col(f"__b_{c}"), inv) for c, inv in columns]
     return joined.withColumn(name, gamma(members)).drop(*[n for _, _, n in at])
 
 
-def impute_median(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing values replaced by their column's exact median."""
-    q = frame.agg(*[F.expr(f"percentile({c}, 0.5D)").alias(f"__m_{c}") for c in columns])
-    joined = frame.crossJoin(F.broadcast(q))
-    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in columns}).drop(*[f"__m_{c}" for c in columns])
+def side_by_side(rows: list[DataFrame]) -> DataFrame:
+    """Frames of one row each as one row."""
+    return reduce(lambda a, b: a.crossJoin(b), rows)
 
 
+def impute_median(frame: DataFrame, columns: list[str], source: DataFrame | None = None) -> DataFrame:
+    """Missing values replaced by their column's exact median in ``source``, such as a training side (by default the frame itself)."""
+    source = frame if source is None else source
+    q = side_by_side([quantiles(source, c, [0.5], [f"__m_{c}"]) for c in columns])
+    joined = frame.crossJoin(F.broadcast(q))
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in columns}).drop(*[f"__m_{c}" for c in columns])

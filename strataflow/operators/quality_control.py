@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.operators import metrics
 from strataflow.operators.components import connected_components
 from strataflow.operators.spatial import radius_pairs
 
@@ -53,13 +54,16 @@ def losers(groups: DataFrame, scores: DataFrame) -> DataFrame:
 def overlapping(intervals: DataFrame) -> DataFrame:
     """(code, n_overlaps): pairs of intervals of one code that share a stretch, for codes that have any.
 
-    Sweeps each code's intervals by top: an interval overlaps the earlier ones whose base is
-    below its top, found by a range of the self-join on code.
+    Of all pairs of a code's intervals those are apart where one ends at or above the other's
+    top; a running count of ends along the tops finds them, so that a code with many
+    intervals costs a sort. Intervals without a length, or with a missing bound, share none.
     """
-    a = intervals.select("code", F.col("rn").alias("r1"), F.col("top_m").alias("t1"), F.col("base_m").alias("b1"))
-    b = intervals.select("code", F.col("rn").alias("r2"), F.col("top_m").alias("t2"), F.col("base_m").alias("b2"))
-    met = a.join(b, "code").where("r1 < r2 and t1 < b2 and t2 < b1")
-    return met.groupBy("code").agg(F.count("*").alias("n_overlaps"))
+    have = intervals.where("base_m > top_m")
+    ends = have.select("code", F.col("base_m").alias("at"), F.lit(0).alias("top")).unionByName(have.select("code", F.col("top_m").alias("at"), F.lit(1).alias("top")))
+    counted = ends.withColumn("ended", F.expr("sum(1 - top) over (partition by code order by at, top rows between unbounded preceding and current row)"))
+    n = F.sum("top")
+    apart = counted.groupBy("code").agg((n * (n - 1) / 2 - F.sum(F.when(F.col("top") == 1, F.col("ended")))).cast("long").alias("n_overlaps"))
+    return apart.where("n_overlaps > 0")
 
 
 def gaps(intervals: DataFrame, most: float = 2.0) -> DataFrame:
@@ -84,7 +88,7 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def mad_outliers(frame: DataFrame, value: str, group: str, least: int = 30, most: float = 3.0) -> DataFrame:
     """Rows further than ``most`` median absolute deviations from their group's median, in groups of ``least`` rows or more."""
-    med = frame.groupBy(group).agg(F.expr(f"percentile({value}, 0.5D)").alias("med"), F.count(value).alias("n"))
-    dev = frame.join(F.broadcast(med), group).withColumn("dev", F.abs(F.col(value) - F.col("med")))
-    mad = dev.groupBy(group).agg(F.expr("percentile(dev, 0.5D)").alias("mad"))
-    return dev.join(F.broadcast(mad), group).where((F.col("n") >= least) & (F.col("mad") > 0) & (F.col("dev") / F.col("mad") > most))
+    med = metrics.median(frame, value, (group,))
+    dev = frame.join(med, group).withColumn("dev", F.abs(F.col(value) - F.col("med")))
+    mad = metrics.quantiles(dev, "dev", [0.5], ["mad"], (group,))
+    return dev.join(mad, group).where((F.col("n") >= least) & (F.col("mad") > 0) & (F.col("dev") / F.col("mad") > most))

@@ -36,6 +36,12 @@ def weights(units: DataFrame, unit: str, repetitions: int, seed: int = 0) -> Dat
     return reps.withColumn("w", poisson_weight(uniform(F.col(unit), F.col("rep"), F.lit(seed))).cast("double")).where("w > 0")
 
 
+def fixed_weights(units: DataFrame, repetitions: int) -> DataFrame:
+    """(code, rep, c): weights that any engine can compute, (code * 31 + rep * 17 + code * rep) mod 4."""
+    reps = units.select("code", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep"))
+    return reps.withColumn("c", ((F.col("code") * 31 + F.col("rep") * 17 + F.col("code") * F.col("rep")) % 4).cast("double"))
+
+
 def interval(frame: DataFrame, value: str, keys: tuple[str, ...] = (), least_valid: int = 10) -> DataFrame:
     """n_valid, 2.5 % and 97.5 % points of ``value`` over repetitions; null with fewer than ``least_valid`` valid ones."""
     valid = frame.where(F.col(value).isNotNull() & ~F.isnan(value))

@@ -37,7 +37,7 @@ select score, cast(pos as bigint) as pos, cast(neg as bigint) as neg, cast(sum(n
 def running_negatives(spark, sf_dir):
     """Positives, negatives and the negatives below each distinct score."""
     cells = scores(spark, sf_dir).groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    return cells.withColumn("below", F.expr("sum(neg) over (order by score rows between unbounded preceding and current row) - neg"))
+    return metrics.running_below(cells, "score", "neg").select("score", "pos", "neg", "below")
 
 
 @query("r2_rmse", "scores", ", m as (select avg(v) as mv from scores) select count(*) as n, round(1 - sum((v - v_hat) * (v - v_hat)) / sum((v - mv) * (v - mv)), 6) as r2, round(sqrt(avg((v - v_hat) * (v - v_hat))), 6) as rmse from scores, m")
@@ -187,19 +187,13 @@ REPS = 20
 WEIGHTS = ", reps as (select unnest(range(0, 20)) as rep), wt as (select rep, code, cast((code * 31 + rep * 17 + code * rep) % 4 as double) as c from {t}, reps)"
 
 
-def fixed_weights(frame):
-    """Weights that both engines can compute: (code * 31 + rep * 17 + code * rep) mod 4."""
-    reps = frame.select("code", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1))).alias("rep"))
-    return reps.withColumn("c", ((F.col("code") * 31 + F.col("rep") * 17 + F.col("code") * F.col("rep")) % 4).cast("double"))
-
-
 @query("bootstrap_auc_fixed_w", "scores", WEIGHTS.format(t="scores") + """, cells as (select rep, score as s, sum(c * y) as pos, sum(c * (1 - y)) as neg from scores join wt using (code) group by rep, score),
 run as (select *, sum(neg) over (partition by rep order by s rows between unbounded preceding and current row) - neg as below from cells),
 a as (select rep, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) as auc from run group by rep)
 select count(*) as reps, round(quantile_cont(auc, 0.025), 6) as low, round(quantile_cont(auc, 0.975), 6) as high from a""")
 def bootstrap_auc_fixed_w(spark, sf_dir):
     """Interval of the AUC over repetitions with given weights."""
-    s = scores(spark, sf_dir).join(fixed_weights(scores(spark, sf_dir)), "code")
+    s = scores(spark, sf_dir).join(resample.fixed_weights(scores(spark, sf_dir), REPS), "code")
     ci = resample.interval(metrics.auc(s, "y", "score", "c", keys=("rep",)), "auc")
     return ci.select(F.col("n_valid").alias("reps"), R6("low"), R6("high"))
 
@@ -212,7 +206,7 @@ select count(*) as reps, round(quantile_cont(least(1, gamma / sill), 0.025), 6)
 def bootstrap_nugget_fixed_w(spark, sf_dir):
     """Interval of the nugget with wells drawn by given weights: a pair counts as often as both ends do, the variance is estimated anew."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
-    wt = fixed_weights(w)
+    wt = resample.fixed_weights(w, REPS)
     diff = F.col("a_z") - F.col("b_z")
     pairs = radius_pairs(w, 1000.0, carry=("z",)).select("a", "b", (diff * diff / 2).alias("g"))
     both = pairs.join(wt.select(F.col("code").alias("a"), "rep", F.col("c").alias("ca")), "a").join(wt.select(F.col("code").alias("b"), "rep", F.col("c").alias("cb")), ["b", "rep"])
@@ -226,7 +220,7 @@ def bootstrap_nugget_fixed_w(spark, sf_dir):
 def block_bootstrap_ratio(spark, sf_dir):
     """Interval of the ratio of two models' chance-corrected AUCs, with blocks drawn jointly for both."""
     s = scores(spark, sf_dir).select("block", "y", "p", "p2")
-    s = s.join(F.broadcast(resample.weights(s, "block", 200, 7)), "block")
+    s = s.join(resample.weights(s, "block", 2000, 7), "block")
     first = metrics.auc(s, "y", "p", "w", keys=("rep",)).select("rep", "auc")
     second = metrics.auc(s, "y", "p2", "w", keys=("rep",)).select("rep", F.col("auc").alias("auc2"))
     ratio = first.join(second, "rep").withColumn("ratio", (F.col("auc") - 0.5) / F.nullif(F.col("auc2") - 0.5, F.lit(0.0)))
@@ -237,7 +231,7 @@ def block_bootstrap_ratio(spark, sf_dir):
 def bootstrap_mean(spark, sf_dir):
     """Interval of the mean of v, rows drawn with Poisson weights."""
     s = scores(spark, sf_dir).select("code", "v")
-    w = s.join(resample.weights(s, "code", 100, 1), "code")
+    w = s.join(resample.weights(s, "code", 2000, 1), "code")
     return resample.interval(w.groupBy("rep").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean")), "mean")
 
 
@@ -245,7 +239,7 @@ def bootstrap_mean(spark, sf_dir):
 def bootstrap_auc_pairs(spark, sf_dir):
     """Interval of the AUC, rows drawn with Poisson weights."""
     s = scores(spark, sf_dir).select("code", "y", "score")
-    w = s.join(resample.weights(s, "code", 100, 2), "code")
+    w = s.join(resample.weights(s, "code", 2000, 2), "code")
     return resample.interval(metrics.auc(w, "y", "score", "w", keys=("rep",)), "auc")
 
 

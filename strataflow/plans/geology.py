@@ -8,7 +8,7 @@ from strataflow.adapters import relation
 from strataflow.functions import geometry
 from strataflow.functions import text as tx
 from strataflow.operators import intervals as iv
-from strataflow.operators import raster
+from strataflow.operators import metrics, raster
 from strataflow.plans.registry import query
 from strataflow.session import table
 
@@ -63,7 +63,8 @@ def intake_fraction(spark, sf_dir):
 @query("median_by_unit", "intervals", " select lithology, count(*) as n, round(quantile_cont(thick_m, 0.5), 2) as median from intervals where lithology is not null group by lithology")
 def median_by_unit(spark, sf_dir):
     """Median thickness by class."""
-    return relation(spark, sf_dir, "intervals").where("lithology is not null").groupBy("lithology").agg(F.count("*").alias("n"), F.round(F.expr("percentile_cont(0.5) within group (order by thick_m)"), 2).alias("median"))
+    m = metrics.median(relation(spark, sf_dir, "intervals").where("lithology is not null"), "thick_m", ("lithology",))
+    return m.select("lithology", "n", F.round("med", 2).alias("median"))
 
 
 @query("fill_rate", "flights", " select source, count(*) as n, round(avg(case when mag is not null then 1.0 else 0.0 end), 6) as filled from flights group by source")
@@ -154,19 +155,11 @@ def family_intersection(spark, sf_dir):
     return got.agg(F.count("*").alias("n"), F.sum("r").alias("sum_r"), F.sum("c").alias("sum_c"))
 
 
-@query("lineament_density", "segments", LINE + """, g as (select r, c, 1 as m from (select distinct r, c from cells)), w as (select g.r + i as r, g.c + j as c, count(*) as n from g, (select unnest(range(-5, 6)) as i), (select unnest(range(-5, 6)) as j) group by all)
-select r, c, round(n / 121.0 * 1000 / 30, 6) as density from w where r between 0 and 399 and c between 0 and 399 and r % 20 = 0 and c % 20 = 0""")
-def lineament_density(spark, sf_dir):
-    """Share of crossed cells in 11 x 11 windows, as length a kilometre, every twentieth cell."""
-    mask = raster.rasterise(segments(spark, sf_dir), "family").select("r", "c").distinct().withColumn("v", F.lit(1.0))
-    return raster.box_sum_sparse(mask, 5, 5).where("r between 0 and 399 and c between 0 and 399 and r % 20 = 0 and c % 20 = 0").select("r", "c", F.round(C("value") / 121.0 * 1000 / 30, 6).alias("density"))
-
-
-@query("lineament_density_raster", "segments", LINE + """, g as (select r, c, 1 as m from (select distinct r, c from cells)), w as (select g.r + i as r, g.c + j as c, count(*) as n from g, (select unnest(range(-5, 6)) as i), (select unnest(range(-5, 6)) as j) group by all),
+@query("lineament_density", "segments", LINE + """, g as (select r, c, 1 as m from (select distinct r, c from cells)), w as (select g.r + i as r, g.c + j as c, count(*) as n from g, (select unnest(range(-5, 6)) as i), (select unnest(range(-5, 6)) as j) group by all),
 raster as (select r, c from (select unnest(range(0, 400)) as r), (select unnest(range(0, 400)) as c))
 select r, c, round(coalesce(n, 0) / 121.0 * 1000 / 30, 6) as density from raster left join w using (r, c)""")
-def lineament_density_raster(spark, sf_dir):
-    """The density of ``lineament_density`` at every cell of the raster, 0 where no window holds a crossed cell."""
+def lineament_density(spark, sf_dir):
+    """Share of crossed cells in 11 x 11 windows, as length a kilometre, at every cell of the raster."""
     mask = raster.rasterise(segments(spark, sf_dir), "family").select("r", "c").distinct().withColumn("v", F.lit(1.0))
     cells = spark.range(400 * 400).select(F.floor(C("id") / 400).alias("r"), (C("id") % 400).alias("c"))
     got = cells.join(raster.box_sum_sparse(mask, 5, 5), ["r", "c"], "left")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from strataflow.adapters import relation
 from strataflow.functions.geometry import block
-from strataflow.operators import metrics, spatial, variogram
-from strataflow.plans.registry import ORACLES, query
+from strataflow.operators import metrics, resample, spatial, variogram
+from strataflow.plans.registry import query
+from strataflow.session import cut
 
 RADII = (250, 500, 1000, 2000)
 
@@ -65,18 +66,19 @@ def auc_distance_bands(spark, sf_dir):
     return got.where("n >= 30").select("band", "n", "positives", "auc", F.round(F.col("positives") / F.col("n"), 6).alias("prevalence"))
 
 
-LAG_CASE = "case " + " ".join(f"when d > {a} and d <= {b} then {b}" for a, b in zip(variogram.LAGS[:5], variogram.LAGS[1:5], strict=False)) + " end"
+LAG_CASE = "case " + " ".join(f"when d > {a} and d <= {b} then {b}" for a, b in zip(variogram.LAGS, variogram.LAGS[1:], strict=False)) + " end"
 PAIRS = """, pairs as (select a.code as a, b.code as b, a.z as az, b.z as bz, a.x as ax, a.y as ay, b.x as bx, b.y as by_, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d
-  from {src} a join {src} b on a.code < b.code and abs(a.x - b.x) <= 2000 and abs(a.y - b.y) <= 2000),
-bins as (select *, """ + LAG_CASE + """ as lag, (az - bz) * (az - bz) / 2 as g from pairs where d > 0 and d <= 2000)"""
-LAGS4 = variogram.LAGS[:5]
+  from {src} a join {src} b on a.code < b.code and abs(a.x - b.x) <= 16000 and abs(a.y - b.y) <= 16000),
+bins as (select *, """ + LAG_CASE + """ as lag, (az - bz) * (az - bz) / 2 as g from pairs where d > 0 and d <= 16000)"""
+#: Bins with fewer pairs are dropped, in pairs.
+THIN = 30
 
 
-@query("variogram", "wells", PAIRS.format(src="wells") + " select lag, count(*) as pairs, round(avg(g), 6) as gamma from bins group by lag")
-def variogram_query(spark, sf_dir, lags=LAGS4):
-    """Empirical semivariogram of z up to 2 km."""
+@query("variogram", "wells", PAIRS.format(src="wells") + " select lag, count(*) as pairs, round(avg(g), 6) as gamma from bins group by lag having count(*) >= 30")
+def variogram_query(spark, sf_dir):
+    """Empirical semivariogram of z up to 16 km, without thin bins."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
-    return variogram.variogram(variogram.pair_bins(w, "z", lags)).withColumn("gamma", F.round("gamma", 6))
+    return variogram.variogram(variogram.pair_bins(w, "z"), (), THIN).withColumn("gamma", F.round("gamma", 6))
 
 
 TREND = """, m as (select avg(x) as mx, avg(y) as my, avg(z) as mz from wells),
@@ -85,12 +87,12 @@ b as (select (ut*vv - vt*uv) / (uu*vv - uv*uv) as bx, (vt*uu - ut*uv) / (uu*vv -
 res as (select code, x, y, z - (mz + bx * (x - mx) + by_ * (y - my)) as z from wells, m, b)"""
 
 
-@query("variogram_detrended", "wells", TREND + PAIRS.format(src="res") + ", v as (select var_pop(z) as sill from res) select lag, count(*) as pairs, round(avg(g), 6) as gamma, round(avg(g) / max(sill), 6) as of_sill from bins, v group by lag")
-def variogram_detrended(spark, sf_dir, lags=LAGS4):
+@query("variogram_detrended", "wells", TREND + PAIRS.format(src="res") + ", v as (select var_pop(z) as sill from res) select lag, count(*) as pairs, round(avg(g), 6) as gamma, round(avg(g) / max(sill), 6) as of_sill from bins, v group by lag having count(*) >= 30")
+def variogram_detrended(spark, sf_dir):
     """Semivariogram of the residuals from a plane, and its share of their variance."""
     w = variogram.detrend(relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), "z")
     sill = F.broadcast(w.agg(F.var_pop("z").alias("sill")))
-    v = variogram.variogram(variogram.pair_bins(w, "z", lags)).crossJoin(sill)
+    v = variogram.variogram(variogram.pair_bins(w, "z"), (), THIN).crossJoin(sill)
     return v.select("lag", "pairs", F.round("gamma", 6).alias("gamma"), F.round(F.col("gamma") / F.col("sill"), 6).alias("of_sill"))
 
 
@@ -105,27 +107,27 @@ DIRECTION = "case when azim < 22.5 or azim >= 157.5 then 'N-S' when azim < 67.5
 AZ = "(degrees(atan2(bx - ax, by_ - ay)) + 360) % 180"
 
 
-@query("variogram_directional", "wells", PAIRS.format(src="wells") + f", dirs as (select *, {DIRECTION} as direction from (select *, {AZ} as azim from bins)), v as (select var_pop(z) as sill from wells) select direction, lag, count(*) as pairs, round(avg(g), 6) as gamma, round(100 * avg(g) / max(sill), 4) as pct_sill from dirs, v group by direction, lag")
-def variogram_directional(spark, sf_dir, lags=LAGS4):
+@query("variogram_directional", "wells", PAIRS.format(src="wells") + f", dirs as (select *, {DIRECTION} as direction from (select *, {AZ} as azim from bins)), v as (select var_pop(z) as sill from wells) select direction, lag, count(*) as pairs, round(avg(g), 6) as gamma, round(100 * avg(g) / max(sill), 4) as pct_sill from dirs, v group by direction, lag having count(*) >= 30")
+def variogram_directional(spark, sf_dir):
     """Semivariogram by four directions, as a percentage of the global variance."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
     sill = F.broadcast(w.agg(F.var_pop("z").alias("sill")))
-    v = variogram.variogram(variogram.pair_bins(w, "z", lags, directional=True), ("direction",)).crossJoin(sill)
+    v = variogram.variogram(variogram.pair_bins(w, "z", directional=True), ("direction",), THIN).crossJoin(sill)
     return v.select("direction", "lag", "pairs", F.round("gamma", 6).alias("gamma"), F.round(100 * F.col("gamma") / F.col("sill"), 4).alias("pct_sill"))
 
 
 @query("nugget_fraction", "wells", PAIRS.format(src="wells") + ", v as (select lag, count(*) as pairs, avg(g) as gamma from bins group by lag having count(*) >= 30), f as (select * from v order by lag limit 1) select lag, pairs, round(least(1, gamma / sill), 6) as nugget, round(1 - least(1, gamma / sill), 6) as r2_max from f, (select var_pop(z) as sill from wells)")
-def nugget_fraction(spark, sf_dir, lags=LAGS4):
+def nugget_fraction(spark, sf_dir):
     """Nugget as a share of the variance at the first lag with 30 pairs, and the R2 it leaves."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
-    n = variogram.nugget(variogram.pair_bins(w, "z", lags), w, "z")
+    n = variogram.nugget(variogram.pair_bins(w, "z"), w, "z")
     return n.withColumn("nugget", F.round("nugget", 6)).withColumn("r2_max", F.round("r2_max", 6))
 
 
 @query("first_valid_lag", "wells", PAIRS.format(src="wells") + ", v as (select lag, count(*) as pairs from bins group by lag), ok as (select min(lag) as first_lag from v where pairs >= 100) select first_lag, (select count(*) from v where lag < first_lag) as n_discarded from ok")
-def first_valid_lag(spark, sf_dir, lags=LAGS4):
+def first_valid_lag(spark, sf_dir):
     """The shortest lag with 100 pairs, and how many shorter ones were passed over."""
-    v = variogram.variogram(variogram.pair_bins(relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), "z", lags)).select("lag", "pairs")
+    v = variogram.variogram(variogram.pair_bins(relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), "z")).select("lag", "pairs")
     found = v.agg(F.min(F.when(F.col("pairs") >= 100, F.col("lag"))).alias("first_lag"), F.collect_set("lag").alias("lags"))
     return found.select("first_lag", F.size(F.filter("lags", lambda x: x < F.col("first_lag"))).cast("long").alias("n_discarded"))
 
@@ -167,6 +169,65 @@ def zone_ceiling(spark, sf_dir):
     return _rounded(metrics.auc(near, "y1", "score")).crossJoin(near.agg(F.round(F.corr("am", "score"), 6).alias("r")))
 
 
+SIZES, LEAST_ZONES = (1000, 2000, 4000), 30
+
+
+def _zones_sql(size: int) -> str:
+    z, km = f"z{size}", size / 1000
+    return f""", {z} as (select *, row_number() over (order by bx, by_) as code from (select floor(x / {size}) as bx, floor(y / {size}) as by_, count(*) as n, quantile_cont(z, 0.5) as med from wells group by 1, 2 having count(*) >= 2)),
+{z}t as (select *, case when med >= (select quantile_cont(med, 0.75) from {z}) then 1 else 0 end as y1 from {z}),
+{z}n as (select y1, am, score from (select a.y1, a.med as am, b.med as score, row_number() over (partition by a.bx, a.by_ order by (a.bx - b.bx) * (a.bx - b.bx) + (a.by_ - b.by_) * (a.by_ - b.by_), b.bx, b.by_) as rank from {z}t a join {z}t b on a.code <> b.code) where rank = 1),
+{z}r as (select score, pos, neg, sum(neg) over (order by score rows between unbounded preceding and current row) - neg as below from (select score, sum(y1) as pos, sum(1 - y1) as neg from {z}n group by score)),
+{z}g as (select avg((a.med - b.med) * (a.med - b.med) / 2) as g from {z} a join {z} b on a.code <> b.code and (a.bx - b.bx) * (a.bx - b.bx) + (a.by_ - b.by_) * (a.by_ - b.by_) <= 2.25),
+{z}o as (select cast({km} as double) as size_km, n, case when n >= 30 then (select round(sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0), 6) from {z}r) end as auc,
+  case when n >= 30 then (select round(least(1, g / (select var_samp(med) from {z})), 6) from {z}g) end as nugget, case when n >= 30 then (select round(corr(am, score), 6) from {z}n) end as r from (select count(*) as n from {z}))"""
+
+
+@query("zone_ceilings", "wells", "".join(map(_zones_sql, SIZES)) + " " + " union all ".join(f"select * from z{s}o" for s in SIZES))
+def zone_ceilings(spark, sf_dir):
+    """AUC and correlation of the nearest block's median, and the nugget of adjacent blocks, on blocks of 1, 2 and 4 km; null below 30 blocks."""
+    out = None
+    for size in SIZES:
+        z = zone_medians(spark, sf_dir, float(size), 2)
+        z = z.crossJoin(F.broadcast(metrics.quantiles(z, "med", [0.75], ["q"]))).withColumn("y1", (F.col("med") >= F.col("q")).cast("int"))
+        pts = cut(z.select(F.struct("bx", "by_").alias("code"), F.col("bx").cast("double").alias("x"), F.col("by_").cast("double").alias("y"), "med", "y1"))
+        near = spatial.nearest(pts, pts, 1, carry=("med", "y1"), exclude_self=True).select(F.col("a_y1").alias("y1"), F.col("a_med").alias("am"), F.col("b_med").alias("score"))
+        g = (F.col("a_med") - F.col("b_med")) * (F.col("a_med") - F.col("b_med")) / 2
+        beside = spatial.cross_pairs(pts, pts, 1.5, carry=("med",)).where("a <> b").agg(F.avg(g).alias("g"))
+        whole = pts.agg(F.count("*").alias("n"), F.var_samp("med").alias("s")).crossJoin(beside).crossJoin(near.agg(F.corr("am", "score").alias("r"))).crossJoin(metrics.auc(near, "y1", "score").select("auc"))
+        known = lambda c: F.when(F.col("n") >= LEAST_ZONES, F.round(c, 6))
+        one = whole.select(F.lit(size / 1000).alias("size_km"), "n", known(F.col("auc")).alias("auc"), known(F.least(F.lit(1.0), F.col("g") / F.col("s"))).alias("nugget"), known(F.col("r")).alias("r"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("bootstrap_auc_by_well", "wells", NEAR + """, reps as (select unnest(range(0, 20)) as rep), wt as (select rep, code, cast((code * 31 + rep * 17 + code * rep) % 4 as double) as c from wells, reps),
+near as (select wa.rep, y1, bz as score, wa.c from ranked join wt wa on wa.code = a join wt wb on wb.code = b and wb.rep = wa.rep where rank = 1 and wa.c > 0 and wb.c > 0),
+cells as (select rep, score, sum(c * y1) as pos, sum(c * (1 - y1)) as neg from near group by rep, score),
+run as (select *, sum(neg) over (partition by rep order by score rows between unbounded preceding and current row) - neg as below from cells),
+aucs as (select rep, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) as auc from run group by rep)
+select count(auc) as reps, case when count(auc) >= 10 then round(quantile_cont(auc, 0.025), 6) end as low, case when count(auc) >= 10 then round(quantile_cont(auc, 0.975), 6) end as high from aucs""")
+def bootstrap_auc_by_well(spark, sf_dir):
+    """Interval of the nearest neighbour's AUC with wells drawn by given weights: a row counts where both wells are drawn, as often as its own well."""
+    near = neighbours(spark, sf_dir, 1).select("a", "b", "y1", F.col("bz").alias("score"))
+    return well_bootstrap(near, resample.fixed_weights(relation(spark, sf_dir, "wells"), 20)).select(F.col("n_valid").alias("reps"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+def well_bootstrap(near, weights):
+    """Interval of the AUC over repetitions of ``weights`` (code, rep, c > 0), for rows (a, b, y1, score)."""
+    drawn = weights.where("c > 0")
+    rows = near.join(drawn.select(F.col("code").alias("a"), "rep", "c"), "a").join(drawn.select(F.col("code").alias("b"), "rep"), ["b", "rep"])
+    return resample.interval(metrics.auc(rows, "y1", "score", "c", keys=("rep",)), "auc")
+
+
+@query("bootstrap_neighbour_auc")
+def bootstrap_neighbour_auc(spark, sf_dir, repetitions=1000):
+    """The same interval with wells drawn by Poisson weights in a thousand repetitions."""
+    near = neighbours(spark, sf_dir, 1).select("a", "b", "y1", F.col("bz").alias("score"))
+    drawn = resample.weights(relation(spark, sf_dir, "wells").select("code"), "code", repetitions, 3).withColumnRenamed("w", "c")
+    return well_bootstrap(cut(near), drawn)
+
+
 @query("adjacent_block_nugget", "wells", ZONES + """, pairs as (select (a.med - b.med) * (a.med - b.med) / 2 as g from zones a join zones b on (a.bx <> b.bx or a.by_ <> b.by_) and sqrt((a.bx-b.bx)*(a.bx-b.bx)+(a.by_-b.by_)*(a.by_-b.by_)) <= 1.5)
 select count(*) as pairs, round(least(1, avg(g) / (select var_samp(med) from zones)), 6) as nugget from pairs""")
 def adjacent_block_nugget(spark, sf_dir):
@@ -186,19 +247,3 @@ def idw_grid(spark, sf_dir):
     cells = relation(spark, sf_dir, "grid").select((F.col("r") * 100000 + F.col("c")).alias("code"), ((F.col("c") + 0.5) * 1500).alias("x"), ((F.col("r") + 0.5) * 1500).alias("y"), F.lit(0.0).alias("z"))
     near = spatial.nearest(cells, relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), 12, carry=("z",))
     return spatial.inverse_distance(near, "b_z", 2.0).select(F.col("a").alias("cell"), F.round("value", 6).alias("value"))
-
-
-FAR_CASE = "case " + " ".join(f"when d > {a} and d <= {b} then {b}" for a, b in zip(variogram.LAGS, variogram.LAGS[1:], strict=False)) + " end"
-
-
-def _far(sql):
-    """An oracle of ``PAIRS`` with all lags."""
-    sql = sql.replace(LAG_CASE, FAR_CASE)
-    for bound in ("abs(a.x - b.x) <= ", "abs(a.y - b.y) <= ", "d > 0 and d <= "):
-        sql = sql.replace(f"{bound}{LAGS4[-1]}", f"{bound}{variogram.LAGS[-1]}")
-    return sql
-
-
-# the same five over all lags, up to 16 km
-for _name, _query in (("variogram", variogram_query), ("variogram_detrended", variogram_detrended), ("variogram_directional", variogram_directional), ("nugget_fraction", nugget_fraction), ("first_valid_lag", first_valid_lag)):
-    query(f"{_name}_16km", "", _far(ORACLES[_name]))(lambda spark, sf_dir, f=_query: f(spark, sf_dir, variogram.LAGS))

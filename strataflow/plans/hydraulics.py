@@ -141,13 +141,13 @@ def block_fold_map(spark, sf_dir):
     """Folds dealt to blocks in turn, and the blocks' folds on the wells."""
     w = wells(spark, sf_dir).select("code", block(C("x"), 10000).alias("bx"), block(C("y"), 10000).alias("bb"))
     folds = w.select("bx", "bb").distinct().withColumn("fold", ((F.expr("row_number() over (order by bx, bb)") - 1) % 5).cast("int"))
-    return w.join(F.broadcast(folds), ["bx", "bb"]).select("code", "fold")
+    return w.join(folds, ["bx", "bb"]).select("code", "fold")
 
 
-@query("hydraulic_head", "wells grid", LEVELS + ", cell as (select lv.*, cast(floor(y / 1500) as int) % 50 as r, cast(floor(x / 1500) as int) as c from lv) select cell.code, round(grid.v - static, 6) as head from cell join grid using (r, c) where static is not null")
+@query("hydraulic_head", "wells grid", LEVELS + ", cell as (select lv.*, cast(floor(y / 1500) as int) as r, cast(floor(x / 1500) as int) as c from lv) select cell.code, round(grid.v - static, 6) as head from cell join grid using (r, c) where static is not null")
 def hydraulic_head(spark, sf_dir):
     """Ground level of the well's cell less the static level."""
-    w = levels(spark, sf_dir).where("static is not null").withColumn("r", (F.floor(C("y") / 1500) % 50).cast("int")).withColumn("c", F.floor(C("x") / 1500).cast("int"))
+    w = levels(spark, sf_dir).where("static is not null").withColumn("r", F.floor(C("y") / 1500).cast("int")).withColumn("c", F.floor(C("x") / 1500).cast("int"))
     return w.join(relation(spark, sf_dir, "grid"), ["r", "c"]).select("code", F.round(C("v") - C("static"), 6).alias("head"))
 
 

@@ -168,10 +168,10 @@ def audit_export(spark, sf_dir):
     return flagged(spark, sf_dir).join(n, "code", "left").select("code", "domain", F.array_join("flags", ";").alias("flags"), "approved", "n_intervals", "deepest")
 
 
-@query("value_counts_top", "", "select split_part(text, ' ', 1) as word, count(*) as n from documents group by 1 order by n desc, word limit 15")
+@query("value_counts_top", "", "select word, count(*) as n from (select unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as word from documents) group by 1 order by n desc, word limit 15")
 def value_counts_top(spark, sf_dir):
-    """The fifteen commonest first words."""
-    return table(spark, sf_dir, "documents").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(15)
+    """The fifteen commonest words of all texts."""
+    return table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(15)
 
 
 @query("distinct_and_corr", "wells", " select count(distinct domain) as domains, count(distinct depth_m) as depths, count(distinct flow) as flows, round(corr(depth_m, z), 6) as r_depth, round(corr(x, z), 6) as r_x from wells")

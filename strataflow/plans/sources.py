@@ -75,23 +75,11 @@ def record_sheets_query(spark, sf_dir):
     return parsed.select("s.code", "s.municipality", F.size(screens_of).cast("long").alias("n_screens"), F.get(screens_of, F.lit(0)).top.alias("first_top"), record_sheets.value_by_words(C("s.fields"), ["flow", "stable"]).alias("flow"))
 
 
-@query("line_segments", "wells", """, v as (select domain || '/' || cast(code % 7 as varchar) as line, code, 0 as part, cast(row_number() over (partition by domain, code % 7 order by code) - 1 as int) as i, x, y from wells where code % 3 = 0),
+@query("line_segments", "wells", """, v as (select domain || '/' || cast(code % 7 as varchar) as line, 0 as part, cast(row_number() over (partition by domain, code % 7 order by code) - 1 as int) as i, x, y from wells),
 p as (select line, part, i, x, y, lead(x) over w as x2, lead(y) over w as y2 from v window w as (partition by line order by i)),
 s as (select line, part, i, cast(floor((60000 - y) / 100) as int) as r0, cast(floor((x - 10000) / 100) as int) as c0, cast(floor((60000 - y2) / 100) as int) as r1, cast(floor((x2 - 10000) / 100) as int) as c1 from p where x2 is not null)
 select * from s where (r0 between 0 and 399 and c0 between 0 and 399) or (r1 between 0 and 399 and c1 between 0 and 399)""")
 def line_segments(spark, sf_dir):
-    """Lines through the wells of each domain and residue, as segments on a grid of 400 x 400 cells."""
-    w = relation(spark, sf_dir, "wells").where("code % 3 = 0").withColumn("line", F.concat_ws("/", "domain", (C("code") % 7).cast("string")))
-    vertices = F.transform(F.sort_array(F.collect_list(F.struct("code", "x", "y"))), lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))
-    whole = w.groupBy("line").agg(F.array(vertices).alias("parts"))
-    return lines.segments_of(whole, 10000.0, 60000.0, 100.0, 400, 400)
-
-
-@query("line_segments_whole", "wells", """, v as (select domain || '/' || cast(code % 7 as varchar) as line, 0 as part, cast(row_number() over (partition by domain, code % 7 order by code) - 1 as int) as i, x, y from wells),
-p as (select line, part, i, x, y, lead(x) over w as x2, lead(y) over w as y2 from v window w as (partition by line order by i)),
-s as (select line, part, i, cast(floor((60000 - y) / 100) as int) as r0, cast(floor((x - 10000) / 100) as int) as c0, cast(floor((60000 - y2) / 100) as int) as r1, cast(floor((x2 - 10000) / 100) as int) as c1 from p where x2 is not null)
-select * from s where (r0 between 0 and 399 and c0 between 0 and 399) or (r1 between 0 and 399 and c1 between 0 and 399)""")
-def line_segments_whole(spark, sf_dir):
-    """The segments of ``line_segments`` through all wells; lines are cut into ranges of codes, so that no task holds one whole."""
+    """Lines through the wells of each domain and residue, as segments on a grid of 400 x 400 cells; lines are cut into ranges of codes, so that no task holds one whole."""
     w = relation(spark, sf_dir, "wells").withColumn("line", F.concat_ws("/", "domain", (C("code") % 7).cast("string")))
     return lines.segments_between(w.select("line", "code", "x", "y"), 10000.0, 60000.0, 100.0, 400, 400)
