@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataflow.adapters import relation
+from strataflow.functions import fuzzy
 from strataflow.functions.fuzzy import impute_median
-from strataflow.operators import kriging, metrics, models
+from strataflow.operators import kriging, metrics, models, spatial
 from strataflow.plans.registry import query
 from strataflow.session import cut
 
@@ -14,14 +15,24 @@ C = F.col
 FEATURES = ["depth_m", "flow", "static_sheet", "hours", "qs_cadastre"]
 
 
+#: The registered queries' sizes, below the library's defaults: a forest of 500 trees for each of 10 seeds, 5 folds and 3 depths takes hours on one machine.
+SMALL = {"trees": 20}
+SHORT = {"rounds": 5}
+
+
 def matrix(spark, sf_dir):
-    """Wells with imputed features, coordinates and the target; checkpointed, as models pass over it many times."""
-    w = impute_median(relation(spark, sf_dir, "wells").select("code", "x", "y", "z", *FEATURES), FEATURES)
+    """Wells with features (which may be missing), coordinates and the target; checkpointed, as models pass over it many times."""
+    w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z", *FEATURES)
     q = metrics.quantiles(w, "z", [0.75], ["q"])
     w = w.crossJoin(F.broadcast(q)).withColumn("t", (C("z") >= C("q")).cast("int"))
     return cut(w.select("code", "x", C("y").alias("north"), "z", C("t").alias("y"), *FEATURES))
 
 
+def fitted(kind, features, train, **size):
+    """A model of ``train``."""
+    return models.classifier(kind, features, 42, **size).fit(train)
+
+
 def folded(m, size, folds, seed):
     return models.spatial_folds(m.withColumnRenamed("y", "t").withColumnRenamed("north", "y"), size, folds, seed).withColumnRenamed("y", "north").withColumnRenamed("t", "y")
 
@@ -34,57 +45,80 @@ def spatial_folds(spark, sf_dir):
 
 
 @query("nested_cv")
-def nested_cv(spark, sf_dir):
-    """Out-of-fold AUC of forest, boosted trees and their mean over spatial folds, the depth chosen inside each training side."""
-    m, rows = matrix(spark, sf_dir), None
-    for seed in (1, 2):
-        f = cut(folded(m, 10000.0, 3, seed))
-        depth = models.choose_depth(f, FEATURES, "rf", [3, 5], seed, inner=2)
-        rf = models.cross_validate(f, FEATURES, "rf", "fold", 3, seed, 20, depth).withColumnRenamed("p", "p_rf")
-        gbt = models.cross_validate(f, FEATURES, "gbt", "fold", 3, seed).select("code", C("p").alias("p_gbt"))
-        both = rf.join(gbt, "code").withColumn("p_mean", (C("p_rf") + C("p_gbt")) / 2)
-        long = both.select("y", F.expr("stack(3, 'forest', p_rf, 'boosted', p_gbt, 'mean', p_mean) as (model, p)"))
+def nested_cv(spark, sf_dir, seeds=2, folds=3, depths=(3, 5), inner=2, trees=20, rounds=5):
+    """Out-of-fold AUC of forest, boosted trees, their mean and the fuzzy score on the same rows, over spatial folds; the depth is chosen inside each training side."""
+    m, rows = fuzzy.gamma_score(matrix(spark, sf_dir), [("depth_m", False), ("flow", False), ("static_sheet", True)], "p_fuzzy"), None
+    for seed in range(1, seeds + 1):
+        both = out_of_fold(cut(folded(m, 10000.0, folds, seed)), seed, folds, depths, inner, trees, rounds)
+        long = both.select("y", F.expr("stack(4, 'forest', p_rf, 'boosted', p_gbt, 'mean', p_mean, 'fuzzy', p_fuzzy) as (model, p)"))
         got = metrics.auc(long, "y", "p", keys=("model",)).select(F.lit(seed).alias("seed"), "model", "n", F.round("auc", 6).alias("auc"))
         rows = got if rows is None else rows.unionByName(got)
     return rows
 
 
+def out_of_fold(f, seed, folds, depths, inner, trees, rounds):
+    """The out-of-fold table: every row with p_rf, p_gbt and p_mean from models that haven't seen its fold."""
+    rf = models.cross_validate(f, FEATURES, "rf", "fold", folds, seed, depths, inner, trees=trees).withColumnRenamed("p", "p_rf")
+    gbt = models.cross_validate(f, FEATURES, "gbt", "fold", folds, seed, rounds=rounds).select("code", C("p").alias("p_gbt"))
+    return rf.join(gbt, "code").withColumn("p_mean", (C("p_rf") + C("p_gbt")) / 2)
+
+
+@query("out_of_fold_table")
+def out_of_fold_table(spark, sf_dir):
+    """Every well's fold and out-of-fold probabilities."""
+    f = cut(folded(matrix(spark, sf_dir), 10000.0, 3, 42))
+    return out_of_fold(f, 42, 3, (5,), 2, **SMALL, **SHORT).select("code", "fold", "y", *[F.round(p, 6).alias(p) for p in ("p_rf", "p_gbt", "p_mean")])
+
+
 @query("external_validation")
 def external_validation(spark, sf_dir):
-    """A forest fitted inside a sub-area, with its threshold from there alone, tested outside."""
-    m = matrix(spark, sf_dir)
+    """A forest and boosted trees fitted inside a sub-area, with threshold and medians from there alone, tested outside."""
+    m, rows = matrix(spark, sf_dir), None
     inside = C("x").between(0, 30000) & C("north").between(0, 30000)
     q = metrics.quantiles(m.where(inside), "z", [0.75], ["q"])
-    m = m.drop("y").crossJoin(F.broadcast(q)).withColumn("y", (C("z") >= C("q")).cast("int"))
-    model = models.classifier("rf", FEATURES, 42).fit(m.where(inside))
-    return metrics.auc(models.predict(model, m.where(~inside)), "y", "p").select("n", "positives", F.round("auc", 6).alias("auc"))
+    m = cut(m.drop("y").crossJoin(F.broadcast(q)).withColumn("y", (C("z") >= C("q")).cast("int")))
+    m = cut(impute_median(m, FEATURES, m.where(inside)))
+    train, test = m.where(inside), m.where(~inside)
+    for kind, size in (("rf", SMALL), ("gbt", SHORT)):
+        got = metrics.auc(models.predict(fitted(kind, FEATURES, train, **size), test), "y", "p").select(F.lit(kind).alias("model"), "n", "positives", F.round("auc", 6).alias("auc"))
+        rows = got if rows is None else rows.unionByName(got)
+    return rows
+
+
+#: Predictors of transfer between areas, which coordinates never are.
+COVARIATES = {"all": FEATURES, "without_depth": FEATURES[1:], "levels": ["static_sheet", "depth_m"]}
 
 
 @query("cross_area")
 def cross_area(spark, sf_dir):
-    """Transfer between two areas in both directions, with each area's own threshold; coordinates are no predictors."""
+    """Transfer between two areas in both directions with three sets of covariates, each area's own threshold, and the training side's medians."""
     m, rows = matrix(spark, sf_dir).withColumn("area", (C("x") < 30000).cast("int")), None
-    q = m.groupBy("area").agg(F.expr("percentile(z, 0.75D)").alias("q"))
-    m = cut(m.drop("y").join(F.broadcast(q), "area").withColumn("y", (C("z") >= C("q")).cast("int")))
+    q = metrics.quantiles(m, "z", [0.75], ["q"], ("area",))
+    m = cut(m.drop("y").join(q, "area").withColumn("y", (C("z") >= C("q")).cast("int")))
     for a in (0, 1):
-        for name, features in (("all", FEATURES), ("without_depth", FEATURES[1:])):
-            model = models.classifier("rf", features, 42).fit(m.where(C("area") == a))
-            got = metrics.auc(models.predict(model, m.where(C("area") != a)), "y", "p").select(F.lit(a).alias("from_area"), F.lit(name).alias("features"), "n", F.round("auc", 6).alias("auc"))
+        held = cut(impute_median(m, FEATURES, m.where(C("area") == a)))
+        train, test = held.where(C("area") == a), held.where(C("area") != a)
+        for name, features in COVARIATES.items():
+            got = metrics.auc(models.predict(fitted("rf", features, train, **SMALL), test), "y", "p")
+            got = got.select(F.lit(a).alias("from_area"), F.lit(name).alias("features"), "n", F.round("auc", 6).alias("auc"))
             rows = got if rows is None else rows.unionByName(got)
     return rows
 
 
 @query("permutation_importance")
-def permutation_importance(spark, sf_dir):
-    """Loss of accuracy and of AUC when one feature is dealt anew."""
-    m, rows = matrix(spark, sf_dir), None
-    model = models.classifier("rf", FEATURES, 42).fit(m)
+def permutation_importance(spark, sf_dir, repetitions=2):
+    """Mean loss of accuracy and of AUC, and its deviation, when one feature is dealt anew."""
+    m, rows = cut(impute_median(matrix(spark, sf_dir), FEATURES)), None
+    model = models.classifier("rf", FEATURES, 42, **SMALL).fit(m)
     whole = cut(models.predict(model, m))
     base_auc = metrics.auc(whole, "y", "p").select(C("auc").alias("auc0")).crossJoin(whole.agg(models.accuracy(whole, C("p")).alias("acc0")))
     for f in FEATURES:
-        p = models.predict(model, models.permuted(m, f, 7))
-        got = metrics.auc(p, "y", "p").select("auc").crossJoin(p.agg(models.accuracy(p, C("p")).alias("acc"))).crossJoin(base_auc)
-        got = got.select(F.lit(f).alias("feature"), F.round(C("acc0") - C("acc"), 6).alias("accuracy_loss"), F.round(C("auc0") - C("auc"), 6).alias("auc_loss"))
+        each = None
+        for k in range(repetitions):
+            p = models.predict(model, models.permuted(m, f, 7 + k)).select(F.lit(k).alias("rep"), "y", "p")
+            each = p if each is None else each.unionByName(p)
+        got = metrics.auc(each, "y", "p", keys=("rep",)).select("rep", "auc").join(each.groupBy("rep").agg(models.accuracy(each, C("p")).alias("acc")), "rep").crossJoin(F.broadcast(base_auc))
+        got = got.agg(F.lit(f).alias("feature"), F.round(F.avg(C("acc0") - C("acc")), 6).alias("accuracy_loss"), F.round(F.avg(C("auc0") - C("auc")), 6).alias("auc_loss"), F.round(F.stddev_pop(C("auc0") - C("auc")), 6).alias("auc_loss_deviation"))
         rows = got if rows is None else rows.unionByName(got)
     return rows
 
@@ -92,19 +126,32 @@ def permutation_importance(spark, sf_dir):
 @query("train_predict")
 def train_predict(spark, sf_dir):
     """Probabilities of a forest and of boosted trees on every well, and their difference."""
-    m = matrix(spark, sf_dir)
-    rf = models.predict(models.classifier("rf", FEATURES, 42).fit(m), m, "p_rf")
-    gbt = models.predict(models.classifier("gbt", FEATURES, 42).fit(m), m, "p_gbt").select("code", "p_gbt")
+    m = cut(impute_median(matrix(spark, sf_dir), FEATURES))
+    rf = models.predict(models.classifier("rf", FEATURES, 42, **SMALL).fit(m), m, "p_rf")
+    gbt = models.predict(models.classifier("gbt", FEATURES, 42, **SHORT).fit(m), m, "p_gbt").select("code", "p_gbt")
     return rf.join(gbt, "code").select("code", "y", F.round("p_rf", 6).alias("p_rf"), F.round("p_gbt", 6).alias("p_gbt"), F.round(F.abs(C("p_rf") - C("p_gbt")), 6).alias("gap"))
 
 
+@query("raster_prediction")
+def raster_prediction(spark, sf_dir):
+    """The forest on every grid cell, from the features of its nearest well, with the support distance: that to the nearest well of the training set."""
+    m = cut(impute_median(matrix(spark, sf_dir), FEATURES))
+    model = models.classifier("rf", FEATURES, 42, **SMALL).fit(m)
+    w = m.select("code", "x", C("north").alias("y"), *FEATURES)
+    near = spatial.nearest(cells(spark, sf_dir).select("*", *[F.lit(0.0).alias(f) for f in FEATURES]), w, 1, carry=tuple(FEATURES))
+    at = near.select(C("a").alias("cell"), C("d").alias("support"), *[C(f"b_{f}").alias(f) for f in FEATURES])
+    return models.predict(model, at).select("cell", F.round("p", 6).alias("p"), F.round("support", 6).alias("support"))
+
+
 @query("random_vs_spatial")
 def random_vs_spatial(spark, sf_dir):
-    """AUC with random folds beside AUC with spatial ones."""
-    f = folded(matrix(spark, sf_dir), 10000.0, 3, 42).withColumn("deal", F.pmod(F.xxhash64("code"), F.lit(3)).cast("int"))
-    f, rows = cut(f), None
+    """AUC with random folds, dealt within each class, beside AUC with spatial ones."""
+    f, rows = folded(matrix(spark, sf_dir), 10000.0, 3, 42), None
+    # within 64 hash groups of a class, rows are dealt in turn
+    f = f.withColumn("deal", ((F.expr("row_number() over (partition by y, pmod(xxhash64(code), 64) order by xxhash64(code, 1), code)") + F.pmod(F.xxhash64("code"), F.lit(64))) % 3).cast("int"))
+    f = cut(f)
     for name, fold in (("spatial", "fold"), ("random", "deal")):
-        got = metrics.auc(models.cross_validate(f, FEATURES, "rf", fold, 3, 42), "y", "p").select(F.lit(name).alias("folds"), "n", F.round("auc", 6).alias("auc"))
+        got = metrics.auc(models.cross_validate(f, FEATURES, "rf", fold, 3, 42, (5,), **SMALL), "y", "p").select(F.lit(name).alias("folds"), "n", F.round("auc", 6).alias("auc"))
         rows = got if rows is None else rows.unionByName(got)
     return rows
 

@@ -27,13 +27,16 @@ def build_session(app: str = "strataflow", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none, as in tests.
+    A local session that names none gets a folder of its own, as in tests. On a cluster the
+    driver's disk is no shared folder, so that the setting has to be there.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strataflow-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 

@@ -38,6 +38,19 @@ class Box:
     north: float = 90.0
 
 
+def numbered(frame: DataFrame, key: str, order: str, span: int = 1 << 17) -> DataFrame:
+    """Adds n: each row's number by ``key`` in the order of the whole number ``order``, from 1.
+
+    Rows are ordered within ranges of ``span`` only, on top of the rows of the ranges below,
+    so that no task holds all rows of a key.
+    """
+    ranged = frame.withColumn("__range", F.floor(C(order) / span))
+    counts = ranged.groupBy(key, "__range").agg(F.count("*").alias("__rows"))
+    before = counts.select(key, "__range", (F.expr(f"sum(__rows) over (partition by {key} order by __range)") - C("__rows")).alias("__before"))
+    own = ranged.withColumn("n", F.expr(f"row_number() over (partition by {key}, __range order by {order})"))
+    return own.join(before, [key, "__range"]).withColumn("n", C("n") + C("__before")).drop("__range", "__before")
+
+
 def parse_lines(lines: DataFrame, layout: Layout, box: Box) -> DataFrame:
     """(file_no, line_no, lon, lat, channels) of the data lines of ``lines`` (file_no, line_no, value).
 
@@ -48,8 +61,7 @@ def parse_lines(lines: DataFrame, layout: Layout, box: Box) -> DataFrame:
     tokens = F.split(F.trim("value"), r"\s+")
     data = lines.where(~F.startswith("value", F.lit("/"))).select("file_no", "line_no", tokens.alias("t")).where(F.size("t") >= layout.width)
     if layout.keep_every > 1:
-        n = F.expr("row_number() over (partition by file_no order by line_no)")
-        data = data.withColumn("n", n).where(C("n") % layout.keep_every == 0).drop("n")
+        data = numbered(data, "file_no", "line_no").where(C("n") % layout.keep_every == 0).drop("n")
     number = lambda i: F.get("t", F.lit(i)).try_cast("double")
     lon, lat = number(layout.lon), number(layout.lat)
     ok = lon.between(-180, 180) & lat.between(-90, 90)
@@ -63,9 +75,18 @@ def parse_lines(lines: DataFrame, layout: Layout, box: Box) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, layout: Layout, box: Box) -> DataFrame:
-    """The points of all text files below ``path``.
+    """The points of all text files below ``path``; see ``read_lines``."""
+    return parse_lines(read_lines(spark, path), layout, box)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_no, line_no, value) of all text files below ``path``, with a file's name as its number and lines numbered from 0.
 
-    Every file is one partition of lines, numbered where it is read.
+    Files are split like any text: lines are numbered within each block that a task reads, on
+    top of the lines of the blocks before it.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file_no"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-    return parse_lines(lines, layout, box)
+    raw = spark.read.text(path).select(C("_metadata.file_path").alias("file_no"), C("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    counts = raw.groupBy("file_no", "block").agg(F.count("*").alias("lines"))
+    before = counts.select("file_no", "block", (F.expr("sum(lines) over (partition by file_no order by block)") - C("lines")).alias("before"))
+    own = raw.withColumn("k", F.expr("row_number() over (partition by file_no, block order by place)"))
+    return own.join(before, ["file_no", "block"]).select("file_no", (C("before") + C("k") - 1).alias("line_no"), "value")

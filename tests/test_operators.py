@@ -243,16 +243,18 @@ def test_rasters_reports_and_old_files(spark, tmp_path):
 
 def test_paged_layer(spark):
     class Layer(BaseHTTPRequestHandler):
-        failed = False
+        failed, asked = False, []
 
         def do_GET(self):
             q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            Layer.asked.append(q)
             if "returnIdsOnly" in q:
-                body = {"objectIds": list(range(25))}
+                body = {"objectIds": list(range(25)) + ([99] if "99" in q.get("geometry", "") else [])}
             elif not Layer.failed:
                 Layer.failed, body = True, {"error": "busy"}
             else:
-                body = {"features": [{"attributes": {"id": int(i)}, "geometry": {"x": -45.0, "y": float(i)}} for i in q["objectIds"].split(",")]}
+                ids = [int(i) for i in q["objectIds"].split(",") if i != "99"][:7]  # never more than seven at a time, and none for 99
+                body = {"features": [{"attributes": {"OBJECTID": i}, "geometry": {"x": -45.0, "y": float(i)}} for i in ids]}
             self.send_response(200)
             self.end_headers()
             self.wfile.write(json.dumps(body).encode())
@@ -264,13 +266,68 @@ def test_paged_layer(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
         spark.dataSource.register(paged_layer.PagedLayer)
-        df = spark.read.format("paged_layer").option("url", f"http://127.0.0.1:{server.server_port}/q").option("batch", 10).option("pause", 0.01).load()
+        df = spark.read.format("paged_layer").option("url", f"http://127.0.0.1:{server.server_port}/q").option("batch", 10).option("pause", 0.01).option("bbox", "-50,-25,-40,-15").load()
         assert df.rdd.getNumPartitions() == 3
         assert sorted(r.lat for r in df.collect()) == [float(i) for i in range(25)]
+        first = next(q for q in Layer.asked if "returnIdsOnly" in q)
+        assert json.loads(first["geometry"]) == {"xmin": -50.0, "ymin": -25.0, "xmax": -40.0, "ymax": -15.0, "spatialReference": {"wkid": 4326}}
+        assert first["geometryType"] == "esriGeometryEnvelope" and first["inSR"] == "4326" and first["spatialRel"] == "esriSpatialRelIntersects"
+        assert all(q["outSR"] == "4326" and q["returnGeometry"] == "true" for q in Layer.asked if "objectIds" in q)
+        short = spark.read.format("paged_layer").option("url", f"http://127.0.0.1:{server.server_port}/q").option("pause", 0.01).option("bbox", "0,0,99,99").load()
+        with pytest.raises(Exception, match="no feature for 1 of 26 ids"):
+            short.collect()
     finally:
         server.shutdown()
 
 
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    want = {}
+    for name, n in (("a.xyz", 3000), ("b.xyz", 1), ("c.xyz", 0)):
+        text = [f"{name} {k} " + "x" * (k % 40) for k in range(n)]
+        (tmp_path / name).write_text("".join(x + "\n" for x in text))
+        want |= {(name, k): x for k, x in enumerate(text)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = flight_lines.read_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 1
+        assert {(r.file_no.rsplit("/", 1)[1], r.line_no): r.value for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    n = flight_lines.numbered(spark.range(1000).selectExpr("id % 3 as f", "id * 7 as place"), "f", "place", span=100).collect()
+    by = {}
+    for r in sorted(n, key=lambda r: r.place):
+        by.setdefault(r.f, []).append(r.n)
+    assert all(v == list(range(1, len(v) + 1)) for v in by.values())
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), None if x > 0.97 else float(round(v, 1))) for k, x, v in zip(rng.integers(0, 3, 500), rng.random(500), rng.normal(0, 3, 500), strict=True)] + [(9, 4.0), (8, None)]
+    frame = spark.createDataFrame(rows, "k int, v double")
+    at, names = [0.0, 0.02, 0.25, 0.5, 0.9, 1.0], list("abcdef")
+    values = np.array([v for _, v in rows if v is not None])
+    got = metrics.quantiles(frame, "v", at, names).first()
+    assert np.allclose([got[n] for n in names], np.quantile(values, at))
+    for r in metrics.quantiles(frame, "v", at, names, ("k",), parts=5).collect():
+        assert np.allclose([r[n] for n in names], np.quantile([v for k, v in rows if k == r.k and v is not None], at))
+    assert {r.k: r.n for r in metrics.median(frame, "v", ("k",)).collect()}[8] == 0
+    assert metrics.quantiles(frame.where("false"), "v", [0.5], ["m"]).first().m is None
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(c, i, float(a), None if rng.random() < 0.05 else float(a + rng.randint(1, 6))) for c in range(8) for i in range(rng.randint(0, 25)) for a in [rng.randint(0, 40)]]
+    want = {}
+    for c in range(8):
+        own = [(a, b) for k, _, a, b in rows if k == c and b is not None]
+        n = sum(own[i][0] < own[j][1] and own[j][0] < own[i][1] for i in range(len(own)) for j in range(i))
+        if n:
+            want[c] = n
+    got = quality_control.overlapping(spark.createDataFrame(rows, "code int, rn int, top_m double, base_m double"))
+    assert {r.code: r.n_overlaps for r in got.collect()} == want
+
+
 def test_settings(spark, tmp_path):
     c = config.Config(box=(0.0, 0.0, 1.0, 1.0), ceiling_auc=0.67, domains=(("a", ("x", "y")),), relations={"a": (0.8, 1.1)})
     (tmp_path / "c.json").write_text(c.dump())

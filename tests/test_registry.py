@@ -46,10 +46,7 @@ def test_equals_oracle(spark, duck, sf_dir, name):
     assert rows == sorted(tuple(norm(r[i]) for i in at) for r in want.fetchall())
 
 
-SLOW = {"nested_cv", "cross_area", "permutation_importance", "random_vs_spatial"}
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() >= (0 if name == "lineament_extract" else 1)
 
