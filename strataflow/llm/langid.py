@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from strataflow.llm.text import slices
 
-#: Buckets of letter n-grams (one, two and three letters, hashed).
+#: Buckets of hashed letter trigrams.
 BUCKETS = 1 << 13
-#: Smoothing of bucket counts, steps of expectation-maximisation, and the penalty of a language in units of log(n)/2.
-SMOOTHING, STEPS, PENALTY = 0.5, 12, 2.0
+#: Smoothing of bucket counts, and the penalty of a language in units of log(n)/2.
+SMOOTHING, PENALTY = 0.5, 2.0
+#: Expectation-maximisation ends where no proportion moves by more than this in a step, or after so many steps.
+STILL, STEPS = 2e-3, 60
 #: Texts of a matrix at most.
 ROWS = 256
 NONE = "und"
@@ -29,8 +31,8 @@ def held_out(doc_id: Column) -> Column:
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and bucket of each letter trigram of each text, and which texts have a letter.
 
-    Letters are in lower case; anything else is a break, and n-grams may hold one break at
-    either side but reach over none.
+    Letters are in lower case; anything else is a break. Each letter gives the trigram around
+    it, with breaks on either side where it begins or ends a word.
     """
     low = pc.utf8_lower(pc.fill_null(texts, ""))
     # a break before each text keeps neighbours apart
@@ -123,8 +125,11 @@ def mixtures(row: np.ndarray, bucket: np.ndarray, n: int, model: Model, steps: i
             mix = np.einsum("le,le->e", p, pi.T[:, r]) + 1e-300
             ratio = count / mix
             new = np.stack([np.add.reduceat(p[i] * ratio, starts) for i in range(size)], axis=1)
+            before = pi.copy()
             pi[there] *= new
             pi /= np.maximum(pi.sum(axis=1, keepdims=True), 1e-300)
+            if np.abs(pi - before).max() <= STILL:
+                break
         mix = np.einsum("le,le->e", p, pi.T[:, r]) + 1e-300
         fit = np.full(n, -np.inf)
         fit[there] = np.add.reduceat(count * np.log(mix), starts) - fee[there] * k
@@ -162,7 +167,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages and proportions of every row.
 
     lang_pred is the language with the largest proportion, and score that proportion; a null
-    text, or one without letters, has ``und`` and 0. Ties go to the first language by name.
+    text, or one without letters, has ``und`` and 0. Among languages with equal shares the first by name leaves first.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = src.mapInArrow(lambda it: _predict(it, model), "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>")
