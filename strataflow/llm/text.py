@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 
 #: Texts of one slice come to about this many bytes, so a task's memory doesn't follow the batch.
 SLICE_BYTES = 6_000_000
-#: Units whose ids one worker keeps, some 40 MB.
-CACHE_UNITS = 250_000
+#: Units whose ids one worker keeps, some 75 MB.
+CACHE_UNITS = 500_000
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
