@@ -185,7 +185,7 @@ def test_segments():
 
 def test_kriging_is_exact_at_points(spark):
     p = points(spark, 60, 2).where("x is not null and code < 60")
-    got = {r.code: r.estimate for r in kriging.ordinary_kriging(p, "z", p.select("code", "x", "y"), (0, 200, 400, 800), k=6, radius=500.0).collect()}
+    got = {r.code: r.estimate for r in kriging.ordinary_kriging(p, "z", p.select("code", "x", "y"), (0, 200, 400, 800), k=6).collect()}
     assert all(got[r.code] == pytest.approx(r.z, abs=1e-5) for r in p.collect())
 
 
