@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import chat, decontam, grammar, langid, packing, quality, rules, secrets, simhash, toxicity
+from strataflow.llm import chat, decontam, grammar, langid, packing, quality, rules, secrets, simhash, toxicity, whitening
 from strataflow.session import table
 
 
@@ -196,6 +196,11 @@ def op10_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.encode_and_read_back(table(spark, sf_dir, "documents"))
 
 
+def op11_spectral_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on the leading components of their distinct vectors' covariance, with unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op4_template_windows": op4_template_windows,
     "op1_counterfactual_toxicity": op1_counterfactual_toxicity,
@@ -207,6 +212,7 @@ QUERIES = {
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op9_bradley_terry": op9_bradley_terry,
     "op10_repair_grammar": op10_repair_grammar,
+    "op11_spectral_whitening": op11_spectral_whitening,
     "chat_attachments": chat_attachments,
 }
 
