@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import chat, decontam, grammar, langid, packing, quality, rules, secrets, simhash, toxicity, whitening
+from strataflow.llm import chat, decontam, grammar, langid, mixing, packing, quality, rules, secrets, simhash, toxicity, whitening
 from strataflow.session import table
 
 
@@ -201,6 +201,40 @@ def op11_spectral_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_exponential_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix by source weights takes."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE_12 = r"""
+with own as (
+  select doc_id, source, coalesce(text, '') as text from documents
+), drawn as (
+  select doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as size, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as ink,
+    length(regexp_replace(text, '[^\p{L}]+', '', 'g')) as letters,
+    (cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || text), 1, 12) as bigint) + 0.5) / 281474976710656 as u
+  from own
+), keyed as (
+  select *, -ln(u) / least(1, greatest(1.0 / 1024, case when ink > 0 then letters / ink else 1 end)) as key from drawn
+), sources as (
+  select source, sum(size) as source_size, 2.0 * sum(size) as most, [3, 1, 2][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as int)] as weight
+  from keyed group by source
+), held as (  -- by how soon a source is full; the first that isn't sets the rate
+  select *, (1.5 * sum(source_size) over () - coalesce(sum(most) over (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by most / weight, source nulls last rows between current row and unbounded following) as rate from sources
+), goal as (
+  select source, source_size, least(most, weight * coalesce((select max(rate) from held where most > weight * rate), 1e300)) as target from held
+), parts as (
+  select k.*, g.source_size, g.target, case when g.source_size > 0 then floor(g.target / g.source_size) else 0 end as whole,
+    sum(size) over (partition by k.source order by key, doc_id, size rows between unbounded preceding and current row) - size as before
+  from keyed k join goal g on k.source is not distinct from g.source
+)
+select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, cast(target as double) as target,
+  cast(whole * size + least(size, greatest(0, floor(target - whole * source_size + 0.5) - before)) as bigint) as taken
+from parts
+"""
+
+
 QUERIES = {
     "op4_template_windows": op4_template_windows,
     "op1_counterfactual_toxicity": op1_counterfactual_toxicity,
@@ -213,6 +247,7 @@ QUERIES = {
     "op9_bradley_terry": op9_bradley_terry,
     "op10_repair_grammar": op10_repair_grammar,
     "op11_spectral_whitening": op11_spectral_whitening,
+    "op12_exponential_mixing": op12_exponential_mixing,
     "chat_attachments": chat_attachments,
 }
 
@@ -220,5 +255,6 @@ ORACLES = {
     "op5_cascade_rules": ORACLE_5,
     "op7_blob_ledger": ORACLE_7,
     "op3_typed_content_parts": ORACLE_3,
+    "op12_exponential_mixing": ORACLE_12,
     "chat_attachments": ORACLE_ATTACHMENTS,
 }

@@ -24,6 +24,9 @@ CONTRACTS = {
     "op8": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op9": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+    "op11": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+    "op12": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op13": dict.fromkeys(("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"), "bigint") | {"ends_sha256": "string"},
 }
 
 
