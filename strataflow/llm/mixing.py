@@ -18,7 +18,7 @@ SHARE, EPOCHS = 1.5, 2
 #: Quality weights are held between this and 1.
 LEAST_WEIGHT = 2.0**-10
 #: Rows of a range of keys, on average.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 SEED = "mix"
 #: Random numbers are the first 48 bits of a digest.
 BITS = 48

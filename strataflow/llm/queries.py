@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import chat, decontam, grammar, langid, mixing, packing, quality, rules, secrets, simhash, toxicity, whitening
+from strataflow.llm import chat, decontam, grammar, langid, mixing, packing, quality, rules, secrets, simhash, toxicity, trie, whitening
 from strataflow.session import table
 
 
@@ -235,6 +235,51 @@ from parts
 """
 
 
+def op13_contracted_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each with up to three turns of the conversation it branches from."""
+    conv = F.col("conv_id")
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), base=conv - conv % 20, head=F.pmod(F.crc32(conv.cast("string")), F.lit(4)))
+
+
+ORACLE_13 = """
+with recursive own as (
+  select conv_id, list(coalesce(role, '') || chr(10) || coalesce(text, '') order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns,
+    list(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as sizes
+  from conversations where conv_id is not null group by conv_id
+), crc(conv_id, step, value) as (  -- bit by bit
+  select conv_id, 0, cast(4294967295 as bigint) from own
+  union all
+  select conv_id, step + 1, case when v % 2 = 1 then xor(v >> 1, 3988292384) else v >> 1 end
+  from (select conv_id, step, case when step % 8 = 0 then xor(value, cast(ascii(substr(cast(conv_id as varchar), step // 8 + 1, 1)) as bigint)) else value end as v
+    from crc where step < 8 * length(cast(conv_id as varchar)))
+), heads as (
+  select conv_id, xor(value, 4294967295) % 4 as h from crc where step = 8 * length(cast(conv_id as varchar))
+), rebuilt as (
+  select o.conv_id, list_concat(coalesce(b.turns[1:h], []), o.turns[h + 1:]) as turns, list_concat(coalesce(b.sizes[1:h], []), o.sizes[h + 1:]) as sizes
+  from own o join heads using (conv_id) left join own b on b.conv_id = o.conv_id - o.conv_id % 20
+), places as (
+  select conv_id, unnest(range(0, len(turns) + 1)) as depth, turns, sizes from rebuilt
+), named as (
+  select conv_id, depth, md5(cast(turns[1:depth] as varchar)) as key, case when depth > 0 then md5(cast(turns[1:depth - 1] as varchar)) end as up,
+    case when depth > 0 then sizes[depth] else 0 end as size, len(turns) = depth as ends from places
+), nodes as (
+  select depth, key, min(conv_id) as conv_id, min(up) as up, count(*) as n_convs, max(size) as size, string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends) as ids
+  from named group by depth, key
+), kids as (
+  select depth - 1 as depth, up as key, count(*) as n from nodes where depth > 0 group by all
+), full_ as (
+  select n.*, coalesce(k.n, 0) as n_children from nodes n left join kids k using (depth, key)
+), above as (  -- each node below each of its ancestors, by way of its smallest member
+  select f.depth, f.key, a.depth as top, a.key as top_key from full_ f join named a on a.conv_id = f.conv_id and a.depth <= f.depth
+), sums as (
+  select top as depth, top_key as key, count(*) filter (f.n_children = 0) as n_leaves, cast(sum((f.n_convs - 1) * f.size) as bigint) as saved_tokens
+  from above join full_ f using (depth, key) group by all
+)
+select f.conv_id, f.depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(f.ids, '')) as ends_sha256
+from full_ f join sums s using (depth, key) left join full_ p on p.depth = f.depth - 1 and p.key = f.up
+"""
+
+
 QUERIES = {
     "op4_template_windows": op4_template_windows,
     "op1_counterfactual_toxicity": op1_counterfactual_toxicity,
@@ -248,6 +293,7 @@ QUERIES = {
     "op10_repair_grammar": op10_repair_grammar,
     "op11_spectral_whitening": op11_spectral_whitening,
     "op12_exponential_mixing": op12_exponential_mixing,
+    "op13_contracted_trie": op13_contracted_trie,
     "chat_attachments": chat_attachments,
 }
 
@@ -256,5 +302,6 @@ ORACLES = {
     "op7_blob_ledger": ORACLE_7,
     "op3_typed_content_parts": ORACLE_3,
     "op12_exponential_mixing": ORACLE_12,
+    "op13_contracted_trie": ORACLE_13,
     "chat_attachments": ORACLE_ATTACHMENTS,
 }
