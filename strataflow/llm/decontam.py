@@ -47,11 +47,29 @@ def template(word: Column) -> Column:
     return F.when(first == NAME_MARK, F.lit(NAME)).when(first == UNIT_MARK, F.lit(UNIT)).when(first.between("0", "9"), F.lit(NUMBER)).otherwise(F.lower(word))
 
 
+def slotted(words: Column) -> Column:
+    """Each marked word's template ``t`` and, of placeholders only, the word ``l`` that stands there."""
+    first = lambda w: F.substring(w, 1, 1)
+    slot = lambda w: first(w).isin(NAME_MARK, UNIT_MARK) | first(w).between("0", "9")
+    return F.transform(words, lambda w: F.struct(template(w).alias("t"), F.when(slot(w), plain(w)).alias("l")))
+
+
 def window_hashes(tokens: Column, widths: list[int]) -> Column:
-    """(pos, hash) of each window of ``tokens``, of each of the ``widths``."""
+    """(pos, hash) of each window of ``tokens`` (``slotted``), of each of the ``widths``.
+
+    A window that holds a word is hashed as a template. Placeholders alone fit any row of
+    numbers or names, so that a window of nothing else is hashed by what stands there.
+    """
 
     def of(t: Column, n: int) -> Column:
-        return F.transform(windows(F.size(t), n), lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(t, i + k) for k in range(n)]).alias("hash")))
+        def key(i: Column) -> Column:
+            at = [F.get(t, i + k) for k in range(n)]
+            bare = F.lit(True)
+            for x in at:
+                bare = bare & x.l.isNotNull()
+            return F.when(bare, F.xxhash64(F.lit("="), *[x.l for x in at])).otherwise(F.xxhash64(*[x.t for x in at]))
+
+        return F.transform(windows(F.size(t), n), lambda i: F.struct(i.alias("pos"), key(i).alias("hash")))
 
     return let(tokens, lambda t: F.concat(*[of(t, n) for n in widths]))
 
@@ -67,7 +85,7 @@ def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     marked = rows.select("item_id", "item", marked_words(F.col("text")).alias("w"))
     words = F.flatten(F.transform("w", lambda w: F.when(F.substring(w, 1, 1) == NAME_MARK, F.split(plain(w), " ")).otherwise(F.array(w))))
     forms = marked.select("item_id", "item", F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("form"), F.col("w")), F.struct(F.lit(1).alias("form"), words.alias("w"))))).alias("f"))
-    forms = forms.select("item_id", "item", "f.form", "f.w").where(F.size("w") > 0).select("*", F.transform("w", template).alias("t"), F.least(F.size("w"), F.lit(width)).alias("width"))
+    forms = forms.select("item_id", "item", "f.form", "f.w").where(F.size("w") > 0).select("*", slotted(F.col("w")).alias("t"), F.least(F.size("w"), F.lit(width)).alias("width"))
     short = F.coalesce(*[F.when(F.col("width") == n, window_hashes(F.col("t"), [n])) for n in range(1, width + 1)])
     hashes = forms.select("item_id", "item", "form", "w", "width", (F.size("w") - F.col("width") + 1).alias("n_windows"), F.inline(short).alias("i_pos", "hash"))
     return hashes.select("item", "form", "item_id", "width", "n_windows", "i_pos", "hash", F.transform(F.slice("w", F.col("i_pos") + 1, F.col("width")), plain).alias("i_words"))
@@ -81,8 +99,10 @@ def row_key(docs: DataFrame) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, n_literal, share, row) of every document that holds a benchmark item.
 
-    A document's template windows are joined with the items' by hash, by place and hash only.
-    Of the pairs that could reach ``share`` the words are fetched: matches on one diagonal
+    Of the document's template windows those that an item has are kept, by place and hash. A
+    pair that reaches ``share`` holds one of the windows that the item can't do without (its
+    rarest ones), so that common windows make no pairs; a pair's distinct hashes are counted
+    before its places meet. Of the pairs that could reach ``share`` the words are fetched: matches on one diagonal
     (document place less item place) belong to one copy, where each slot value of the item
     has to stand for one value of the document and the reverse, or only its literally equal
     windows count. A pair is reported if at least ``share`` of the item's windows are found;
@@ -96,12 +116,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
         widths = [width]
     keyed = docs.select(F.col("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
     # the generator takes the expression itself: over a column, Spark would filter empty arrays first and compute them twice
-    places = keyed.select("doc_id", "row", F.inline(window_hashes(F.transform(marked_words(F.col("text")), template), widths)).alias("d_pos", "hash"))
-    met = cut(places.join(items.select("hash", "item", "form", "i_pos"), "hash").select("doc_id", "row", "item", "form", "i_pos", "d_pos").distinct())
+    places = keyed.select("doc_id", "row", F.inline(window_hashes(slotted(marked_words(F.col("text"))), widths)).alias("d_pos", "hash"))
+    hits = cut(places.join(items.select("hash").distinct(), "hash", "left_semi").distinct())
     pair = ["row", "item", "form"]
-    counts = items.select("item", "form", "item_id", "width", "n_windows").distinct()
-    able = met.groupBy(*pair).agg(F.count_distinct("i_pos").alias("n")).join(counts, ["item", "form"]).where(F.col("n") >= share * F.col("n_windows"))
-    met = cut(met.join(able.select(*pair, "item_id", "width", "n_windows"), pair))
+    often = items.join(hits.groupBy("hash").agg(F.count("*").alias("often")), "hash", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    ranked = often.withColumn("rank", F.expr("row_number() over (partition by item, form order by often, i_pos)"))
+    lead = ranked.where((F.col("often") > 0) & (F.col("rank") <= F.col("n_windows") - F.ceil(F.col("n_windows") * share) + 1)).select("hash", "item", "form").distinct()
+    held = hits.select("row", "hash").distinct()
+    weights = items.groupBy("item", "form", "item_id", "width", "n_windows", "hash").agg(F.count("*").alias("n"))
+    able = held.join(lead, "hash").select(*pair).distinct().join(held, "row").join(weights, ["item", "form", "hash"])
+    able = able.groupBy(*pair, "item_id", "width", "n_windows").agg(F.sum("n").alias("n")).where(F.col("n") >= share * F.col("n_windows")).drop("n")
+    met = hits.join(able, "row").join(items.select("item", "form", "hash", "i_pos"), ["item", "form", "hash"])
+    met = cut(met.select("doc_id", *pair, "item_id", "width", "n_windows", "i_pos", "d_pos").distinct())
 
     # of each such row only the words of its hits are fetched; the rows' places are as many as the row has words at most
     wanted = cut(met.groupBy("row").agg(F.collect_set("d_pos").alias("places")))

@@ -44,6 +44,8 @@ def brute_holds(text, item, width=5, share=0.8):
         found = set()
         for diagonal in range(-len(i), len(d) + 1):
             hits = [k for k in range(len(i) - n + 1) if 0 <= k + diagonal and k + diagonal + n <= len(d) and [t for t, _ in i[k : k + n]] == [t for t, _ in d[k + diagonal : k + diagonal + n]]]
+            # a window of placeholders alone has to be the same word for word
+            hits = [k for k in hits if any(t[0] != "<" for t, _ in i[k : k + n]) or all(i[k + x][1] == d[k + diagonal + x][1] for x in range(n))]
             slots = {(i[k + x][1], d[k + diagonal + x][1]) for k in hits for x in range(n)}
             same = len({a for a, _ in slots}) == len(slots) == len({b for _, b in slots})
             found |= {k for k in hits if same and n == width or all(i[k + x][1] == d[k + diagonal + x][1] for x in range(n))}
@@ -99,6 +101,27 @@ def test_recall_of_reparameterised_items(spark, case):
     assert not [d for d, _ in got if d is not None and 100 <= d < 200]
 
 
+def test_tables_of_numbers_hold_no_item(spark):
+    numbers = lambda a, n: " ".join(str(k) for k in range(a, a + n))
+    item = "What is the sum of these numbers: " + numbers(500, 40)
+    rows = [(k, numbers(1000 * (k + 1), 200)) for k in range(5)] + [(5, numbers(480, 200)), (6, f"So. {item}, they ask."), (7, "What is the sum of these numbers: " + numbers(1500, 40))]
+    docs, items = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, item)], ITEMS)
+    got = {(r.doc_id, r.n_found) for r in decontam.contaminated(docs, items).collect()}
+    # the fifth table has the item's own numbers in a row
+    assert got == {(5, 36), (6, 43)} and all(brute_holds(t, item) == (k in (5, 6)) for k, t in rows)
+
+
+def test_common_windows_make_no_pairs(spark):
+    """Items and texts that share a preamble meet only where an item's own windows are."""
+    rng = random.Random(8)
+    own = lambda n: " ".join(f"v{rng.randrange(10**6)}x" for _ in range(n))
+    preamble = "read the text below and answer the question that comes after it"
+    items = [(k, f"{preamble} {own(60)}") for k in range(30)]
+    docs = [(k, f"{preamble} {own(50)} {preamble} {own(9)}") for k in range(60)] + [(100 + k, f"{own(5)} {items[k][1]}") for k in range(30)]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(100 + k, k) for k in range(30)}
+
+
 def test_inconsistent_slots_are_no_copy(spark):
     item = "Alice buys 12 kg and then Alice sells 12 kg and Alice buys 12 kg more while Alice waits for 12 days"
     mixed = "Alice buys 13 kg and then Bob sells 14 kg and Zed buys 15 kg more while Omar waits for 16 days"
