@@ -19,6 +19,8 @@ from strataflow.session import scratch_path
 END_ID = 2
 #: Ids of a shard at least; a shard ends with the first document that reaches it.
 SHARD_IDS = 1 << 20
+#: Documents of a part at most, on average: as many are sorted in a task.
+PART_DOCS = 20_000
 #: In each round all pairs found at least so often get a nonterminal, until there are none. A rule is two symbols, so that a pair found twice would save nothing.
 MIN_COUNT = 3
 
@@ -261,7 +263,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
     spark = docs.sparkSession
     tokens = tokenizer_path or default_tokenizer()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-src.count() // PART_DOCS), 1)
     ranged = src.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ranged.mapInArrow(lambda it: _shards(it, tokens, end_id, shard_ids), SHARD_SCHEMA).write.parquet(path)
 

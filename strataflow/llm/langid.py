@@ -104,7 +104,8 @@ def mixtures(row: np.ndarray, bucket: np.ndarray, n: int, model: Model, steps: i
     All languages start in each text's set. Expectation-maximisation fits the proportions;
     then the smallest language leaves and the fit is repeated, down to a single language. Of
     these sets the one with the highest log likelihood less ``penalty`` * log(n-grams) / 2
-    per language is the answer.
+    per language is the answer. A fit ends where no proportion of the text moves by more than
+    STILL, or after ``steps``.
     """
     size = len(model.languages)
     out = np.zeros((n, size))
@@ -121,15 +122,23 @@ def mixtures(row: np.ndarray, bucket: np.ndarray, n: int, model: Model, steps: i
     best = np.full(n, -np.inf)
     pi = np.full((n, size), 1.0 / size)
     for k in range(size, 0, -1):
+        moving, own, at = there, slice(None), starts
         for _ in range(steps if k > 1 else 1):
-            mix = np.einsum("le,le->e", p, pi.T[:, r]) + 1e-300
-            ratio = count / mix
-            new = np.stack([np.add.reduceat(p[i] * ratio, starts) for i in range(size)], axis=1)
-            before = pi.copy()
-            pi[there] *= new
-            pi /= np.maximum(pi.sum(axis=1, keepdims=True), 1e-300)
-            if np.abs(pi - before).max() <= STILL:
+            chances = p[:, own]
+            ratio = count[own] / (np.einsum("le,le->e", chances, pi.T[:, r[own]]) + 1e-300)
+            now = pi[moving] * np.stack([np.add.reduceat(chances[i] * ratio, at) for i in range(size)], axis=1)
+            now /= np.maximum(now.sum(axis=1, keepdims=True), 1e-300)
+            still = np.abs(now - pi[moving]).max(axis=1) <= STILL
+            pi[moving] = now
+            if still.all():
                 break
+            if still.any():
+                # a text that has come to rest is left alone, so that its neighbours don't matter
+                moving = moving[~still]
+                inside = np.zeros(n, bool)
+                inside[moving] = True
+                own = np.flatnonzero(inside[r])
+                at = np.flatnonzero(np.r_[True, r[own][1:] != r[own][:-1]])
         mix = np.einsum("le,le->e", p, pi.T[:, r]) + 1e-300
         fit = np.full(n, -np.inf)
         fit[there] = np.add.reduceat(count * np.log(mix), starts) - fee[there] * k

@@ -81,8 +81,8 @@ ORACLE_ATTACHMENTS = r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, length(coalesce(text, '')) as n from conversations
 ), own as (
-  select *, replace(replace(replace(replace(role, '\', '\'), '<', '\l'), '#', '\h'), ':', '\c') as safe_role,
-    replace(replace(replace(substr(text, 1, n // 2), '\', '\'), '<', '\l'), '#', '\h') as a, replace(replace(replace(substr(text, n // 2 + 1), '\', '\'), '<', '\l'), '#', '\h') as b,
+  select *, replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '#', '\h'), ':', '\c') as safe_role,
+    replace(replace(replace(substr(text, 1, n // 2), '\', '\\'), '<', '\l'), '#', '\h') as a, replace(replace(replace(substr(text, n // 2 + 1), '\', '\\'), '<', '\l'), '#', '\h') as b,
     '-' || coalesce(cast(conv_id as varchar), '') || '-' || coalesce(cast(turn as varchar), '') as ref,
     greatest(1, cast(ceil(n / 14.0) as bigint) * 2) as i, greatest(1, cast(ceil(n / 16.0 * 25) as bigint)) as s, greatest(1, n // 1000 * 512) as d
   from turns

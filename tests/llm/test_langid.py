@@ -54,6 +54,16 @@ def test_mixtures_equal_brute_force():
         assert all(abs(got[k, i] - v) < 0.05 for i, v in want.items())
 
 
+def test_a_text_alone_gets_the_same_mixture():
+    rng = np.random.default_rng(9)
+    model = model_of(rng)
+    p = np.exp(model.log_p)
+    texts = [rng.choice(langid.BUCKETS, rng.integers(2, 120), p=rng.dirichlet((0.4, 0.4, 0.4)) @ p) for _ in range(150)]
+    together = langid.mixtures(np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.concatenate(texts), len(texts), model)
+    for k, t in enumerate(texts):
+        assert langid.mixtures(np.zeros(len(t), np.int64), t, 1, model)[0].tolist() == together[k].tolist()
+
+
 def brute_grams(text):
     t = "".join(c if c.isalpha() else " " for c in " " + (text or "").lower() + " ")
     return [t[k - 1 : k + 2] for k in range(1, len(t) - 1) if t[k] != " "]

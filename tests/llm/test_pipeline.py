@@ -51,6 +51,20 @@ def test_oracles(spark, sf_dir, name):
     assert sorted(tuple(map(str, r)) for r in got.select(*cols).collect()) == sorted(tuple(str(r[i]) for i in at) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["chat_attachments", "op3_typed_content_parts", "op13_contracted_trie"])
+def test_oracles_on_escapes(spark, tmp_path, name):
+    import duckdb
+
+    rows = [(1, 0, "user", "a\\b"), (1, 1, "assis\\tant: x", "<|image:0|> \\l # \\\\"), (2, None, None, "### </turn>\\"), (20, 1, "user", ""), (21, 1, "assistant", None), (21, 2, "assistant", "x\\ y " * 5000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    want, cols = con.sql(ORACLES[name]), sorted(got.columns)
+    at = [want.columns.index(c) for c in cols]
+    assert sorted(tuple(map(str, r)) for r in got.select(*cols).collect()) == sorted(tuple(str(r[i]) for i in at) for r in want.fetchall())
+
+
 def plain(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
