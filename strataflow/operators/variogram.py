@@ -34,9 +34,13 @@ def variogram(bins: DataFrame, keys: tuple[str, ...] = (), least_pairs: int = 1)
     return bins.groupBy(*keys, "lag").agg(F.count("*").alias("pairs"), F.avg("g").alias("gamma")).where(F.col("pairs") >= least_pairs)
 
 
-def nugget(bins: DataFrame, points: DataFrame, value: str, least_pairs: int = 30, cap: bool = True) -> DataFrame:
-    """The first valid lag's share of the population variance (capped at 1), and the highest R2 it leaves."""
-    first = variogram(bins, (), least_pairs).agg(F.min_by(F.struct("lag", "pairs", "gamma"), "lag").alias("f")).where("f is not null").select("f.*")
+#: Pairs that a bin needs.
+LEAST_PAIRS = 100
+
+
+def nugget(lags: DataFrame, points: DataFrame, value: str, least_pairs: int = LEAST_PAIRS, cap: bool = True) -> DataFrame:
+    """The first valid lag's share of the population variance (capped at 1), and the highest R2 it leaves; ``lags`` has lag, pairs and gamma."""
+    first = lags.where(F.col("pairs") >= least_pairs).agg(F.min_by(F.struct("lag", "pairs", "gamma"), "lag").alias("f")).where("f is not null").select("f.*")
     sill = points.agg(F.var_pop(value).alias("sill"))
     share = F.col("gamma") / F.col("sill")
     return first.crossJoin(F.broadcast(sill)).select("lag", "pairs", (F.least(F.lit(1.0), share) if cap else share).alias("nugget")).withColumn("r2_max", 1 - F.col("nugget"))

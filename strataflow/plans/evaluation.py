@@ -8,6 +8,7 @@ from strataflow.adapters import relation
 from strataflow.operators import metrics, resample, spatial
 from strataflow.operators.spatial import radius_pairs
 from strataflow.plans.registry import query
+from strataflow.session import cut
 
 R6 = lambda c: F.round(c, 6).alias(c)
 
@@ -164,11 +165,12 @@ def fold_distances(spark, sf_dir):
 round(avg(case when d < 250 then 1.0 else 0.0 end), 6) as below_250, round(avg(case when d < 1000 then 1.0 else 0.0 end), 6) as below_1km from pairs group by fold""")
 def test_train_distance(spark, sf_dir):
     """Distribution of test-to-train distances by fold."""
-    q = lambda p: F.round(F.expr(f"percentile(d, {p}D)"), 4)
-    return fold_distances(spark, sf_dir).groupBy(F.col("fold").cast("long").alias("fold")).agg(
-        F.count("*").alias("n"), F.round(F.min("d"), 4).alias("d_min"), q(0.1).alias("p10"), q(0.5).alias("median"), q(0.9).alias("p90"), F.round(F.max("d"), 4).alias("d_max"),
+    far = cut(fold_distances(spark, sf_dir).select(F.col("fold").cast("long").alias("fold"), "d"))
+    q = metrics.quantiles(far, "d", [0.1, 0.5, 0.9], ["p10", "median", "p90"], ("fold",)).select("fold", *[F.round(c, 4).alias(c) for c in ("p10", "median", "p90")])
+    return far.groupBy("fold").agg(
+        F.count("*").alias("n"), F.round(F.min("d"), 4).alias("d_min"), F.round(F.max("d"), 4).alias("d_max"),
         F.round(F.avg((F.col("d") < 250).cast("int")), 6).alias("below_250"), F.round(F.avg((F.col("d") < 1000).cast("int")), 6).alias("below_1km"),
-    )
+    ).join(q, "fold")
 
 
 @query("buffer_eval", "wells", FOLDS + """, t as (select quantile_cont(z, 0.75) as q from wells), far as (select w.code, case when z >= q then 1 else 0 end as y, w.depth_m as score from pairs p join wells w on w.code = p.a, t where d >= 1000),

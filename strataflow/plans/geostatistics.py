@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataflow.adapters import relation
 from strataflow.functions.geometry import block
-from strataflow.operators import metrics, resample, spatial, variogram
+from strataflow.operators import metrics, pair_moments, resample, spatial, variogram
 from strataflow.plans.registry import query
 from strataflow.session import cut
 
@@ -24,14 +24,14 @@ aucs as (select {k}, cast(sum(pos + neg) as bigint) as n, cast(sum(pos) as bigin
 
 
 def targets(spark, sf_dir):
-    """Wells with the binary target: z at or above its upper quartile."""
+    """Wells with the binary target: z at or above its upper quartile. Checkpointed, as a search reads them many times."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
     q = metrics.quantiles(w, "z", [0.75], ["q"])
-    return w.crossJoin(F.broadcast(q)).withColumn("y1", (F.col("z") >= F.col("q")).cast("int")).drop("q")
+    return cut(w.crossJoin(F.broadcast(q)).withColumn("y1", (F.col("z") >= F.col("q")).cast("int")).drop("q"))
 
 
-def neighbours(spark, sf_dir, k: int, radius: float = 2000.0):
-    """(a, b, d, rank, y1 of a, z of b) of the ``k`` nearest neighbours within ``radius``."""
+def neighbours(spark, sf_dir, k: int, radius: float | None = 2000.0):
+    """(a, b, d, rank, y1 of a, z of b) of the ``k`` nearest neighbours, within ``radius`` if one is given."""
     w = targets(spark, sf_dir)
     return spatial.nearest(w, w, k, carry=("z", "y1"), exclude_self=True, most=radius).select("a", "b", "d", F.col("a_y1").alias("y1"), F.col("b_z").alias("bz"), "rank")
 
@@ -48,37 +48,50 @@ def knn_auc_by_radius(spark, sf_dir):
     return _rounded(metrics.auc(by, "y1", "score", keys=("radius",))).where("n >= 30").select("radius", "n", "auc")
 
 
-@query("knn_auc_k", "wells", NEAR + """, kk as (select a, y1, k, round(sum(bz / greatest(d, 1)) / sum(1 / greatest(d, 1)), 9) as score
-  from ranked, (values (1), (3), (5), (10)) v(k) where rank <= k group by a, y1, k), """ + AUC_SQL.format(k="k", src="kk") + " select k, n, positives, auc from aucs")
+KS = (1, 3, 5, 10)
+
+
+@query("knn_auc_k", "wells", NEAR + """, kk as (select a, y1, radius, k, round(sum(bz / greatest(d, 1)) / sum(1 / greatest(d, 1)), 9) as score
+  from ranked, (values (250), (500), (1000), (2000)) r(radius), (values (1), (3), (5), (10)) v(k) where rank <= k and d <= radius group by a, y1, radius, k), """ + AUC_SQL.format(k="radius, k", src="kk") + " select radius, k, n, positives, auc from aucs where n >= 30 and auc is not null")
 def knn_auc_k(spark, sf_dir):
-    """AUC of the distance-weighted mean of the k nearest values within 2 km."""
-    near = neighbours(spark, sf_dir, 10).select("a", "y1", "bz", "d", F.explode(F.array(*[F.when(F.col("rank") <= k, F.lit(k)) for k in (1, 3, 5, 10)])).alias("k")).where("k is not null")
-    score = spatial.inverse_distance(near, "bz", 1.0, keys=("a", "y1", "k")).withColumn("score", F.round("value", 9))
-    return _rounded(metrics.auc(score, "y1", "score", keys=("k",))).select("k", "n", "positives", "auc")
+    """AUC of the distance-weighted mean of the k nearest values, of these the ones within a radius, for each k and radius with 30 wells and both classes."""
+    choices = F.explode(F.array(*[F.when((F.col("rank") <= k) & (F.col("d") <= r), F.struct(F.lit(r).alias("radius"), F.lit(k).alias("k"))) for k in KS for r in RADII])).alias("c")
+    near = neighbours(spark, sf_dir, max(KS)).select("a", "y1", "bz", "d", choices).where("c is not null").select("a", "y1", "bz", "d", "c.*")
+    score = spatial.inverse_distance(near, "bz", 1.0, keys=("a", "y1", "radius", "k")).withColumn("score", F.round("value", 9))
+    return _rounded(metrics.auc(score, "y1", "score", keys=("radius", "k"))).where("n >= 30 and auc is not null").select("radius", "k", "n", "positives", "auc")
+
+
+FAR = """, t as (select quantile_cont(z, 0.75) as q from wells), pts as (select code, x, y, z, case when z >= q then 1 else 0 end as y1 from wells, t),
+ranked as (select a.code as a, a.y1, b.z as bz, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d, row_number() over (partition by a.code order by sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.code) as rank
+  from pts a join pts b on a.code <> b.code)"""
 
 
-@query("auc_distance_bands", "wells", NEAR + """, near as (select case when d <= 250 then 250 when d <= 500 then 500 when d <= 1000 then 1000 else 2000 end as band, y1, bz as score from ranked where rank = 1), """ + AUC_SQL.format(k="band", src="near") + " select band, n, positives, auc, round(positives / n, 6) as prevalence from aucs where n >= 30")
+@query("auc_distance_bands", "wells", FAR + """, near as (select case when d <= 250 then 0 when d <= 500 then 250 when d <= 1000 then 500 when d <= 2000 then 1000 else 2000 end as band, y1, bz as score from ranked where rank = 1 and d > 0), """ + AUC_SQL.format(k="band", src="near") + " select band, n, positives, auc, round(positives / n, 6) as prevalence from aucs where n >= 30 and auc is not null")
 def auc_distance_bands(spark, sf_dir):
-    """AUC and prevalence by the distance band of the nearest neighbour."""
-    near = neighbours(spark, sf_dir, 1)
-    band = F.when(F.col("d") <= 250, 250).when(F.col("d") <= 500, 500).when(F.col("d") <= 1000, 1000).otherwise(2000)
+    """AUC and prevalence by the distance band of the nearest neighbour, named by its lower end; the last one is open. Neighbours at the same place are in none."""
+    near = neighbours(spark, sf_dir, 1, None).where("d > 0")
+    band = F.when(F.col("d") <= 250, 0).when(F.col("d") <= 500, 250).when(F.col("d") <= 1000, 500).when(F.col("d") <= 2000, 1000).otherwise(2000)
     got = _rounded(metrics.auc(near.select(band.alias("band"), "y1", F.col("bz").alias("score")), "y1", "score", keys=("band",)))
-    return got.where("n >= 30").select("band", "n", "positives", "auc", F.round(F.col("positives") / F.col("n"), 6).alias("prevalence"))
+    return got.where("n >= 30 and auc is not null").select("band", "n", "positives", "auc", F.round(F.col("positives") / F.col("n"), 6).alias("prevalence"))
 
 
 LAG_CASE = "case " + " ".join(f"when d > {a} and d <= {b} then {b}" for a, b in zip(variogram.LAGS, variogram.LAGS[1:], strict=False)) + " end"
 PAIRS = """, pairs as (select a.code as a, b.code as b, a.z as az, b.z as bz, a.x as ax, a.y as ay, b.x as bx, b.y as by_, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d
   from {src} a join {src} b on a.code < b.code and abs(a.x - b.x) <= 16000 and abs(a.y - b.y) <= 16000),
 bins as (select *, """ + LAG_CASE + """ as lag, (az - bz) * (az - bz) / 2 as g from pairs where d > 0 and d <= 16000)"""
-#: Bins with fewer pairs are dropped, in pairs.
-THIN = 30
+THIN = variogram.LEAST_PAIRS
+
 
+def bins(points, value="z", directional=False):
+    """The bins with THIN pairs or more."""
+    return pair_moments.moment_bins(points, value, directional=directional).where(F.col("pairs") >= THIN).drop("opened")
 
-@query("variogram", "wells", PAIRS.format(src="wells") + " select lag, count(*) as pairs, round(avg(g), 6) as gamma from bins group by lag having count(*) >= 30")
+
+@query("variogram", "wells", PAIRS.format(src="wells") + " select lag, count(*) as pairs, round(avg(g), 6) as gamma from bins group by lag having count(*) >= 100")
 def variogram_query(spark, sf_dir):
     """Empirical semivariogram of z up to 16 km, without thin bins."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
-    return variogram.variogram(variogram.pair_bins(w, "z"), (), THIN).withColumn("gamma", F.round("gamma", 6))
+    return bins(w).withColumn("gamma", F.round("gamma", 6))
 
 
 TREND = """, m as (select avg(x) as mx, avg(y) as my, avg(z) as mz from wells),
@@ -87,12 +100,12 @@ b as (select (ut*vv - vt*uv) / (uu*vv - uv*uv) as bx, (vt*uu - ut*uv) / (uu*vv -
 res as (select code, x, y, z - (mz + bx * (x - mx) + by_ * (y - my)) as z from wells, m, b)"""
 
 
-@query("variogram_detrended", "wells", TREND + PAIRS.format(src="res") + ", v as (select var_pop(z) as sill from res) select lag, count(*) as pairs, round(avg(g), 6) as gamma, round(avg(g) / max(sill), 6) as of_sill from bins, v group by lag having count(*) >= 30")
+@query("variogram_detrended", "wells", TREND + PAIRS.format(src="res") + ", v as (select var_pop(z) as sill from res) select lag, count(*) as pairs, round(avg(g), 6) as gamma, round(avg(g) / max(sill), 6) as of_sill from bins, v group by lag having count(*) >= 100")
 def variogram_detrended(spark, sf_dir):
     """Semivariogram of the residuals from a plane, and its share of their variance."""
     w = variogram.detrend(relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), "z")
     sill = F.broadcast(w.agg(F.var_pop("z").alias("sill")))
-    v = variogram.variogram(variogram.pair_bins(w, "z"), (), THIN).crossJoin(sill)
+    v = bins(w).crossJoin(sill)
     return v.select("lag", "pairs", F.round("gamma", 6).alias("gamma"), F.round(F.col("gamma") / F.col("sill"), 6).alias("of_sill"))
 
 
@@ -107,27 +120,27 @@ DIRECTION = "case when azim < 22.5 or azim >= 157.5 then 'N-S' when azim < 67.5
 AZ = "(degrees(atan2(bx - ax, by_ - ay)) + 360) % 180"
 
 
-@query("variogram_directional", "wells", PAIRS.format(src="wells") + f", dirs as (select *, {DIRECTION} as direction from (select *, {AZ} as azim from bins)), v as (select var_pop(z) as sill from wells) select direction, lag, count(*) as pairs, round(avg(g), 6) as gamma, round(100 * avg(g) / max(sill), 4) as pct_sill from dirs, v group by direction, lag having count(*) >= 30")
+@query("variogram_directional", "wells", PAIRS.format(src="wells") + f", dirs as (select *, {DIRECTION} as direction from (select *, {AZ} as azim from bins)), v as (select var_pop(z) as sill from wells) select direction, lag, count(*) as pairs, round(avg(g), 6) as gamma, round(100 * avg(g) / max(sill), 4) as pct_sill from dirs, v group by direction, lag having count(*) >= 100")
 def variogram_directional(spark, sf_dir):
     """Semivariogram by four directions, as a percentage of the global variance."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
     sill = F.broadcast(w.agg(F.var_pop("z").alias("sill")))
-    v = variogram.variogram(variogram.pair_bins(w, "z", directional=True), ("direction",), THIN).crossJoin(sill)
+    v = bins(w, directional=True).crossJoin(sill)
     return v.select("direction", "lag", "pairs", F.round("gamma", 6).alias("gamma"), F.round(100 * F.col("gamma") / F.col("sill"), 4).alias("pct_sill"))
 
 
-@query("nugget_fraction", "wells", PAIRS.format(src="wells") + ", v as (select lag, count(*) as pairs, avg(g) as gamma from bins group by lag having count(*) >= 30), f as (select * from v order by lag limit 1) select lag, pairs, round(least(1, gamma / sill), 6) as nugget, round(1 - least(1, gamma / sill), 6) as r2_max from f, (select var_pop(z) as sill from wells)")
+@query("nugget_fraction", "wells", PAIRS.format(src="wells") + ", v as (select lag, count(*) as pairs, avg(g) as gamma from bins group by lag having count(*) >= 100), f as (select * from v order by lag limit 1) select lag, pairs, round(least(1, gamma / sill), 6) as nugget, round(1 - least(1, gamma / sill), 6) as r2_max from f, (select var_pop(z) as sill from wells)")
 def nugget_fraction(spark, sf_dir):
-    """Nugget as a share of the variance at the first lag with 30 pairs, and the R2 it leaves."""
+    """Nugget as a share of the variance at the first lag with 100 pairs, and the R2 it leaves."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
-    n = variogram.nugget(variogram.pair_bins(w, "z"), w, "z")
+    n = variogram.nugget(bins(w), w, "z")
     return n.withColumn("nugget", F.round("nugget", 6)).withColumn("r2_max", F.round("r2_max", 6))
 
 
 @query("first_valid_lag", "wells", PAIRS.format(src="wells") + ", v as (select lag, count(*) as pairs from bins group by lag), ok as (select min(lag) as first_lag from v where pairs >= 100) select first_lag, (select count(*) from v where lag < first_lag) as n_discarded from ok")
 def first_valid_lag(spark, sf_dir):
     """The shortest lag with 100 pairs, and how many shorter ones were passed over."""
-    v = variogram.variogram(variogram.pair_bins(relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), "z")).select("lag", "pairs")
+    v = pair_moments.moment_bins(relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), "z").select("lag", "pairs")
     found = v.agg(F.min(F.when(F.col("pairs") >= 100, F.col("lag"))).alias("first_lag"), F.collect_set("lag").alias("lags"))
     return found.select("first_lag", F.size(F.filter("lags", lambda x: x < F.col("first_lag"))).cast("long").alias("n_discarded"))
 
@@ -169,36 +182,43 @@ def zone_ceiling(spark, sf_dir):
     return _rounded(metrics.auc(near, "y1", "score")).crossJoin(near.agg(F.round(F.corr("am", "score"), 6).alias("r")))
 
 
-SIZES, LEAST_ZONES = (1000, 2000, 4000), 30
+#: Block size in metres and the wells that a block needs; blocks that a setting needs.
+ZONE_SETTINGS, LEAST_ZONES = ((1000, 3), (2000, 4), (2000, 6), (4000, 6), (4000, 10)), 30
 
 
-def _zones_sql(size: int) -> str:
-    z, km = f"z{size}", size / 1000
-    return f""", {z} as (select *, row_number() over (order by bx, by_) as code from (select floor(x / {size}) as bx, floor(y / {size}) as by_, count(*) as n, quantile_cont(z, 0.5) as med from wells group by 1, 2 having count(*) >= 2)),
+def _zones_sql(size: int, least: int) -> str:
+    z, km = f"z{size}_{least}", size / 1000
+    return f""", {z} as (select *, row_number() over (order by bx, by_) as code from (select floor(x / {size}) as bx, floor(y / {size}) as by_, count(*) as n, quantile_cont(z, 0.5) as med from wells group by 1, 2 having count(*) >= {least})),
 {z}t as (select *, case when med >= (select quantile_cont(med, 0.75) from {z}) then 1 else 0 end as y1 from {z}),
 {z}n as (select y1, am, score from (select a.y1, a.med as am, b.med as score, row_number() over (partition by a.bx, a.by_ order by (a.bx - b.bx) * (a.bx - b.bx) + (a.by_ - b.by_) * (a.by_ - b.by_), b.bx, b.by_) as rank from {z}t a join {z}t b on a.code <> b.code) where rank = 1),
 {z}r as (select score, pos, neg, sum(neg) over (order by score rows between unbounded preceding and current row) - neg as below from (select score, sum(y1) as pos, sum(1 - y1) as neg from {z}n group by score)),
 {z}g as (select avg((a.med - b.med) * (a.med - b.med) / 2) as g from {z} a join {z} b on a.code <> b.code and (a.bx - b.bx) * (a.bx - b.bx) + (a.by_ - b.by_) * (a.by_ - b.by_) <= 2.25),
-{z}o as (select cast({km} as double) as size_km, n, case when n >= 30 then (select round(sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0), 6) from {z}r) end as auc,
+{z}o as (select cast({km} as double) as size_km, {least} as least, n, case when n >= 30 then (select round(sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0), 6) from {z}r) end as auc,
   case when n >= 30 then (select round(least(1, g / (select var_samp(med) from {z})), 6) from {z}g) end as nugget, case when n >= 30 then (select round(corr(am, score), 6) from {z}n) end as r from (select count(*) as n from {z}))"""
 
 
-@query("zone_ceilings", "wells", "".join(map(_zones_sql, SIZES)) + " " + " union all ".join(f"select * from z{s}o" for s in SIZES))
+@query("zone_ceilings", "wells", "".join(_zones_sql(*s) for s in ZONE_SETTINGS) + " " + " union all ".join(f"select * from z{s}_{n}o" for s, n in ZONE_SETTINGS))
 def zone_ceilings(spark, sf_dir):
-    """AUC and correlation of the nearest block's median, and the nugget of adjacent blocks, on blocks of 1, 2 and 4 km; null below 30 blocks."""
-    out = None
-    for size in SIZES:
-        z = zone_medians(spark, sf_dir, float(size), 2)
-        z = z.crossJoin(F.broadcast(metrics.quantiles(z, "med", [0.75], ["q"]))).withColumn("y1", (F.col("med") >= F.col("q")).cast("int"))
-        pts = cut(z.select(F.struct("bx", "by_").alias("code"), F.col("bx").cast("double").alias("x"), F.col("by_").cast("double").alias("y"), "med", "y1"))
-        near = spatial.nearest(pts, pts, 1, carry=("med", "y1"), exclude_self=True).select(F.col("a_y1").alias("y1"), F.col("a_med").alias("am"), F.col("b_med").alias("score"))
-        g = (F.col("a_med") - F.col("b_med")) * (F.col("a_med") - F.col("b_med")) / 2
-        beside = spatial.cross_pairs(pts, pts, 1.5, carry=("med",)).where("a <> b").agg(F.avg(g).alias("g"))
-        whole = pts.agg(F.count("*").alias("n"), F.var_samp("med").alias("s")).crossJoin(beside).crossJoin(near.agg(F.corr("am", "score").alias("r"))).crossJoin(metrics.auc(near, "y1", "score").select("auc"))
-        known = lambda c: F.when(F.col("n") >= LEAST_ZONES, F.round(c, 6))
-        one = whole.select(F.lit(size / 1000).alias("size_km"), "n", known(F.col("auc")).alias("auc"), known(F.least(F.lit(1.0), F.col("g") / F.col("s"))).alias("nugget"), known(F.col("r")).alias("r"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """AUC and correlation of the nearest block's median, and the nugget of adjacent blocks, for five block sizes and least numbers of wells; null below 30 blocks.
+
+    The settings lie side by side on one plane, a long way apart, so that one search serves all.
+    """
+    w = relation(spark, sf_dir, "wells").select("x", "y", "z")
+    setting = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("size"), F.lit(n).alias("least")) for k, (s, n) in enumerate(ZONE_SETTINGS)])).alias("s")
+    keyed = w.select("x", "y", "z", setting).select("s.*", F.floor(F.col("x") / F.col("s.size")).alias("bx"), F.floor(F.col("y") / F.col("s.size")).alias("by_"), "z")
+    z = metrics.median(keyed, "z", ("k", "least", "bx", "by_")).where("n >= least")
+    z = cut(z.join(metrics.quantiles(z, "med", [0.75], ["q"], ("k",)), "k").withColumn("y1", (F.col("med") >= F.col("q")).cast("int")))
+    apart = 10.0 * (z.agg(F.max(F.abs("bx")) + F.max(F.abs("by_"))).first()[0] or 0) + 1000
+    pts = cut(z.select(F.struct("k", "bx", "by_").alias("code"), (F.col("bx") + F.col("k") * apart).alias("x"), F.col("by_").cast("double").alias("y"), "k", "med", "y1"))
+    near = spatial.nearest(pts, pts, 1, carry=("k", "med", "y1"), exclude_self=True).where("a_k = b_k").select(F.col("a_k").alias("k"), F.col("a_y1").alias("y1"), F.col("a_med").alias("am"), F.col("b_med").alias("score"))
+    near = cut(near)
+    g = (F.col("a_med") - F.col("b_med")) * (F.col("a_med") - F.col("b_med")) / 2
+    beside = spatial.cross_pairs(pts, pts, 1.5, carry=("k", "med")).where("a <> b").groupBy(F.col("a_k").alias("k")).agg(F.avg(g).alias("g"))
+    whole = spark.createDataFrame([(k, s / 1000, n) for k, (s, n) in enumerate(ZONE_SETTINGS)], "k int, size_km double, least int")
+    for part in (pts.groupBy("k").agg(F.count("*").alias("n"), F.var_samp("med").alias("s")), beside, near.groupBy("k").agg(F.corr("am", "score").alias("r")), metrics.auc(near, "y1", "score", keys=("k",)).select("k", "auc")):
+        whole = whole.join(part, "k", "left")
+    known = lambda c: F.when(F.col("n") >= LEAST_ZONES, F.round(c, 6))
+    return whole.select("size_km", "least", F.coalesce("n", F.lit(0)).alias("n"), known(F.col("auc")).alias("auc"), known(F.least(F.lit(1.0), F.col("g") / F.col("s"))).alias("nugget"), known(F.col("r")).alias("r"))
 
 
 @query("bootstrap_auc_by_well", "wells", NEAR + """, reps as (select unnest(range(0, 20)) as rep), wt as (select rep, code, cast((code * 31 + rep * 17 + code * rep) % 4 as double) as c from wells, reps),

@@ -23,13 +23,13 @@ def test_variograms_reach_16_km(spark, sf_dir):
             lag = next((b for a, b in zip(LAGS, LAGS[1:], strict=False) if a < d <= b), None)
             if lag:
                 want[lag] += 1
-    want = {k: n for k, n in want.items() if n >= 30}
+    want = {k: n for k, n in want.items() if n >= 100}
     assert max(want) == 16000
     for name in ("variogram", "variogram_detrended"):
         assert {r.lag: r.pairs for r in QUERIES[name](spark, sf_dir).collect()} == want
     got = QUERIES["variogram_directional"](spark, sf_dir).groupBy("lag").agg(F.sum("pairs").alias("n"))
-    # of the four directions' bins only those with 30 pairs stay
-    assert all(want[r.lag] - 4 * 29 <= r.n <= want[r.lag] for r in got.collect()) and got.where("lag = 16000").count() == 1
+    # of the four directions' bins only those with 100 pairs stay
+    assert all(want[r.lag] - 4 * 99 <= r.n <= want[r.lag] for r in got.collect()) and got.where("lag = 16000").count() == 1
 
 
 def test_lines_take_all_vertices(spark, sf_dir):
