@@ -42,6 +42,36 @@ def fixed_weights(units: DataFrame, repetitions: int) -> DataFrame:
     return reps.withColumn("c", ((F.col("code") * 31 + F.col("rep") * 17 + F.col("code") * F.col("rep")) % 4).cast("double"))
 
 
+#: Rows among which the last ones of an exact sample are ranked.
+RANKED_ROWS = 50_000
+
+
+def exact_sample(frame: DataFrame, n: int, keys: list[str], seed: int = 0, number: Column | None = None) -> DataFrame:
+    """Exactly ``n`` rows of ``frame`` (all if it has fewer), the same wherever its rows lie: those of the smallest hashes of ``keys`` and ``seed``, or
+    of the smallest ``number`` (from 0 to below 2^63).
+
+    Counts by range of hashes find the range in which the n-th smallest lies, finer and
+    finer until it holds few rows; only that range is ranked. ``keys`` tell the rows apart;
+    rows that don't differ in them are ordered among themselves by chance.
+    """
+    if n <= 0:
+        return frame.where("false")
+    if (inside := frame.count()) <= n:
+        return frame
+    keyed = frame.withColumn("__h", F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 1) if number is None else number)
+    lead = lambda bits: F.shiftright("__h", 63 - bits)
+    bits, at, before = 0, 0, 0
+    while inside > RANKED_ROWS and bits < 60:
+        own = keyed.where(lead(bits) == at).groupBy(lead(bits + 12).alias("k")).agg(F.count("*").alias("rows"))
+        for k, rows in sorted((r.k, r.rows) for r in own.collect()):  # 4,096 at most
+            if before + rows >= n:
+                bits, at, inside = bits + 12, k, rows
+                break
+            before += rows
+    last = keyed.where(lead(bits) == at).orderBy("__h", *keys).limit(n - before)
+    return keyed.where(lead(bits) < at).unionByName(last).drop("__h")
+
+
 def interval(frame: DataFrame, value: str, keys: tuple[str, ...] = (), least_valid: int = 10) -> DataFrame:
     """n_valid, 2.5 % and 97.5 % points of ``value`` over repetitions; null with fewer than ``least_valid`` valid ones."""
     valid = frame.where(F.col(value).isNotNull() & ~F.isnan(value))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataflow.adapters import relation
 from strataflow.operators import metrics, resample, spatial
 from strataflow.operators.spatial import radius_pairs
+from strataflow.operators.validation import LEAST_ROWS
 from strataflow.plans.registry import query
 from strataflow.session import cut
 
@@ -175,14 +176,16 @@ def test_train_distance(spark, sf_dir):
 
 @query("buffer_eval", "wells", FOLDS + """, t as (select quantile_cont(z, 0.75) as q from wells), far as (select w.code, case when z >= q then 1 else 0 end as y, w.depth_m as score from pairs p join wells w on w.code = p.a, t where d >= 1000),
 cells as (select score as s, sum(y) as pos, sum(1 - y) as neg from far group by score), run as (select *, sum(neg) over (order by s rows between unbounded preceding and current row) - neg as below from cells)
-select (select count(*) from wells) - (select count(*) from far) as n_removed, cast(sum(pos + neg) as bigint) as n, round(sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0), 6) as auc from run""")
+select (select count(*) from wells) - n as n_removed, n, valid, case when valid then auc end as auc from (select cast(coalesce(sum(pos + neg), 0) as bigint) as n,
+  round(sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0), 6) as auc, coalesce(sum(pos + neg) >= 50 and sum(pos) * sum(neg) > 0, false) as valid from run)""")
 def buffer_eval(spark, sf_dir):
-    """AUC on wells at least 1 km away from the other folds, with the training side unchanged."""
+    """AUC on wells at least 1 km away from the other folds, with the training side unchanged; none where fewer than 50 wells or one class are left."""
     w = relation(spark, sf_dir, "wells").select("code", "z", F.col("depth_m").alias("score"))
     w = w.crossJoin(F.broadcast(metrics.quantiles(w, "z", [0.75], ["q"]))).withColumn("y", (F.col("z") >= F.col("q")).cast("int"))
     far = w.join(fold_distances(spark, sf_dir).where("d >= 1000").select("code"), "code")
     total = w.agg(F.count("*").alias("total"))
-    return metrics.auc(far, "y", "score").crossJoin(total).select((F.col("total") - F.col("n")).alias("n_removed"), "n", R6("auc"))
+    n, valid = F.coalesce("n", F.lit(0)), F.coalesce((F.col("n") >= LEAST_ROWS) & F.col("auc").isNotNull(), F.lit(False))
+    return metrics.auc(far, "y", "score").crossJoin(total).select((F.col("total") - n).alias("n_removed"), n.alias("n"), valid.alias("valid"), F.when(valid, F.round("auc", 6)).alias("auc"))
 
 
 REPS = 20

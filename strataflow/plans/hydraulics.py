@@ -9,6 +9,7 @@ from strataflow.functions import fuzzy, hydraulics
 from strataflow.functions.geometry import block, direction_class, utm_forward, utm_inverse
 from strataflow.operators import metrics
 from strataflow.operators import quality_control as qc
+from strataflow.operators.ordering import numbered
 from strataflow.plans.registry import query
 
 C = F.col
@@ -140,7 +141,7 @@ select w.code, cast(fold as int) as fold from wells w join f on floor(w.x / 1000
 def block_fold_map(spark, sf_dir):
     """Folds dealt to blocks in turn, and the blocks' folds on the wells."""
     w = wells(spark, sf_dir).select("code", block(C("x"), 10000).alias("bx"), block(C("y"), 10000).alias("bb"))
-    folds = w.select("bx", "bb").distinct().withColumn("fold", ((F.expr("row_number() over (order by bx, bb)") - 1) % 5).cast("int"))
+    folds = numbered(w.select("bx", "bb").distinct(), "bx", "bb").select("bx", "bb", (C("place") % 5).cast("int").alias("fold"))
     return w.join(folds, ["bx", "bb"]).select("code", "fold")
 
 

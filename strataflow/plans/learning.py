@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from strataflow.adapters import relation
 from strataflow.functions import fuzzy
 from strataflow.functions.fuzzy import impute_median
-from strataflow.operators import kriging, metrics, models, spatial
+from strataflow.operators import kriging, metrics, models, spatial, validation
 from strataflow.plans.registry import query
-from strataflow.session import cut
+from strataflow.session import cut, scratch_path
 
 C = F.col
 FEATURES = ["depth_m", "flow", "static_sheet", "hours", "qs_cadastre"]
@@ -45,43 +45,55 @@ def spatial_folds(spark, sf_dir):
 
 
 @query("nested_cv")
-def nested_cv(spark, sf_dir, seeds=2, folds=3, depths=(3, 5), inner=2, trees=20, rounds=5):
+def nested_cv(spark, sf_dir, seeds=2, folds=3, depths=(3, 5), inner=2, trees=20, rounds=5, at_once=validation.AT_ONCE):
     """Out-of-fold AUC of forest, boosted trees, their mean and the fuzzy score on the same rows, over spatial folds; the depth is chosen inside each training side."""
-    m, rows = fuzzy.gamma_score(matrix(spark, sf_dir), [("depth_m", False), ("flow", False), ("static_sheet", True)], "p_fuzzy"), None
-    for seed in range(1, seeds + 1):
-        both = out_of_fold(cut(folded(m, 10000.0, folds, seed)), seed, folds, depths, inner, trees, rounds)
-        long = both.select("y", F.expr("stack(4, 'forest', p_rf, 'boosted', p_gbt, 'mean', p_mean, 'fuzzy', p_fuzzy) as (model, p)"))
-        got = metrics.auc(long, "y", "p", keys=("model",)).select(F.lit(seed).alias("seed"), "model", "n", F.round("auc", 6).alias("auc"))
-        rows = got if rows is None else rows.unionByName(got)
-    return rows
+    m = matrix(spark, sf_dir)
+    got = validation.nested_validation(placed(m), FEATURES, scratch_path(spark, "nested-cv"), 10000.0, seeds, folds, inner, depths, trees, rounds, at_once)
+    fuzzy_score = fuzzy.gamma_score(m, [("depth_m", False), ("flow", False), ("static_sheet", True)], "p_fuzzy").select("code", "p_fuzzy")
+    scores = validation.class_scores(got.join(fuzzy_score, "code"), {"forest": "p_rf", "boosted": "p_gbt", "mean": "p_mean", "fuzzy": "p_fuzzy"})
+    return scores.select("seed", "model", "n", F.round("auc", 6).alias("auc"))
+
+
+@query("regression_cv")
+def regression_cv(spark, sf_dir, seeds=2, folds=3, depths=(5,), inner=2, trees=20, rounds=5, at_once=validation.AT_ONCE):
+    """R2 and RMSE of z, out of fold over spatial blocks, by seed: forest, boosted trees and their mean."""
+    got = validation.nested_validation(placed(matrix(spark, sf_dir)), FEATURES, scratch_path(spark, "regression-cv"), 10000.0, seeds, folds, inner, depths, trees, rounds, at_once)
+    scores = validation.value_scores(got, {"forest": "z_rf", "boosted": "z_gbt", "mean": "z_mean"})
+    return scores.select("seed", "model", "n", F.round("r2", 6).alias("r2"), F.round("rmse", 6).alias("rmse"))
 
 
-def out_of_fold(f, seed, folds, depths, inner, trees, rounds):
-    """The out-of-fold table: every row with p_rf, p_gbt and p_mean from models that haven't seen its fold."""
-    rf = models.cross_validate(f, FEATURES, "rf", "fold", folds, seed, depths, inner, trees=trees).withColumnRenamed("p", "p_rf")
-    gbt = models.cross_validate(f, FEATURES, "gbt", "fold", folds, seed, rounds=rounds).select("code", C("p").alias("p_gbt"))
-    return rf.join(gbt, "code").withColumn("p_mean", (C("p_rf") + C("p_gbt")) / 2)
+def placed(m):
+    """The matrix with its coordinates as bx and by, from which blocks are made."""
+    return m.withColumnsRenamed({"x": "bx", "north": "by"})
+
+
+def out_of_fold(spark, sf_dir, seeds=1, folds=3):
+    """The out-of-fold table at the registered queries' sizes."""
+    return validation.nested_validation(placed(matrix(spark, sf_dir)), FEATURES, scratch_path(spark, "out-of-fold"), 10000.0, seeds, folds, 2, (5,), **SMALL, **SHORT)
 
 
 @query("out_of_fold_table")
 def out_of_fold_table(spark, sf_dir):
-    """Every well's fold and out-of-fold probabilities."""
-    f = cut(folded(matrix(spark, sf_dir), 10000.0, 3, 42))
-    return out_of_fold(f, 42, 3, (5,), 2, **SMALL, **SHORT).select("code", "fold", "y", *[F.round(p, 6).alias(p) for p in ("p_rf", "p_gbt", "p_mean")])
+    """Every well's fold, out-of-fold probabilities and values."""
+    cols = ("z", "p_rf", "p_gbt", "p_mean", "z_rf", "z_gbt", "z_mean")
+    return out_of_fold(spark, sf_dir).select("code", "fold", "y", *[F.round(p, 6).alias(p) for p in cols])
 
 
 @query("external_validation")
 def external_validation(spark, sf_dir):
-    """A forest and boosted trees fitted inside a sub-area, with threshold and medians from there alone, tested outside."""
+    """Forest and boosted trees fitted inside a sub-area, with threshold and medians from there alone, tested outside: AUC of the class, R2 and RMSE of the value."""
     m, rows = matrix(spark, sf_dir), None
     inside = C("x").between(0, 30000) & C("north").between(0, 30000)
     q = metrics.quantiles(m.where(inside), "z", [0.75], ["q"])
     m = cut(m.drop("y").crossJoin(F.broadcast(q)).withColumn("y", (C("z") >= C("q")).cast("int")))
     m = cut(impute_median(m, FEATURES, m.where(inside)))
-    train, test = m.where(inside), m.where(~inside)
+    train, test = m.where(inside), validation.enough(m.where(~inside))
     for kind, size in (("rf", SMALL), ("gbt", SHORT)):
-        got = metrics.auc(models.predict(fitted(kind, FEATURES, train, **size), test), "y", "p").select(F.lit(kind).alias("model"), "n", "positives", F.round("auc", 6).alias("auc"))
-        rows = got if rows is None else rows.unionByName(got)
+        got = models.predict(fitted(kind, FEATURES, train, **size), test)
+        got = cut(models.predict_value(models.regressor(kind, FEATURES, 42, **size).fit(train), got))
+        auc, value = metrics.auc(got, "y", "p"), metrics.r2_rmse(got, "z", "v").drop("n")
+        one = auc.crossJoin(F.broadcast(value)).select(F.lit(kind).alias("model"), "n", "positives", *[F.round(c, 6).alias(c) for c in ("auc", "r2", "rmse")])
+        rows = one if rows is None else rows.unionByName(one)
     return rows
 
 
@@ -125,11 +137,16 @@ def permutation_importance(spark, sf_dir, repetitions=2):
 
 @query("train_predict")
 def train_predict(spark, sf_dir):
-    """Probabilities of a forest and of boosted trees on every well, and their difference."""
+    """Probabilities and values of every well from the four final models, written with their predictors and provenance and read back, and the classifiers' difference."""
     m = cut(impute_median(matrix(spark, sf_dir), FEATURES))
-    rf = models.predict(models.classifier("rf", FEATURES, 42, **SMALL).fit(m), m, "p_rf")
-    gbt = models.predict(models.classifier("gbt", FEATURES, 42, **SHORT).fit(m), m, "p_gbt").select("code", "p_gbt")
-    return rf.join(gbt, "code").select("code", "y", F.round("p_rf", 6).alias("p_rf"), F.round("p_gbt", 6).alias("p_gbt"), F.round(F.abs(C("p_rf") - C("p_gbt")), 6).alias("gap"))
+    path = scratch_path(spark, "models")
+    for name, model in (("rf_class", models.classifier("rf", FEATURES, 42, **SMALL)), ("gbt_class", models.classifier("gbt", FEATURES, 42, **SHORT)), ("rf_value", models.regressor("rf", FEATURES, 42, **SMALL)), ("gbt_value", models.regressor("gbt", FEATURES, 42, **SHORT))):
+        models.save_model(model.fit(m), f"{path}/{name}", FEATURES, {"rows": "wells", "target": "z"})
+    out = m
+    for name, column in (("rf_class", "p_rf"), ("gbt_class", "p_gbt"), ("rf_value", "z_rf"), ("gbt_value", "z_gbt")):
+        model, features, _ = models.load_model(spark, f"{path}/{name}")
+        out = (models.predict if name.endswith("class") else models.predict_value)(model, out.select(*[c for c in out.columns if c not in features], *features), column)
+    return out.select("code", "y", *[F.round(c, 6).alias(c) for c in ("p_rf", "p_gbt", "z_rf", "z_gbt")], F.round(F.abs(C("p_rf") - C("p_gbt")), 6).alias("gap"))
 
 
 @query("raster_prediction")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataflow.adapters import relation
 from strataflow.functions import text as tx
 from strataflow.operators import quality_control as qc
+from strataflow.operators import resample
 from strataflow.operators.spatial import radius_pairs
 from strataflow.plans.registry import query
 from strataflow.session import table
@@ -193,6 +194,14 @@ def grouped_min_n(spark, sf_dir):
     return b.agg(F.count("*").alias("n"), F.round(F.expr("percentile(depth_m, 0.5D)"), 6).alias("median")).where("n >= 8")
 
 
+@query("exact_sample", "", "select doc_id, lang, strlen(text) as bytes from documents order by substr(md5(cast(doc_id as varchar) || ':42'), 1, 15), doc_id limit 300")
+def exact_sample(spark, sf_dir):
+    """Exactly 300 documents (all of a smaller table), the same at any partitioning."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.octet_length("text").alias("bytes"))
+    digest = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":42")))
+    return resample.exact_sample(d, 300, ["doc_id"], number=F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+
+
 @query("stratified_sample", "", "select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by md5(cast(doc_id as varchar)), doc_id) as k from documents) where k <= 12")
 def stratified_sample(spark, sf_dir):
     """At most twelve documents of each language, by a hash of the id."""

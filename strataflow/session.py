@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "strataflow", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the library is tuned for (UTC, AQE, skew join)."""
+    """A session with the settings the library is tuned for (UTC, AQE, skew join, fair shares among jobs that run at once)."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -18,6 +18,7 @@ def build_session(app: str = "strataflow", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.scheduler.mode": "FAIR",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
