@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strataflow.adapters import relation
 from strataflow.functions import fuzzy
 from strataflow.functions.fuzzy import impute_median
-from strataflow.operators import kriging, metrics, models, spatial, validation
+from strataflow.operators import drift, kriging, metrics, models, spatial, validation
 from strataflow.plans.registry import query
 from strataflow.session import cut, scratch_path
 
@@ -187,8 +187,64 @@ def ok_kriging(spark, sf_dir):
     return kriging.ordinary_kriging(w, "z", cells(spark, sf_dir), LAGS).select(C("code").alias("cell"), F.round("estimate", 6).alias("estimate"))
 
 
+def wells_on_terrain(spark, sf_dir):
+    """Wells with the terrain height of their grid cell as ``v``, and the grid's cells with theirs."""
+    grid = relation(spark, sf_dir, "grid")
+    w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z", "depth_m", "hours", F.floor(C("y") / 1500).cast("int").alias("r"), F.floor(C("x") / 1500).cast("int").alias("c"))
+    return w.join(grid, ["r", "c"]).drop("r", "c"), cells(spark, sf_dir).join(grid.select((C("r") * 100000 + C("c")).alias("code"), "v"), "code")
+
+
 @query("regression_kriging")
 def regression_kriging(spark, sf_dir):
-    """A plane plus kriged residuals on the grid."""
-    w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
-    return kriging.regression_kriging(w, "z", cells(spark, sf_dir), LAGS).select(C("code").alias("cell"), F.round("estimate", 6).alias("estimate"))
+    """A drift on place and terrain height plus kriged residuals, on the grid."""
+    w, targets = wells_on_terrain(spark, sf_dir)
+    return kriging.regression_kriging(w, "z", targets, LAGS, features=("x", "y", "v")).select(C("code").alias("cell"), F.round("estimate", 6).alias("estimate"))
+
+
+DRIFT = ("depth_m", "hours", "x")
+
+_S = {(a, b): f"s{i}{j}" for i, a in enumerate((*DRIFT, "z")) for j, b in enumerate((*DRIFT, "z")) if i <= j}
+#: The normal equations of three covariates by determinants.
+DRIFT_SQL = f""", m as (select {", ".join(f"avg({c}) as m_{c}" for c in (*DRIFT, "z"))} from wells),
+s as (select {", ".join(f"sum(({a} - m_{a}) * ({b} - m_{b})) as {n}" for (a, b), n in _S.items())} from wells, m),
+d as (select *, s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02) as det from s),
+b as (select *, (s03 * (s11 * s22 - s12 * s12) - s01 * (s13 * s22 - s12 * s23) + s02 * (s13 * s12 - s11 * s23)) / det as b0,
+  (s00 * (s13 * s22 - s23 * s12) - s03 * (s01 * s22 - s12 * s02) + s02 * (s01 * s23 - s13 * s02)) / det as b1,
+  (s00 * (s11 * s23 - s12 * s13) - s01 * (s01 * s23 - s02 * s13) + s03 * (s01 * s12 - s11 * s02)) / det as b2 from d)
+select round(m_z - b0 * m_depth_m - b1 * m_hours - b2 * m_x, 6) as intercept, round(b0 * 1e3, 6) as depth_m, round(b1 * 1e3, 6) as hours, round(b2 * 1e6, 6) as x, round((b0 * s03 + b1 * s13 + b2 * s23) / s33, 6) as r2, 3 as rank, (select count(*) from wells) as n from b, m"""
+
+
+@query("drift_coefficients", "wells", DRIFT_SQL)
+def drift_coefficients(spark, sf_dir):
+    """The least-squares drift of z on three covariates (in thousandths and millionths), its R2 and rank."""
+    d = drift.least_squares(relation(spark, sf_dir, "wells"), list(DRIFT), "z")
+    unit = dict(zip(DRIFT, (1e3, 1e3, 1e6), strict=True))
+    row = {"intercept": d.intercept} | {f: b * unit[f] for f, b in zip(DRIFT, d.slopes, strict=True)} | {"r2": d.r2}
+    one = spark.createDataFrame([(*row.values(), d.rank, d.n)], ", ".join(f"{k} double" for k in row) + ", rank int, n long")
+    return one.select(*[F.round(k, 6).alias(k) for k in row], "rank", "n")
+
+
+#: What regression kriging has to gain to be adopted, as a share of the RMSE.
+GAIN = 0.05
+
+
+def surfaces_left_out(spark, sf_dir):
+    """Estimates of z on every well from the wells of other 10 km blocks' folds."""
+    w, _ = wells_on_terrain(spark, sf_dir)
+    return kriging.left_out_blocks(models.spatial_folds(w, 10000.0, 5, 42), "z", LAGS, ("x", "y", "v"))
+
+
+@query("surface_cv")
+def surface_cv(spark, sf_dir):
+    """RMSE of ordinary and regression kriging by left-out fold."""
+    e = lambda c: F.round(F.sqrt(F.avg((C(c) - C("actual")) * (C(c) - C("actual")))), 6)
+    return surfaces_left_out(spark, sf_dir).groupBy("fold").agg(F.count("*").alias("n"), e("ok").alias("rmse_ok"), e("rk").alias("rmse_rk"))
+
+
+@query("surface_gate")
+def surface_gate(spark, sf_dir):
+    """Over all left-out wells: RMSE of both, what regression kriging gains, and whether it is adopted."""
+    e = lambda c: F.sqrt(F.avg((C(c) - C("actual")) * (C(c) - C("actual"))))
+    both = surfaces_left_out(spark, sf_dir).agg(F.count("*").alias("n"), e("ok").alias("ok"), e("rk").alias("rk"))
+    gain = (C("ok") - C("rk")) / C("ok")
+    return both.select("n", F.round("ok", 6).alias("rmse_ok"), F.round("rk", 6).alias("rmse_rk"), F.round(gain, 6).alias("gain"), (gain >= GAIN).alias("adopt"))
