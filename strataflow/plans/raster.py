@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from strataflow.adapters import relation
-from strataflow.operators import raster, spatial, tiles
+from strataflow.operators import lineaments, metrics, raster, spatial, tiles
 from strataflow.plans.registry import query
 from strataflow.session import cut
 
@@ -278,7 +278,29 @@ def tilt_angle(spark, sf_dir):
     return g.join(tiles.vertical_derivative(grid(spark, sf_dir), RES), ["r", "c"]).select("r", "c", r6("ght"), r6(F.atan2(C("value"), F.greatest(C("ght"), F.lit(1e-9))), "tilt"))
 
 
+#: Suns that edges are looked for under, and scales of segments.
+SUNS, SCALES = (315.0, 45.0), (lineaments.Scale(8, 2), lineaments.Scale(16, 4))
+
+
+def shaded(spark, sf_dir, sun):
+    """Shading between 0 and 1 under a sun 45 degrees high."""
+    g = raster.gradient(grid(spark, sf_dir), RES)
+    steep, aspect, h = math.pi / 2 - F.atan(F.hypot("gr", "gc")), F.atan2(-C("gr"), C("gc")), math.radians(45)
+    shade = math.sin(h) * F.sin(steep) + math.cos(h) * F.cos(steep) * F.cos(math.radians(sun) - math.pi / 2 - aspect)
+    return g.select("r", "c", F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade)).alias("v"))
+
+
 @query("lineament_extract")
 def lineament_extract(spark, sf_dir):
-    """Straight segments along the terrain's edges, by tiles."""
-    return tiles.lineaments(grid(spark, sf_dir))
+    """Straight segments along the edges of the shaded terrain, for two suns and two scales, without those along the border."""
+    lit = None
+    for k, sun in enumerate(SUNS):
+        one = shaded(spark, sf_dir, sun).withColumn("sun", F.lit(k))
+        lit = one if lit is None else lit.unionByName(one)
+    peaks = cut(lineaments.gradient_peaks(lit.select(C("sun").alias("key"), "r", "c", "v"), 1.0))
+    bar = metrics.quantiles(peaks, "g", [0.8, 0.95], ["low", "high"], ("key",))
+    mask = cut(lineaments.hysteresis(peaks.join(bar, "key"), C("low"), C("high")))
+    n = len(SCALES)
+    keyed = mask.select(F.explode(F.array(*[C("key") * n + k for k in range(n)])).alias("key"), "r", "c")
+    found = lineaments.inside_frame(lineaments.extract(keyed, [s for _ in SUNS for s in SCALES]), grid(spark, sf_dir), 4)
+    return found.select(F.floor(C("key") / n).cast("int").alias("sun"), (C("key") % n).cast("int").alias("scale"), "r0", "c0", "r1", "c1")

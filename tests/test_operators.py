@@ -176,13 +176,6 @@ def test_windows_are_mirrored_at_the_edges(spark, size):
     assert len(got) == 28 and all(abs(x.s1 / x.n - want[x.r - 3, x.c + 1]) < 1e-9 and x.n == size * size for x in got)
 
 
-def test_segments():
-    mask = np.zeros((40, 40), bool)
-    mask[10, 5:35] = True
-    got = tiles.hough_segments(mask)
-    assert got and abs(got[0][0] - 10) <= 1 and abs(abs(got[0][1] - got[0][3]) - 29) <= 2
-
-
 def test_kriging_is_exact_at_points(spark):
     p = points(spark, 60, 2).where("x is not null and code < 60")
     got = {r.code: r.estimate for r in kriging.ordinary_kriging(p, "z", p.select("code", "x", "y"), (0, 200, 400, 800), k=6).collect()}
