@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strataflow.functions.fuzzy import impute_median
 from strataflow.operators import metrics, models
 from strataflow.session import cut
+from strataflow.sources.tables import is_written
 
 C = F.col
 #: Tasks of a grid that run at the same time.
@@ -22,12 +23,6 @@ LEAST_ROWS = 50
 PREDICTIONS = "seed int, fold int, code {code}, y int, z double, p_rf double, p_gbt double, p_mean double, z_rf double, z_gbt double, z_mean double"
 
 
-def finished(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written to ``path`` to its end, in any store that Spark reaches."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def run_grid(spark: SparkSession, path: str, tasks: dict[str, Callable[[], DataFrame]], at_once: int = AT_ONCE) -> DataFrame:
     """The rows of all ``tasks``, each written to its own folder below ``path``.
 
@@ -40,7 +35,7 @@ def run_grid(spark: SparkSession, path: str, tasks: dict[str, Callable[[], DataF
 
     def run(name: str) -> None:
         where = f"{path}/{name}"
-        if finished(spark, where):
+        if is_written(spark, where):
             return
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
         try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataflow.adapters import relation
-from strataflow.operators import metrics, resample, spatial
+from strataflow.operators import captured, metrics, resample, spatial
 from strataflow.operators.spatial import radius_pairs
 from strataflow.operators.validation import LEAST_ROWS
 from strataflow.plans.registry import query
@@ -255,3 +255,89 @@ def ci_floor(spark, sf_dir):
     a = metrics.auc(scores(spark, sf_dir), "y", "score", keys=("block",))
     ci = resample.interval(a, "auc")
     return a.agg(F.count("*").alias("n_blocks")).crossJoin(ci).select("n_blocks", "n_valid", R6("low"), R6("high"))
+
+
+#: Neighbours count within RADIUS metres, pairs for the nugget within LAG; blocks are of BLOCK_M.
+RADIUS, LAG, BLOCK_M = 2000.0, 1000.0, 10000.0
+
+CAPTURED_SQL = f""", t as (select quantile_cont(z, 0.75) as q from wells),
+pts as (select w.code, w.x, w.y, w.z, case when w.z >= q then 1 else 0 end as y1, cast(floor(w.x / {BLOCK_M}) * 1000 + floor(w.y / {BLOCK_M}) as bigint) as block, s.p, s.p2 from wells w join scores s on s.code = w.code, t),
+pairs as (select a.code as a, b.code as b, a.z as az, b.z as bz, a.block as ab, b.block as bb, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d from pts a join pts b on a.code <> b.code and abs(a.x - b.x) <= {RADIUS} and abs(a.y - b.y) <= {RADIUS}),
+ranked as (select *, row_number() over (partition by a order by d, b) as rank from pairs where d <= {RADIUS}),
+near as (select a as code, k, round(sum(bz / greatest(d, 1)) / sum(1 / greatest(d, 1)), 9) as score from ranked, (values (1), (5)) v(k) where rank <= k group by a, k),
+blocks as (select distinct block from pts), reps as (select unnest(range(0, 20)) as rep),
+wt as (select rep, block, cast((block * 31 + rep * 17 + block * rep) % 4 as double) as c from blocks, reps union all select -1, block, 1.0 from blocks),
+own as (select pts.*, rep, c, pts.code in (select code from near) as inside from pts join wt using (block) where c > 0),
+rows_ as (select rep, 'k' || k as what, y1, score, c from own join near using (code) union all select rep, 'A|0', y1, p, c from own union all select rep, 'A|1', y1, p2, c from own
+  union all select rep, 'B|0', y1, p, c from own where inside union all select rep, 'B|1', y1, p2, c from own where inside),
+cells as (select rep, what, score, sum(c * y1) as pos, sum(c * (1 - y1)) as neg from rows_ group by rep, what, score),
+run as (select *, sum(neg) over (partition by rep, what order by score rows between unbounded preceding and current row) - neg as below from cells),
+aucs as (select rep, what, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) as auc from run group by rep, what),
+bench as (select rep, cast(substr(what, 2) as int) as k, auc as bench from aucs where what like 'k%'), model as (select rep, substr(what, 1, 1) as population, avg(auc) as auc from aucs where what not like 'k%' group by 1, 2),
+values_ as (select rep, seed, c, z, z * 0.6 + 0.5 * case seed when 0 then p else p2 end as v from own, (values (0), (1)) s(seed)),
+means as (select rep, seed, sum(c * z) / sum(c) as mz from values_ group by rep, seed),
+r2 as (select rep, avg(r2) as r2 from (select rep, seed, 1 - sum(c * (z - v) * (z - v)) / sum(c * (z - mz) * (z - mz)) as r2 from values_ join means using (rep, seed) group by rep, seed) group by rep),
+gamma as (select wa.rep, sum(wa.c * wb.c * (az - bz) * (az - bz) / 2) / sum(wa.c * wb.c) as gamma from pairs join wt wa on wa.block = ab and wa.c > 0 join wt wb on wb.block = bb and wb.rep = wa.rep and wb.c > 0 where a < b and d <= {LAG} group by wa.rep),
+sill as (select rep, sum(c * z * z) / sum(c) - pow(sum(c * z) / sum(c), 2) as sill from own group by rep),
+every_ as (select 'auc' as ratio, population, k, rep, case when bench > 0.5 then (auc - 0.5) / (bench - 0.5) end as v from model join bench using (rep)
+  union all select 'r2', 'A', null, rep, case when sill > 0 and 1 - gamma / sill > 0 then r2 / (1 - gamma / sill) end from r2 left join gamma using (rep) left join sill using (rep))
+select ratio, population, k, round(max(v) filter (rep = -1), 6) as point, case when count(v) filter (rep >= 0) >= 10 then round(quantile_cont(v, 0.025) filter (rep >= 0), 6) end as low,
+  case when count(v) filter (rep >= 0) >= 10 then round(quantile_cont(v, 0.975) filter (rep >= 0), 6) end as high, round(avg(cast(v > 1 as int)) filter (rep >= 0 and v is not null), 6) as above, count(v) filter (rep >= 0) as n_valid
+from every_ group by ratio, population, k having count(*) filter (rep = -1) > 0"""
+
+
+def block_weights(points, repetitions=REPS):
+    """Given weights of blocks, the same in any engine."""
+    return resample.fixed_weights(points.select(F.col("block").alias("code")).distinct(), repetitions).withColumnRenamed("code", "block")
+
+
+def population(spark, sf_dir):
+    """Wells with target and block, and two seeds' predictions of them."""
+    w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
+    w = w.crossJoin(F.broadcast(metrics.quantiles(w, "z", [0.75], ["q"]))).withColumn("y1", (F.col("z") >= F.col("q")).cast("int")).drop("q")
+    w = cut(w.withColumn("block", F.floor(F.col("x") / BLOCK_M) * 1000 + F.floor(F.col("y") / BLOCK_M)))
+    s = w.join(relation(spark, sf_dir, "scores").select("code", "p", "p2"), "code")
+    seed = F.explode(F.array(F.struct(F.lit(0).alias("seed"), F.col("p").alias("p")), F.struct(F.lit(1).alias("seed"), F.col("p2").alias("p")))).alias("s")
+    return w, s.select("code", "z", seed).select("code", "s.seed", "s.p", (F.col("z") * 0.6 + 0.5 * F.col("s.p")).alias("v"))
+
+
+@query("captured_populations", "wells scores", CAPTURED_SQL)
+def captured_populations(spark, sf_dir):
+    """Captured fraction of the neighbours' AUC and of the reachable R2, for all wells and for those with a neighbour, with intervals over blocks."""
+    w, predictions = population(spark, sf_dir)
+    got = captured.captured(w, predictions, block_weights(w), RADIUS, LAG)
+    return got.select("ratio", "population", "k", R6("point"), R6("low"), R6("high"), R6("above"), "n_valid")
+
+
+@query("captured_populations_drawn")
+def captured_populations_drawn(spark, sf_dir, repetitions=2000):
+    """The same with blocks drawn by Poisson weights."""
+    w, predictions = population(spark, sf_dir)
+    drawn = resample.weights(w, "block", repetitions, 20).withColumnRenamed("w", "c")
+    return captured.captured(w, predictions, drawn, RADIUS, LAG)
+
+
+BLOCKS = ", reps as (select unnest(range(0, 20)) as rep), wt as (select rep, block, cast((block * 31 + rep * 17 + block * rep) % 4 as double) as c from (select distinct block from scores), reps)"
+
+
+@query("block_bootstrap_auc", "scores", BLOCKS + """, cells as (select rep, score as s, sum(c * y) as pos, sum(c * (1 - y)) as neg from scores join wt using (block) where c > 0 group by rep, score),
+run as (select *, sum(neg) over (partition by rep order by s rows between unbounded preceding and current row) - neg as below from cells),
+a as (select rep, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) as auc from run group by rep)
+select count(auc) as reps, case when count(auc) >= 10 then round(quantile_cont(auc, 0.025), 6) end as low, case when count(auc) >= 10 then round(quantile_cont(auc, 0.975), 6) end as high from a""")
+def block_bootstrap_auc(spark, sf_dir):
+    """Interval of the AUC with whole blocks drawn by given weights."""
+    s = scores(spark, sf_dir)
+    drawn = s.join(block_weights(s).where("c > 0"), "block")
+    return resample.interval(metrics.auc(drawn, "y", "score", "c", keys=("rep",)), "auc").select(F.col("n_valid").alias("reps"), R6("low"), R6("high"))
+
+
+@query("block_bootstrap_rates", "scores", CLASSED + BLOCKS + """, r as (select rep, class, sum(c * y) / sum(c) as rate from classed join wt using (block) where c > 0 group by rep, class),
+o as (select class, count(*) as n, round(avg(y), 6) as rate from classed group by class)
+select o.class, n, o.rate, count(r.rate) as reps, case when count(r.rate) >= 10 then round(quantile_cont(r.rate, 0.025), 6) end as low, case when count(r.rate) >= 10 then round(quantile_cont(r.rate, 0.975), 6) end as high from o left join r on r.class = o.class group by o.class, n, o.rate""")
+def block_bootstrap_rates(spark, sf_dir):
+    """Rate of each class with its interval, whole blocks drawn by given weights; classes stay as they are."""
+    s = cut(classed(scores(spark, sf_dir)).select("block", "class", "y"))
+    drawn = s.join(block_weights(s).where("c > 0"), "block").groupBy("rep", "class").agg((F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("v"))
+    ci = resample.interval(drawn, "v", ("class",))
+    own = s.groupBy("class").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("rate"))
+    return own.join(ci, "class", "left").select("class", "n", "rate", F.coalesce("n_valid", F.lit(0)).alias("reps"), R6("low"), R6("high"))

@@ -151,13 +151,35 @@ def train_predict(spark, sf_dir):
 
 @query("raster_prediction")
 def raster_prediction(spark, sf_dir):
-    """The forest on every grid cell, from the features of its nearest well, with the support distance: that to the nearest well of the training set."""
-    m = cut(impute_median(matrix(spark, sf_dir), FEATURES))
-    model = models.classifier("rf", FEATURES, 42, **SMALL).fit(m)
-    w = m.select("code", "x", C("north").alias("y"), *FEATURES)
-    near = spatial.nearest(cells(spark, sf_dir).select("*", *[F.lit(0.0).alias(f) for f in FEATURES]), w, 1, carry=tuple(FEATURES))
-    at = near.select(C("a").alias("cell"), C("d").alias("support"), *[C(f"b_{f}").alias(f) for f in FEATURES])
-    return models.predict(model, at).select("cell", F.round("p", 6).alias("p"), F.round("support", 6).alias("support"))
+    """Probabilities on every grid cell from a stack of rasters, with their models' difference and the distance to the nearest well of the training set.
+
+    Terrain height, its slope and a coarse raster of another origin are written to two
+    folders and read back by name; the wells take the values of their places, and the models
+    go over the aligned stack.
+    """
+    from strataflow.operators import raster
+    from strataflow.plans import raster as raster_plans
+    from strataflow.sources import georaster
+
+    terrain = raster_plans.on_the_grid(spark, sf_dir)
+    g = raster.gradient(terrain.cells, raster_plans.RES)
+    slope = georaster.Raster(g.select("r", "c", F.hypot("gr", "gc").alias("v")), terrain.place)
+    folders = [scratch_path(spark, "covariates"), scratch_path(spark, "surfaces")]
+    for folder, name, one in ((folders[0], "terrain", terrain), (folders[0], "slope", slope), (folders[1], "coarse", raster_plans.coarse(spark, sf_dir))):
+        one.write(f"{folder}/{name}")
+    names = ["terrain", "slope", "coarse"]
+    rasters = {n: georaster.read(spark, folders, n) for n in names}
+    m = matrix(spark, sf_dir).select("code", "x", C("north").alias("y"), C("y").alias("target"))
+    train = cut(models.in_order(impute_median(georaster.at_points(m, rasters), names).fillna(0.0, names)))
+    cells_ = georaster.stack(rasters, terrain.place)
+    held = cut(impute_median(cells_, names).fillna(0.0, names))
+    labelled = train.drop("y").withColumnRenamed("target", "y")
+    rf, gbt = fitted("rf", names, labelled, **SMALL), fitted("gbt", names, labelled, **SHORT)
+    got = models.predict(gbt, models.predict(rf, held, "p"), "p_gbt")
+    x, y = terrain.place.centre(C("r"), C("c"))
+    here = terrain.place.cells(spark).select(F.struct("r", "c").alias("code"), x.alias("x"), y.alias("y"))
+    near = spatial.nearest(here, train.select(F.struct("code", F.lit(0).alias("k")).alias("code"), "x", "y"), 1).select("a.r", "a.c", C("d").alias("support"))
+    return got.join(near, ["r", "c"]).select("r", "c", F.round("p", 6).alias("p"), F.round(F.abs(C("p") - C("p_gbt")), 6).alias("gap"), F.round("support", 6).alias("support"))
 
 
 @query("random_vs_spatial")

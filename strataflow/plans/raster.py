@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from strataflow.adapters import relation
 from strataflow.operators import lineaments, metrics, raster, spatial, tiles
 from strataflow.plans.registry import query
 from strataflow.session import cut
+from strataflow.sources import georaster
 
 C = F.col
 RES = 60.0
@@ -278,6 +280,46 @@ def tilt_angle(spark, sf_dir):
     return g.join(tiles.vertical_derivative(grid(spark, sf_dir), RES), ["r", "c"]).select("r", "c", r6("ght"), r6(F.atan2(C("value"), F.greatest(C("ght"), F.lit(1e-9))), "tilt"))
 
 
+#: The grid's own place, and that of a coarse raster of 4 x 4 cells whose origin is off by half a cell.
+FINE = georaster.Place(0.0, 0.0, RES, RES, 50, 40)
+COARSE = georaster.Place(-RES / 2, -RES / 2, 4 * RES, 4 * RES, 14, 11)
+
+
+def coarse(spark, sf_dir):
+    """Means of the grid's cells by the coarse cell that their centre lies in, without the ones below 935."""
+    g = grid(spark, sf_dir).select(F.floor((C("r") + 1) / 4).cast("int").alias("r"), F.floor((C("c") + 1) / 4).cast("int").alias("c"), "v")
+    return georaster.Raster(g.groupBy("r", "c").agg(F.avg("v").alias("v")).withColumn("v", F.when(C("v") >= 935, C("v"))), COARSE)
+
+
+def on_the_grid(spark, sf_dir):
+    """The grid with as many rows as it has."""
+    g = grid(spark, sf_dir)
+    rows = (g.agg(F.max("r")).first()[0] or 0) + 1
+    return georaster.Raster(g.select("r", "c", "v"), dataclasses.replace(FINE, rows=rows))
+
+
+@query("raster_align", "grid", """, w as (select cast(floor((r + 1) / 4.0) as int) as r, cast(floor((c + 1) / 4.0) as int) as c, avg(v) as v from grid group by 1, 2), k as (select * from w where v >= 935),
+size as (select max(r) + 1 as n from grid), t as (select cast(i // 40 as int) as r, cast(i % 40 as int) as c from (select unnest(range(0, (select n * 40 from size))) as i)),
+p as (select r, c, ((r + 0.5) * 1500 + 750) / 6000 - 0.5 as pr, ((c + 0.5) * 1500 + 750) / 6000 - 0.5 as pc from t),
+j as (select p.r, p.c, sum((1 - abs(pr - k.r)) * (1 - abs(pc - k.c)) * v) / sum((1 - abs(pr - k.r)) * (1 - abs(pc - k.c))) as v, max(case when k.r = floor(pr + 0.5) and k.c = floor(pc + 0.5) then 1 else 0 end) as near
+  from p join k on k.r between floor(pr) and floor(pr) + 1 and k.c between floor(pc) and floor(pc) + 1 group by p.r, p.c)
+select p.r, p.c, round(case when near = 1 then v end, 6) as v from p left join j using (r, c)""")
+def raster_align(spark, sf_dir):
+    """A coarse raster with another origin and gaps, on the cells of the grid."""
+    got = georaster.align(coarse(spark, sf_dir), on_the_grid(spark, sf_dir).place)
+    return got.cells.select("r", "c", r6("v"))
+
+
+@query("raster_zoom", "grid", """, s as (select max(r) + 1 as n from grid), t as (select cast(i // 80 as int) as r, cast(i % 80 as int) as c from (select unnest(range(0, (select n * 2 * 80 from s))) as i)),
+p as (select r, c, r * (n - 1.0) / (2 * n - 1) as pr, c * 39.0 / 79 as pc from t, s),
+j as (select p.r, p.c, sum((1 - abs(pr - g.r)) * (1 - abs(pc - g.c)) * v) / sum((1 - abs(pr - g.r)) * (1 - abs(pc - g.c))) as v, max(case when g.r = floor(pr + 0.5) and g.c = floor(pc + 0.5) then 1 else 0 end) as near
+  from p join grid g on g.r between floor(pr) and floor(pr) + 1 and g.c between floor(pc) and floor(pc) + 1 group by p.r, p.c)
+select p.r, p.c, round(case when near = 1 then v end, 6) as v from p left join j using (r, c)""")
+def raster_zoom(spark, sf_dir):
+    """The grid on twice as many rows and columns."""
+    return georaster.zoom(on_the_grid(spark, sf_dir), 2.0).cells.select("r", "c", r6("v"))
+
+
 #: Suns that edges are looked for under, and scales of segments.
 SUNS, SCALES = (315.0, 45.0), (lineaments.Scale(8, 2), lineaments.Scale(16, 4))
 

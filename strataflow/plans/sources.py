@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataflow.adapters import relation
 from strataflow.plans.registry import query
-from strataflow.session import table
+from strataflow.session import scratch_path, table
 from strataflow.sources import flight_lines, lines, record_sheets, tables
 
 C = F.col
@@ -83,3 +83,12 @@ def line_segments(spark, sf_dir):
     """Lines through the wells of each domain and residue, as segments on a grid of 400 x 400 cells; lines are cut into ranges of codes, so that no task holds one whole."""
     w = relation(spark, sf_dir, "wells").withColumn("line", F.concat_ws("/", "domain", (C("code") % 7).cast("string")))
     return lines.segments_between(w.select("line", "code", "x", "y"), 10000.0, 60000.0, 100.0, 400, 400)
+
+
+@query("dated_snapshots", "wells", " select code, x, y, z, cast('2026-02-01' as date) as snapshot from wells")
+def dated_snapshots(spark, sf_dir):
+    """The latest of two snapshots of the wells; the first one holds half of them."""
+    w, root = relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), scratch_path(spark, "snapshots")
+    tables.write_snapshot(w.where("code % 2 = 0"), root, "2026-01-01")
+    tables.write_snapshot(w, root, "2026-02-01")
+    return tables.read_snapshot(spark, root)

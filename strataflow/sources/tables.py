@@ -11,15 +11,53 @@ from pyspark.sql.types import StructType
 C = F.col
 
 
-def read_jdbc(spark: SparkSession, url: str, relation: str, columns: dict[str, str], box: tuple[float, float, float, float], lon: str = "lon", lat: str = "lat", **options: str) -> DataFrame:
-    """A relation's ``columns`` (new name -> source name) within a box; filter and columns go to the database. An empty result is an error."""
-    rows = spark.read.format("jdbc").options(url=url, dbtable=relation, **options).load()
-    got = rows.select(*[C(old).alias(new) for new, old in columns.items()]).where(C(lon).between(box[0], box[2]) & C(lat).between(box[1], box[3]))
-    if got.isEmpty():
+def read_jdbc(spark: SparkSession, url: str, relation: str, columns: dict[str, str], box: tuple[float, float, float, float], lon: str = "lon", lat: str = "lat", by: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A relation's ``columns`` (new name -> source name) within a box over ``lon`` and ``lat``; filter and columns go to the database. An empty result is an error.
+
+    With ``by``, a numeric column of the source, the rows come in ``parts`` reads at once,
+    each of a range of it between the smallest and largest value that the box holds.
+    """
+    lon, lat = columns.get(lon, lon), columns.get(lat, lat)
+    base = {"url": url, **options}
+    if by is not None:
+        named = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+        inside = f"{named(lon)} between {box[0]!r} and {box[2]!r} and {named(lat)} between {box[1]!r} and {box[3]!r}"
+        ends = spark.read.format("jdbc").options(query=f"select min({named(by)}) as low, max({named(by)}) as high from {relation} where {inside}", **base).load().first()
+        if ends[0] is None:
+            raise ValueError(f"no rows of {relation} in {box}")
+        base |= {"partitionColumn": by, "lowerBound": str(ends[0]), "upperBound": str(ends[1]), "numPartitions": str(parts)}
+    rows = spark.read.format("jdbc").options(dbtable=relation, **base).load()
+    got = rows.where(C(lon).between(box[0], box[2]) & C(lat).between(box[1], box[3])).select(*[C(old).alias(new) for new, old in columns.items()])
+    if by is None and got.isEmpty():
         raise ValueError(f"no rows of {relation} in {box}")
     return got
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` to its end, in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_snapshot(frame: DataFrame, root: str, date: str) -> str:
+    """``frame`` as it is on ``date`` (YYYY-MM-DD), below ``root``. A snapshot never changes: a second one of a date is an error."""
+    import datetime
+
+    path = f"{root}/snapshot={datetime.date.fromisoformat(date).isoformat()}"
+    if is_written(frame.sparkSession, path):
+        raise FileExistsError(f"there is a snapshot at {path}")
+    # what an interrupted write left behind isn't a snapshot
+    frame.write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_snapshot(spark: SparkSession, root: str, date: str | None = None) -> DataFrame:
+    """The snapshot of ``date``, or the latest one, with its date as ``snapshot``."""
+    rows = spark.read.option("basePath", root).parquet(f"{root}/snapshot=*")
+    day = F.lit(date).cast("date") if date else rows.select("snapshot").distinct().agg(F.max("snapshot")).first()[0]
+    return rows.where(C("snapshot") == day)
+
+
 def first_column(frame: DataFrame, candidates: list[str]) -> str | None:
     """The first of ``candidates`` that ``frame`` has, by trimmed lower-case name."""
     have = {c.strip().lower(): c for c in frame.columns}

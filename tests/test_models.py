@@ -51,7 +51,7 @@ def test_grid_raises_what_a_task_raises_and_keeps_the_rest(spark, tmp_path):
     tasks = {"a": lambda: spark.range(3), "b": bad, "c": lambda: spark.range(2)}
     with pytest.raises(ArithmeticError):
         validation.run_grid(spark, str(tmp_path), tasks, 2)
-    assert [validation.finished(spark, str(tmp_path / t)) for t in "abc"] == [True, False, True]
+    assert [validation.is_written(spark, str(tmp_path / t)) for t in "abc"] == [True, False, True]
     assert validation.run_grid(spark, str(tmp_path), tasks | {"b": lambda: spark.range(1)}, 2).count() == 6
 
 
