@@ -282,12 +282,12 @@ def tilt_angle(spark, sf_dir):
 
 #: The grid's own place, and that of a coarse raster of 4 x 4 cells of another origin.
 FINE = georaster.Place(0.0, 0.0, RES, RES, 50, 40)
-COARSE = georaster.Place(-700.0, -700.0, 4 * RES, 4 * RES, 14, 11)
+COARSE = georaster.Place(-RES * 7 / 15, -RES * 7 / 15, 4 * RES, 4 * RES, 14, 11)
 
 
 def coarse(spark, sf_dir):
     """Means of the grid's cells by the coarse cell that their centre lies in, without the ones below 935."""
-    g = grid(spark, sf_dir).select(F.floor(((C("r") + 0.5) * RES + 700) / (4 * RES)).cast("int").alias("r"), F.floor(((C("c") + 0.5) * RES + 700) / (4 * RES)).cast("int").alias("c"), "v")
+    g = grid(spark, sf_dir).select(F.floor((C("r") + 0.5 + 7 / 15) / 4).cast("int").alias("r"), F.floor((C("c") + 0.5 + 7 / 15) / 4).cast("int").alias("c"), "v")
     return georaster.Raster(g.groupBy("r", "c").agg(F.avg("v").alias("v")).withColumn("v", F.when(C("v") >= 935, C("v"))), COARSE)
 
 
@@ -298,9 +298,9 @@ def on_the_grid(spark, sf_dir):
     return georaster.Raster(g.select("r", "c", "v"), dataclasses.replace(FINE, rows=rows))
 
 
-@query("raster_align", "grid", """, w as (select cast(floor(((r + 0.5) * 1500 + 700) / 6000) as int) as r, cast(floor(((c + 0.5) * 1500 + 700) / 6000) as int) as c, avg(v) as v from grid group by 1, 2), k as (select * from w where v >= 935),
+@query("raster_align", "grid", """, w as (select cast(floor((r + 0.5 + 7.0 / 15) / 4) as int) as r, cast(floor((c + 0.5 + 7.0 / 15) / 4) as int) as c, avg(v) as v from grid group by 1, 2), k as (select * from w where v >= 935),
 size as (select max(r) + 1 as n from grid), t as (select cast(i // 40 as int) as r, cast(i % 40 as int) as c from (select unnest(range(0, (select n * 40 from size))) as i)),
-p as (select r, c, ((r + 0.5) * 1500 + 700) / 6000 - 0.5 as pr, ((c + 0.5) * 1500 + 700) / 6000 - 0.5 as pc from t),
+p as (select r, c, (r + 0.5 + 7.0 / 15) / 4 - 0.5 as pr, (c + 0.5 + 7.0 / 15) / 4 - 0.5 as pc from t),
 j as (select p.r, p.c, sum((1 - abs(pr - k.r)) * (1 - abs(pc - k.c)) * v) / sum((1 - abs(pr - k.r)) * (1 - abs(pc - k.c))) as v, max(case when k.r = floor(pr + 0.5) and k.c = floor(pc + 0.5) then 1 else 0 end) as near
   from p join k on k.r between floor(pr) and floor(pr) + 1 and k.c between floor(pc) and floor(pc) + 1 group by p.r, p.c)
 select p.r, p.c, round(case when near = 1 then v end, 6) as v from p left join j using (r, c)""")
