@@ -92,3 +92,25 @@ def dated_snapshots(spark, sf_dir):
     tables.write_snapshot(w.where("code % 2 = 0"), root, "2026-01-01")
     tables.write_snapshot(w, root, "2026-02-01")
     return tables.read_snapshot(spark, root)
+
+
+@query("record_layout", "wells", """ select cast(code as varchar) as code, 'SP' as state, domain as municipality, 'Sítio ' || cast(code % 9 as varchar) as locality, case when code % 3 = 0 then 0 else 1 + code % 2 end as n_screens,
+  case when code % 3 = 0 then null else depth_m / 2 end as first_top, case when flow > 0 then round(flow, 3) end as flow, hours from wells""")
+def record_layout(spark, sf_dir):
+    """Sheets in the registry's own layout and labels, written from the wells, parsed, and searched for the pumping test's values."""
+    w = relation(spark, sf_dir, "wells")
+    comma = lambda v: F.replace(v.cast("string"), F.lit("."), F.lit(","))
+    td = lambda kind, v: F.concat(F.lit(f'<td class="{kind}">'), v, F.lit("</td>"))
+    row = lambda kind, *v: F.concat(F.lit("<tr>"), *[td(kind, x) for x in v], F.lit("</tr>"))
+    section = lambda name, labels, *rows: F.concat(F.lit("<table>"), row("subsection-header", F.lit(name)), row("label-cell", *map(F.lit, labels)), *rows, F.lit("</table>"))
+    d, some, two = C("depth_m"), C("code") % 3 != 0, (C("code") % 3 != 0) & (C("code") % 2 == 1)
+    screens = [F.when(some, row("data-cell", comma(d / 2), comma(d / 2 + 5))).otherwise(""), F.when(two, row("data-cell", comma(d / 2 + 6), comma(d + 1))).otherwise("")]
+    flow = F.coalesce(F.concat(comma(F.round("flow", 3)), F.lit(" m3/h")), F.lit("-"))
+    html = F.concat(
+        F.lit("<html><table>"), row("x", F.concat(F.lit("Poço: "), C("code").cast("string")), F.lit("UF: SP"), F.concat(F.lit("Município: "), "domain"), F.concat(F.lit("Localidade: Sítio "), (C("code") % 9).cast("string"))), F.lit("</table>"),
+        section("Filtros:", ("De (m):", "Até (m):"), *screens),
+        section("Teste de Bombeamento", ("Vazão após estabilização (m3/h)", "Duração"), row("data-cell", flow, F.concat(comma(C("hours")), F.lit(" h")))), F.lit("</html>"),
+    )
+    got = record_sheets.test_values(record_sheets.sheet_records(w.select(html.alias("html"))))
+    flow_value = F.when(C("flow_m3h") > 0, C("flow_m3h"))
+    return got.select("code", "state", "municipality", "locality", F.size("screens").cast("long").alias("n_screens"), F.get("screens", F.lit(0)).top.alias("first_top"), flow_value.alias("flow"), "hours")
