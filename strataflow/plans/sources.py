@@ -95,7 +95,7 @@ def dated_snapshots(spark, sf_dir):
 
 
 @query("record_layout", "wells", """ select cast(code as varchar) as code, 'SP' as state, domain as municipality, 'Sítio ' || cast(code % 9 as varchar) as locality, case when code % 3 = 0 then 0 else 1 + code % 2 end as n_screens,
-  case when code % 3 = 0 then null else depth_m / 2 end as first_top, case when flow > 0 then round(flow, 3) end as flow, hours from wells""")
+  case when code % 3 = 0 then null else depth_m / 2 end as first_top, case when flow > 0 then round(flow, 3) end as flow, case when hours <> 0 then hours end as hours from wells""")
 def record_layout(spark, sf_dir):
     """Sheets in the registry's own layout and labels, written from the wells, parsed, and searched for the pumping test's values."""
     w = relation(spark, sf_dir, "wells")
