@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.text import default_tokenizer, slices, token_ids
+from strataflow.session import scratch_path
 
 CAPACITY = 4096
 END_ID = 1
@@ -144,14 +145,25 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
     return got.groupBy("shard").applyInArrow(lambda key, t: _pack_shard(key, t, capacity), PLACED)
 
 
-def sequences(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def _pack_rows(key, table: pa.Table, capacity: int) -> pa.Table:
+    """As ``_pack_shard``, with the pieces' ``salt``, which tells all of them apart."""
+    table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("salt", "ascending")])
+    return _pack_shard(key, table, capacity).append_column("salt", table.column("salt"))
+
+
+def sequences(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """The packed sequences themselves: sequence_id, length and ids (little-endian unsigned 32-bit).
 
-    A sequence holds at most ``capacity`` ids, so its pieces fit any task.
+    The pieces are written once with a number of their own, packed without their ids, and
+    meet these again by number, so that rows with one id, or none, keep their own texts. A
+    sequence holds at most ``capacity`` ids, so its pieces fit any task.
     """
-    keys = ["doc_id", "piece", "ids_crc32"]
-    held = pieces(docs, tokenizer_path, capacity, end_id, keep_ids=True).dropDuplicates(keys).select(*keys, "ids")
-    placed = pack_documents(docs, tokenizer_path, capacity, end_id)
-    on = [placed[k].eqNullSafe(held[k]) for k in keys]
-    both = placed.join(held, on).select("sequence_id", "offset", "length", held["ids"])
+    spark = docs.sparkSession
+    path = scratch_path(spark, "packing-pieces")
+    pieces(docs, tokenizer_path, capacity, end_id, keep_ids=True).withColumn("salt", F.monotonically_increasing_id()).write.parquet(path)
+    held = spark.read.schema(PIECES + ", ids binary").parquet(path)
+    shards = max(1, -(-held.where("piece = 0").count() // shard_docs))
+    dealt = held.drop("ids").withColumn("shard", F.pmod(F.xxhash64("salt"), F.lit(shards)))
+    placed = dealt.groupBy("shard").applyInArrow(lambda key, t: _pack_rows(key, t, capacity), PLACED + ", salt long")
+    both = placed.select("sequence_id", "offset", "length", "salt").join(held.select("salt", "ids"), "salt")
     return both.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts")).select("sequence_id", "length", F.expr("aggregate(parts, X'', (s, p) -> concat(s, p.ids))").alias("ids"))

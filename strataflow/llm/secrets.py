@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.sql import let, running
+from strataflow.llm.sql import let, running, unused
 from strataflow.session import scratch_path
 
 
@@ -221,11 +221,12 @@ def redact_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFr
     new = scan_unseen(versions, ledger)
     if ledger is not None:
         new = new.unionByName(ledger)
-    hits = blob_findings(new, RULES).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"), F.col("salt").alias("__part"))
-    keyed = some.withColumn("__key", F.sha2(F.col("text").cast("string"), 256)).withColumn("__salt", salt())
-    joined = keyed.join(hits, (keyed["__key"] == hits["__blob"]) & (keyed["__salt"] == hits["__part"]), "left")
-    has = F.col("__spans").isNotNull()
-    out = joined.withColumn("text", F.when(has, redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
+    blob, found, part, own, own_part = unused(docs, "__blob", "__spans", "__part", "__key", "__salt")
+    hits = blob_findings(new, RULES).select(F.col("blob").alias(blob), F.col("spans").alias(found), F.col("salt").alias(part))
+    keyed = some.withColumn(own, F.sha2(F.col("text").cast("string"), 256)).withColumn(own_part, salt())
+    joined = keyed.join(hits, (keyed[own] == hits[blob]) & (keyed[own_part] == hits[part]), "left")
+    has = F.col(found).isNotNull()
+    out = joined.withColumn("text", F.when(has, redact(F.col("text"), F.col(found))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(has, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns).unionByName(rest)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.llm.sql import unused
 from strataflow.llm.text import slices
 from strataflow.operators.components import connected_components
 from strataflow.session import scratch_path
@@ -104,24 +106,48 @@ def ring_chain(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     return found
 
 
-def chain_masks(most: int = MAX_BITS) -> list[int]:
-    """The masks of a fingerprint's index keys, two for each start of the ring.
+#: What filing a fingerprint under one more key costs (a row shuffled and sorted), in comparisons of two fingerprints.
+KEY_COST = 64
 
-    A viable chain has no differing bit in its first segment and at most one in the second,
-    so that one half of the second is equal too: the key is the first segment and that half.
+
+def chain_masks(most: int = MAX_BITS, depth: int = 2) -> list[int]:
+    """The masks of a fingerprint's index keys, equally many for each start of the ring.
+
+    A viable chain has no differing bit in its first segment and at most ``depth - 1`` in the
+    ``depth - 1`` segments behind it. Of the halves of these, twice as many as there may be
+    bits, ``depth - 1`` are equal too: a key is the first segment and one choice of that many
+    halves. A depth of 2, 3 or 4 gives 2, 6 or 20 keys for each start, of 19, 25 or 32 bits at
+    four differing bits.
     """
     ends = bounds(most)
     bits = lambda a, b: ((1 << b) - 1) ^ ((1 << a) - 1)
     if most == 0:
         return [(1 << 64) - 1]
+    behind = min(depth - 1, most)
     out = []
     for s in range(most + 1):
-        n = (s + 1) % (most + 1)
-        half = (ends[n] + ends[n + 1]) // 2
-        out += [bits(ends[s], ends[s + 1]) | bits(ends[n], half), bits(ends[s], ends[s + 1]) | bits(half, ends[n + 1])]
+        halves = []
+        for n in ((s + k) % (most + 1) for k in range(1, behind + 1)):
+            half = (ends[n] + ends[n + 1]) // 2
+            halves += [bits(ends[n], half), bits(half, ends[n + 1])]
+        out += [bits(ends[s], ends[s + 1]) | sum(chosen) for chosen in combinations(halves, behind)]
     return out
 
 
+def key_depth(fingerprints: int, most: int = MAX_BITS) -> int:
+    """How far along the chain the keys reach for so many fingerprints: the depth, up to 4, of the least work.
+
+    Work is what each fingerprint's keys cost to file, and to compare with the unlike ones that
+    share a key. Any depth finds the same links.
+    """
+
+    def work(depth: int) -> float:
+        masks = chain_masks(most, depth)
+        return sum(KEY_COST + fingerprints / 2.0 ** (m.bit_count() + 1) for m in masks)
+
+    return min(range(2, 5), key=work)
+
+
 def near(x: np.ndarray, y: np.ndarray, start: int | np.ndarray, most: int) -> np.ndarray:
     """Whether pairs are at most ``most`` bits apart, of those with a viable chain from ``start``."""
     good = chain_from(x, y, start, most)
@@ -246,26 +272,27 @@ def _block_pair(table: pa.Table, most: int) -> pa.Table:
     return pa.Table.from_batches([_edge_batch(both[i], both[j])])
 
 
-def chain_keys(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """(bucket, fp, start) of the distinct fingerprints ``fp``: two rows for each start of the ring, ten at four bits."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in chain_masks(most)]
+def chain_keys(distinct: DataFrame, most: int = MAX_BITS, depth: int = 2) -> DataFrame:
+    """(bucket, fp, start) of the distinct fingerprints ``fp``, a row for each of ``chain_masks``: ten at four bits and a depth of 2."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in chain_masks(most, depth)]
+    each = len(signed) // (most + 1)
     choice = F.posexplode(F.array(*[F.lit(m) for m in signed]))
     keyed = distinct.select("fp", choice.alias("k", "mask"))
     # a 64-bit hash may put two keys together, which adds comparisons but no link
-    return keyed.select(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "k").alias("bucket"), "fp", F.floor(F.col("k") / 2).cast("int").alias("start"))
+    return keyed.select(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "k").alias("bucket"), "fp", F.floor(F.col("k") / each).cast("int").alias("start"))
 
 
-def fingerprint_links(distinct: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, most: int = MAX_BITS, block: int = BLOCK, depth: int = 2) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fp`` that give the groups of all links.
 
     The ring's chains are the index: each fingerprint is filed under the first segment of
-    every start, with one half of the next, and only fingerprints of one key are led along the
-    chain from that start; those that keep its budgets get the Hamming check. Keys are
+    every start, with halves of the segments behind it as far as ``depth`` reaches, and only
+    fingerprints of one key are led along the chain from that start; those that keep its budgets get the Hamming check. Keys are
     compared in sorted streams; those with more than ``block`` rows are dealt to pairs of
     blocks instead, with every pair of blocks compared.
     """
     spark = distinct.sparkSession
-    stream = chain_keys(distinct, most).repartition("bucket").sortWithinPartitions("bucket")
+    stream = chain_keys(distinct, most, depth).repartition("bucket").sortWithinPartitions("bucket")
     path = scratch_path(spark, "simhash-links")
     stream.mapInArrow(lambda it: _small_buckets(it, most, block), EDGE).write.parquet(path)
     got = spark.read.schema(EDGE).parquet(path)
@@ -308,7 +335,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, most: int = MAX_BITS)
     path = scratch_path(spark, "simhash-prints")
     fingerprints(docs, width).write.parquet(path)
     prints = spark.read.schema("doc_id long, fp long").parquet(path)
-    return name_groups(prints, fingerprint_links(prints.select("fp").distinct(), most), "fp").select("doc_id", "fp", "component_id")
+    links = fingerprint_links(prints.select("fp").distinct(), most, depth=key_depth(prints.count(), most))
+    return name_groups(prints, links, "fp").select("doc_id", "fp", "component_id")
 
 
 def text_key(text: Column) -> Column:
@@ -326,11 +354,12 @@ def representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     counted = found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("n"))
     best = counted.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("f"))
-    best = best.select(F.col("f.doc_id").alias("__id"), F.col("f.key").alias("__key"), F.col("f.n").alias("__rows"))
-    keyed = docs.withColumn("__own", text_key(docs["text"]))
-    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["__id"]) & (keyed["__own"] == best["__key"]))
-    single = kept.where("__rows = 1").select(*docs.columns)
-    if best.where("__rows > 1").isEmpty():
+    lead, address, rows, own = unused(docs, "__id", "__key", "__rows", "__own")
+    best = best.select(F.col("f.doc_id").alias(lead), F.col("f.key").alias(address), F.col("f.n").alias(rows))
+    keyed = docs.withColumn(own, text_key(docs["text"]))
+    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best[lead]) & (keyed[own] == best[address]))
+    single = kept.where(F.col(rows) == 1).select(*docs.columns)
+    if best.where(F.col(rows) > 1).isEmpty():
         return single
-    again = kept.where("__rows > 1").dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    again = kept.where(F.col(rows) > 1).dropDuplicates([lead, address]).select(*docs.columns)
     return single.unionByName(again)

@@ -95,6 +95,24 @@ def test_packed_sequences_hold_the_ids(spark, encoder):
     assert sorted(ids) == sorted(want) and all(len(r.ids) == 4 * r.length <= 4 * 4096 for r in rows)
 
 
+def test_packed_sequences_keep_rows_without_id_apart(spark, encoder):
+    """Two texts whose ids have one crc32, both without doc_id, and a repeated row."""
+    words = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    ids = {w: encoder.encode(w, add_special_tokens=False).ids for w in words}
+    seen = {}
+    for u, v in ((u, v) for u in words for v in words):
+        crc = zlib.crc32(np.array([*ids[u], *ids[v], 1], "<u4").tobytes())
+        if seen.setdefault(crc, (u, v)) != (u, v):
+            break
+    texts = [f"{u} {v}", " ".join(seen[crc]), "same words", "same words"]
+    assert len(set(texts)) == 3
+    rows = packing.sequences(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).collect()
+    got = np.concatenate([np.frombuffer(bytes(r.ids), "<u4") for r in rows]).tolist()
+    parts = [list(map(int, p.split())) for p in " ".join(map(str, got)).split(" 1 ")]
+    parts[-1] = parts[-1][:-1] if parts[-1][-1] == 1 else parts[-1]
+    assert sorted(parts) == sorted(encoder.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 7, 3000, 30000):
@@ -186,11 +204,19 @@ def test_simhash_components(spark):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
-def test_simhash_large_keys_go_to_blocks(spark):
+def test_keys_grow_with_the_fingerprints():
+    depths = [simhash.key_depth(n) for n in (0, 10**6, 10**9, 10**12)]
+    assert depths == [2, 2, 3, 4] and simhash.key_depth(10**12, 0) == 2
+    fewest = [min(m.bit_count() for m in simhash.chain_masks(4, d)) for d in (2, 3, 4)]
+    assert fewest == sorted(fewest) and [len(simhash.chain_masks(4, d)) for d in (2, 3, 4)] == [10, 30, 100]
+
+
+@pytest.mark.parametrize("depth", [2, 3, 4])
+def test_simhash_large_keys_go_to_blocks(spark, depth):
     rng = random.Random(9)
     prints = list({(0xABCDEF << 40 | rng.getrandbits(12)) for _ in range(300)} | {rng.getrandbits(64) for _ in range(50)})
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    links = simhash.fingerprint_links(spark.createDataFrame(signed, "fp long"), block=16)
+    links = simhash.fingerprint_links(spark.createDataFrame(signed, "fp long"), block=16, depth=depth)
     from strataflow.operators.components import connected_components
 
     got = {r.node: r.component for r in connected_components(links).collect()}
@@ -209,14 +235,16 @@ def apart(rng, n, most):
     return x, y
 
 
+@pytest.mark.parametrize("depth", [2, 3, 4])
 @pytest.mark.parametrize("most", [1, 3, 4, 7])
-def test_every_true_pair_has_a_chain_and_its_key(most):
+def test_every_true_pair_has_a_chain_and_its_key(most, depth):
     rng = np.random.default_rng(1)
     x, y = apart(rng, 4000, most)
-    masks = [np.uint64(m) for m in simhash.chain_masks(most)]
+    masks = [np.uint64(m) for m in simhash.chain_masks(most, depth)]
+    each = len(masks) // (most + 1)
     found = np.zeros(len(x), bool)
     for k, m in enumerate(masks):
-        found |= ((x & m) == (y & m)) & simhash.chain_from(x, y, k // 2, most)
+        found |= ((x & m) == (y & m)) & simhash.chain_from(x, y, k // each, most)
     assert found.all() and simhash.ring_chain(x, y, most).all()
     starts = rng.integers(0, most + 1, len(x))
     assert (simhash.chain_from(x, y, starts, most) == np.array([simhash.chain_from(x[k : k + 1], y[k : k + 1], int(s), most)[0] for k, s in enumerate(starts)])).all()
@@ -238,6 +266,9 @@ def test_representatives(spark):
     src = spark.createDataFrame(rows, KEYED).withColumn("key", simhash.text_key(F.col("text")))
     docs = src.select("doc_id", "text", F.lit("clash").alias("key"), F.lit(1).alias("n"))
     got = sorted(((r.doc_id, r.text) for r in simhash.representatives(docs, src.select("doc_id", "key", "group")).collect()), key=str)
+    named = docs.select("doc_id", "text", *[F.lit("mine").alias(c) for c in ("__key", "__Rows", "__own", "__id")])
+    kept = simhash.representatives(named, src.select("doc_id", "key", "group"))
+    assert kept.columns == named.columns and {tuple(r)[2:] for r in kept.collect()} == {("mine",) * 4} and kept.count() == len(got)
     keys = {r.text: r.key for r in src.collect()}
     want = [(1, "A"), (2, "B2"), (7, "x"), (7, "y"), (None, "n"), (None, None), (9, ""), (8, min("mk", key=keys.get))]
     assert got == sorted(want, key=str)
@@ -512,3 +543,12 @@ def test_quality_ranking(spark):
     one = quality.train(docs, lab.where("quality = 1"))
     assert all(r.predicted == 1 for r in quality.score_documents(docs, one).collect())
     assert quality.score_documents(docs.where("false"), quality.train(docs, lab.where("false"))).count() == 0
+
+
+def test_redaction_leaves_columns_of_any_name_alone(spark):
+    names = ("__blob", "__spans", "__part", "__key", "__Salt")
+    docs = frame(spark, ["password = hunter2222 here", None, "plain"]).select("doc_id", "text", *[F.lit("mine").alias(c) for c in names])
+    out = secrets.redact_documents(docs)
+    rows = out.collect()
+    assert out.columns == docs.columns and {tuple(r)[2:] for r in rows} == {("mine",) * 5} and len(rows) == 3
+    assert not any("hunter2222" in (r.text or "") for r in rows)
