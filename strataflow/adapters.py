@@ -7,7 +7,9 @@ the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strataflow.operators.ordering import numbered
 from strataflow.session import table
 
 WELLS = """
@@ -52,7 +54,7 @@ select event_id, row_number() over (partition by event_id % 8 order by ts, event
   cast((user_id * user_id * 31 + event_id * 97) % 20000 as double) as x,
   cast((user_id * 911 + event_id * 53) % 20000 as double) as y,
   case when event_id % 3 = 0 then '1039' else '1105' end as source,
-  case when event_id % 17 = 0 then null else value end as mag
+  case when event_id % 17 = 0 then null else value end as mag, ts
 from events"""
 
 GRID = """
@@ -83,6 +85,13 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text[:at] + f"from {{{source}}}" + text[at + len(f"from {source}") :], **{source: table(spark, sf_dir, source)})
 
 
+def numbered_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flight lines with ``line_no``, each file's lines from 1, numbered within ranges so that no task holds a file."""
+    placed = numbered(relation(spark, sf_dir, "flights").drop("line_no"), "file_no", "ts", "event_id")
+    first = placed.groupBy("file_no").agg(F.min("place").alias("first"))
+    return placed.join(first, "file_no").withColumn("line_no", F.col("place") - F.col("first") + 1).drop("ts", "place", "first")
+
+
 def ctes(names: str) -> str:
     """``with`` clause that defines the adapters in ``names`` for DuckDB."""
     return "with " + ", ".join(f"{n} as ({ADAPTERS[n][1]})" for n in names.split())

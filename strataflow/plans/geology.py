@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataflow.adapters import relation
+from strataflow.adapters import numbered_flights, relation
 from strataflow.functions import geometry
 from strataflow.functions import text as tx
 from strataflow.operators import intervals as iv
@@ -76,7 +76,7 @@ def fill_rate(spark, sf_dir):
 @query("decimate", "flights", " select event_id, file_no, line_no, mag from flights where line_no % 10 = 0")
 def decimate(spark, sf_dir):
     """Every tenth line of each file."""
-    return relation(spark, sf_dir, "flights").where("line_no % 10 = 0").select("event_id", "file_no", "line_no", "mag")
+    return numbered_flights(spark, sf_dir).where("line_no % 10 = 0").select("event_id", "file_no", "line_no", "mag")
 
 
 CELLS = ", cells as (select source, cast(floor(y / 250) as bigint) as r, cast(floor(x / 250) as bigint) as c, quantile_cont(mag, 0.5) as m from flights where mag is not null group by all)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataflow.adapters import relation
+from strataflow.adapters import numbered_flights, relation
 from strataflow.plans.registry import query
 from strataflow.session import scratch_path, table
 from strataflow.sources import flight_lines, lines, record_sheets, tables
@@ -27,7 +27,7 @@ p as (select *, case when event_id % 31 = 0 then null else round(-46 + x / 20000
 select file_no, line_no, lon, round(-21 + y / 20000, 6) as lat, case when event_id % 17 = 0 then null else round(mag, 3) end as mag from p where lon between -45.8 and -45.2 and round(-21 + y / 20000, 6) between -20.9 and -20.3""")
 def xyz_parse(spark, sf_dir):
     """Flight lines written out as text (with comments, short lines and dummies) and parsed again: every second data line, in a box."""
-    f = relation(spark, sf_dir, "flights")
+    f = numbered_flights(spark, sf_dir)
     lon = F.when(C("event_id") % 31 == 0, F.lit("*")).otherwise(F.round(-46 + C("x") / 20000, 6).cast("string"))
     data = F.concat_ws("  ", F.lit("L1"), lon, F.round(-21 + C("y") / 20000, 6).cast("string"), F.coalesce(F.round("mag", 3).cast("string"), F.lit("*")))
     value = F.when(C("event_id") % 23 == 0, F.lit("/ comment 1 2 3 4")).when(C("event_id") % 29 == 0, F.lit("Line 7")).otherwise(F.concat(F.lit("  "), data))

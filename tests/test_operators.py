@@ -137,11 +137,30 @@ def test_depressions_fill_alike_over_tiles(spark):
     v = {(r, c): rng.uniform(0, 50) for r in range(20) for c in range(23)}
     grid = spark.createDataFrame([(r, c, z) for (r, c), z in v.items()], "r int, c int, v double")
     want = brute_fill(v, 1e-4)
-    for size in (128, 7):
-        got = {(r.r, r.c): r.filled for r in tiles.fill_depressions(grid, size=size).collect()}
+    for size, keep in ((128, 16), (7, 16), (5, 2)):
+        got = {(r.r, r.c): r.filled for r in tiles.fill_depressions(grid, size=size, keep=keep).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_only_tiles_beside_fallen_levels_flood_again(spark, monkeypatch):
+    """A channel winds through walls: each round after the first floods the next tile on its way alone."""
+    v = {(r, c): 90.0 for r in range(12) for c in range(12)} | {(5, c): 1.0 for c in range(1, 12)}
+    grid = spark.createDataFrame([(r, c, z) for (r, c), z in v.items()], "r int, c int, v double")
+    sizes, cut_ = [], tiles.cut
+    monkeypatch.setattr(tiles, "cut", lambda d: (lambda out: (sizes.append((out.columns, out.count())), out)[1])(cut_(d)))
+    got = {(r.r, r.c): r.filled for r in tiles.fill_depressions(grid, size=4).collect()}
+    want = brute_fill(v, 1e-4)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    flooded = [n for columns, n in sizes if columns == ["tr", "tc"]]
+    assert flooded[-1] == 0 and max(flooded) <= 9 and sum(flooded) < 9 * len(flooded)
+
+
+def test_null_levels_stay_apart(spark):
+    grid = spark.createDataFrame([(r, c, None if (r, c) in ((0, 0), (2, 2)) else 5.0) for r in range(5) for c in range(5)], "r int, c int, v double")
+    got = {(r.r, r.c): r.filled for r in tiles.fill_depressions(grid, size=3).collect()}
+    assert len(got) == 25 and got[0, 0] is None and all(5 <= got[k] < 5.001 for k in got if k not in ((0, 0), (2, 2)))
+
+
 def test_flow_and_drainage(spark):
     grid = spark.createDataFrame([(0, c, float(10 - c)) for c in range(10)], "r int, c int, v double")
     d = raster.d8(grid, 1.0)
