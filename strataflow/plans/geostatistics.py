@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataflow.adapters import relation
 from strataflow.functions.geometry import block
 from strataflow.operators import metrics, pair_moments, resample, spatial, variogram
+from strataflow.operators.nugget_intervals import nugget_intervals, poisson
 from strataflow.plans.registry import query
 from strataflow.session import cut
 
@@ -267,3 +268,36 @@ def idw_grid(spark, sf_dir):
     cells = relation(spark, sf_dir, "grid").select((F.col("r") * 100000 + F.col("c")).alias("code"), ((F.col("c") + 0.5) * 1500).alias("x"), ((F.col("r") + 0.5) * 1500).alias("y"), F.lit(0.0).alias("z"))
     near = spatial.nearest(cells, relation(spark, sf_dir, "wells").select("code", "x", "y", "z"), 12, carry=("z",))
     return spatial.inverse_distance(near, "b_z", 2.0).select(F.col("a").alias("cell"), F.round("value", 6).alias("value"))
+
+
+#: Lags of the nugget's intervals.
+NEAR_LAGS = (0, 250, 500, 1000, 2000)
+
+
+@query("nugget_intervals_fixed", "wells", """, pairs as (select a.code as a, b.code as b, (a.z - b.z) * (a.z - b.z) / 2 as g, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d from wells a join wells b on a.code < b.code and abs(a.x - b.x) <= 2000 and abs(a.y - b.y) <= 2000),
+bins as (select a, b, g, case when d <= 250 then 250 when d <= 500 then 500 when d <= 1000 then 1000 else 2000 end as lag from pairs where d > 0 and d <= 2000),
+reps as (select unnest(range(0, 20)) as rep),
+own as (select lag, count(*) as pairs, least(1, avg(g) / max(v)) as nugget, max(v) as v from bins, (select var_pop(z) as v from wells) group by lag having count(*) >= 100),
+drawn as (select lag, rep, g, cast((a * 31 + rep * 17 + a * rep) % 4 as double) * ((b * 31 + rep * 17 + b * rep) % 4) as w, cast((a * 31 + b * 17 + rep * (a + b)) % 4 as double) as p from bins, reps),
+gammas as (select lag, rep, sum(p * g) / nullif(sum(p), 0) as gp, sum(w * g) / nullif(sum(w), 0) as gw from drawn group by lag, rep),
+sill as (select rep, sum(c * t * t) / sum(c) - pow(sum(c * t) / sum(c), 2) as sill from (select rep, z - (select avg(z) from wells) as t, cast((code * 31 + rep * 17 + code * rep) % 4 as double) as c from wells, reps) group by rep),
+ends as (select lag, case when count(gp) >= 10 then quantile_cont(least(1, gp / v), 0.025) end as lp, case when count(gp) >= 10 then quantile_cont(least(1, gp / v), 0.975) end as hp,
+  case when count(gw) >= 10 then quantile_cont(case when gw is not null then least(1, gw / sill) end, 0.025) end as lw, case when count(gw) >= 10 then quantile_cont(case when gw is not null then least(1, gw / sill) end, 0.975) end as hw
+  from gammas join sill using (rep) join own using (lag) group by lag)
+select cast(lag as int) as lag, pairs, round(nugget, 6) as nugget, round(lp, 6) as low_pairs, round(hp, 6) as high_pairs, round(lw, 6) as low_wells, round(hw, 6) as high_wells, round(1 - nugget, 6) as r2_max from own left join ends using (lag)""")
+def nugget_intervals_fixed(spark, sf_dir):
+    """Nugget by lag with both intervals, pairs and wells drawn by given weights."""
+    w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
+    of_well = lambda rep, code: ((code * 31 + rep * 17 + code * rep) % 4).cast("double")
+    of_pair = lambda rep, a, b: ((a * 31 + b * 17 + rep * (a + b)) % 4).cast("double")
+    got = nugget_intervals(w, "z", NEAR_LAGS, 20, of_well, of_pair)
+    return got.select("lag", "pairs", *[F.round(c, 6).alias(c) for c in got.columns[2:]])
+
+
+@query("nugget_intervals")
+def nugget_intervals_drawn(spark, sf_dir, repetitions=1000):
+    """Nugget by lag of the values and of their residuals from the plane, with intervals over drawn pairs and over drawn wells."""
+    w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
+    variants = {"raw": w, "detrended": variogram.detrend(w, "z")}
+    both = [nugget_intervals(cut(p), "z", NEAR_LAGS[:-1], repetitions, poisson(11), poisson(12)).select(F.lit(name).alias("variant"), "*") for name, p in variants.items()]
+    return both[0].unionByName(both[1])
