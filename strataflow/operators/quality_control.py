@@ -86,6 +86,11 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def replace_where(old: DataFrame, replaced: Column, new: DataFrame) -> DataFrame:
+    """Old rows for which ``replaced`` isn't true (null included), and all new rows; columns that one side lacks are null."""
+    return old.where(~F.coalesce(replaced, F.lit(False))).unionByName(new, allowMissingColumns=True)
+
+
 def mad_outliers(frame: DataFrame, value: str, group: str, least: int = 30, most: float = 3.0) -> DataFrame:
     """Rows further than ``most`` median absolute deviations from their group's median, in groups of ``least`` rows or more."""
     med = metrics.median(frame, value, (group,))

@@ -216,6 +216,14 @@ def wells_on_terrain(spark, sf_dir):
     return w.join(grid, ["r", "c"]).drop("r", "c"), cells(spark, sf_dir).join(grid.select((C("r") * 100000 + C("c")).alias("code"), "v"), "code")
 
 
+@query("water_table_kriged")
+def water_table_kriged(spark, sf_dir):
+    """Ground level less the kriged depth to water: head by cell, with the depth held at 0 or more, whether it was, and how many cells were."""
+    w = relation(spark, sf_dir, "wells").where("static_sheet between 0 and 120").select("code", "x", "y", C("static_sheet").alias("s"))
+    ground = relation(spark, sf_dir, "grid").select((C("r") * 100000 + C("c")).alias("code"), "r", "c", "v")
+    return kriging.water_table(w, "s", cells(spark, sf_dir), ground, LAGS).select("r", "c", F.round("head", 6).alias("head"), "clipped", "n_clipped")
+
+
 @query("regression_kriging")
 def regression_kriging(spark, sf_dir):
     """A drift on place and terrain height plus kriged residuals, on the grid."""

@@ -162,6 +162,22 @@ def cadastre_load(spark, sf_dir):
     return w.where(F.coalesce("static_cadastre", "dynamic_cadastre", "qs_cadastre").isNotNull()).select("code", "x", "y", "static_cadastre", "dynamic_cadastre", "qs_cadastre")
 
 
+MEASURED = """, held as (select code, 'sheet' as method, static_sheet as static_m, dynamic_sheet as dynamic_m, qs_sheet as qs from wells where code % 3 > 0
+  union all select code, 'cadastre', static_cadastre + 1, dynamic_cadastre + 1, null from wells where code % 4 = 0)"""
+
+
+@query("cadastre_replace", "wells", MEASURED + """ select * from held where method <> 'cadastre' union all
+select code, 'cadastre', static_cadastre, dynamic_cadastre, qs_cadastre from wells where coalesce(static_cadastre, dynamic_cadastre, qs_cadastre) is not null and x between 10000 and 45000 and y between 10000 and 50000""")
+def cadastre_replace(spark, sf_dir):
+    """Measurements in which all earlier cadastre rows give way to those of a new load; rows of other methods stay."""
+    w = wells(spark, sf_dir)
+    named = lambda kind, add=0: [F.lit(kind).alias("method"), (F.col(f"static_{kind}") + add).alias("static_m"), (F.col(f"dynamic_{kind}") + add).alias("dynamic_m")]
+    sheets = w.where("code % 3 > 0").select("code", *named("sheet"), F.col("qs_sheet").alias("qs"))
+    earlier = w.where("code % 4 = 0").select("code", *named("cadastre", 1))
+    new = cadastre_load(spark, sf_dir).select("code", *named("cadastre"), F.col("qs_cadastre").alias("qs"))
+    return qc.replace_where(sheets.unionByName(earlier, allowMissingColumns=True), F.col("method") == "cadastre", new)
+
+
 @query("audit_export", "wells intervals", FLAGS + ", n as (select code, count(*) as n_intervals, max(base_m) as deepest from intervals group by code) select w.code, w.domain, array_to_string(f.flags, ';') as flags, f.approved, n_intervals, deepest from wells w join f using (code) left join n using (code)")
 def audit_export(spark, sf_dir):
     """One flat row a well, with flags joined by semicolons."""

@@ -50,6 +50,12 @@ def column_inventory(spark, sf_dir):
     return tables.inventory(table(spark, sf_dir, "customer"), "^c_")
 
 
+@query("column_examples", "", " union all ".join(f"select '{c}' as name, array_to_string(list(v order by v), '|') as examples from (select distinct cast({c} as varchar) as v from customer where {c} is not null order by v limit 3)" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
+def column_examples(spark, sf_dir):
+    """Three values of each column whose name matches, the smallest as text."""
+    return tables.examples(table(spark, sf_dir, "customer"), "^c_(custkey|name|nationkey|mktsegment)").select("name", F.array_join("examples", "|").alias("examples"))
+
+
 @query("report_parse", "", """select 'rule_' || cast(c_custkey as varchar) as key, case when c_custkey % 7 = 0 then null else cast(c_nationkey as double) end as number from customer where c_custkey % 10 <> 0""")
 def report_parse(spark, sf_dir):
     """Report lines with comments, read back as keys and numbers."""

@@ -82,8 +82,10 @@ def read_raster(spark: SparkSession, path: str, nodata: float = -9999.0) -> tupl
     return rows.select("r", "c", F.when(C("v") != nodata, C("v")).alias("v")), json.loads(first["meta"]) if first else {}
 
 
-def write_csv(frame: DataFrame, path: str, sep: str = ";") -> None:
-    """CSV with a header; array columns must be joined before."""
+def write_csv(frame: DataFrame, path: str, sep: str = ";", bom: bool = False) -> None:
+    """CSV with a header; array columns must be joined before. With ``bom`` each file begins with a byte order mark, as spreadsheets ask for."""
+    if bom:
+        frame = frame.toDF("\ufeff" + frame.columns[0], *frame.columns[1:])
     frame.write.option("header", True).option("sep", sep).csv(path)
 
 
@@ -104,6 +106,28 @@ def inventory(frame: DataFrame, pattern: str) -> DataFrame:
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def examples(frame: DataFrame, pattern: str, n: int = 3) -> DataFrame:
+    """(name, examples): for each column whose name matches, its ``n`` smallest different values as text, fewer if it has fewer.
+
+    Each value is a minimum over what lies above the one before, so that ``n`` aggregations
+    to a single row do and no values are gathered or shuffled.
+    """
+    import re
+
+    names = [c for c in frame.columns if re.search(pattern, c)]
+    texts = frame.select(*[C(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(names)])
+    found: list[list[str]] = [[] for _ in names]
+    for turn in range(n):
+        above = [C(f"c{k}") if turn == 0 else F.when(C(f"c{k}") > F.lit(v[-1]), C(f"c{k}")) for k, v in enumerate(found) if len(v) == turn]
+        todo = [v for v in found if len(v) == turn]
+        if not todo:
+            break
+        row = texts.agg(*[F.min(c) for c in above]).first()
+        for v, x in zip(todo, row, strict=True):
+            v += [x] if x is not None else []
+    return frame.sparkSession.createDataFrame(list(zip(names, found, strict=True)), "name string, examples array<string>")
+
+
 def dem_tiles(box: DataFrame, buffer: float = 0.05) -> DataFrame:
     """(tile, lon, lat) of one-degree tiles, named by their south-west corner, that meet the buffered box (west, south, east, north)."""
     span = lambda a, b: F.sequence(F.floor(C(a) - buffer), F.floor(C(b) + buffer))
