@@ -294,10 +294,17 @@ def nugget_intervals_fixed(spark, sf_dir):
     return got.select("lag", "pairs", *[F.round(c, 6).alias(c) for c in got.columns[2:]])
 
 
+def first_valid_lag(points, value="z"):
+    """The ends of the first lag that holds LEAST_PAIRS pairs, of the last lag where none does; found from cell moments."""
+    lags = variogram.LAGS
+    first = pair_moments.moment_bins(points, value).where(F.col("pairs") >= variogram.LEAST_PAIRS).agg(F.min("lag")).first()[0]
+    return lags[lags.index(first) - 1 : lags.index(first) + 1] if first is not None else lags[-2:]
+
+
 @query("nugget_intervals")
-def nugget_intervals_drawn(spark, sf_dir, repetitions=1000):
-    """Nugget by lag of the values and of their residuals from the plane, with intervals over drawn pairs and over drawn wells."""
+def nugget_intervals_drawn(spark, sf_dir, repetitions=2000):
+    """Nugget at the first valid lag, of the values and of their residuals from the plane, with intervals over drawn pairs and over drawn wells."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
-    variants = {"raw": w, "detrended": variogram.detrend(w, "z")}
-    both = [nugget_intervals(cut(p), "z", NEAR_LAGS[:-1], repetitions, poisson(11), poisson(12)).select(F.lit(name).alias("variant"), "*") for name, p in variants.items()]
+    variants = [(name, cut(p)) for name, p in (("raw", w), ("detrended", variogram.detrend(w, "z")))]
+    both = [nugget_intervals(p, "z", first_valid_lag(p), repetitions, poisson(11), poisson(12)).select(F.lit(name).alias("variant"), "*") for name, p in variants]
     return both[0].unionByName(both[1])
