@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import decontam, minhash, quality, secrets, simhash
+from strataflow.llm import decontam, quality, secrets, simhash, wide_simhash
 from strataflow.llm.packing import pack_documents
 from strataflow.session import scratch_path, table
 
@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (5-word shingles, similarity 0.8 or more), that of the smallest doc_id."""
-    return simhash.representatives(docs, minhash.near_duplicates(docs))
+    return simhash.representatives(docs, wide_simhash.near_duplicates(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

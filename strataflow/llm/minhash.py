@@ -269,14 +269,11 @@ class Compared:
         return cut(rows.groupBy("i", "j").applyInArrow(_links, "a long, b long"))
 
 
-def across(keyed: DataFrame, known: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """``MEETING`` rows for the nodes that share a band (``keyed``: node, band, place), lie in different ``known`` groups and whose sketches agree.
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (band, node, known) of the bands with more than one ``known``, dealt to blocks ``own`` that meet all others up to ``last``.
 
-    ``nodes`` has node, its cell, its sketch and bands. Of a band, the nodes outside its
-    largest known group meet all others, in pairs of blocks, so that a band of copies costs as
-    many comparisons as it has members times those outside.
+    Blocks of the largest known group come last and meet those of the rest alone.
     """
-    members = keyed.join(known, "node", "left").select("band", "place", "node", F.coalesce("known", "node").alias("known"))
     counts = members.groupBy("band", "known").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "known")).alias("l"), F.sum("n").alias("n"))
     # blocks of the rest come first, then those of the largest known group
     mixed = counts.where("l.n < n").select("band", F.col("l.known").alias("large"), F.ceil((F.col("n") - F.col("l.n")) / block).cast("int").alias("rest"), F.ceil(F.col("l.n") / block).cast("int").alias("bulk"))
@@ -284,9 +281,25 @@ def across(keyed: DataFrame, known: DataFrame, nodes: DataFrame, block: int) ->
     members = members.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(mixed.hint("merge"), ["band", "salt"]).drop("salt")
     inside, lot = F.col("known") == F.col("large"), F.xxhash64("node", F.lit(7))
     dealt = members.withColumn("own", F.when(inside, F.col("rest") + F.pmod(lot, F.col("bulk"))).otherwise(F.pmod(lot, F.col("rest"))).cast("int"))
-    dealt = dealt.withColumn("last", F.when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("bulk") - 1))
-    dealt = dealt.join(nodes.select("node", "cell", *SKETCH, "bands"), "node").select("*", F.explode(F.expr("sequence(0, last)")).alias("other"))
-    dealt = dealt.select("band", "place", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "known", "cell", *SKETCH, "bands")
+    return dealt.withColumn("last", F.when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("bulk") - 1)).drop("large", "rest", "bulk")
+
+
+def in_pairs(dealt: DataFrame) -> DataFrame:
+    """Rows of ``in_blocks`` once for each pair (i, j) of blocks that theirs is in, with the side that they are on."""
+    each = dealt.select("*", F.explode(F.expr("sequence(0, last)")).alias("other"))
+    return each.select(*[c for c in dealt.columns if c not in ("own", "last")], F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+
+
+def across(keyed: DataFrame, known: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """``MEETING`` rows for the nodes that share a band (``keyed``: node, band, place), lie in different ``known`` groups and whose sketches agree.
+
+    ``nodes`` has node, its cell, its sketch and bands. Of a band, the nodes outside its
+    largest known group meet all others, in pairs of blocks, so that a band of copies costs as
+    many comparisons as it has members times those outside.
+    """
+    members = keyed.join(known, "node", "left").select("band", "place", "node", F.coalesce("known", "node").alias("known"))
+    dealt = in_pairs(in_blocks(members, block).join(nodes.select("node", "cell", *SKETCH, "bands"), "node"))
+    dealt = dealt.select("band", "place", "i", "j", "side", "node", "known", "cell", *SKETCH, "bands")
     order = ["band", "i", "j"]
     return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_band_meetings, MEETING).distinct()
 
