@@ -30,7 +30,7 @@ SMALL = 64
 WITH_SMALL = math.ceil(SMALL / LEAST)
 #: The probability that a pair at ``LEAST`` has no segment in common, and that it has more differing bits than a budget.
 LOSS, OVER = 1e-6, 1e-7
-#: Bits of a fingerprint at least, of its first part in the Hamming check, and of a chain's two steps behind the first segment.
+#: Bits of a fingerprint at least, of its first part in the Hamming check, and of each of a chain's three steps behind the first segment.
 PRINT, HEAD, STEP = 4096, 1024, 64
 #: What filing a fingerprint under one more segment costs (a row of 32 bytes shuffled, held on disk and sorted), in comparisons of two chains.
 KEY_COST = 512
@@ -100,17 +100,17 @@ def _long(ring: np.ndarray, at: int, bits: int) -> np.ndarray:
     return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, 8 - packed.shape[1])))).view(np.int64)[:, 0]
 
 
-FILED = "bucket long, node long, one long, two long"
+FILED = "bucket long, node long, one long, two long, three long"
 
 
 def _filed(batches: Iterator[pa.RecordBatch], bits: int, count: int) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under the value of every segment, with the chain's two steps behind it; small sets under hashes, in negative buckets."""
+    """Each fingerprint under the value of every segment, with the chain's three steps behind it; small sets under hashes, in negative buckets."""
     for whole in batches:
         for a in range(0, whole.num_rows, 2048):
             batch = whole.slice(a, 2048)
             node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
             ring = np.unpackbits(np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(len(n), -1), axis=1, bitorder="little")[:, : bits * count]
-            ring = np.concatenate([ring, ring[:, : 2 * STEP + bits]], axis=1)
+            ring = np.concatenate([ring, ring[:, : 3 * STEP + bits]], axis=1)
             small = batch.column("small").to_pylist()
             at = np.repeat(np.arange(len(n)), [len(s) for s in small])
             named = np.array([h for s in small for h in s], np.int64) | np.iinfo(np.int64).min
@@ -119,7 +119,7 @@ def _filed(batches: Iterator[pa.RecordBatch], bits: int, count: int) -> Iterator
             out += [(_long(ring[large], k * bits, bits) * count + k, large, (k + 1) * bits) for k in range(count)]
             for bucket, rows, behind in out:
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, node[rows], _long(ring[rows], behind, STEP), _long(ring[rows], behind + STEP, STEP))], names=[c.split()[0] for c in FILED.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, node[rows], _long(ring[rows], behind, STEP), _long(ring[rows], behind + STEP, STEP), _long(ring[rows], behind + 2 * STEP, STEP))], names=[c.split()[0] for c in FILED.split(", ")])
 
 
 def _starts(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
@@ -160,18 +160,20 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Of a bucket with over ``BLOCK`` rows every one passes, as it comes.
     """
-    allowed = {s: np.array([budget(STEP, p), budget(2 * STEP, p)]) for s, p in ((False, APART), (True, APART_SMALL))}
+    allowed = {s: [budget(k * STEP, p) for k in (1, 2, 3)] for s, p in ((False, APART), (True, APART_SMALL))}
 
-    def met(bucket: np.ndarray, node: np.ndarray, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+    def met(bucket: np.ndarray, node: np.ndarray, *steps: np.ndarray) -> pa.RecordBatch:
         left = _left(np.r_[True, bucket[1:] != bucket[:-1]])
         few, found = bucket < 0, np.zeros(len(bucket), bool)
-        first, both = (np.where(few, allowed[True][k], allowed[False][k]) for k in (0, 1))
-        rows, one, two = np.arange(len(bucket)), one.view(np.uint64), two.view(np.uint64)
+        most = [np.where(few, allowed[True][k], allowed[False][k]) for k in range(3)]
+        rows, words = np.arange(len(bucket)), [x.view(np.uint64) for x in steps]
         for shift in range(1, int(left.max(initial=0))):
             rows = rows[left[rows] > shift]
-            near = np.bitwise_count(one[rows] ^ one[rows + shift])
-            p, near = rows[near <= first[rows]], near[near <= first[rows]].astype(np.int64)
-            p = p[near + np.bitwise_count(two[p] ^ two[p + shift]) <= both[p]]
+            p, bits = rows, np.zeros(len(rows), np.int64)
+            for word, limit in zip(words, most, strict=True):
+                bits = bits + np.bitwise_count(word[p] ^ word[p + shift])
+                near = bits <= limit[p]
+                p, bits = p[near], bits[near]
             found[p] = found[p + shift] = True
         bucket, node = bucket[found], node[found]
         new = np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)]
@@ -181,9 +183,9 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows_of(bucket: np.ndarray, part: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(part.astype(np.int32)), pa.array(node)], names=[c.split()[0] for c in MET.split(", ")])
 
-    held, passing, passed = [np.zeros(0, np.int64)] * 4, None, 0
+    held, passing, passed = [np.zeros(0, np.int64)] * 5, None, 0
     for batch in batches:
-        rows = [batch.column(c).to_numpy() for c in ("bucket", "node", "one", "two")]
+        rows = [batch.column(c).to_numpy() for c in ("bucket", "node", "one", "two", "three")]
         if passing is not None:
             own = int(np.searchsorted(rows[0], passing, "right"))
             if own:
