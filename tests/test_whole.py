@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from strataflow.adapters import relation
 from strataflow.operators.variogram import LAGS
+from strataflow.plans import learning
 from strataflow.plans.registry import QUERIES
 from strataflow.sources import lines
 
@@ -41,3 +42,17 @@ def test_lines_take_all_vertices(spark, sf_dir):
     assert sorted((r.line, r.i) for r in everywhere.collect()) == sorted((k, i) for k, c in by.items() for i in range(len(c) - 1))
     args = (10000.0, 60000.0, 100.0, 400, 400)
     assert sorted(map(tuple, lines.segments_between(w, *args, span=16).collect())) == sorted(map(tuple, QUERIES["line_segments"](spark, sf_dir).collect()))
+
+
+def test_cells_of_a_long_raster_have_numbers(spark, sf_dir, tmp_path):
+    shift = 40 * 25000  # row 25,000 times 100,000 is no int
+    spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("p_partkey", F.col("p_partkey") + F.when(F.col("p_partkey") >= 100, shift).otherwise(0)).write.parquet(f"{tmp_path}/part.parquet")
+    (tmp_path / "customer.parquet").symlink_to(f"{sf_dir}/customer.parquet")
+    here = {r.r * 100000 + r.c for r in relation(spark, str(tmp_path), "grid").collect()}
+    assert max(here) > 2**31
+    assert {r.code for r in learning.cells(spark, str(tmp_path)).collect()} == here
+    assert {r.cell for r in QUERIES["idw_grid"](spark, str(tmp_path)).collect()} == here
+    for name in ("ok_kriging", "regression_kriging"):
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+        assert {r.cell for r in got} == here and all(r.estimate is not None for r in got)
+    assert QUERIES["water_table_kriged"](spark, str(tmp_path)).where("head is not null").count() == len(here)
