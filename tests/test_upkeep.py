@@ -1,9 +1,11 @@
 """Replacing rows, examples of columns, marked CSV files, clipped water tables."""
 
+import gc
 import glob
 
 from pyspark.sql import functions as F
 
+from strataflow import session
 from strataflow.operators import kriging
 from strataflow.operators.quality_control import replace_where
 from strataflow.sources import tables
@@ -43,3 +45,22 @@ def test_kriged_depths_below_zero_are_held_and_counted(spark):
     assert low and {r.n_clipped for r in got.values()} == {len(low)} and got.keys() == plain.keys() | {999} and got[999].head is None
     for k, e in plain.items():
         assert got[k].clipped == (e < 0) and abs(got[k].head - (100 - max(e, 0.0))) < 1e-9
+
+
+def test_checkpoints_collect_the_drivers_garbage(spark, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    old = jvm.java.lang.Object()
+    held = jvm.java.lang.ref.WeakReference(old)
+    del old
+    gc.collect()
+    monkeypatch.setattr(session, "_collected", [-session.COLLECT_EVERY])
+    monkeypatch.setattr(session.time, "monotonic", lambda: 1.0)
+    for _ in range(50):  # the bridge lets go of a handle a moment later
+        session._collected[0] = -session.COLLECT_EVERY
+        session.cut(spark.range(1))
+        if held.get() is None:
+            break
+    assert held.get() is None
+    session._collected[0] = 1.0
+    session.cut(spark.range(1))
+    assert session._collected[0] == 1.0  # not again so soon
