@@ -198,8 +198,7 @@ a as (select rep, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) as auc fr
 select count(*) as reps, round(quantile_cont(auc, 0.025), 6) as low, round(quantile_cont(auc, 0.975), 6) as high from a""")
 def bootstrap_auc_fixed_w(spark, sf_dir):
     """Interval of the AUC over repetitions with given weights."""
-    s = scores(spark, sf_dir).join(resample.fixed_weights(scores(spark, sf_dir), REPS), "code")
-    ci = resample.interval(metrics.auc(s, "y", "score", "c", keys=("rep",)), "auc")
+    ci = resample.interval(resample.auc_by_repetition(scores(spark, sf_dir), "y", "score", "code", resample.GivenDraw(), REPS), "auc")
     return ci.select(F.col("n_valid").alias("reps"), R6("low"), R6("high"))
 
 
