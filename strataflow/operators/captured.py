@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.operators import metrics, resample, spatial
+from strataflow.operators import resample, spatial
 from strataflow.session import cut
 
 C = F.col
@@ -21,16 +21,17 @@ def neighbour_scores(points: DataFrame, value: str, radius: float, ks: tuple[int
     return spatial.inverse_distance(by, "b_v", 1.0, keys=("code", "k")).withColumnRenamed("value", "score")
 
 
-def with_point(weights: DataFrame, unit: str) -> DataFrame:
-    """``weights`` (rep, unit, c > 0) and every unit once as repetition POINT."""
-    return weights.where("c > 0").select("rep", unit, "c").unionByName(weights.select(F.lit(POINT).alias("rep"), unit, F.lit(1.0).alias("c")).distinct())
+def block_weights(points: DataFrame, draw: resample.Draw, reps: list[int]) -> DataFrame:
+    """(rep, block, c > 0): how often each block is drawn in each of ``reps``."""
+    blocks = points.select("block").where("block is not null").distinct().select("block", F.explode(F.array(*[F.lit(r) for r in reps])).alias("rep"))
+    return blocks.select("rep", "block", draw.column(C("rep"), C("block")).alias("c")).where("c > 0")
 
 
-def captured(points: DataFrame, predictions: DataFrame, weights: DataFrame, radius: float, lag: float, ks: tuple[int, ...] = (1, 5), least_valid: int = 10) -> DataFrame:
+def captured(points: DataFrame, predictions: DataFrame, draw: resample.Draw, repetitions: int, radius: float, lag: float, ks: tuple[int, ...] = (1, 5), least_valid: int = 10) -> DataFrame:
     """(ratio, population, k, point, low, high, above, n_valid).
 
     ``points`` has code, x, y, z, y1 and block; ``predictions`` seed, code, p and v for each
-    point; ``weights`` rep, block and c. Ratio ``auc`` is the model's AUC above one half
+    point; ``draw`` says how often a block is drawn. Ratio ``auc`` is the model's AUC above one half
     over that of the k nearest neighbours within ``radius``, for population A (all points
     over the ones with a neighbour) and B (the ones with a neighbour on both sides); ratio
     ``r2`` is R2 over what the nugget of pairs within ``lag`` leaves. The model's figures are
@@ -39,7 +40,9 @@ def captured(points: DataFrame, predictions: DataFrame, weights: DataFrame, radi
     room above chance, or with fewer than ``least_valid`` repetitions, they are null.
     """
     scores = cut(neighbour_scores(points, "z", radius, ks))
-    drawn = cut(with_point(weights, "block"))
+    reps = [POINT, *range(repetitions)]
+    draw = resample.OnceAlso(draw, POINT)
+    drawn = cut(block_weights(points, draw, reps))
     inside = scores.select("code").distinct().withColumn("inside", F.lit(True))
     own = cut(points.select("code", "block", "z", "y1").join(inside, "code", "left"))
     base = own.join(scores.withColumn("score", F.round("score", 9)), "code").select("block", "y1", "score", F.concat(F.lit("k"), "k").alias("what"))
@@ -47,16 +50,20 @@ def captured(points: DataFrame, predictions: DataFrame, weights: DataFrame, radi
     population = F.explode(F.array(F.lit("A"), F.when(C("inside"), F.lit("B")))).alias("population")
     model = seeded.select("block", "y1", C("p").alias("score"), "seed", population).where("population is not null")
     model = model.select("block", "y1", "score", F.concat_ws("|", "population", C("seed").cast("string")).alias("what"))
-    auc = cut(metrics.auc(base.unionByName(model).join(drawn, "block"), "y1", "score", "c", keys=("rep", "what")).select("rep", "what", "auc"))
+    auc = cut(resample.auc_by_repetition(cut(base.unionByName(model)), "y1", "score", "block", draw, reps, what="what"))
     bench = auc.where("what like 'k%'").select("rep", F.substring("what", 2, 9).cast("int").alias("k"), C("auc").alias("bench"))
     mean = auc.where("what not like 'k%'").groupBy("rep", F.substring("what", 1, 1).alias("population")).agg(F.avg("auc").alias("auc"))
     room = C("bench") - 0.5
     shares = mean.join(bench, "rep").select(F.lit("auc").alias("ratio"), "population", "k", "rep", F.when(room > 0, (C("auc") - 0.5) / room).alias("v"))
 
-    r2 = metrics.r2_rmse(seeded.join(drawn, "block"), "z", "v", "c", keys=("rep", "seed")).groupBy("rep").agg(F.avg("r2").alias("r2"))
+    # blocks have one weight: rows are summed by block before repetitions multiply them
+    e = C("z") - C("v")
+    summed = seeded.groupBy("block", "seed").agg(F.count("*").alias("n"), F.sum("z").alias("s"), F.sum(C("z") * C("z")).alias("ss"), F.sum(e * e).alias("ee")).join(drawn, "block")
+    total = {k: F.sum(C("c") * C(k)) for k in ("n", "s", "ss", "ee")}
+    r2 = summed.groupBy("rep", "seed").agg((1 - total["ee"] / F.nullif(total["ss"] - total["s"] * total["s"] / total["n"], F.lit(0.0))).alias("r2")).groupBy("rep").agg(F.avg("r2").alias("r2"))
     part = points.select("code", "x", "y", "z", "block")
     pairs = spatial.radius_pairs(part, lag, carry=("z", "block")).select("a_block", "b_block", ((C("a_z") - C("b_z")) * (C("a_z") - C("b_z")) / 2).alias("g"))
-    # blocks have one weight: pairs are summed by their two blocks before repetitions multiply them
+    # and pairs by their two blocks
     pairs = pairs.groupBy("a_block", "b_block").agg(F.sum("g").alias("g"), F.count("*").alias("n"))
     side = lambda s: drawn.select("rep", C("block").alias(f"{s}_block"), C("c").alias(f"{s}_c"))
     w = C("a_c") * C("b_c")

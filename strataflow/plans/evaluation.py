@@ -304,7 +304,7 @@ def population(spark, sf_dir):
 def captured_populations(spark, sf_dir):
     """Captured fraction of the neighbours' AUC and of the reachable R2, for all wells and for those with a neighbour, with intervals over blocks."""
     w, predictions = population(spark, sf_dir)
-    got = captured.captured(w, predictions, block_weights(w), RADIUS, LAG)
+    got = captured.captured(w, predictions, resample.GivenDraw(), REPS, RADIUS, LAG)
     return got.select("ratio", "population", "k", R6("point"), R6("low"), R6("high"), R6("above"), "n_valid")
 
 
@@ -312,8 +312,7 @@ def captured_populations(spark, sf_dir):
 def captured_populations_drawn(spark, sf_dir, repetitions=2000):
     """The same with blocks drawn by Poisson weights."""
     w, predictions = population(spark, sf_dir)
-    drawn = resample.weights(w, "block", repetitions, 20).withColumnRenamed("w", "c")
-    return captured.captured(w, predictions, drawn, RADIUS, LAG)
+    return captured.captured(w, predictions, resample.PoissonDraw(20), repetitions, RADIUS, LAG)
 
 
 BLOCKS = ", reps as (select unnest(range(0, 20)) as rep), wt as (select rep, block, cast((block * 31 + rep * 17 + block * rep) % 4 as double) as c from (select distinct block from scores), reps)"

@@ -42,3 +42,16 @@ def test_auc_equals_a_weight_table(spark, monkeypatch, held):
 def test_rows_and_repetitions_don_t_multiply(spark):
     plan = resample.auc_by_repetition(rows(spark), "y", "score", "a", DRAWS[1], 1000, ("b",))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_captured_rows_don_t_multiply_by_repetitions(spark, sf_dir, monkeypatch):
+    from strataflow.operators import captured
+    from strataflow.plans import evaluation
+
+    rows, cut_ = [], captured.cut
+    monkeypatch.setattr(captured, "cut", lambda d: (lambda out: (rows.append(out.count()), out)[1])(cut_(d)))
+    assert evaluation.captured_populations_drawn(spark, sf_dir, repetitions=300).where("n_valid > 0").count() > 0
+    w, _ = evaluation.population(spark, sf_dir)
+    blocks = w.select("block").distinct().count()
+    # of tables by repetition there are those of blocks and of statistics only
+    assert max(rows) <= max(301 * blocks, 301 * 6, 6 * w.count())
