@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataflow.adapters import relation
-from strataflow.operators import captured, metrics, resample, spatial
+from strataflow.operators import captured, metrics, nugget_intervals, resample, spatial
 from strataflow.operators.spatial import radius_pairs
 from strataflow.operators.validation import LEAST_ROWS
 from strataflow.plans.registry import query
@@ -210,12 +210,11 @@ select count(*) as reps, round(quantile_cont(least(1, gamma / sill), 0.025), 6)
 def bootstrap_nugget_fixed_w(spark, sf_dir):
     """Interval of the nugget with wells drawn by given weights: a pair counts as often as both ends do, the variance is estimated anew."""
     w = relation(spark, sf_dir, "wells").select("code", "x", "y", "z")
-    wt = resample.fixed_weights(w, REPS)
-    diff = F.col("a_z") - F.col("b_z")
-    pairs = radius_pairs(w, 1000.0, carry=("z",)).select("a", "b", (diff * diff / 2).alias("g"))
-    both = pairs.join(wt.select(F.col("code").alias("a"), "rep", F.col("c").alias("ca")), "a").join(wt.select(F.col("code").alias("b"), "rep", F.col("c").alias("cb")), ["b", "rep"])
-    gamma = both.groupBy("rep").agg((F.sum(F.col("ca") * F.col("cb") * F.col("g")) / F.sum(F.col("ca") * F.col("cb"))).alias("gamma"))
-    own = w.join(wt, "code").groupBy("rep").agg((F.sum(F.col("c") * F.col("z") * F.col("z")) / F.sum("c") - F.pow(F.sum(F.col("c") * F.col("z")) / F.sum("c"), 2)).alias("sill"))
+    middle = w.agg(F.avg("z").alias("mean"))
+    w = cut(w.crossJoin(F.broadcast(middle)).withColumn("z", F.col("z") - F.col("mean")).drop("mean"))
+    # pairs at one place count here
+    gamma = nugget_intervals.pair_sums(w, "z", (-1, 1000), REPS, nugget_intervals.Given()).select("rep", (F.col("wg") / F.nullif("w", F.lit(0.0))).alias("gamma"))
+    own = nugget_intervals.sills(w, "z", REPS, nugget_intervals.Given())
     ci = resample.interval(gamma.join(own, "rep").withColumn("nugget", F.least(F.lit(1.0), F.col("gamma") / F.col("sill"))), "nugget")
     return ci.select(F.col("n_valid").alias("reps"), R6("low"), R6("high"))
 
