@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.operators import metrics
 from strataflow.operators.components import connected_components
-from strataflow.operators.spatial import radius_pairs
+from strataflow.operators.spatial import distance
+from strataflow.session import cut
 
 
 def in_box(x: Column, y: Column, box: tuple[float, float, float, float]) -> Column:
@@ -40,8 +43,28 @@ def completeness(wells: DataFrame, children: dict[str, tuple[DataFrame, int | No
 
 
 def duplicate_groups(points: DataFrame, radius: float) -> DataFrame:
-    """(code, component) of all points with another at most ``radius`` away, chains included."""
-    return connected_components(radius_pairs(points, radius).select("a", "b")).select(F.col("node").alias("code"), "component")
+    """(code, component) of all points with another at most ``radius`` away, chains included.
+
+    Cells are so small that all their points are that near each other; a link of two cells
+    needs one pair of places. So the links follow the cells, not the pairs of points, whose
+    number grows with the square of the density.
+    """
+    size = radius / math.sqrt(2) * (1 - 1e-6)
+    have = points.where("code is not null and x is not null and y is not null").select("code", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    cells = cut(have.groupBy("cx", "cy").agg(F.min("code").alias("first"), F.max("code").alias("last")))
+    members = have.select("code", "cx", "cy").join(cells, ["cx", "cy"])
+    places = have.select("cx", "cy", "x", "y").distinct().join(cells.drop("last"), ["cx", "cy"])
+    around = [(i, j) for i in (0, 1, 2) for j in (-2, -1, 0, 1, 2) if (i, j) > (0, 0)]
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around])).alias("s")
+    sent = places.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("first").alias("a"), "cx", "cy", steps)
+    sent = sent.select("ax", "ay", "a", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    met = sent.join(places.withColumnRenamed("first", "b"), ["cx", "cy"]).where(distance(F.col("ax"), F.col("ay"), F.col("x"), F.col("y")) <= radius)
+    # a code at several places links their cells
+    split = members.groupBy("code").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b").select("code", "a")
+    links = met.select("a", "b").distinct().unionByName(members.join(split, "code").select("a", F.col("first").alias("b")))
+    groups = connected_components(links).withColumnRenamed("node", "first")
+    found = members.join(groups, "first", "left").where("component is not null or first <> last")
+    return found.groupBy("code").agg(F.min(F.coalesce("component", "first")).alias("component"))
 
 
 def losers(groups: DataFrame, scores: DataFrame) -> DataFrame:

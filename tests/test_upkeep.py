@@ -2,11 +2,13 @@
 
 import gc
 import glob
+import random
 
 from pyspark.sql import functions as F
 
 from strataflow import session
-from strataflow.operators import kriging
+from strataflow.operators import kriging, quality_control, spatial
+from strataflow.operators.components import connected_components
 from strataflow.operators.quality_control import replace_where
 from strataflow.sources import tables
 
@@ -64,3 +66,24 @@ def test_checkpoints_collect_the_drivers_garbage(spark, monkeypatch):
     session._collected[0] = 1.0
     session.cut(spark.range(1))
     assert session._collected[0] == 1.0  # not again so soon
+
+
+def test_duplicate_groups_follow_cells_not_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, float(rng.randrange(0, 9000)), float(rng.randrange(0, 9000))) for k in rng.sample(range(10**6), 400)]
+    rows += [(10**6 + k, 5000.0 + k % 3, 5000.0) for k in range(300)]  # 44,850 pairs in one cell
+    rows += [(2 * 10**6 + k, -400.0 * k, -400.0) for k in range(12)]  # a chain whose links are as long as the radius
+    rows += [(3 * 10**6, 20000.0, 0.0), (3 * 10**6 + 1, None, 0.0)]
+    points = spark.createDataFrame(rows, "code long, x double, y double")
+    pairs = spatial.radius_pairs(points, 400.0).select("a", "b").collect()
+    root = {c: c for p in pairs for c in p}
+    for _ in range(len(root)):
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    seen = []
+    monkeypatch.setattr(quality_control, "connected_components", lambda links: (seen.append(links.count()), connected_components(links))[1])
+    assert {r.code: r.component for r in quality_control.duplicate_groups(points, 400.0).collect()} == root
+    assert seen[0] < 5 * 400 < len(pairs)
