@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from strataflow.adapters import relation
 from strataflow.operators import captured, metrics, nugget_intervals, resample, spatial
-from strataflow.operators.spatial import radius_pairs
 from strataflow.operators.validation import LEAST_ROWS
 from strataflow.plans.registry import query
 from strataflow.session import cut
